@@ -4,9 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import SparkSession
 
+from pixelmill.session import ship_package
+
 BATCH_BYTES = 8 << 20
 
 
 def bound_batches(spark: SparkSession, size: int = BATCH_BYTES) -> None:
-    """Limit a batch by bytes, so that very long texts never meet thousands of rows in one batch."""
+    """Limit a batch by bytes, so that very long texts never meet thousands of rows in one batch, and
+    make this package known to the executors."""
+    ship_package(spark)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))

@@ -5,9 +5,16 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from pixelmill.llm.bpe_automaton import round_trip
 from pixelmill.llm.exact_dedup import content_sort
+from pixelmill.llm.quality_rules import BASE, apply_policy, ledger
 from pixelmill.llm.sharding import shard_by_bytes
+from pixelmill.llm.token_lengths import length_histogram, token_lengths
+from pixelmill.session import work_table
+
+TOKENIZERS = "/opt/tokenizers"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,10 +25,24 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_by_bytes(table(spark, sf_dir, "documents"), shards=40)
 
 
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = apply_policy(ledger(table(spark, sf_dir, "documents")), "v1")
+    return judged.withColumn("base_failed", F.col("fail_mask").bitwiseAND(BASE) != 0)
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return content_sort(table(spark, sf_dir, "documents"), keep="max")
 
 
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lengths = token_lengths(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_50k.tiktoken")
+    return length_histogram(work_table(lengths, "token-lengths"))
+
+
+def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_trip(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_50k.json")
+
+
 SQL_OP6 = """
 WITH d AS (
   SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS norm FROM documents
@@ -33,7 +54,7 @@ FROM d WINDOW w AS (PARTITION BY norm)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sharding, op6_exact_dedup)}
+    return {f.__name__: f for f in (op1_sharding, op3_quality_rules, op6_exact_dedup, op8_token_counts, op9_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
