@@ -1,0 +1,29 @@
+"""Connected components of a link table, by neighbour minima and pointer jumping."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from pixelmill.session import work_table
+
+
+def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
+    """vertex and component (the smallest vertex reachable) of every vertex of ``links(a, b)``.
+
+    Each round takes the smallest label among the neighbours and then the label of the label, so long
+    chains shrink geometrically. Rounds are written tables; a lost executor costs one round at most.
+    An empty table has no vertices; loops and repeated links do no harm.
+    """
+    both = work_table(links.select("a", "b").union(links.select("b", "a")).where("a <> b").distinct(), "links")
+    labels = work_table(both.groupBy(F.col("a").alias("vertex")).agg(F.least(F.min("b"), F.first("a")).alias("component")), "labels")
+    for _ in range(max_rounds):
+        near = both.join(labels.withColumnRenamed("vertex", "b"), "b").groupBy(F.col("a").alias("vertex")).agg(F.min("component").alias("near"))
+        lowered = labels.join(near, "vertex").select("vertex", F.col("component").alias("was"), F.least("component", "near").alias("component"))
+        parent = labels.select(F.col("vertex").alias("component"), F.col("component").alias("above"))
+        jumped = lowered.join(parent, "component").select("vertex", F.least("component", "above").alias("component"), "was")
+        round_labels = work_table(jumped, "labels")
+        labels = round_labels.drop("was")
+        if round_labels.where("component <> was").isEmpty():
+            return labels
+    raise RuntimeError(f"components did not settle within {max_rounds} rounds")

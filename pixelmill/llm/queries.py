@@ -9,9 +9,14 @@ from pyspark.sql import functions as F
 
 from pixelmill.llm.bpe_automaton import round_trip
 from pixelmill.llm.exact_dedup import content_sort
+from pixelmill.llm.line_dedup import drop_repeated_lines
+from pixelmill.llm.mixing import mixture, n_words, standard_targets
+from pixelmill.llm.near_dedup import near_duplicates
+from pixelmill.llm.quality_cnn import score, train
 from pixelmill.llm.quality_rules import BASE, apply_policy, ledger
 from pixelmill.llm.sharding import shard_by_bytes
 from pixelmill.llm.token_lengths import length_histogram, token_lengths
+from pixelmill.llm.wrapper_induction import extract
 from pixelmill.session import work_table
 
 TOKENIZERS = "/opt/tokenizers"
@@ -25,15 +30,33 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_by_bytes(table(spark, sf_dir, "documents"), shards=40)
 
 
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixture(table(spark, sf_dir, "documents"), standard_targets(), n_words(F.col("text")))
+    return mixed.select("row.doc_id", "mix_source", "mix_lang", "mix_topic", F.col("mix_tokens").alias("n_tokens"), "mix_weight", "probability", "sampled")
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = apply_policy(ledger(table(spark, sf_dir, "documents")), "v1")
     return judged.withColumn("base_failed", F.col("fail_mask").bitwiseAND(BASE) != 0)
 
 
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return score(docs, train(docs, table(spark, sf_dir, "labels"))).select("doc_id", "held_out", "score", "predicted")
+
+
+def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return content_sort(table(spark, sf_dir, "documents"), keep="max")
 
 
+def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(table(spark, sf_dir, "pages"))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     lengths = token_lengths(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_50k.tiktoken")
     return length_histogram(work_table(lengths, "token-lengths"))
@@ -43,6 +66,11 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_50k.json")
 
 
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = drop_repeated_lines(table(spark, sf_dir, "documents"))
+    return cleaned.select("doc_id", "n_lines", "n_dropped_lines", F.sha2(F.col("text"), 256).alias("text_sha256"))
+
+
 SQL_OP6 = """
 WITH d AS (
   SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS norm FROM documents
@@ -53,9 +81,49 @@ FROM d WINDOW w AS (PARTITION BY norm)
 """
 
 
+#: A run is three lines, or one line of 300 bytes or more; all but its first occurrence go.
+SQL_OP10 = """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+runs AS (
+  SELECT doc_id, text, start, 3 AS size, array_to_string(lines[start + 1 : start + 3], chr(10)) AS gram
+  FROM (SELECT *, unnest(range(0, len(lines) - 2)) AS start FROM d)
+  UNION ALL
+  SELECT doc_id, text, start, 1, lines[start + 1] FROM (SELECT *, unnest(range(0, len(lines))) AS start FROM d)
+  WHERE strlen(lines[start + 1]) >= 300
+),
+later AS (
+  SELECT doc_id, text, start, size FROM runs
+  QUALIFY row_number() OVER (PARTITION BY size, gram ORDER BY doc_id, start) > 1
+),
+gone AS (SELECT DISTINCT doc_id, text, unnest(range(start, start + size)) AS pos FROM later),
+kept AS (
+  SELECT l.doc_id, l.text, count(*) AS n_lines, count(g.pos) AS n_dropped_lines,
+         coalesce(string_agg(l.line, chr(10) ORDER BY l.pos) FILTER (WHERE g.pos IS NULL), '') AS cleaned
+  FROM (SELECT doc_id, text, unnest(lines) AS line, unnest(range(0, len(lines))) AS pos FROM d) l
+  LEFT JOIN gone g ON g.doc_id = l.doc_id AND g.text = l.text AND g.pos = l.pos
+  GROUP BY l.doc_id, l.text
+)
+SELECT doc_id, n_lines, n_dropped_lines, sha256(cleaned) AS text_sha256 FROM kept
+"""
+
+
+QUERIES = (
+    op1_sharding,
+    op2_mixing,
+    op3_quality_rules,
+    op4_quality_classifier,
+    op5_near_dedup,
+    op6_exact_dedup,
+    op7_html_extraction,
+    op8_token_counts,
+    op9_bpe,
+    op10_line_dedup,
+)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sharding, op3_quality_rules, op6_exact_dedup, op8_token_counts, op9_bpe)}
+    return {f.__name__: f for f in QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_exact_dedup": SQL_OP6}
+    return {"op6_exact_dedup": SQL_OP6, "op10_line_dedup": SQL_OP10}
