@@ -1,19 +1,690 @@
-"""All registered queries of the land-cover engine, with the SQL that states the same result."""
+"""All registered queries of the land-cover engine, each beside the SQL that states the same result."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from pixelmill.functions import indices
+from pixelmill.operators import applicability, composite, forest, grid, legend, metrics, neighbourhood, purity, sampling, selection, separability, spatial
+from pixelmill.operators.grid import GridSpec
+from pixelmill.plans import fixtures as fx
+from pixelmill.sources import files
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def register(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+def queries() -> dict[str, Query]:
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/events.parquet")
+    """Masked seasonal medians with the name of their season."""
+    names = spark.createDataFrame([(i, s.name) for i, s in enumerate(composite.SEASONS)], "season int, season_name string")
+    return a1_seasonal_median(spark, sf_dir).join(F.broadcast(names), "season")
+
+
+# composites and band algebra
+
+
+@query(f"WITH {fx.OBS} SELECT pixel, season, round(median(CASE WHEN scl IN (4, 5, 6) THEN dn END), 6) AS dn FROM obs GROUP BY ALL")
+def a1_seasonal_median(spark, sf_dir):
+    return composite.seasonal_median(fx.obs(spark, sf_dir), ["pixel", "season"], ["dn"]).withColumn("dn", F.round("dn", 6))
+
+
+@query(f"WITH {fx.OBS} SELECT pixel, season, count(*) AS n_obs, count(*) FILTER (WHERE scl IN (4, 5, 6)) AS n_clear FROM obs GROUP BY ALL")
+def a1_clear_observation_count(spark, sf_dir):
+    return composite.clear_counts(fx.obs(spark, sf_dir), ["pixel", "season"])
+
+
+@query(f"WITH {fx.OBS} SELECT pixel, ts, dn FROM obs WHERE ts >= TIMESTAMP '2024-01-05' AND ts < TIMESTAMP '2024-01-13'")
+def f23_season_window(spark, sf_dir):
+    return composite.in_season(fx.obs(spark, sf_dir), composite.Season("test", "2024-01-05", "2024-01-12")).select("pixel", "ts", "dn")
+
+
+@query(
+    f"""WITH {fx.BANDS_SQL}
+SELECT round((b08 - b04) / nullif(b08 + b04, 0), 6) AS ndvi, round((b03 - b08) / nullif(b03 + b08, 0), 6) AS ndwi_mcf,
+  round((b08 - b11) / nullif(b08 + b11, 0), 6) AS ndwi_gao, round((b03 - b11) / nullif(b03 + b11, 0), 6) AS mndwi,
+  round(((b11 + b04) - (b08 + b02)) / nullif((b11 + b04) + (b08 + b02), 0), 6) AS bsi,
+  round(2.5 * (b08 / 10000 - b04 / 10000) / nullif(b08 / 10000 + 2.4 * (b04 / 10000) + 1, 0), 6) AS evi2,
+  round((b8a - b05) / nullif(b8a + b05, 0), 6) AS ndre, round((b11 - b08) / nullif(b11 + b08, 0), 6) AS ndbi,
+  round((b11 - b12) / nullif(b11 + b12, 0), 6) AS nbr2,
+  round(((b08 / 10000 + 0.1) - (b12 / 10000 + 0.02)) / nullif((b08 / 10000 + 0.1) + (b12 / 10000 + 0.02), 0), 6) AS gvmi,
+  round((2 * b03 - (b04 + b02)) / nullif(2 * b03 + (b04 + b02), 0), 6) AS gli
+FROM bands"""
+)
+def f_spectral_indices(spark, sf_dir):
+    return fx.bands(spark, sf_dir).select(*[F.round(c, 6).alias(name) for name, c in indices.spectral_indices().items()])
+
+
+@query(f"WITH {fx.BANDS_SQL} SELECT " + ", ".join(f"round({b} / 10000, 8) AS {b}" for b in fx.BAND_TERMS) + " FROM bands")
+def p3_reflectance(spark, sf_dir):
+    return indices.reflectance(fx.bands(spark, sf_dir)).select(*[F.round(b, 8).alias(b) for b in fx.BAND_TERMS])
+
+
+@query(
+    f'WITH {fx.GRID} SELECT r AS "row", c AS col, round(sin(radians((r * 37 + c * 11) % 360)), 6) + 0 AS aspect_sin, round(cos(radians((r * 37 + c * 11) % 360)), 6) + 0 AS aspect_cos FROM cells'
+)
+def p4_aspect_components(spark, sf_dir):
+    degrees = ((F.col("row") * 37 + F.col("col") * 11) % 360).cast("double")
+    return fx.grid(spark, sf_dir).select("row", "col", *[F.round(c, 6).alias(n) for n, c in indices.circular(degrees).items()])
+
+
+@query(f"WITH {fx.BANDS_SQL} SELECT b02, b03, b04 FROM bands WHERE b02 / 10000 <= 0.05 AND b03 / 10000 <= 0.05 AND b04 / 10000 <= 0.05")
+def p7_physical_filter(spark, sf_dir):
+    blue = [F.col(b) / indices.SCALE for b in ("b02", "b03", "b04")]
+    return fx.bands(spark, sf_dir).where(indices.physical(blue, 0.05)).select("b02", "b03", "b04")
+
+
+@query(f'WITH {fx.GRID} SELECT r AS "row", c AS col, v FROM cells WHERE v IS NOT NULL')
+def p8_subset_dropna(spark, sf_dir):
+    return fx.grid(spark, sf_dir).dropna(subset=["v"])
+
+
+@query(f'WITH {fx.GRID} SELECT r AS "row", c AS col, CASE WHEN v > 200000 THEN NULL ELSE full_v END AS b08 FROM cells')
+def p10_cloud_null(spark, sf_dir):
+    both = fx.full_grid(spark, sf_dir).withColumn("blue", F.when(F.expr(f"(row * {fx.N_COLS} + col) % 7 >= 2"), F.col("v")))
+    return both.select("row", "col", indices.cloud_null(F.col("v"), F.col("blue"), 200_000).alias("b08"))
+
+
+GREY = f"CAST(least(greatest(round_even({{v}} / {fx.TOP_VALUE} * 31, 0), 0), 31) AS INT)"
+
+
+@query(f'WITH {fx.GRID} SELECT r AS "row", c AS col, {GREY.format(v="v")} AS grey FROM cells')
+def p11_quantise(spark, sf_dir):
+    return fx.grid(spark, sf_dir).select("row", "col", indices.grey_levels(F.col("v"), fx.TOP_VALUE).alias("grey"))
+
+
+# legend, recodes, summaries, sets
+
+
+@query(f"WITH {fx.LEGEND} SELECT polygon_id, raw.classe, desc_clean, cod_l1, cod_l2, tipo FROM raw LEFT JOIN legend ON legend.classe = raw.classe")
+def j1_legend_join(spark, sf_dir):
+    return legend.attach(fx.legend_raw(spark, sf_dir), legend.legend(spark), "classe").select("polygon_id", "classe", "desc_clean", "cod_l1", "cod_l2", "tipo")
+
+
+@query(f"WITH {fx.LEGEND} SELECT DISTINCT classe FROM raw WHERE classe NOT IN (SELECT classe FROM legend)")
+def j5_missing_classes(spark, sf_dir):
+    return legend.missing_keys(fx.legend_raw(spark, sf_dir), legend.legend(spark), "classe")
+
+
+@query(f"WITH {fx.LEGEND} SELECT polygon_id, classe FROM raw WHERE classe IN (SELECT classe FROM legend WHERE cod_l1 = 4)")
+def j6_semi_join(spark, sf_dir):
+    trees = legend.legend(spark).where("cod_l1 = 4").select("classe")
+    return fx.legend_raw(spark, sf_dir).join(F.broadcast(trees), "classe", "left_semi").select("polygon_id", "classe")
+
+
+@query(f"WITH {fx.LEGEND} SELECT raw.classe, desc_l2, count(*) AS n_polygons, round(sum(area), 2) AS area_ha FROM raw JOIN legend ON legend.classe = raw.classe GROUP BY ALL")
+def a2_class_summary(spark, sf_dir):
+    return legend.class_summary(fx.labelled(spark, sf_dir), ["classe", "desc_l2"], "area")
+
+
+@query(f"WITH {fx.LEGEND} SELECT classe, count(DISTINCT description) AS n_variants FROM raw GROUP BY ALL")
+def a17_description_variants(spark, sf_dir):
+    return legend.description_variants(fx.legend_raw(spark, sf_dir), "classe", "description")
+
+
+@query(f"WITH {fx.LEGEND} SELECT cod_l2 // 10 AS cod_l1, count(*) AS n FROM raw JOIN legend ON legend.classe = raw.classe GROUP BY ALL")
+def p17_macrotype_frequency(spark, sf_dir):
+    return legend.frequency(fx.labelled(spark, sf_dir).select(legend.macrotype().alias("cod_l1")), "cod_l1")
+
+
+@query(f"WITH {fx.LEGEND} SELECT polygon_id, CASE cod_l1 WHEN 3 THEN 31 WHEN 6 THEN 61 WHEN 7 THEN 71 END AS direct FROM raw JOIN legend ON legend.classe = raw.classe")
+def p18_reclass(spark, sf_dir):
+    return fx.labelled(spark, sf_dir).select("polygon_id", legend.reclassify(F.col("cod_l1"), legend.DIRECT).alias("direct"))
+
+
+@query(
+    f"WITH {fx.LEGEND}, agg(a, b) AS (VALUES {', '.join(f'({a}, {b})' for a, b in legend.AGGREGATED.items())}) SELECT b AS cod_agg, count(*) AS n FROM raw JOIN legend ON legend.classe = raw.classe JOIN agg ON a = cod_l2 GROUP BY ALL"
+)
+def p19_aggregate_recode(spark, sf_dir):
+    return legend.frequency(fx.labelled(spark, sf_dir).select(legend.aggregate_classes(F.col("cod_l2")).alias("cod_agg")), "cod_agg")
+
+
+@query(f"WITH {fx.LEGEND} SELECT cod_l2, count(*) AS n FROM raw LEFT JOIN legend ON legend.classe = raw.classe WHERE cod_l2 IS NOT NULL GROUP BY ALL")
+def a3_frequency(spark, sf_dir):
+    return legend.frequency(legend.attach(fx.legend_raw(spark, sf_dir), legend.legend(spark), "classe"), "cod_l2")
+
+
+@query(f"WITH {fx.LEGEND} SELECT classe, desc_clean, cod_l1, desc_l1, cod_l2, desc_l2, tipo FROM legend")
+def s17_legend(spark, sf_dir):
+    return legend.legend(spark)
+
+
+@query(
+    "SELECT * FROM (VALUES "
+    + ", ".join(f"({n}, {v}, '{c}', '{v} - {t}')" for n, b in ((1, legend.LEVEL_1), (2, legend.LEVEL_2)) for v, c, t in legend._rows(b))
+    + ") AS t(level, value, colour, label)"
+)
+def s19_palette(spark, sf_dir):
+    return legend.palette(spark)
+
+
+@query(f"WITH {fx.LEGEND} SELECT polygon_id, classe FROM raw WHERE polygon_id % 3 = 0 UNION ALL SELECT polygon_id, classe FROM raw WHERE polygon_id % 3 = 1")
+def u1_union_by_name(spark, sf_dir):
+    raw = fx.legend_raw(spark, sf_dir).select("polygon_id", "classe")
+    return raw.where("polygon_id % 3 = 0").unionByName(raw.where("polygon_id % 3 = 1").select("classe", "polygon_id"))
+
+
+@query(f"WITH {fx.LEGEND} SELECT classe FROM legend EXCEPT SELECT classe FROM raw")
+def u3_set_difference(spark, sf_dir):
+    return legend.legend(spark).select("classe").subtract(fx.legend_raw(spark, sf_dir).select("classe"))
+
+
+@query(f"WITH {fx.LEGEND} SELECT classe FROM legend INTERSECT SELECT classe FROM raw")
+def u4_set_intersection(spark, sf_dir):
+    return legend.legend(spark).select("classe").intersect(fx.legend_raw(spark, sf_dir).select("classe"))
+
+
+@query("SELECT mtry, node FROM (VALUES (1), (2), (3)) AS m(mtry), (VALUES (5), (10)) AS n(node)")
+def u6_settings_grid(spark, sf_dir):
+    mtry = spark.createDataFrame([(m,) for m in forest.mtry_grid(8)], "mtry int")
+    return mtry.crossJoin(F.broadcast(spark.createDataFrame([(5,), (10,)], "node int")))
+
+
+@query(f"WITH {fx.LEGEND} SELECT polygon_id, area FROM raw ORDER BY area DESC, polygon_id LIMIT 10")
+def o4_top_areas(spark, sf_dir):
+    return fx.legend_raw(spark, sf_dir).select("polygon_id", "area").orderBy(F.col("area").desc(), "polygon_id").limit(10)
+
+
+# layers and grids
+
+STATS = "SELECT '{c}' AS layer, min({c}) AS min_value, round(avg({c}), 4) AS mean_value, max({c}) AS max_value, count(*) - count({c}) AS n_null FROM cells"
+
+
+@query(f"WITH {fx.GRID} {STATS.format(c='v')} UNION ALL {STATS.format(c='full_v')}")
+def a4_layer_stats(spark, sf_dir):
+    both = fx.full_grid(spark, sf_dir).select(F.col("v").alias("full_v"), F.when(F.expr(f"(row * {fx.N_COLS} + col) % 7 >= 2"), F.col("v")).alias("v"))
+    return grid.layer_stats(both, ["v", "full_v"]).withColumn("mean_value", F.round("mean_value", 4))
+
+
+@query("SELECT 'full_v' AS layer")
+def p15_null_free_columns(spark, sf_dir):
+    both = fx.full_grid(spark, sf_dir).select(F.col("v").alias("full_v"), F.when(F.expr(f"(row * {fx.N_COLS} + col) % 7 >= 2"), F.col("v")).alias("v"))
+    return spark.createDataFrame([(c,) for c in grid.null_free(both, ["v", "full_v"])], "layer string")
+
+
+@query(f'WITH {fx.GRID} SELECT r - 2 AS "row", c - 10 AS col, v FROM cells WHERE r BETWEEN 2 AND 8 AND c BETWEEN 10 AND 60')
+def g7_crop(spark, sf_dir):
+    return grid.crop(fx.grid(spark, sf_dir), 2, 8, 10, 60)
+
+
+@query(
+    f'WITH {fx.GRID}, t AS (SELECT CAST(i // 104 AS INT) AS r, CAST(i % 104 AS INT) AS c FROM range(104 * 20) x(i)) SELECT t.r AS "row", t.c AS col, v FROM t LEFT JOIN cells ON cells.r = t.r AND cells.c = t.c'
+)
+def g22_template_extend(spark, sf_dir):
+    return grid.on_template(fx.grid(spark, sf_dir), GridSpec(0.0, 20.0, 1.0, 1.0, 20, 104))
+
+
+@query(f'WITH {fx.GRID} SELECT r AS "row", c AS col, coalesce(CASE WHEN c < 60 THEN v END, CASE WHEN c >= 40 THEN full_v + 1 END) AS v FROM cells WHERE c < 60 OR c >= 40')
+def j17_mosaic(spark, sf_dir):
+    new = fx.full_grid(spark, sf_dir).where("col >= 40").withColumn("v", F.col("v") + 1)
+    return grid.mosaic(fx.grid(spark, sf_dir).where("col < 60"), new, "v")
+
+
+DIFF = "diff AS (SELECT r, c, abs(v - (full_v + (r * c) % 17)) AS diff FROM cells WHERE v IS NOT NULL)"
+
+
+def _difference(spark, sf_dir):
+    other = fx.full_grid(spark, sf_dir).withColumn("v", F.col("v") + (F.col("row") * F.col("col")) % 17)
+    return grid.difference(fx.grid(spark, sf_dir), other, "v")
+
+
+@query(f'WITH {fx.GRID}, {DIFF} SELECT r AS "row", c AS col, round(diff, 6) AS diff FROM diff')
+def j18_difference(spark, sf_dir):
+    return _difference(spark, sf_dir).withColumn("diff", F.round("diff", 6))
+
+
+@query(
+    f"WITH {fx.GRID}, {DIFF} SELECT count(*) AS n, round(max(diff), 6) AS max_diff, round(median(diff), 6) AS median_diff, round(quantile_cont(diff, 0.95), 6) AS p95_diff, round(avg(CASE WHEN diff > 10 THEN 1.0 ELSE 0.0 END) * 100, 6) AS pct_above FROM diff"
+)
+def a11_drift(spark, sf_dir):
+    found = grid.drift(_difference(spark, sf_dir), 10)
+    return found.select("n", *[F.round(c, 6).alias(c) for c in ("max_diff", "median_diff", "p95_diff", "pct_above")])
+
+
+@query(f"WITH {fx.GRID}, {DIFF} SELECT count(*) AS n, round(avg(diff), 6) AS mean_gap FROM diff WHERE c BETWEEN 45 AND 74")
+def a19_seam(spark, sf_dir):
+    return grid.seam_gap(_difference(spark, sf_dir), 45, 74).withColumn("mean_gap", F.round("mean_gap", 6))
+
+
+@query(
+    f"""WITH {fx.GRID}, n AS (SELECT max(r) + 1 AS n_rows FROM cells), t AS (SELECT CAST(i // 40 AS INT) AS tr, CAST(i % 40 AS INT) AS tc FROM n, range(40 * CAST(floor(n_rows / 2.5) AS BIGINT)) x(i))
+SELECT tr AS "row", tc AS col, v FROM t LEFT JOIN cells ON r = CAST(floor((tr + 0.5) * 2.5) AS INT) AND c = CAST(floor((tc + 0.5) * 2.5) AS INT)"""
+)
+def g2_nearest(spark, sf_dir):
+    df = fx.grid(spark, sf_dir)
+    spec = fx.spec_of(df)
+    return grid.nearest(df, spec, GridSpec(0.0, spec.top, 2.5, 2.5, int(spec.n_rows / 2.5), 40))
+
+
+@query(
+    f"""WITH {fx.GRID}, n AS (SELECT max(r) + 1 AS n_rows FROM cells), t AS (SELECT CAST(i // 40 AS INT) AS tr, CAST(i % 40 AS INT) AS tc FROM n, range(40 * CAST(floor(n_rows / 2.5) AS BIGINT)) x(i)),
+p AS (SELECT tr, tc, (tc + 0.5) * 2.5 - 0.5 AS x, (tr + 0.5) * 2.5 - 0.5 AS y FROM t),
+q AS (SELECT tr, tc, CAST(floor(y) AS INT) + j AS sr, CAST(floor(x) AS INT) + i AS sc,
+  (CASE WHEN i = 0 THEN 1 - (x - floor(x)) ELSE x - floor(x) END) * (CASE WHEN j = 0 THEN 1 - (y - floor(y)) ELSE y - floor(y) END) AS w
+  FROM p, (VALUES (0), (1)) a(i), (VALUES (0), (1)) b(j))
+SELECT tr AS "row", tc AS col, round(sum(w * v) / nullif(sum(CASE WHEN v IS NOT NULL THEN w END), 0), 7) AS v FROM q LEFT JOIN cells ON r = sr AND c = sc GROUP BY ALL"""
+)
+def g3_bilinear(spark, sf_dir):
+    df = fx.grid(spark, sf_dir)
+    spec = fx.spec_of(df)
+    target = GridSpec(0.0, spec.top, 2.5, 2.5, int(spec.n_rows / 2.5), 40)
+    return grid.bilinear(df, "v", spec, target).withColumn("v", F.round("v", 7))
+
+
+# neighbourhoods
+
+
+def _fill_sql(rounds: int) -> str:
+    steps = [f"{fx.GRID}", "near AS (SELECT * FROM (VALUES (-1), (0), (1)) a(dr), (VALUES (-1), (0), (1)) b(dc))", "s0 AS (SELECT r, c, v FROM cells)"]
+    for k in range(rounds):
+        steps.append(
+            f"s{k + 1} AS (SELECT a.r, a.c, coalesce(any_value(a.v), avg(b.v)) AS v FROM s{k} a CROSS JOIN near LEFT JOIN s{k} b ON b.r = a.r + dr AND b.c = a.c + dc GROUP BY a.r, a.c)"
+        )
+    return f'WITH {", ".join(steps)} SELECT r AS "row", c AS col, round(v, 4) AS v FROM s{rounds}'
+
+
+@query(_fill_sql(1))
+def g8_focal_fill_1(spark, sf_dir):
+    return neighbourhood.fill_round(fx.grid(spark, sf_dir), "v").withColumn("v", F.round("v", 4))
+
+
+@query(_fill_sql(5))
+def g9_focal_fill_until_done(spark, sf_dir):
+    return neighbourhood.fill(fx.grid(spark, sf_dir), "v")[0].withColumn("v", F.round("v", 4))
+
+
+PAIRS = f"""grey AS (SELECT r, c, {GREY.format(v="full_v")} AS g FROM cells),
+shifts(s, dr, dc) AS (VALUES (0, 0, 1), (1, 1, 1), (2, 1, 0), (3, 1, -1)),
+pairs AS (SELECT a.r, a.c, s, a.g AS i, b.g AS j FROM grey a CROSS JOIN shifts JOIN grey b ON b.r = a.r + dr AND b.c = a.c + dc),
+near AS (SELECT * FROM (VALUES (-2), (-1), (0), (1), (2)) x(nr), (VALUES (-2), (-1), (0), (1), (2)) y(nc)),
+windows AS (SELECT a.r, a.c, s, i, j FROM grey a CROSS JOIN near JOIN pairs p ON p.r = a.r + nr AND p.c = a.c + nc)"""
+
+
+def _grey(spark, sf_dir):
+    return fx.full_grid(spark, sf_dir).select("row", "col", indices.grey_levels(F.col("v"), fx.TOP_VALUE).alias("grey"))
+
+
+@query(
+    f"""WITH {fx.GRID}, {PAIRS}, t AS (SELECT r, c, sum((i - j) * (i - j)) / 100.0 AS con, sum(1.0 / (1 + (i - j) * (i - j))) / 100.0 AS hom, count(*) AS n FROM windows GROUP BY r, c)
+SELECT grey.r AS "row", grey.c AS col, round(CASE WHEN n = 100 THEN con END, 6) AS con, round(CASE WHEN n = 100 THEN hom END, 6) AS hom FROM grey LEFT JOIN t ON t.r = grey.r AND t.c = grey.c"""
+)
+def g11_contrast_homogeneity(spark, sf_dir):
+    return neighbourhood.texture(_grey(spark, sf_dir), "grey").select("row", "col", F.round("con", 6).alias("con"), F.round("hom", 6).alias("hom"))
+
+
+@query(
+    f"""WITH {fx.GRID}, {PAIRS}, h AS (SELECT r, c, s, i, j, count(*) AS k FROM windows GROUP BY ALL),
+t AS (SELECT r, c, -sum(k / 25.0 * ln(k / 25.0)) / 4 AS ent, sum(k) AS n FROM h GROUP BY r, c)
+SELECT grey.r AS "row", grey.c AS col, round(CASE WHEN n = 100 THEN ent END, 6) AS ent FROM grey LEFT JOIN t ON t.r = grey.r AND t.c = grey.c"""
+)
+def g11_entropy(spark, sf_dir):
+    return neighbourhood.entropy(_grey(spark, sf_dir), "grey").withColumn("ent", F.round("ent", 6))
+
+
+@query(
+    f"""WITH {fx.GRID}, w AS (SELECT a.r, a.c, a.full_v AS e, b.r - a.r AS dr, b.c - a.c AS dc, b.full_v AS z FROM cells a CROSS JOIN (SELECT * FROM (VALUES (-1), (0), (1)) x(nr), (VALUES (-1), (0), (1)) y(nc)) JOIN cells b ON b.r = a.r + nr AND b.c = a.c + nc),
+g AS (SELECT r, c, count(*) AS n, sum(CASE WHEN dc <> 0 THEN dc * (2 - abs(dr)) * z END) / 80.0 AS gx, sum(CASE WHEN dr <> 0 THEN dr * (2 - abs(dc)) * z END) / 80.0 AS gy FROM w GROUP BY r, c),
+k AS (SELECT r, c, CASE WHEN n = 9 THEN gx END AS gx, CASE WHEN n = 9 THEN gy END AS gy FROM g)
+SELECT r AS "row", c AS col, round(degrees(atan(sqrt(gx * gx + gy * gy))), 6) AS slope,
+  round(sin(CASE WHEN gx = 0 AND gy = 0 THEN pi() / 2 ELSE atan2(-gx, gy) END), 6) AS aspect_sin, round(cos(CASE WHEN gx = 0 AND gy = 0 THEN pi() / 2 ELSE atan2(-gx, gy) END), 6) AS aspect_cos FROM k"""
+)
+def g13_terrain(spark, sf_dir):
+    found = neighbourhood.terrain(fx.full_grid(spark, sf_dir), "v", 10.0, 10.0)
+    return found.select("row", "col", *[F.round(c, 6).alias(c) for c in ("slope", "aspect_sin", "aspect_cos")])
+
+
+# vectors and rasters
+
+
+@query(f'WITH {fx.GRID}, {fx.RECTS} SELECT id, r AS "row", c AS col FROM covered')
+def j11_zonal(spark, sf_dir):
+    spec = fx.spec_of(fx.grid(spark, sf_dir))
+    return spatial.zonal_cells(fx.rects(spark, sf_dir, spec.n_rows), spec)
+
+
+@query(f'WITH {fx.GRID}, {fx.RECTS} SELECT r AS "row", c AS col, arg_max(cls, id) AS cls FROM covered GROUP BY ALL')
+def j10_rasterise(spark, sf_dir):
+    spec = fx.spec_of(fx.grid(spark, sf_dir))
+    return spatial.rasterise(fx.rects(spark, sf_dir, spec.n_rows), spec, "cls")
+
+
+@query(f'WITH {fx.GRID}, {fx.POINTS} SELECT id, points.r AS "row", points.c AS col, v FROM points LEFT JOIN cells ON cells.r = points.r AND cells.c = points.c')
+def j12_point_sample(spark, sf_dir):
+    return spatial.sample_points(fx.points(spark, sf_dir), fx.grid(spark, sf_dir)).select("id", "row", "col", "v")
+
+
+@query(f'WITH {fx.GRID}, {fx.RECTS} SELECT r AS "row", c AS col, CASE WHEN (r, c) IN (SELECT (r, c) FROM covered) THEN v END AS v FROM cells')
+def j14_mask(spark, sf_dir):
+    df = fx.grid(spark, sf_dir)
+    spec = fx.spec_of(df)
+    return spatial.mask(df, spatial.zonal_cells(fx.rects(spark, sf_dir, spec.n_rows), spec), "v")
+
+
+@query(
+    f"""WITH {fx.GRID}, n AS (SELECT max(r) + 1 AS n_rows FROM cells), l AS (SELECT 0.5 AS x1, n_rows - 0.5 AS y1, 99.5 AS x2, 0.5 AS y2, CAST(ceil(greatest(99.0, n_rows - 1.0) * 2) AS BIGINT) AS k FROM n)
+SELECT DISTINCT CAST(floor(n_rows - (y1 + i / k * (y2 - y1))) AS INT) AS "row", CAST(floor(x1 + i / k * (x2 - x1)) AS INT) AS col FROM l, n, range(0, k + 1) t(i)"""
+)
+def j13_line_cells(spark, sf_dir):
+    spec = fx.spec_of(fx.grid(spark, sf_dir))
+    line = spark.createDataFrame([([(0.5, spec.top - 0.5), (99.5, 0.5)],)], "points array<struct<x:double,y:double>>")
+    return spatial.line_cells(line, spec)
+
+
+@query(
+    f"""WITH {fx.GRID}, s AS (SELECT r, c FROM cells WHERE c = (r * 3) % 100)
+SELECT a.r AS "row", a.c AS col, round(sqrt(min((a.r - s.r) * (a.r - s.r) * 100.0 + (a.c - s.c) * (a.c - s.c) * 100.0)), 6) AS distance FROM cells a, s GROUP BY a.r, a.c"""
+)
+def j15_distance(spark, sf_dir):
+    return spatial.distance(fx.river(spark, sf_dir), "river", 10.0, 10.0).withColumn("distance", F.round("distance", 6))
+
+
+@query(
+    f"""WITH {fx.GRID}, s AS (SELECT r, c FROM cells WHERE c = (r * 3) % 100)
+SELECT DISTINCT a.r AS "row", a.c AS col FROM cells a, s WHERE (a.r - s.r) * (a.r - s.r) * 100.0 + (a.c - s.c) * (a.c - s.c) * 100.0 <= 625"""
+)
+def g18_buffer(spark, sf_dir):
+    return spatial.buffer_cells(fx.river(spark, sf_dir), "river", 25.0, 10.0, 10.0)
+
+
+@query(
+    f"""WITH RECURSIVE {fx.GRID}, on_cells AS (SELECT r, c, CAST(r AS BIGINT) * 100 + c AS id FROM cells WHERE full_v > 150000 AND r < 40),
+links AS (SELECT a.id AS a, b.id AS b FROM on_cells a JOIN on_cells b ON (b.r = a.r AND b.c IN (a.c - 1, a.c + 1)) OR (b.c = a.c AND b.r IN (a.r - 1, a.r + 1))),
+reach(v, w) AS (SELECT id, id FROM on_cells UNION SELECT reach.v, links.b FROM reach JOIN links ON links.a = reach.w WHERE links.b < 1000000)
+SELECT r AS "row", c AS col, min(w) AS component FROM reach JOIN on_cells ON id = v GROUP BY r, c"""
+)
+def g17_components(spark, sf_dir):
+    return spatial.raster_components(fx.full_grid(spark, sf_dir).where("v > 150000 AND row < 40"), fx.N_COLS)
+
+
+# sampling
+
+
+def _sample(name: str, sql: str, f: Callable[[DataFrame], DataFrame]) -> None:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return f(fx.pixels(spark, sf_dir).select("id", "cod_l2"))
+
+    QUERIES[name] = run
+    SQL[name] = (
+        f"WITH {fx.PIXELS}, ranked AS (SELECT id, cod_l2, row_number() OVER (PARTITION BY cod_l2 ORDER BY md5('50|' || id), id) AS rn, count(*) OVER (PARTITION BY cod_l2) AS n, count(*) OVER () AS total FROM pixels) " + sql
+    )
+
+
+_sample("w2_stratified_cap", "SELECT id, cod_l2 FROM ranked WHERE rn <= 20", lambda df: sampling.stratified_cap(df, "cod_l2", "id", 20))
+_sample("w3_split", "SELECT id, cod_l2, CASE WHEN rn <= ceil(0.7::DOUBLE * n) THEN 'train' ELSE 'validation' END AS part FROM ranked", lambda df: sampling.train_split(df, "cod_l2", "id"))
+_sample("w4_fraction", "SELECT id, cod_l2 FROM ranked WHERE rn <= greatest(1, round_even(n * 0.03::DOUBLE, 0))", lambda df: sampling.stratified_fraction(df, "cod_l2", "id", 0.03))
+_sample("w5_folds", "SELECT id, cod_l2, CAST((rn - 1) % 5 + 1 AS INT) AS fold FROM ranked", lambda df: sampling.folds(df, "cod_l2", "id").withColumn("fold", F.col("fold").cast("int")))
+_sample(
+    "w6_quota", "SELECT id, cod_l2 FROM ranked WHERE rn <= CASE WHEN total <= 150 THEN n ELSE greatest(1, round_even(150.0::DOUBLE * n / total, 0)) END", lambda df: sampling.proportional_quota(df, "cod_l2", "id", 150)
+)
+_sample("w7_simple_random", "SELECT id, cod_l2 FROM pixels ORDER BY md5('50|' || id), id LIMIT 100", lambda df: sampling.simple_sample(df, "id", 100))
+_sample(
+    "w12_case_weights",
+    "SELECT id, cod_l2, round(total / ((SELECT count(DISTINCT cod_l2) FROM pixels) * n), 6) AS case_weight FROM ranked",
+    lambda df: sampling.case_weights(df, "cod_l2").withColumn("case_weight", F.round("case_weight", 6)),
+)
+_sample(
+    "a10_split_counts",
+    "SELECT cod_l2, count(*) FILTER (WHERE rn <= ceil(0.7::DOUBLE * n)) AS n_train, count(*) FILTER (WHERE rn > ceil(0.7::DOUBLE * n)) AS n_val FROM ranked GROUP BY ALL",
+    lambda df: sampling.train_split(df, "cod_l2", "id").groupBy("cod_l2").agg(F.count_if(F.col("part") == "train").alias("n_train"), F.count_if(F.col("part") == "validation").alias("n_val")),
+)
+_sample(
+    "a14_fold_counts", "SELECT CAST((rn - 1) % 5 + 1 AS INT) AS fold, cod_l2, count(*) AS n FROM ranked GROUP BY ALL", lambda df: forest.fold_sizes(sampling.folds(df, "cod_l2", "id").withColumn("fold", F.col("fold").cast("int")), "cod_l2")
+)
+
+# purity
+
+Z = " + ".join(f"coalesce(pow(({f} - avg({f}) OVER w) / nullif(stddev_samp({f}) OVER w, 0), 2), 0)" for f in fx.FEATURES)
+PURE = f"""z AS (SELECT id, cod_l2, sqrt({Z}) AS z FROM pixels WINDOW w AS (PARTITION BY cod_l2)),
+t AS (SELECT *, avg(z) OVER w - stddev_samp(z) OVER w AS t1, avg(z) OVER w + stddev_samp(z) OVER w AS t2, count(*) OVER w AS n FROM z WINDOW w AS (PARTITION BY cod_l2)),
+judged AS (SELECT id, cod_l2, z, n < 50 OR (z > t1 AND z < t2) AS pure FROM t)"""
+
+
+@query(f"WITH {fx.PIXELS}, {PURE} SELECT id, cod_l2, round(z, 6) AS z, pure FROM judged")
+def m3_purity(spark, sf_dir):
+    return purity.purity(fx.pixels(spark, sf_dir), "cod_l2", fx.FEATURES).select("id", "cod_l2", F.round("z", 6).alias("z"), "pure")
+
+
+@query(
+    f"WITH {fx.PIXELS}, {PURE}, k AS (SELECT cod_l2, count(*) AS n_pre, count(*) FILTER (WHERE pure) AS n_post FROM judged GROUP BY ALL) SELECT *, n_pre - n_post AS n_removed, round(100.0::DOUBLE * (n_pre - n_post) / n_pre, 2) AS pct_removed FROM k"
+)
+def a18_purity_loss(spark, sf_dir):
+    return purity.purity_loss(purity.purity(fx.pixels(spark, sf_dir), "cod_l2", fx.FEATURES), "cod_l2")
+
+
+# accuracy
+
+LEVELS = [1, 2, 3, 4, 5]
+
+
+def _accuracy_sql(where: str = "true") -> str:
+    return f"""{fx.TRUTH}, lv(k) AS (VALUES (1), (2), (3), (4), (5)),
+m AS (SELECT a.k AS p, b.k AS t, (SELECT count(*) FROM truth WHERE truth.p = a.k AND truth.t = b.k AND {where}) AS n FROM lv a, lv b),
+s AS (SELECT CAST(sum(n) AS DOUBLE) AS big FROM m),
+k AS (SELECT k AS class, CAST((SELECT sum(n) FROM m WHERE t = k) AS BIGINT) AS n_true, CAST((SELECT sum(n) FROM m WHERE p = k) AS BIGINT) AS n_pred, CAST((SELECT sum(n) FROM m WHERE p = k AND t = k) AS BIGINT) AS tp FROM lv),
+q AS (SELECT *, tp / greatest(n_pred, 1) AS ua, tp / greatest(n_true, 1) AS pa, (big - n_true - n_pred + tp) / greatest(big - n_true, 1) AS spec FROM k, s),
+g AS (SELECT CAST(max(big) AS BIGINT) AS n, sum(tp) / max(big) AS po, sum(CAST(n_pred AS DOUBLE) * n_true / (big * big)) AS pe, avg((pa + spec) / 2) AS ba, sum(n_true / big * ua) AS wa, avg(pa + spec - 1) AS tss,
+  exp(avg(ln(pa)) FILTER (WHERE n_true > 0)) AS gm FROM q)"""
+
+
+GLOBAL = "n, round(100 * po, 2) AS oa, round(100 * ba, 2) AS ba, round(100 * wa, 2) AS wa, round(tss, 4) AS tss, round(gm, 4) AS gmean, round((po - pe) / (1 - pe), 4) AS kappa"
+
+
+def _matrix(spark, sf_dir, where: str = "true"):
+    return metrics.confusion(fx.truth_pred(spark, sf_dir).where(where), "pred", "true", LEVELS)
+
+
+@query(f"WITH {_accuracy_sql()} SELECT p AS pred, t AS true, n FROM m".replace("t AS true", 't AS "true"'))
+def a9_confusion(spark, sf_dir):
+    return _matrix(spark, sf_dir)
+
+
+@query(
+    f"WITH {_accuracy_sql()} SELECT class, n_true, n_pred, round(100 * pa, 2) AS pa, round(100 * ua, 2) AS ua, round(100 * spec, 2) AS spec, round(100 * coalesce(2 * ua * pa / nullif(ua + pa, 0), 0), 2) AS f1, round(100 * (pa + spec) / 2, 2) AS ba, round(pa + spec - 1, 4) AS tss FROM q"
+)
+def v_class_metrics(spark, sf_dir):
+    return metrics.class_metrics(_matrix(spark, sf_dir))
+
+
+@query(f"WITH {_accuracy_sql()} SELECT {GLOBAL} FROM g")
+def v_global_metrics(spark, sf_dir):
+    return metrics.global_metrics(_matrix(spark, sf_dir))
+
+
+@query(
+    f"WITH {fx.TRUTH}, agg(a, b) AS (VALUES (1, 1), (2, 1), (3, 3), (4, 4), (5, 4)) SELECT x.b AS pred, y.b AS \"true\", count(*) AS n FROM truth JOIN agg x ON x.a = p JOIN agg y ON y.a = t GROUP BY ALL"
+)
+def v11_aggregated_eval(spark, sf_dir):
+    table = {1: 1, 2: 1, 3: 3, 4: 4, 5: 4}
+    merged = fx.truth_pred(spark, sf_dir).select(*[legend.aggregate_classes(F.col(c), table).alias(c) for c in ("pred", "true")])
+    return metrics.confusion(merged, "pred", "true", [1, 3, 4]).where("n > 0")
+
+
+@query(
+    f"""SELECT 'internal' AS setting, oa, ba, wa, kappa FROM (WITH {_accuracy_sql("id % 2 = 0")} SELECT {GLOBAL} FROM g)
+UNION ALL SELECT 'transfer', oa, ba, wa, kappa FROM (WITH {_accuracy_sql("id % 2 = 1")} SELECT {GLOBAL} FROM g)"""
+)
+def v12_comparison(spark, sf_dir):
+    return metrics.comparison(*[metrics.global_metrics(_matrix(spark, sf_dir, f"id % 2 = {k}")) for k in (0, 1)])
+
+
+@query(
+    f"WITH {fx.TRUTH}, f AS (SELECT fold, avg(CASE WHEN p = t THEN 100.0::DOUBLE ELSE 0 END) AS oa FROM truth GROUP BY fold) SELECT round(avg(oa), 6) AS mean, round(stddev_samp(oa), 6) AS sd, round(avg(oa) - 2.776445 * stddev_samp(oa) / sqrt(5), 6) AS band_low, round(avg(oa) + 2.776445 * stddev_samp(oa) / sqrt(5), 6) AS band_high FROM f"
+)
+def a16_fold_band(spark, sf_dir):
+    per_fold = fx.truth_pred(spark, sf_dir).groupBy("fold").agg((F.avg((F.col("pred") == F.col("true")).cast("double")) * 100).alias("oa"))
+    return metrics.fold_band(per_fold, "oa").select(*[F.round(c, 6).alias(c) for c in ("mean", "sd", "band_low", "band_high")])
+
+
+# separability and selection
+
+
+@query(
+    f"""WITH {fx.PIXELS}, k AS (SELECT cod_l2 AS class, count(*) AS n, avg(f0) AS m0, avg(f1) AS m1, var_samp(f0) AS a, covar_samp(f0, f1) AS b, var_samp(f1) AS d FROM pixels GROUP BY cod_l2),
+p AS (SELECT x.class AS class_a, y.class AS class_b, x.n AS n_a, y.n AS n_b, x.m0 - y.m0 AS g0, x.m1 - y.m1 AS g1, (x.a + y.a) / 2 AS a, (x.b + y.b) / 2 AS b, (x.d + y.d) / 2 AS d, x.a * x.d - x.b * x.b AS dx, y.a * y.d - y.b * y.b AS dy FROM k x JOIN k y ON x.class < y.class),
+e AS (SELECT *, (d * g0 * g0 - 2 * b * g0 * g1 + a * g1 * g1) / (a * d - b * b) / 8 + (ln(a * d - b * b) - (ln(dx) + ln(dy)) / 2) / 2 AS bh FROM p)
+SELECT class_a, class_b, n_a, n_b, round(least(greatest(2 * (1 - exp(-bh)), 0), 2), 4) AS jm, least(n_a, n_b) < 3 AS few FROM e"""
+)
+def m1_jm_pairs(spark, sf_dir):
+    return separability.jm_pairs(fx.pixels(spark, sf_dir), "cod_l2", ["f0", "f1"])
+
+
+@query()
+def m2_jm_matrix(spark, sf_dir):
+    return separability.jm_matrix(separability.jm_pairs(fx.pixels(spark, sf_dir), "cod_l2", fx.FEATURES))
+
+
+@query()
+def o2_least_separable(spark, sf_dir):
+    return separability.jm_pairs(fx.pixels(spark, sf_dir), "cod_l2", fx.FEATURES).orderBy("jm", "class_a", "class_b").limit(10)
+
+
+LONG = "long AS (" + " UNION ALL ".join(f"SELECT '{f}' AS predictor, {f} AS value, cod_l1 AS class FROM pixels" for f in fx.FEATURES[:4]) + ")"
+
+
+@query(
+    f"""WITH {fx.PIXELS}, {LONG}, u AS (SELECT a.predictor, a.class, count(DISTINCT a.class) AS one, sum(CASE WHEN a.value > b.value THEN 1.0::DOUBLE WHEN a.value = b.value THEN 0.5 ELSE 0 END) AS u, count(*) AS n FROM long a JOIN long b ON a.predictor = b.predictor AND a.class <> b.class GROUP BY a.predictor, a.class),
+k AS (SELECT predictor, class, greatest(u / n, 1 - u / n) AS auc FROM u) SELECT predictor, round(max(auc), 6) AS auc FROM k GROUP BY predictor"""
+)
+def m4_auc(spark, sf_dir):
+    return selection.best_auc(fx.pixels(spark, sf_dir), "cod_l1", fx.FEATURES[:4]).withColumn("auc", F.round("auc", 6))
+
+
+@query(
+    f"""WITH {fx.PIXELS}, s AS (SELECT * FROM pixels ORDER BY md5('50|' || id), id LIMIT 300),
+g AS (SELECT sign(a.f0 - b.f0) AS s0, sign(a.f1 - b.f1) AS s1, sign(a.f2 - b.f2) AS s2 FROM s a, s b),
+t AS (SELECT """
+    + ", ".join(f"sum(s{i} * s{j}) AS t{i}{j}" for i in range(3) for j in range(3))
+    + " FROM g) "
+    + " UNION ALL ".join(f"SELECT 'f{i}' AS a, 'f{j}' AS b, round(t{i}{j} / sqrt(CAST(t{i}{i} AS DOUBLE) * t{j}{j}), 6) AS tau FROM t" for i in range(3) for j in range(3))
+)
+def m6_kendall(spark, sf_dir):
+    return selection.kendall(fx.pixels(spark, sf_dir), ["f0", "f1", "f2"], "id", most=300).withColumn("tau", F.round("tau", 6))
+
+
+@query()
+def m7_prune(spark, sf_dir):
+    names = [*fx.FEATURES[:4], "g0"]
+    df = fx.pixels(spark, sf_dir).withColumn("g0", F.col("f0") * 2 + 1)
+    kept = selection.prune(selection.kendall(df, names, "id", most=500), names)
+    return spark.createDataFrame([(p,) for p in kept], "predictor string")
+
+
+@query()
+def m5_boruta(spark, sf_dir):
+    state = selection.boruta(fx.pixels(spark, sf_dir), "cod_l1", fx.FEATURES[:4], "id", max_runs=6, per_class=100, trees=10)
+    return spark.createDataFrame(sorted(state.items()), "predictor string, decision string")
+
+
+# forests
+
+
+def _settings(spark, sf_dir):
+    return fx.pixels(spark, sf_dir), dict(mtry=3, node=5, trees=20)
+
+
+@query()
+def m12_forest_out_of_fold(spark, sf_dir):
+    df, settings = _settings(spark, sf_dir)
+    return forest.out_of_fold(df, "cod_l1", fx.FEATURES, "id", **settings)
+
+
+@query()
+def m11_tuning(spark, sf_dir):
+    return forest.best_setting(forest.tune(fx.pixels(spark, sf_dir), "cod_l1", fx.FEATURES, "id", share=0.3, trees=5))
+
+
+@query()
+def m15_importance(spark, sf_dir):
+    df, settings = _settings(spark, sf_dir)
+    return forest.importance(spark, forest.final_model(df, "cod_l1", fx.FEATURES, "id", **settings))
+
+
+@query()
+def m16_cascade(spark, sf_dir):
+    df, settings = _settings(spark, sf_dir)
+    level_1 = forest.final_model(df, "cod_l1", fx.FEATURES, "id", **settings)
+    level_2 = {k: forest.final_model(df.where(f"cod_l1 = {k}"), "cod_l2", fx.FEATURES, "id", **settings) for k in (1, 2, 4, 5)}
+    return forest.cascade(df.select("id", *fx.FEATURES), level_1, level_2).select("id", "cod_l1", "cod_l2")
+
+
+# applicability
+
+TRAIN = "id % 5 <> 0"
+WEIGHTS = [1.0, 0.5, 2.0, 0.0, 1.0, 1.5, 0.25, 1.0]
+UNITS = "units AS (SELECT id, " + ", ".join(f"({f} - (SELECT avg({f}) FROM pixels WHERE {TRAIN})) * {w} / (SELECT stddev_samp({f}) FROM pixels WHERE {TRAIN}) AS {f}" for f, w in zip(fx.FEATURES, WEIGHTS, strict=True)) + " FROM pixels)"
+APART = "sqrt(" + " + ".join(f"pow(a.{f} - b.{f}, 2)" for f in fx.FEATURES) + ")"
+DI_SQL = f"""{fx.PIXELS}, {UNITS}, tr AS (SELECT * FROM units WHERE {TRAIN}),
+d AS (SELECT a.id, min({APART}) AS nearest, sum({APART}) AS total, count(*) AS n FROM tr a JOIN tr b ON a.id <> b.id GROUP BY a.id),
+md AS (SELECT sum(total) / sum(n) AS m FROM d), di AS (SELECT nearest / m AS di FROM d, md),
+q AS (SELECT quantile_cont(di, 0.25) AS q1, quantile_cont(di, 0.75) AS q3 FROM di),
+th AS (SELECT m, max(di) AS threshold FROM di, q, md WHERE di <= q3 + 1.5 * (q3 - q1) GROUP BY m)"""
+
+
+def _space(spark, sf_dir):
+    train = fx.pixels(spark, sf_dir).where(TRAIN)
+    return applicability.fit_space(train, applicability.training_space(train, fx.FEATURES, WEIGHTS, "cod_l2", "id"))
+
+
+@query(f"WITH {DI_SQL} SELECT round(m, 6) AS mean_distance, round(threshold, 6) AS threshold FROM th")
+def m19_di_threshold(spark, sf_dir):
+    s = _space(spark, sf_dir)
+    return spark.createDataFrame([(round(float(s.mean_distance), 6), round(float(s.threshold), 6))], "mean_distance double, threshold double")
+
+
+@query(f"WITH {DI_SQL} SELECT a.id, round(min({APART}) / any_value(m), 5) AS di, CASE WHEN min({APART}) / any_value(m) <= any_value(threshold) THEN 1 ELSE 0 END AS aoa FROM units a, tr b, th WHERE NOT (a.{TRAIN}) GROUP BY a.id")
+def m20_aoa(spark, sf_dir):
+    new = fx.pixels(spark, sf_dir).where(f"NOT ({TRAIN})")
+    return applicability.dissimilarity(new, _space(spark, sf_dir)).select("id", F.round("di", 5).alias("di"), "aoa")
+
+
+@query(
+    f"WITH {DI_SQL}, j AS (SELECT a.id, min({APART}) / any_value(m) <= any_value(threshold) AS ok FROM units a, tr b, th WHERE NOT (a.{TRAIN}) GROUP BY a.id) SELECT count(*) FILTER (WHERE ok) AS n_inside, count(*) FILTER (WHERE NOT ok) AS n_outside, round(100.0::DOUBLE * count(*) FILTER (WHERE ok) / count(*), 2) AS pct_inside FROM j"
+)
+def a21_aoa_shares(spark, sf_dir):
+    return applicability.shares(m20_aoa(spark, sf_dir))
+
+
+# sinks
+
+
+@query(f"WITH {fx.LEGEND} SELECT polygon_id, replace(CAST(CAST(round(area, 2) AS DECIMAL(12, 2)) AS VARCHAR), '.', ',') AS area FROM raw")
+def s12_european_csv(spark, sf_dir):
+    path = f"{files.scratch(spark)}/european"
+    files.write_csv_european(fx.legend_raw(spark, sf_dir).select("polygon_id", F.round("area", 2).cast("decimal(12,2)").alias("area")), path)
+    return files.read_csv(spark, path, "polygon_id long, area string", sep=";")
+
+
+@query(f"WITH {fx.LEGEND} SELECT polygon_id, classe, area FROM raw")
+def s11_csv_round_trip(spark, sf_dir):
+    path = f"{files.scratch(spark)}/plain"
+    files.write_csv(fx.legend_raw(spark, sf_dir).select("polygon_id", "classe", "area"), path)
+    return files.read_csv(spark, path, "polygon_id long, classe int, area double")
+
+
+@query(f'WITH {fx.GRID} SELECT r AS "row", c AS col, CAST(round_even(v / 100, 0) AS INT) AS v FROM cells')
+def s6_raster_round_trip(spark, sf_dir):
+    path = f"{files.scratch(spark)}/raster"
+    files.write_raster(fx.grid(spark, sf_dir).withColumn("v", F.rint(F.col("v") / 100)), path, {"v": "int"}, block_rows=64)
+    return files.read_raster(spark, path)
+
