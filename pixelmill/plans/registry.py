@@ -206,8 +206,41 @@ def o4_top_areas(spark, sf_dir):
     return fx.legend_raw(spark, sf_dir).select("polygon_id", "area").orderBy(F.col("area").desc(), "polygon_id").limit(10)
 
 
+@query(f"WITH {fx.LEGEND} SELECT DISTINCT cod_l1, cod_l2 FROM legend")
+def p16_distinct_codes(spark, sf_dir):
+    return legend.legend(spark).select("cod_l1", "cod_l2").distinct()
+
+
+@query(f"WITH {fx.LEGEND} SELECT cod_l2 FROM legend WHERE cod_l1 < 5 UNION SELECT cod_l2 FROM legend WHERE cod_l1 > 3")
+def u5_set_union(spark, sf_dir):
+    codes = legend.legend(spark)
+    return codes.where("cod_l1 < 5").select("cod_l2").union(codes.where("cod_l1 > 3").select("cod_l2")).distinct()
+
+
+@query(f"WITH {fx.LEGEND}, k AS (SELECT cod_l2, count(*) AS n FROM raw JOIN legend ON legend.classe = raw.classe GROUP BY cod_l2) SELECT DISTINCT legend.cod_l2, desc_l2, n FROM k JOIN legend ON legend.cod_l2 = k.cod_l2")
+def j4_class_report(spark, sf_dir):
+    names = legend.legend(spark).select("cod_l2", "desc_l2").distinct()
+    return legend.frequency(fx.labelled(spark, sf_dir), "cod_l2").join(F.broadcast(names), "cod_l2")
+
+
+@query(f"WITH {fx.LEGEND}, k AS (SELECT classe, count(*) AS n FROM raw GROUP BY classe) SELECT legend.classe, coalesce(n, 0) AS n FROM legend LEFT JOIN k ON k.classe = legend.classe")
+def j7_counts_or_zero(spark, sf_dir):
+    counts = legend.frequency(fx.legend_raw(spark, sf_dir), "classe")
+    return legend.legend(spark).select("classe").join(counts, "classe", "left").select("classe", F.coalesce("n", F.lit(0)).alias("n"))
+
+
 # layers and grids
 
+
+@query(f'WITH {fx.GRID} SELECT r AS "row", c AS col, v, full_v FROM cells')
+def j9_stack(spark, sf_dir):
+    return grid.stack([fx.grid(spark, sf_dir), fx.full_grid(spark, sf_dir).withColumnRenamed("v", "full_v")])
+
+
+@query(f'WITH {fx.GRID} SELECT r AS "row", c AS col FROM cells WHERE v IS NOT NULL AND full_v IS NOT NULL')
+def p9_complete_cases(spark, sf_dir):
+    return j9_stack(spark, sf_dir).where(indices.complete(["v", "full_v"])).select("row", "col")
+
 STATS = "SELECT '{c}' AS layer, min({c}) AS min_value, round(avg({c}), 4) AS mean_value, max({c}) AS max_value, count(*) - count({c}) AS n_null FROM cells"
 
 
@@ -314,6 +347,21 @@ def g9_focal_fill_until_done(spark, sf_dir):
     return neighbourhood.fill(fx.grid(spark, sf_dir), "v")[0].withColumn("v", F.round("v", 4))
 
 
+def _fill_inside_sql(rounds: int) -> str:
+    steps = [f"{fx.GRID}", "near AS (SELECT * FROM (VALUES (-1), (0), (1)) a(dr), (VALUES (-1), (0), (1)) b(dc))", "s0 AS (SELECT r, c, v FROM cells WHERE r < 10 AND c < 40)"]
+    for k in range(rounds):
+        steps.append(
+            f"s{k + 1} AS (SELECT a.r, a.c, coalesce(any_value(a.v), avg(b.v)) AS v FROM s{k} a CROSS JOIN near LEFT JOIN s{k} b ON b.r = a.r + dr AND b.c = a.c + dc GROUP BY a.r, a.c)"
+        )
+    return f'WITH {", ".join(steps)} SELECT cells.r AS "row", cells.c AS col, round(s{rounds}.v, 4) AS v FROM cells LEFT JOIN s{rounds} ON s{rounds}.r = cells.r AND s{rounds}.c = cells.c'
+
+
+@query(_fill_inside_sql(5))
+def g10_fill_inside(spark, sf_dir):
+    df = fx.grid(spark, sf_dir)
+    return neighbourhood.fill_inside(df, "v", df.where("row < 10 AND col < 40")).withColumn("v", F.round("v", 4))
+
+
 PAIRS = f"""grey AS (SELECT r, c, {GREY.format(v="full_v")} AS g FROM cells),
 shifts(s, dr, dc) AS (VALUES (0, 0, 1), (1, 1, 1), (2, 1, 0), (3, 1, -1)),
 pairs AS (SELECT a.r, a.c, s, a.g AS i, b.g AS j FROM grey a CROSS JOIN shifts JOIN grey b ON b.r = a.r + dr AND b.c = a.c + dc),
@@ -417,6 +465,18 @@ def g17_components(spark, sf_dir):
     return spatial.raster_components(fx.full_grid(spark, sf_dir).where("v > 150000 AND row < 40"), fx.N_COLS)
 
 
+@query(
+    f"""WITH RECURSIVE {fx.GRID}, on_cells AS (SELECT r, c, CAST(r AS BIGINT) * 100 + c AS id FROM cells WHERE full_v > 250000 AND r < 40),
+links AS (SELECT a.id AS a, b.id AS b FROM on_cells a JOIN on_cells b ON (b.r = a.r AND b.c IN (a.c - 1, a.c + 1)) OR (b.c = a.c AND b.r IN (a.r - 1, a.r + 1))),
+reach(v, w) AS (SELECT id, id FROM on_cells UNION SELECT reach.v, links.b FROM reach JOIN links ON links.a = reach.w),
+part AS (SELECT v, min(w) AS component FROM reach GROUP BY v)
+SELECT component, count(*) AS n_cells, count(*) * 100.0::DOUBLE AS area FROM part GROUP BY component HAVING count(*) >= 5"""
+)
+def p26_large_components(spark, sf_dir):
+    labelled = spatial.raster_components(fx.full_grid(spark, sf_dir).where("v > 250000 AND row < 40"), fx.N_COLS)
+    return spatial.large_components(labelled, 100.0, 500.0)
+
+
 # sampling
 
 

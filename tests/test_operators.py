@@ -110,7 +110,8 @@ def test_mosaic_prefers_the_old_and_stack_joins(spark):
 
 
 def square(x, y, w, h):
-    return [(x, y), (x + w, y), (x + w, y + h), (x, y + h), (x, y)]
+    corners = [(x, y), (x + w, y), (x + w, y + h), (x, y + h), (x, y)]
+    return [(float(a), float(b)) for a, b in corners]
 
 
 def test_holes_and_broken_rings(spark):
@@ -141,6 +142,9 @@ def test_components_of_a_raster(spark):
     assert {r.component for r in labelled.collect()} == {0, 4, 12, 15}
     large = spatial.large_components(labelled, 100.0, 400.0)
     assert [(r.component, r.n_cells) for r in large.collect()] == [(12, 4)]
+    links = [(i, i + 1) for i in range(0, 60)] + [(100, i) for i in range(101, 160)] + [(7, 7)]
+    got = {r.vertex: r.component for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert got == {i: 0 for i in range(61)} | {i: 100 for i in range(100, 160)}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
