@@ -14,8 +14,9 @@ def content_sort(
 ) -> DataFrame:
     """Group equal texts by sorting their normalised content.
 
-    Sampled splitters range-partition the texts (A-Z lower-cased, whole, null as empty); an external
-    sort inside each range puts equal texts side by side and the window compares neighbours in full.
+    Sampled splitters range-partition the texts (A-Z lower-cased, whole, null as empty) by their first 32
+    characters and a hash of the whole; an external sort inside each range puts equal texts side by side
+    and the window compares neighbours in full.
     A text with many copies is salted, so that several ranges share its rows; its total is
     pre-aggregated before the shuffle. A text is hot if its rows exceed both ``hot_rows`` and
     1/``hot_share`` of all rows, so at most ``hot_share`` hashes are ever broadcast.
@@ -46,10 +47,12 @@ def content_sort(
     salted = marked.withColumn(
         "salt", F.when(F.col("copies").isNull(), 0).otherwise(F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("copies") / hot_rows))).cast("int")
     )
-    run = Window.partitionBy("norm", "salt").orderBy(order)
+    # splitters are sampled to the driver: a short head and a hash order the texts, whatever their length
+    salted = salted.withColumns({"head": F.substring("norm", 1, 32), "mark": F.xxhash64("norm")})
+    run = Window.partitionBy("head", "mark", "salt", "norm").orderBy(order)
     whole = run.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    compared = salted.repartitionByRange("norm", "salt").select(
-        *[c for c in salted.columns if c not in ("norm", "salt", "copies")],
+    compared = salted.repartitionByRange("head", "mark", "salt").select(
+        *["doc_id", *(["row"] if carry else [])],
         F.sha2("norm", 256).alias("text_sha256"),
         F.row_number().over(run).alias("place"),
         F.first("doc_id").over(whole).alias("run_keep"),
