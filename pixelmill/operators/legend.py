@@ -124,13 +124,16 @@ def macrotype(cod_l2: str = "cod_l2") -> Column:
 
 
 def attach(df: DataFrame, lookup: DataFrame, on: str) -> DataFrame:
-    """Left join to a lookup of one row per key; the row count never changes."""
-    return df.join(F.broadcast(lookup), on, "left")
+    """Left join to a lookup of one row per key; the row count never changes.
+
+    Spark broadcasts a lookup that it knows to be small, as the legend is, and shuffles a larger one.
+    """
+    return df.join(lookup, on, "left")
 
 
 def missing_keys(df: DataFrame, lookup: DataFrame, on: str) -> DataFrame:
     """Distinct keys that the lookup does not hold: empty when the join is complete."""
-    return df.select(on).distinct().join(F.broadcast(lookup.select(on)), on, "left_anti")
+    return df.select(on).distinct().join(lookup.select(on), on, "left_anti")
 
 
 def reclassify(value: Column, table: Mapping[int, int]) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -24,16 +24,15 @@ def class_counts(matrix: DataFrame) -> DataFrame:
     """Per class: n_true, n_pred, tp and the total n."""
     each = F.explode(F.array(F.struct(F.col("true").alias("k"), F.lit(1).alias("is_true")), F.struct(F.col("pred").alias("k"), F.lit(0).alias("is_true"))))
     sides = matrix.select("pred", "true", "n", each.alias("s"))
-    total = matrix.agg(F.sum("n").alias("n_all"))
-    return (
+    counted = (
         sides.groupBy(F.col("s.k").alias("class"))
         .agg(
             F.sum(F.when(F.col("s.is_true") == 1, F.col("n")).otherwise(0)).alias("n_true"),
             F.sum(F.when(F.col("s.is_true") == 0, F.col("n")).otherwise(0)).alias("n_pred"),
             F.sum(F.when((F.col("s.is_true") == 1) & (F.col("pred") == F.col("true")), F.col("n")).otherwise(0)).alias("tp"),
         )
-        .crossJoin(F.broadcast(total))  # one row
     )
+    return counted.withColumn("n_all", F.sum("n_true").over(Window.partitionBy(F.lit(0))))  # one row per class
 
 
 def class_rates(matrix: DataFrame) -> DataFrame:

@@ -13,15 +13,32 @@ def digest(id_col: str, seed: int) -> Column:
     return F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(id_col).cast("string")))
 
 
-def ranked(df: DataFrame, class_col: str | None, id_col: str, seed: int) -> DataFrame:
-    """With rn, the random rank within the class, and class_n, the size of the class."""
-    part = Window.partitionBy(class_col) if class_col else Window.partitionBy(F.lit(0))
-    return df.withColumns({"rn": F.row_number().over(part.orderBy(digest(id_col, seed), id_col)), "class_n": F.count(F.lit(1)).over(part)})
+def ranked(df: DataFrame, class_col: str, id_col: str, seed: int) -> DataFrame:
+    """With rn, the random rank within the class, and class_n, the size of the class.
+
+    A class is ranked in up to 4,096 slices of the digest, each in its own window, and the sizes of the
+    slices before are added; so a class that holds most rows is still spread over many tasks.
+    """
+    mark = digest(id_col, seed)
+    slices = df.groupBy(F.col(class_col).alias("slice_class"), F.substring(mark, 1, 3).alias("slice")).agg(F.count(F.lit(1)).alias("slice_n"))
+    of_class = Window.partitionBy("slice_class")  # one row per slice
+    starts = slices.select(
+        "slice_class",
+        "slice",
+        (F.sum("slice_n").over(of_class.orderBy("slice").rowsBetween(Window.unboundedPreceding, 0)) - F.col("slice_n")).alias("slice_start"),
+        F.sum("slice_n").over(of_class).alias("class_n"),
+    )
+    marked = df.withColumns({"mark": mark, "slice": F.substring(mark, 1, 3)})
+    # at most 4,096 rows per class
+    joined = marked.join(F.broadcast(starts.withColumnRenamed("slice", "start_slice")), F.col(class_col).eqNullSafe(F.col("slice_class")) & (F.col("slice") == F.col("start_slice")))
+    inside = F.row_number().over(Window.partitionBy(class_col, "slice").orderBy("mark", id_col))
+    return joined.withColumn("rn", F.col("slice_start") + inside).select(*df.columns, "rn", "class_n")
 
 
 def stratified_cap(df: DataFrame, class_col: str, id_col: str, most: int = 2000, seed: int = 50) -> DataFrame:
-    """At most ``most`` rows per class."""
-    return ranked(df, class_col, id_col, seed).where(F.col("rn") <= most).drop("rn", "class_n")
+    """At most ``most`` rows per class (W2); each task passes on no more than ``most`` rows of a class."""
+    rank = F.row_number().over(Window.partitionBy(class_col).orderBy(digest(id_col, seed), id_col))
+    return df.withColumn("rn", rank).where(F.col("rn") <= most).drop("rn")
 
 
 def train_split(df: DataFrame, class_col: str, id_col: str, share: float = 0.7, seed: int = 50) -> DataFrame:
@@ -44,9 +61,8 @@ def folds(df: DataFrame, class_col: str, id_col: str, k: int = 5, seed: int = 50
 def proportional_quota(df: DataFrame, class_col: str, id_col: str, most: int = 15_000, seed: int = 50) -> DataFrame:
     """About ``most`` rows in all, max(1, round(most * n_class / n)) per class; all rows if there are fewer."""
     sizes = df.groupBy(class_col).agg(F.count(F.lit(1)).alias("held"))
-    totals = sizes.agg(F.sum("held").alias("total"))
-    # one row per class, and one row
-    quota = sizes.crossJoin(F.broadcast(totals)).select(
+    # one row per class
+    quota = sizes.withColumn("total", F.sum("held").over(Window.partitionBy(F.lit(0)))).select(
         F.col(class_col).alias("quota_class"),
         F.when(F.col("total") <= most, F.col("held").cast("double")).otherwise(F.greatest(F.lit(1.0), F.rint(F.lit(float(most)) * F.col("held") / F.col("total")))).alias("quota"),
     )
@@ -62,6 +78,7 @@ def simple_sample(df: DataFrame, id_col: str, n: int, seed: int = 50) -> DataFra
 def case_weights(df: DataFrame, class_col: str) -> DataFrame:
     """Adds ``case_weight``: inverse class frequency, scaled to a mean of one over rows."""
     sizes = df.groupBy(class_col).agg(F.count(F.lit(1)).alias("held"))
-    totals = sizes.agg(F.sum("held").alias("total"), F.count(F.lit(1)).alias("n_classes"))
-    weights = sizes.crossJoin(F.broadcast(totals)).select(F.col(class_col), (F.col("total") / (F.col("n_classes") * F.col("held"))).alias("case_weight"))
+    all_classes = Window.partitionBy(F.lit(0))  # one row per class
+    weight = F.sum("held").over(all_classes) / (F.count(F.lit(1)).over(all_classes) * F.col("held"))
+    weights = sizes.select(F.col(class_col), weight.alias("case_weight"))
     return df.join(F.broadcast(weights), class_col)

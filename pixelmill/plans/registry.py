@@ -106,20 +106,21 @@ def p10_cloud_null(spark, sf_dir):
     return both.select("row", "col", indices.cloud_null(F.col("v"), F.col("blue"), 200_000).alias("b08"))
 
 
-GREY = f"CAST(least(greatest(round_even({{v}} / {fx.TOP_VALUE} * 31, 0), 0), 31) AS INT)"
+GREY = f"CASE WHEN {{v}} IS NOT NULL THEN CAST(least(greatest(round_even({{v}} / {fx.TOP_VALUE} * 31, 0), 0), 31) AS INT) END"
 
 
-@query(f'WITH {fx.GRID} SELECT r AS "row", c AS col, {GREY.format(v="v")} AS grey FROM cells')
+@query(f'WITH {fx.GRID} SELECT r AS "row", c AS col, CAST({GREY.format(v="v")} AS DOUBLE) AS grey FROM cells')
 def p11_quantise(spark, sf_dir):
-    return fx.grid(spark, sf_dir).select("row", "col", indices.grey_levels(F.col("v"), fx.TOP_VALUE).alias("grey"))
+    return fx.grid(spark, sf_dir).select("row", "col", indices.grey_levels(F.col("v"), fx.TOP_VALUE).cast("double").alias("grey"))
 
 
 # legend, recodes, summaries, sets
 
 
-@query(f"WITH {fx.LEGEND} SELECT polygon_id, raw.classe, desc_clean, cod_l1, cod_l2, tipo FROM raw LEFT JOIN legend ON legend.classe = raw.classe")
+@query(f"WITH {fx.LEGEND} SELECT polygon_id, raw.classe, desc_clean, CAST(cod_l1 AS DOUBLE) AS cod_l1, CAST(cod_l2 AS DOUBLE) AS cod_l2, tipo FROM raw LEFT JOIN legend ON legend.classe = raw.classe")
 def j1_legend_join(spark, sf_dir):
-    return legend.attach(fx.legend_raw(spark, sf_dir), legend.legend(spark), "classe").select("polygon_id", "classe", "desc_clean", "cod_l1", "cod_l2", "tipo")
+    joined = legend.attach(fx.legend_raw(spark, sf_dir), legend.legend(spark), "classe")
+    return joined.select("polygon_id", "classe", "desc_clean", *[F.col(c).cast("double").alias(c) for c in ("cod_l1", "cod_l2")], "tipo")
 
 
 @query(f"WITH {fx.LEGEND} SELECT DISTINCT classe FROM raw WHERE classe NOT IN (SELECT classe FROM legend)")
@@ -148,9 +149,9 @@ def p17_macrotype_frequency(spark, sf_dir):
     return legend.frequency(fx.labelled(spark, sf_dir).select(legend.macrotype().alias("cod_l1")), "cod_l1")
 
 
-@query(f"WITH {fx.LEGEND} SELECT polygon_id, CASE cod_l1 WHEN 3 THEN 31 WHEN 6 THEN 61 WHEN 7 THEN 71 END AS direct FROM raw JOIN legend ON legend.classe = raw.classe")
+@query(f"WITH {fx.LEGEND} SELECT polygon_id, CAST(CASE cod_l1 WHEN 3 THEN 31 WHEN 6 THEN 61 WHEN 7 THEN 71 END AS DOUBLE) AS direct FROM raw JOIN legend ON legend.classe = raw.classe")
 def p18_reclass(spark, sf_dir):
-    return fx.labelled(spark, sf_dir).select("polygon_id", legend.reclassify(F.col("cod_l1"), legend.DIRECT).alias("direct"))
+    return fx.labelled(spark, sf_dir).select("polygon_id", legend.reclassify(F.col("cod_l1"), legend.DIRECT).cast("double").alias("direct"))
 
 
 @query(
@@ -742,9 +743,9 @@ def s11_csv_round_trip(spark, sf_dir):
     return files.read_csv(spark, path, "polygon_id long, classe int, area double")
 
 
-@query(f'WITH {fx.GRID} SELECT r AS "row", c AS col, CAST(round_even(v / 100, 0) AS INT) AS v FROM cells')
+@query(f'WITH {fx.GRID} SELECT r AS "row", c AS col, round_even(v / 100, 0) AS v FROM cells')
 def s6_raster_round_trip(spark, sf_dir):
     path = f"{files.scratch(spark)}/raster"
     files.write_raster(fx.grid(spark, sf_dir).withColumn("v", F.rint(F.col("v") / 100)), path, {"v": "int"}, block_rows=64)
-    return files.read_raster(spark, path)
+    return files.read_raster(spark, path).withColumn("v", F.col("v").cast("double"))
 
