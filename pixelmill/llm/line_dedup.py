@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pixelmill.llm.text import present
-from pixelmill.session import broadcast_if_small, work_table
+from pixelmill.session import work_table
 
 RUN = 3
 LONG_LINE = 300
@@ -76,7 +76,7 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         F.xxhash64(present(F.col(text_col))).alias("content"),
     )
     same = F.col("doc_id").eqNullSafe(F.col("gone_id")) & (F.col("content") == F.col("gone_content"))
-    joined = carried.join(broadcast_if_small(covered, covered.count(), 20_000), same, "left")
+    joined = carried.join(covered.hint("merge"), same, "left")  # both grow with the corpus
     lines = F.split("whole", "\n", -1)
     places = F.flatten(F.transform("gone", lambda x: F.sequence(x["start"], x["start"] + x["lines"] - 1)))
     kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), places)  # in the order of its first argument
