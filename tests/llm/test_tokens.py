@@ -8,11 +8,12 @@ from pathlib import Path
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from public_tokenizers import path as tokenizer_file
 
 from pixelmill.llm import bpe_automaton, token_lengths
 from tests.llm.fixtures import awkward, documents
 
-JSON, RANKS = Path("/opt/tokenizers/byte_bpe_50k.json"), "/opt/tokenizers/byte_bpe_50k.tiktoken"
+JSON, RANKS = Path(tokenizer_file("byte_bpe_50k.json")), tokenizer_file("byte_bpe_50k.tiktoken")
 tokenizers = pytest.importorskip("tokenizers")
 LIBRARY = tokenizers.Tokenizer.from_file(str(JSON))
 OWN = bpe_automaton.Tokenizer(JSON.read_bytes())
