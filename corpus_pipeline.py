@@ -9,7 +9,7 @@ from pixelmill.llm.exact_dedup import drop_copies
 from pixelmill.llm.mixing import sampled_documents
 from pixelmill.llm.near_dedup import drop_near_copies
 from pixelmill.llm.quality_cnn import drop_rejected
-from pixelmill.llm.queries import TOKENIZERS, table
+from pixelmill.llm.queries import table, tokenizer_file
 from pixelmill.session import work_table
 
 
@@ -35,7 +35,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token count and digests of the encoded and decoded text of what is left."""
-    return round_trip(docs, f"{TOKENIZERS}/byte_bpe_50k.json")
+    return round_trip(docs, tokenizer_file("byte_bpe_50k.json"))
 
 
 STAGES = [
