@@ -100,21 +100,21 @@ DIRECT = {3: 31, 6: 61, 7: 71}
 TRAINING = "Training"
 
 
-def _rows(block: str) -> list[list[str]]:
+def table_rows(block: str) -> list[list[str]]:
     return [line.split(" ", 2) for line in block.strip().splitlines()]
 
 
 def legend(spark: SparkSession) -> DataFrame:
     """One row per land-use class: classe, desc_clean, cod_l1, desc_l1, cod_l2, desc_l2, tipo."""
-    level_1 = {int(code): text for code, _, text in _rows(LEVEL_1)}
-    level_2 = {int(code): text for code, _, text in _rows(LEVEL_2)}
-    rows = [(int(c), text, int(l2) // 10, level_1[int(l2) // 10], int(l2), level_2[int(l2)], TRAINING) for c, l2, text in _rows(CLASSES)]
+    level_1 = {int(code): text for code, _, text in table_rows(LEVEL_1)}
+    level_2 = {int(code): text for code, _, text in table_rows(LEVEL_2)}
+    rows = [(int(c), text, int(l2) // 10, level_1[int(l2) // 10], int(l2), level_2[int(l2)], TRAINING) for c, l2, text in table_rows(CLASSES)]
     return spark.createDataFrame(rows, "classe int, desc_clean string, cod_l1 int, desc_l1 string, cod_l2 int, desc_l2 string, tipo string")
 
 
 def palette(spark: SparkSession) -> DataFrame:
     """Value, colour and label of both levels."""
-    rows = [(level, int(v), colour, f"{v} - {text}") for level, block in ((1, LEVEL_1), (2, LEVEL_2)) for v, colour, text in _rows(block)]
+    rows = [(level, int(v), colour, f"{v} - {text}") for level, block in ((1, LEVEL_1), (2, LEVEL_2)) for v, colour, text in table_rows(block)]
     return spark.createDataFrame(rows, "level int, value int, colour string, label string")
 
 

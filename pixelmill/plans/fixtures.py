@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pixelmill.operators.grid import GridSpec
-from pixelmill.operators.legend import CLASSES, LEVEL_1, LEVEL_2, TRAINING, _rows, legend
+from pixelmill.operators.legend import CLASSES, LEVEL_1, LEVEL_2, TRAINING, legend, table_rows
 
 N_COLS = 100
 TOP_VALUE = 600_000.0
@@ -102,7 +102,7 @@ UNKNOWN = (9991, 9992)
 
 def legend_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Land-use polygons with a class, a dirty description and an area; two classes are in no lookup."""
-    codes = [int(c) for c, _, _ in _rows(CLASSES)] + list(UNKNOWN)
+    codes = [int(c) for c, _, _ in table_rows(CLASSES)] + list(UNKNOWN)
     picked = F.array(*[F.lit(c) for c in codes])[F.expr(f"CAST((p_size * 7) % {len(codes)} AS INT)")]
     return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("polygon_id"), picked.alias("classe"), F.col("p_brand").alias("description"), F.col("p_retailprice").alias("area"))
 
@@ -112,11 +112,11 @@ def _text(value: str) -> str:
 
 
 def _legend_sql() -> str:
-    level_1, level_2 = ({int(c): t for c, _, t in _rows(x)} for x in (LEVEL_1, LEVEL_2))
+    level_1, level_2 = ({int(c): t for c, _, t in table_rows(x)} for x in (LEVEL_1, LEVEL_2))
     rows = ", ".join(
-        f"({i}, {c}, {_text(t)}, {int(l2) // 10}, {_text(level_1[int(l2) // 10])}, {l2}, {_text(level_2[int(l2)])}, '{TRAINING}')" for i, (c, l2, t) in enumerate(_rows(CLASSES))
+        f"({i}, {c}, {_text(t)}, {int(l2) // 10}, {_text(level_1[int(l2) // 10])}, {l2}, {_text(level_2[int(l2)])}, '{TRAINING}')" for i, (c, l2, t) in enumerate(table_rows(CLASSES))
     )
-    n = len(_rows(CLASSES))
+    n = len(table_rows(CLASSES))
     return (
         f"legend(i, classe, desc_clean, cod_l1, desc_l1, cod_l2, desc_l2, tipo) AS (VALUES {rows}), "
         f"codes AS (SELECT i, classe FROM legend UNION ALL VALUES ({n}, {UNKNOWN[0]}), ({n + 1}, {UNKNOWN[1]})), "

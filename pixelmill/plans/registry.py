@@ -173,7 +173,7 @@ def s17_legend(spark, sf_dir):
 
 @query(
     "SELECT * FROM (VALUES "
-    + ", ".join(f"({n}, {v}, '{c}', '{v} - {t}')" for n, b in ((1, legend.LEVEL_1), (2, legend.LEVEL_2)) for v, c, t in legend._rows(b))
+    + ", ".join(f"({n}, {v}, '{c}', '{v} - {t}')" for n, b in ((1, legend.LEVEL_1), (2, legend.LEVEL_2)) for v, c, t in legend.table_rows(b))
     + ") AS t(level, value, colour, label)"
 )
 def s19_palette(spark, sf_dir):

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SHIPPED: set[str] = set()
+WRITTEN: list[str] = []
 
 
 def ship_package(spark: SparkSession) -> None:
@@ -45,10 +46,22 @@ def shared_folder(spark: SparkSession) -> str:
 def work_table(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts lineage and survives lost executors."""
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    WRITTEN.append(path)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def clear_work_tables(spark: SparkSession) -> int:
+    """Delete the intermediate tables written so far, once the results that read them are stored."""
+    conf = spark._jsc.hadoopConfiguration()
+    for path in WRITTEN:
+        hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+        hadoop.getFileSystem(conf).delete(hadoop, True)
+    n = len(WRITTEN)
+    WRITTEN.clear()
+    return n
+
+
 def broadcast_if_small(df: DataFrame, rows: int, limit: int = 100_000) -> DataFrame:
     """Hint a broadcast when the counted rows fit ``limit``; beyond it Spark shuffles as usual."""
     return F.broadcast(df) if rows <= limit else df

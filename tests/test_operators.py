@@ -12,6 +12,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from pixelmill import session
 from pixelmill.functions import indices
 from pixelmill.operators import applicability, checks, composite, forest, legend, neighbourhood, purity, sampling, selection, separability, spatial
 from pixelmill.operators.components import components
@@ -302,6 +303,12 @@ def test_rasters_models_and_guards(spark):
     assert [r["rank"] for r in forest.importance(spark, again).orderBy("rank").collect()] == [1, 2]
 
 
+def test_work_tables_can_be_cleared(spark):
+    table = session.work_table(spark.range(3), "three")
+    assert table.count() == 3 and session.clear_work_tables(spark) > 0
+    assert session.WRITTEN == [] and session.clear_work_tables(spark) == 0
+
+
 def test_streamed_counts_equal_batch_counts(spark, tmp_path):
     rows = [(p, dt.datetime(2024, 1, 1 + d), (d + p) % 12) for p in range(3) for d in range(20)]
     spark.createDataFrame(rows, "pixel int, ts timestamp_ntz, scl int").write.parquet(str(tmp_path / "in"))
