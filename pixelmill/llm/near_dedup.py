@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pixelmill.llm.batches import bound_batches
-from pixelmill.llm.components import components
+from pixelmill.operators.components import components
 from pixelmill.session import broadcast_if_small, work_table
 
 WIDTH = 5
@@ -146,32 +146,35 @@ def hub_pairs(posted: DataFrame, percent: int) -> DataFrame:
     return pairs.where(fits).select(F.col("rep").alias("a"), "b").distinct()
 
 
-def residual_pairs(posted: DataFrame, labels: DataFrame, sets: DataFrame, matches: int, percent: int) -> DataFrame:
-    """Pairs of different components that may still be linked.
+def residual_links(posted: DataFrame, labels: DataFrame, sets: DataFrame, matches: int, percent: int) -> DataFrame:
+    """Confirmed links between different components that the hubs left out.
 
     A pair with ``matches`` equal coordinates shares one of the rarest COORDINATES - matches + 1 of each
     side; coordinates shared with nobody come first among these, the common ones are skipped. Lists within
     one component hold nothing new. Shingles that no other member of the remaining lists has cannot be
-    common to a pair; what is left of each set bounds the similarity of a pair before it is emitted.
+    common to a pair; what is left of each set bounds the similarity of a pair. A pair is judged at the
+    first key of both prefixes only, by these bounds, then its coordinates, then its full sets; nothing but
+    confirmed links leaves the join.
     """
-    prefix = COORDINATES - matches + 1
-    members = posted.join(labels.withColumnRenamed("vertex", "rep"), "rep", "left").select(
-        "rep",
-        "n_shingles",
-        F.coalesce("component", "rep").alias("component"),
-        F.explode(F.slice("shared.key", 1, F.greatest(F.lit(0), prefix - COORDINATES + F.size("shared")))).alias("key"),
-    )
+    slots = F.greatest(F.lit(0), F.size("shared") - matches + 1)  # keys of one vertex only have taken the first slots
+    rarest = posted.select("rep", "n_shingles", "signature", F.slice("shared.key", 1, slots).alias("prefix"))
+    named = rarest.join(labels.withColumnRenamed("vertex", "rep"), "rep", "left")
+    members = named.select("rep", "n_shingles", F.coalesce("component", "rep").alias("component"), F.explode("prefix").alias("key"))
     members = work_table(members, "prefixes")
     mixed_lists = members.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
     open_lists = work_table(members.join(mixed_lists, "key"), "open-lists")
     items = sets.join(open_lists.select("rep").distinct(), "rep").select("rep", F.explode("items").alias("item"))
     alone = items.groupBy("item").agg(F.count(F.lit(1)).alias("n"), F.first("rep").alias("rep")).where("n = 1").groupBy("rep").agg(F.count(F.lit(1)).alias("n_alone"))
     bounded = open_lists.join(alone, "rep", "left").withColumn("most", F.col("n_shingles") - F.coalesce("n_alone", F.lit(0)))
-    bounded = work_table(bounded.where(F.col("most") * 100 >= F.col("n_shingles") * percent).select("key", "rep", "component", "n_shingles", "most"), "bounded")
-    a, b = (bounded.select("key", *[F.col(c).alias(f"{c}_{side}") for c in ("rep", "component", "n_shingles", "most")]) for side in "ab")
+    bounded = bounded.where(F.col("most") * 100 >= F.col("n_shingles") * percent).select("key", "rep", "component", "n_shingles", "most")
+    bounded = work_table(bounded.join(rarest.drop("n_shingles"), "rep").join(sets, "rep"), "bounded")
+    a, b = (bounded.select("key", *[F.col(c).alias(f"{c}_{side}") for c in bounded.columns if c != "key"]) for side in "ab")
     apart = (F.col("rep_a") < F.col("rep_b")) & (F.col("component_a") != F.col("component_b"))
     fits = similar(F.least("most_a", "most_b"), F.col("n_shingles_a"), F.col("n_shingles_b"), percent)
-    return a.join(b, (a["key"] == b["key"]) & apart & fits).select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")).distinct()
+    once = F.array_min(F.array_intersect("prefix_a", "prefix_b")) == a["key"]
+    agree = F.size(F.array_intersect("signature_a", "signature_b")) >= matches
+    whole = similar(F.size(F.array_intersect("items_a", "items_b")), F.col("n_shingles_a"), F.col("n_shingles_b"), percent)
+    return a.join(b, (a["key"] == b["key"]) & apart & fits & once & agree & whole).select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, matches: int = MATCHES) -> DataFrame:
@@ -197,7 +200,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sets = work_table(full_sets(texts.join(broadcast_if_small(alive, alive.count()), "rep", "left_semi")), "full-sets")
     links = work_table(confirmed(hub_pairs(posted, percent), posted, sets, matches, percent), "hub-links")
     labels = components(links)
-    more = work_table(confirmed(residual_pairs(posted, labels, sets, matches, percent), posted, sets, matches, percent), "more-links")
+    more = work_table(residual_links(posted, labels, sets, matches, percent), "more-links")
     if not more.isEmpty():
         labels = components(links.union(more))
     named = reps.join(labels.withColumnRenamed("vertex", "rep"), "rep", "left").where("copies > 1 or component is not null")

@@ -7,7 +7,6 @@ from collections import defaultdict
 import pytest
 
 from pixelmill.llm import near_dedup
-from pixelmill.llm.components import components
 from pixelmill.llm.exact_dedup import content_sort, drop_copies
 from pixelmill.llm.line_dedup import drop_repeated_lines
 from tests.llm.fixtures import awkward, documents
@@ -113,13 +112,6 @@ def test_near_copies_keep_columns_and_empty_input(spark):
     assert set(ids) == set(brute_components(awkward()).values())
 
 
-def test_components_of_a_long_chain_and_a_star(spark):
-    links = [(i, i + 1) for i in range(0, 60)] + [(100, i) for i in range(101, 160)] + [(7, 7)]
-    got = {r.vertex: r.component for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
-    assert got == {i: 0 for i in range(61)} | {i: 100 for i in range(100, 160)}
-    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
-
-
 def brute_lines(rows, run=3, long_line=300):
     docs = sorted({(i, t or "") for i, t in rows}, key=lambda x: (x[0] is not None, x[0] or 0))
     order = sorted({(i, hashlib.md5(t.encode()).hexdigest(), t) for i, t in docs}, key=lambda x: (x[0] is not None, x[0] or 0))
