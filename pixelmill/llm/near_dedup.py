@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -16,14 +17,25 @@ from pixelmill.session import broadcast_if_small, work_table
 
 WIDTH = 5
 COORDINATES = 48
-#: Coordinates that a pair must share. A pair of similarity 0.85 misses it with a chance of about 4e-5.
-MATCHES = 30
 PERCENT = 85
+#: The largest chance with which a pair just at the threshold may share too few coordinates.
+MISS = 5e-5
 KNOWN_WORDS = 500_000
 BLOCK = 1 << 15
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
+def miss_chance(percent: int, matches: int) -> float:
+    """Chance that a pair of that similarity shares fewer than ``matches`` coordinates."""
+    p = percent / 100
+    return sum(comb(COORDINATES, k) * p**k * (1 - p) ** (COORDINATES - k) for k in range(matches))
+
+
+def least_matches(percent: int) -> int:
+    """Coordinates that a pair must share: as many as keep the chance of a miss within MISS (30 at 85, 27 at 80)."""
+    return max((m for m in range(1, COORDINATES + 1) if miss_chance(percent, m) <= MISS), default=1)
+
+
 def odd_numbers(n: int, seed: int) -> np.ndarray:
     return np.random.default_rng(seed).integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -177,19 +189,21 @@ def residual_links(posted: DataFrame, labels: DataFrame, sets: DataFrame, matche
     return a.join(b, (a["key"] == b["key"]) & apart & fits & once & agree & whole).select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"))
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, matches: int = MATCHES) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, matches: int | None = None) -> DataFrame:
     """Components of documents whose 5-word shingle sets have at least ``percent`` % in common.
 
     Documents with equal sets are one vertex, so copies never meet in pairs. Every vertex is posted under
     its 48 coordinate values. Values of one vertex only, and then vertices left with fewer than ``matches``
     values, are dropped, which is exact. In each posting list all members meet the list's hub; confirmed
     links give components; a second join on the rarest values finds the pairs that the hubs left apart.
-    Every link is confirmed on full sets. Only MinHash itself can miss a link (see MATCHES).
+    Every link is confirmed on full sets. Only MinHash itself can miss a link; ``matches`` follows from
+    ``percent`` if it is not given (see ``least_matches``).
 
     Result per row: doc_id, n_shingles, component_id (smallest doc_id reachable), kept. Null and empty
     texts have an empty set and stay alone; rows that share an id are one vertex; a null id has a null
     component and is not kept; an empty table gives an empty result.
     """
+    matches = least_matches(percent) if matches is None else matches
     base = work_table(signed(docs, id_col, text_col), "signatures")
     reps = work_table(base.where("set_key is not null and doc_id is not null").groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies")), "set-reps")
     vertices = base.join(reps.select("set_key", F.col("rep").alias("doc_id")), ["set_key", "doc_id"]).select(F.col("doc_id").alias("rep"), "n_shingles", "signature")

@@ -103,6 +103,15 @@ def test_links_that_the_hubs_leave_apart_are_found(spark):
     assert got == brute_components(rows)
 
 
+def test_other_thresholds_miss_no_more(spark):
+    assert [near_dedup.least_matches(p) for p in (85, 80)] == [30, 27]
+    assert all(near_dedup.miss_chance(p, near_dedup.least_matches(p)) <= 5e-5 for p in range(60, 100))
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(docs, percent=80).collect()}
+    assert got == brute_components(rows, 80) != brute_components(rows, 85)
+
+
 def test_near_copies_keep_columns_and_empty_input(spark):
     docs = documents(spark, awkward())
     kept = near_dedup.drop_near_copies(docs)
