@@ -1,13 +1,13 @@
-"""Main text of web pages: same-host DOM trees are aligned, constant nodes are template, the rest is content."""
+"""Main text of web pages: same-host DOM trees vote node by node, constant nodes are template, the rest is content."""
 
 from __future__ import annotations
 
 import html as entities
 import re
-from collections import OrderedDict
 from collections.abc import Iterator
 
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,6 +27,8 @@ ASIDE_NAMES = frozenset(
     "signup login comment comments reply replies respond disqus share sharing social related recommended widget toolbar pager pagination skip".split()
 )
 CLOSED_BY_SAME = frozenset("li dt dd tr td th option".split())
+#: Elements that articles hold or lack at will; they tell no layout.
+FLOW = frozenset("p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr td th caption blockquote figure figcaption pre hr address details summary".split())
 DEEPEST = 150
 
 TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/><]*)((?:[^>"']++|"[^"<]*+"|'[^'<]*+'|["'])*+)>""", re.S)
@@ -195,69 +197,75 @@ def simple_tree_matching(page: Page, ref: Page) -> dict[int, int]:
     return match
 
 
-def aligned(page: Page, ref: Page) -> tuple[list[str], list[int]]:
-    """Content texts of the page, and for each the reference node of the same place and text, else -1."""
+def hashed(text: str) -> int:
+    """64 bits of a text as a signed number."""
+    return xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63)
+
+
+def placed(page: Page) -> tuple[list[str], list[int], int]:
+    """Content texts of the page, for each the hash of its node's label path and text, and the layout: the
+    hash of the set of label paths of its containers."""
+    paths = ["root"] * len(page.label)
+    for node, below in enumerate(page.children):  # parents come before their children
+        for child in below:
+            paths[child] = f"{paths[node]}/{page.label[child]}"
     blocks = page.content()
-    match = simple_tree_matching(page, ref) if blocks else {}
-    same = {a: b for a, b in match.items() if page.text[a] and page.text[a] == ref.text[b]}
-    return [text for _, text in blocks], [same.get(node, -1) for node, _ in blocks]
+    containers = {path for path, label in zip(paths, page.label, strict=True) if label not in FLOW and FLOW.isdisjoint(path.split("/"))}
+    return [text for _, text in blocks], [hashed(f"{paths[node]}\n{page.text[node]}") for node, _ in blocks], hashed("\n".join(sorted(containers)))
 
 
 def extract(pages: DataFrame, host_share: float = 0.8, least_pages: int = 5, ref_bytes: int = 32 << 20, per_salt: int = 256) -> DataFrame:
     """page_id, url, text, n_chars of every page (columns page_id, url, html).
 
     Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and comments go by element,
-    role and class names, wherever they stand. What is left of each page is aligned with the reference page
-    of its host (the one with the smallest hash of its address) by simple tree matching. A node that has
-    the same place and text in at least ``host_share`` of the host's pages, pages of equal content counting
-    once and ``least_pages`` of them at least, is template; all other nodes are varying slots, the content.
-
-    Reference pages are broadcast as long as all of them fit ``ref_bytes``; beyond that they are joined by
-    host, large hosts split into parts of about ``per_salt`` pages. Null or broken html, also unclosed tags,
-    gives what text there is, or the empty text; urls without a host and null urls are one host; a page
-    without id is never the reference; every row gives one row.
+    role and class names, wherever they stand. What is left of each page votes for its nodes. A node that has
+    the same place (the labels from the root down) and text in at least ``host_share`` of the pages of its host,
+    or of those of the host's pages that share its layout, is template; pages of equal content count once, and
+    ``least_pages`` of them are needed. All other nodes are varying slots, the content. All pages vote, so
+    no single page decides what can be found.
+
+    Templates are broadcast as long as all of them fit ``ref_bytes``; beyond that they are joined by host and
+    layout, large ones split into parts of about ``per_salt`` pages. Null or broken html, also unclosed tags,
+    gives what text there is, or the empty text; urls without a host and null urls are one host; every row
+    gives one row.
     """
     bound_batches(pages.sparkSession)
     source = pages.select("page_id", "url", present(F.col("html")).alias("html"), F.coalesce(F.lower(F.regexp_extract("url", r"^[a-zA-Z]+://([^/?#]*)", 1)), F.lit("")).alias("host"))
-    order = F.struct(F.xxhash64("url").alias("h"), "url", "page_id")
-    hosts = source.groupBy("host").agg(F.min(F.when(F.col("page_id").isNotNull(), order)).alias("ref"), F.count(F.lit(1)).alias("n"))
-    hosts = work_table(hosts.select("host", F.col("ref.page_id").alias("page_id"), "n"), "hosts")
-    refs = source.join(broadcast_if_small(hosts, hosts.count()), ["host", "page_id"]).groupBy("host", "n").agg(F.min("html").alias("ref_html"))
-    refs = work_table(refs, "reference-pages")
-    held = refs.agg(F.sum(F.octet_length("ref_html"))).first()[0] or 0
-    if held <= ref_bytes:
-        together = source.join(F.broadcast(refs.drop("n")), "host", "left")
-    else:
-        parts = F.ceil(F.col("n") / per_salt)
-        salted = refs.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))).drop("n")
-        sizes = broadcast_if_small(hosts.select("host", "n"), hosts.count())
-        together = source.join(sizes, "host").withColumn("salt", F.pmod(F.xxhash64("page_id"), parts)).drop("n").join(salted, ["host", "salt"], "left")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known: OrderedDict[str, Page] = OrderedDict()
         for batch in batches:
-            texts, places = [], []
-            for source, ref_html in zip(batch["html"], batch["ref_html"], strict=True):
-                ref_html = ref_html or ""
-                ref = known.get(ref_html)
-                if ref is None:
-                    ref = known[ref_html] = Page(ref_html)
-                    if len(known) > 256:
-                        known.popitem(last=False)
-                found = aligned(Page(source), ref)
-                texts.append(found[0])
-                places.append(found[1])
-            yield pd.DataFrame({"page_id": batch["page_id"], "url": batch["url"], "host": batch["host"], "texts": texts, "places": places})
-
-    blocks = together.select("page_id", "url", "host", "html", "ref_html").mapInPandas(run, "page_id long, url string, host string, texts array<string>, places array<int>")
+            found = [placed(Page(html)) for html in batch["html"]]
+            columns = {name: [x[i] for x in found] for i, name in enumerate(("texts", "places", "layout"))}
+            yield pd.DataFrame({"page_id": batch["page_id"], "url": batch["url"], "host": batch["host"], **columns})
+
+    blocks = source.mapInPandas(run, "page_id long, url string, host string, texts array<string>, places array<long>, layout long")
     blocks = work_table(blocks, "page-blocks")
-    distinct = blocks.select("host", F.xxhash64("texts").alias("content"), F.array_distinct("places").alias("places")).distinct()
+    distinct = blocks.select("host", "layout", F.xxhash64("texts").alias("content"), F.array_distinct("places").alias("places")).distinct()
     distinct = work_table(distinct, "page-contents")
-    contents = distinct.groupBy("host").agg(F.count(F.lit(1)).alias("n_contents"))
-    votes = distinct.select("host", F.explode("places").alias("place")).where("place >= 0").groupBy("host", "place").agg(F.count(F.lit(1)).alias("n"))
-    template = votes.join(contents, "host").where((F.col("n_contents") >= least_pages) & (F.col("n") >= host_share * F.col("n_contents")))
-    template = work_table(template.groupBy("host").agg(F.collect_list("place").alias("constant")), "templates")
-    judged = blocks.join(broadcast_if_small(template, template.count(), 20_000), "host", "left")
+    layouts = work_table(distinct.groupBy("host", "layout").agg(F.count(F.lit(1)).alias("n_contents")), "layouts")
+    votes = distinct.select("host", "layout", F.explode("places").alias("place")).groupBy("host", "layout", "place").agg(F.count(F.lit(1)).alias("n"))
+    votes = work_table(votes, "votes")
+
+    def constants(votes: DataFrame, contents: DataFrame, keys: list[str], name: str) -> DataFrame:
+        sized = contents.where(F.col("n_contents") >= least_pages)
+        often = votes.where(F.col("n") >= host_share * least_pages).join(broadcast_if_small(sized, sized.count()), keys)
+        return often.where(F.col("n") >= host_share * F.col("n_contents")).groupBy(*keys).agg(F.collect_list("place").alias(name))
+
+    of_host = constants(votes.groupBy("host", "place").agg(F.sum("n").alias("n")), layouts.groupBy("host").agg(F.sum("n_contents").alias("n_contents")), ["host"], "on_host")
+    of_layout = constants(votes, layouts, ["host", "layout"], "on_layout")
+    none = F.array().cast("array<long>")
+    template = layouts.select("host", "layout").join(of_host, "host", "left").join(of_layout, ["host", "layout"], "left")
+    template = template.select("host", "layout", F.array_union(F.coalesce("on_host", none), F.coalesce("on_layout", none)).alias("constant")).where(F.size("constant") > 0)
+    template = work_table(template, "templates")
+    held = template.agg(F.sum(F.size("constant") * 8 + F.octet_length("host") + 8)).first()[0] or 0
+    if held <= ref_bytes:
+        judged = blocks.join(F.broadcast(template), ["host", "layout"], "left")
+    else:
+        sizes = blocks.groupBy("host", "layout").agg(F.ceil(F.count(F.lit(1)) / per_salt).alias("parts"))
+        sizes = work_table(sizes, "layout-parts")
+        salted = template.join(sizes, ["host", "layout"]).withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).drop("parts")
+        dealt = blocks.join(broadcast_if_small(sizes, sizes.count()), ["host", "layout"]).withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.col("parts")))
+        judged = dealt.join(salted, ["host", "layout", "salt"], "left")
     varying = F.filter(F.arrays_zip("texts", "places"), lambda x: ~F.coalesce(F.array_contains("constant", x["places"]), F.lit(False)))
     text = F.array_join(F.transform(varying, lambda x: x["texts"]), " ")
     return judged.select("page_id", "url", text.alias("text")).withColumn("n_chars", F.char_length("text").cast("long"))

@@ -84,6 +84,30 @@ def test_constant_nodes_of_a_host_are_template(spark):
     assert extract(frame.limit(0)).count() == 0
 
 
+def test_template_needs_no_good_page(spark):
+    """Bad pages, a page without the box and two layouts: whichever page has the smallest hash, the boxes go."""
+    box, other = "<div><p>Read all about it</p></div>", "<section><div><p>Old shop notice</p></div></section>"
+    rows = []
+    for k in range(12):  # each host has other addresses, so other pages come first by hash
+        host = f"http://h{k}.example.com"
+        rows += [(100 * k + i, f"{host}/{i}", page(box, f"<div><h2>Head {i}</h2><p>Text {i}.</p></div>")) for i in range(9)]
+        rows += [(100 * k + 9, f"{host}/bare", page("<div><h2>Head 9</h2><p>Text 9.</p></div>"))]
+        rows += [(100 * k + 10 + i, f"{host}/bad{i}", html) for i, html in enumerate((None, "", ""))]
+        host = f"http://two{k}.example.com"
+        rows += [(100 * k + 20 + i, f"{host}/{i}", page(box, f"<div><h2>Head {i}</h2><p>Text {i}.</p></div>")) for i in range(6)]
+        quote = "<blockquote><p>Said.</p></blockquote>"
+        rows += [(100 * k + 30 + i, f"{host}/old/{i}", page(other, f"<section><h2>Head {i}</h2><p>Text {i}.</p>{quote * (i % 2)}</section>")) for i in range(6)]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for options in ({}, {"ref_bytes": 0, "per_salt": 2}):
+        found = {r.page_id: r.text for r in extract(frame, **options).collect()}
+        assert len(found) == len(rows)
+        for k in range(12):
+            assert all(found[100 * k + i] == f"Head {i} Text {i}." for i in range(10))
+            assert all(found[100 * k + 10 + i] == "" for i in range(3))
+            assert all(found[100 * k + 20 + i] == f"Head {i} Text {i}." for i in range(6))
+            assert all(found[100 * k + 30 + i] == f"Head {i} Text {i}." + " Said." * (i % 2) for i in range(6))
+
+
 def test_sf_pages_give_their_articles(spark):
     pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
     texts = {r.page_id: r.text for r in extract(pages).collect()}
