@@ -363,6 +363,13 @@ def g10_fill_inside(spark, sf_dir):
     return neighbourhood.fill_inside(df, "v", df.where("row < 10 AND col < 40")).withColumn("v", F.round("v", 4))
 
 
+@query()
+def g10_fill_inside_whole(spark, sf_dir):
+    """As g10_fill_inside, with a mask that grows with the raster: ten of every 40 rows."""
+    df = fx.grid(spark, sf_dir)
+    return neighbourhood.fill_inside(df, "v", df.where("row % 40 < 10 AND col < 40")).withColumn("v", F.round("v", 4))
+
+
 PAIRS = f"""grey AS (SELECT r, c, {GREY.format(v="full_v")} AS g FROM cells),
 shifts(s, dr, dc) AS (VALUES (0, 0, 1), (1, 1, 1), (2, 1, 0), (3, 1, -1)),
 pairs AS (SELECT a.r, a.c, s, a.g AS i, b.g AS j FROM grey a CROSS JOIN shifts JOIN grey b ON b.r = a.r + dr AND b.c = a.c + dc),
@@ -478,6 +485,19 @@ def p26_large_components(spark, sf_dir):
     return spatial.large_components(labelled, 100.0, 500.0)
 
 
+@query()
+def g17_components_whole(spark, sf_dir):
+    """As g17_components, over all rows of the raster."""
+    return spatial.raster_components(fx.full_grid(spark, sf_dir).where("v > 150000"), fx.N_COLS)
+
+
+@query()
+def p26_large_components_whole(spark, sf_dir):
+    """As p26_large_components, over all rows of the raster."""
+    labelled = spatial.raster_components(fx.full_grid(spark, sf_dir).where("v > 250000"), fx.N_COLS)
+    return spatial.large_components(labelled, 100.0, 500.0)
+
+
 # sampling
 
 
