@@ -663,17 +663,29 @@ def m6_kendall(spark, sf_dir):
     return selection.kendall(fx.pixels(spark, sf_dir), ["f0", "f1", "f2"], "id", most=300).withColumn("tau", F.round("tau", 6))
 
 
+@query()
+def m4_auc_whole(spark, sf_dir):
+    """As m4_auc, of all predictors."""
+    return selection.best_auc(fx.pixels(spark, sf_dir), "cod_l1", fx.FEATURES)
+
+
+@query()
+def m6_kendall_whole(spark, sf_dir):
+    """As m6_kendall, of all predictors and on as many rows as the function takes."""
+    return selection.kendall(fx.pixels(spark, sf_dir), fx.FEATURES, "id")
+
+
 @query()
 def m7_prune(spark, sf_dir):
-    names = [*fx.FEATURES[:4], "g0"]
+    names = [*fx.FEATURES, "g0"]
     df = fx.pixels(spark, sf_dir).withColumn("g0", F.col("f0") * 2 + 1)
-    kept = selection.prune(selection.kendall(df, names, "id", most=500), names)
+    kept = selection.prune(selection.kendall(df, names, "id"), names)
     return spark.createDataFrame([(p,) for p in kept], "predictor string")
 
 
 @query()
 def m5_boruta(spark, sf_dir):
-    state = selection.boruta(fx.pixels(spark, sf_dir), "cod_l1", fx.FEATURES[:4], "id", max_runs=6, per_class=100, trees=10)
+    state = selection.boruta(fx.pixels(spark, sf_dir), "cod_l1", fx.FEATURES, "id")
     return spark.createDataFrame(sorted(state.items()), "predictor string, decision string")
 
 
@@ -681,7 +693,7 @@ def m5_boruta(spark, sf_dir):
 
 
 def _settings(spark, sf_dir):
-    return fx.pixels(spark, sf_dir), dict(mtry=3, node=5, trees=20)
+    return fx.pixels(spark, sf_dir), dict(mtry=3, node=5)
 
 
 @query()
@@ -692,7 +704,7 @@ def m12_forest_out_of_fold(spark, sf_dir):
 
 @query()
 def m11_tuning(spark, sf_dir):
-    return forest.best_setting(forest.tune(fx.pixels(spark, sf_dir), "cod_l1", fx.FEATURES, "id", share=0.3, trees=5))
+    return forest.best_setting(forest.tune(fx.pixels(spark, sf_dir), "cod_l1", fx.FEATURES, "id", share=0.3))
 
 
 @query()

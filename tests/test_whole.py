@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import inspect
 from collections import Counter
 
+import numpy as np
 import pytest
 
+from pixelmill.operators import forest, selection
 from pixelmill.plans import fixtures as fx
 from pixelmill.plans import registry
 
@@ -53,3 +56,57 @@ def test_filling_inside_a_mask_of_the_whole_raster(spark):
     assert got.keys() == grid.keys()
     assert {k for k, v in got.items() if v is not None} == {k for k, v in now.items() if v is not None}
     assert all(got[k] == pytest.approx(v, abs=1e-3) for k, v in now.items() if v is not None)
+
+
+@pytest.mark.parametrize("name", ["m11_tuning", "m12_forest_out_of_fold", "m15_importance", "m16_cascade"])
+def test_forests_have_the_trees_of_the_reference(spark, monkeypatch, name):
+    grow, asked = forest.forest, []
+
+    def small(*args, **options):
+        bound = inspect.signature(grow).bind(*args, **options)
+        bound.apply_defaults()
+        asked.append((bound.arguments["trees"], list(bound.arguments["predictors"])))
+        bound.arguments["trees"] = 1
+        return grow(*bound.args, **bound.kwargs)
+
+    monkeypatch.setattr(forest, "forest", small)
+    registry.queries()[name](spark, "/root/testdata/sf0.001")
+    assert asked and all(x == (50 if name == "m11_tuning" else 200, fx.FEATURES) for x in asked)
+
+
+def test_selection_has_the_settings_of_the_reference(spark, monkeypatch):
+    asked = {}
+
+    def recorded(name, result):
+        f = getattr(selection, name)
+
+        def run(*args, **options):
+            bound = inspect.signature(f).bind(*args, **options)
+            bound.apply_defaults()
+            asked[name] = bound.arguments
+            return result
+
+        monkeypatch.setattr(selection, name, run)
+
+    recorded("boruta", {"f0": "confirmed"})
+    registry.queries()["m5_boruta"](spark, "/root/testdata/sf0.001")
+    assert [asked["boruta"][k] for k in ("max_runs", "per_class", "trees", "predictors")] == [60, 2000, 50, fx.FEATURES]
+    recorded("kendall", spark.createDataFrame([], "a string, b string, tau double"))
+    registry.queries()["m7_prune"](spark, "/root/testdata/sf0.001")
+    assert asked["kendall"]["most"] == 3000 and set(fx.FEATURES) < set(asked["kendall"]["predictors"])
+
+
+def test_all_predictors_against_brute_force(spark):
+    rows = fx.pixels(spark, "/root/testdata/sf0.001").collect()
+    x, k = np.array([[r[f] for f in fx.FEATURES] for r in rows]), np.array([r.cod_l1 for r in rows])
+    auc = {r.predictor: r.auc for r in registry.queries()["m4_auc_whole"](spark, "/root/testdata/sf0.001").collect()}
+    assert sorted(auc) == fx.FEATURES
+    for i, f in enumerate(fx.FEATURES):
+        wins = np.sign(x[:, None, i] - x[None, :, i]) / 2 + 0.5
+        each = [wins[np.ix_(k == c, k != c)].mean() for c in set(k.tolist())]
+        assert auc[f] == pytest.approx(max(max(a, 1 - a) for a in each))
+    assert len(rows) <= 3000
+    s = np.sign(x[:, None] - x[None]).reshape(-1, len(fx.FEATURES))
+    m = s.T @ s
+    tau = {(r.a, r.b): r.tau for r in registry.queries()["m6_kendall_whole"](spark, "/root/testdata/sf0.001").collect()}
+    assert len(tau) == 64 and all(tau[a, b] == pytest.approx(m[i, j] / np.sqrt(m[i, i] * m[j, j])) for i, a in enumerate(fx.FEATURES) for j, b in enumerate(fx.FEATURES))
