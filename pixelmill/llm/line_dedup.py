@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pixelmill.llm.text import present
@@ -10,52 +10,76 @@ from pixelmill.session import work_table
 
 RUN = 3
 LONG_LINE = 300
+#: Parts that the rows of one fingerprint or one window are dealt to.
+PARTS = 1024
+ADDED = ("n_lines", "n_dropped_lines")
+DOCUMENT = ("doc_id", "content")
 
 
-def line_marks(lines: Column) -> Column:
-    """Per line its hash, and whether it is long enough to count alone."""
-    return F.transform(lines, lambda x: F.struct(F.xxhash64(x).alias("hash"), (F.octet_length(x) >= LONG_LINE).alias("long")))
+def digest(text: Column) -> Column:
+    """The first 128 bits of SHA-256, which stand for a text: no two texts are known to share them."""
+    return F.unhex(F.substring(F.sha2(text, 256), 1, 32))
 
 
-def fingerprints(marks: Column, run: int) -> Column:
-    """Winnowing: of every window of ``run`` lines the smallest hash, the last of equals, with its place."""
-    at = F.transform(marks, lambda x, i: F.struct(x["hash"].alias("hash"), (-i).alias("minus")))
-    starts = F.when(F.size(marks) >= run, F.sequence(F.lit(1), F.size(marks) - run + 1)).otherwise(F.array().cast("array<int>"))
-    return F.array_distinct(F.transform(starts, lambda i: F.array_min(F.slice(at, i, run))))
+def numbered_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, content, pos (0-based), line (its digest) and long of every line; equal rows count once."""
+    text = present(F.col(text_col))
+    # the hash is taken below the explode, so no line carries its whole text along
+    named = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("content"), text.alias("text"))
+    each = named.select(*DOCUMENT, F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
+    each = each.select(*DOCUMENT, "pos", digest(F.col("line")).alias("line"), (F.octet_length("line") >= LONG_LINE).alias("long"))
+    return each.repartition(*DOCUMENT).distinct()
+
+
+def windows_of(lines: DataFrame, run: int) -> DataFrame:
+    """Every window of ``run`` lines with its digest ``gram``, and by winnowing its fingerprint ``print``, the
+    smallest line hash inside; ``fresh`` where no earlier window chose the same place (the last of equals)."""
+    order = Window.partitionBy(*DOCUMENT).orderBy("pos")
+    ahead = [F.col("line"), *[F.lead("line", k).over(order) for k in range(1, run)]]
+    lowest = F.min(F.struct(F.xxhash64("line").alias("print"), (-F.col("pos")).alias("minus"))).over(order.rowsBetween(0, run - 1))
+    placed = lines.select(*DOCUMENT, "pos", "long", "line", F.concat(*ahead).alias("grams"), lowest.alias("low"))
+    gram = F.substring(F.sha2("grams", 256), 1, 32)
+    return placed.select(
+        *DOCUMENT,
+        F.col("pos").alias("start"),
+        "long",
+        "line",
+        F.when(F.col("grams").isNotNull(), F.unhex(gram)).alias("gram"),
+        F.col("low.print").alias("print"),
+        ~F.col("low.minus").eqNullSafe(F.lag("low.minus").over(order)) | (F.col("pos") == 0),
+    ).toDF(*DOCUMENT, "start", "long", "line", "gram", "print", "fresh")
+
+
+def occurring_again(rows: DataFrame, keys: list[str], counted: Column, first: Column) -> DataFrame:
+    """``rows`` whose keys are counted more than once, with the smallest ``first`` of the key.
+
+    Each key is dealt to PARTS parts by document, so a key that a third of all rows share meets in no task;
+    totals come from one row per key and part.
+    """
+    dealt = rows.withColumn("part", F.pmod(F.xxhash64(*DOCUMENT), F.lit(PARTS))).repartition(*keys, "part")
+    parts = dealt.groupBy(*keys, "part").agg(F.sum(counted).alias("n"), F.min(first).alias("first"))
+    totals = parts.groupBy(*keys).agg(F.sum("n").alias("n"), F.min("first").alias("first")).where("n > 1").drop("n")
+    known = parts.select(*keys, "part").join(totals, keys)
+    return dealt.join(known, [*keys, "part"]).drop("part")
 
 
 def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run: int = RUN) -> DataFrame:
     """Where a run of lines stands that stood before: doc_id, content, start (0-based) and lines.
 
-    Any ``run`` equal lines hold the same window minimum, so both copies share a fingerprint; fingerprints
-    that occur once are dropped. Around each place of the others the match is extended ``run`` - 1 lines
-    both ways, and every window there is compared whole (by the hash of its line hashes). The first
-    occurrence in order of (doc_id, start) is no repeat. A line of at least LONG_LINE bytes is a run too.
+    Any two equal windows of ``run`` lines have the same window minimum, so both carry the same fingerprint;
+    fingerprints that stand in one place only are dropped. The others join their places: the match is extended
+    both ways to every window that holds the place as its minimum, and these are compared whole, by 128 bits of
+    SHA-256 over the digests of their lines. The first occurrence in order of (doc_id, start) is no repeat. A
+    line of at least LONG_LINE bytes is a run too. Work grows with the lines, however many a document has.
     """
-    text = present(F.col(text_col))
-    marked = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("content"), line_marks(F.split(text, "\n", -1)).alias("marks"))
-    placed = marked.select("doc_id", "content", "marks", F.explode(fingerprints(F.col("marks"), run)).alias("print"))
-    around = placed.select(
-        "doc_id",
-        "content",
-        F.col("print.hash").alias("print"),
-        F.greatest(F.lit(0), -F.col("print.minus") - (run - 1)).alias("first"),
-        F.transform(F.slice("marks", F.greatest(F.lit(1), -F.col("print.minus") - (run - 2)), F.least(F.lit(run), 1 - F.col("print.minus")) + run - 1), lambda x: x["hash"]).alias("near"),
-    )
-    around = work_table(around, "fingerprints")
-    common = around.groupBy("print").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("print")
-    matched = around.join(common, "print")
-    starts = F.sequence(F.lit(1), F.size("near") - run + 1)
-    windows = matched.select(
-        "doc_id", "content", "first", F.posexplode(F.transform(starts, lambda i: F.xxhash64(F.slice("near", i, run)))).alias("offset", "gram")
-    ).select("doc_id", "content", (F.col("first") + F.col("offset")).alias("start"), F.lit(run).alias("lines"), "gram")
-    singles = marked.select("doc_id", "content", F.posexplode("marks").alias("start", "mark")).where("mark.long")
-    singles = singles.select("doc_id", "content", "start", F.lit(1).alias("lines"), F.col("mark.hash").alias("gram"))
-    every = work_table(windows.unionByName(singles).distinct(), "windows")
-    earliest = F.min(F.struct("doc_id", "content", "start")).alias("earliest")
-    known = every.groupBy("lines", "gram").agg(earliest, F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    later = every.join(known, ["lines", "gram"]).where(F.struct("doc_id", "content", "start") != F.col("earliest"))
-    return later.select("doc_id", "content", "start", "lines")
+    every = work_table(windows_of(numbered_lines(docs, id_col, text_col), run), "line-windows")
+    whole = every.where("gram is not null")
+    shared = occurring_again(whole.select(*DOCUMENT, "start", "gram", "print", "fresh"), ["print"], F.col("fresh").cast("long"), F.col("print"))
+    windows = shared.select(*DOCUMENT, "start", F.lit(run).alias("lines"), "gram")
+    singles = every.where("long").select(*DOCUMENT, "start", F.lit(1).alias("lines"), F.col("line").alias("gram"))
+    place = F.struct(*DOCUMENT, "start")
+    met = occurring_again(windows.unionByName(singles), ["lines", "gram"], F.lit(1).cast("long"), place)
+    return met.where(place != F.col("first")).select(*DOCUMENT, "start", "lines")
 
 
 def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run: int = RUN) -> DataFrame:
@@ -63,27 +87,30 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     Lines end at \\n. Of equal runs the one with the smallest (doc_id, start) stays, wherever it stands; a
     null id comes first. Rows that repeat both id and text count as one document. A null text stays null
-    with no lines dropped; an empty text is one empty line. An empty table gives an empty result. The input
-    must not have the two added columns.
+    with no lines dropped; an empty text is one empty line. An empty table gives an empty result. Input columns
+    named like the two added ones are replaced by them.
     """
     runs = repeated_runs(docs, id_col, text_col, run)
-    covered = runs.groupBy("doc_id", "content").agg(F.collect_set(F.struct("start", "lines")).alias("gone"))
+    covered = runs.groupBy(*DOCUMENT).agg(F.collect_set(F.struct("start", "lines")).alias("gone"))
     covered = work_table(covered.select(F.col("doc_id").alias("gone_id"), F.col("content").alias("gone_content"), "gone"), "repeated-lines")
     carried = docs.select(
-        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
-        F.col(id_col).alias("doc_id"),
-        present(F.col(text_col)).alias("whole"),
-        F.xxhash64(present(F.col(text_col))).alias("content"),
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).alias("doc_id"), F.xxhash64(present(F.col(text_col))).alias("content")
     )
     same = F.col("doc_id").eqNullSafe(F.col("gone_id")) & (F.col("content") == F.col("gone_content"))
     joined = carried.join(covered.hint("merge"), same, "left")  # both grow with the corpus
-    lines = F.split("whole", "\n", -1)
-    places = F.flatten(F.transform("gone", lambda x: F.sequence(x["start"], x["start"] + x["lines"] - 1)))
-    kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), places)  # in the order of its first argument
     text = F.col("row").getField(text_col)
-    cleaned = F.when(F.col("gone").isNull(), text).otherwise(F.array_join(F.transform(kept, lambda i: F.element_at(lines, i + 1)), "\n"))
-    return joined.select(
-        *[(cleaned if c == text_col else F.col("row").getField(c)).alias(c) for c in docs.columns],
-        F.size(lines).cast("long").alias("n_lines"),
-        F.when(F.col("gone").isNull(), 0).otherwise(F.size(lines) - F.size(kept)).cast("long").alias("n_dropped_lines"),
+    split = F.split(present(text), "\n", -1)
+    places = F.flatten(F.transform("gone", lambda x: F.sequence(x["start"], x["start"] + x["lines"] - 1)))
+
+    def left_over(lines: Column) -> Column:  # of an array that is evaluated once, not once a line
+        kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), places)  # in the order of its first argument
+        cleaned = F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n")
+        return F.struct(cleaned.alias("text"), F.size(lines).alias("n_lines"), (F.size(lines) - F.size(kept)).alias("n_dropped"))
+
+    judged = joined.select("row", "gone", F.when(F.col("gone").isNotNull(), F.get(F.transform(F.array(split), left_over), F.lit(0))).alias("left"), F.size(split).alias("n_split"))
+    cleaned = F.when(F.col("gone").isNull(), text).otherwise(F.col("left.text"))
+    return judged.select(
+        *[(cleaned if c == text_col else F.col("row").getField(c)).alias(c) for c in docs.columns if c not in ADDED],
+        F.col("n_split").cast("long").alias("n_lines"),
+        F.coalesce("left.n_dropped", F.lit(0)).cast("long").alias("n_dropped_lines"),
     )

@@ -146,3 +146,19 @@ def test_line_runs_match_brute_force(spark):
     assert got == sorted((str(i), expected[i, t or ""]) for i, t in rows)
     assert cleaned.where("text is null").count() == sum(t is None for _, t in rows)
     assert drop_repeated_lines(docs.limit(0)).count() == 0
+
+
+def test_documents_of_many_lines(spark):
+    """50,000 lines in one document, a tail of them again in another one, and columns named like the added ones."""
+    import time
+
+    lines = [f"line {i} {i * 7919 % 104729}" for i in range(50_000)]
+    rows = [(1, "\n".join(lines), 7), (2, "\n".join(["own", *lines[-20_000:]]), 8), (3, "\n".join(["same"] * 30_000), 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_lines int")
+    began = time.perf_counter()
+    got = {r.doc_id: r for r in drop_repeated_lines(docs).collect()}
+    assert time.perf_counter() - began < 60
+    assert (got[1].n_lines, got[1].n_dropped_lines, got[1].text) == (50_000, 0, rows[0][1])
+    assert (got[2].n_lines, got[2].n_dropped_lines, got[2].text) == (20_001, 20_000, "own")
+    assert (got[3].n_lines, got[3].n_dropped_lines, got[3].text) == (30_000, 29_999, "same")
+    assert drop_repeated_lines(docs).columns == ["doc_id", "text", "n_lines", "n_dropped_lines"]
