@@ -6,6 +6,7 @@ from collections.abc import Iterator
 from math import comb
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -22,6 +23,7 @@ PERCENT = 85
 MISS = 5e-5
 KNOWN_WORDS = 500_000
 BLOCK = 1 << 15
+STRIDE = 8  # coordinates counted before those who cannot reach the threshold are skipped
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
@@ -158,35 +160,118 @@ def hub_pairs(posted: DataFrame, percent: int) -> DataFrame:
     return pairs.where(fits).select(F.col("rep").alias("a"), "b").distinct()
 
 
-def residual_links(posted: DataFrame, labels: DataFrame, sets: DataFrame, matches: int, percent: int) -> DataFrame:
+class Labels(dict):
+    """Components merged inside one task."""
+
+    def root(self, x: int) -> int:
+        while (above := self.get(x, x)) != x:
+            self[x] = x = self.get(above, above)
+        return x
+
+    def merge(self, x: int, y: int) -> bool:
+        x, y = self.root(x), self.root(y)
+        if x != y:
+            self[max(x, y)] = min(x, y)
+        return x != y
+
+
+def merged_lists(group: pd.DataFrame, matches: int, percent: int) -> list[tuple[int, int]]:
+    """Links between the vertices of two parts, as many as join their components.
+
+    The posting lists of the second part are sorted by coordinate value. Each vertex of the first one merges
+    those that its prefix names; who stands there is a candidate. Its collisions are counted over the rest in
+    strides, and whoever can no longer reach ``matches`` is skipped. Candidates left are judged on full sets,
+    given as places in one list of all items.
+    """
+    low = (group["part"] == group["low"]).to_numpy()
+    within = bool((group["low"] == group["high"]).iloc[0])
+    first, second = (np.arange(len(group)),) * 2 if within else (np.flatnonzero(low), np.flatnonzero(~low))
+    rep, component, n, most = (group[c].to_numpy() for c in ("rep", "component", "n_shingles", "most"))
+    signature = np.stack(group["signature"].to_numpy())
+    named = [np.asarray(x) for x in group["prefix"]]
+    posted = np.concatenate([named[i] for i in second])
+    owner = np.repeat(np.arange(len(second)), [len(named[i]) for i in second])
+    order = np.argsort(posted, kind="stable")
+    posted, owner = posted[order], owner[order]
+    ends = np.cumsum(n)
+    universe, place = np.unique(np.concatenate(list(group["items"])), return_inverse=True)
+    place = np.split(place.astype(np.int32), ends[:-1])
+    seen = np.zeros(len(universe), bool)
+    labels, links = Labels(), []
+    n_b, most_b, component_b, signature_b = n[second], most[second], component[second], signature[second]
+    for a in first:
+        met = np.zeros(len(second), bool)
+        for at, to in zip(np.searchsorted(posted, named[a], "left"), np.searchsorted(posted, named[a], "right"), strict=True):
+            met[owner[at:to]] = True
+        bound = np.minimum(most[a], most_b)
+        met &= (component_b != component[a]) & (bound * 100 >= (n[a] + n_b - bound) * percent)
+        if within:
+            met[: a + 1] = False
+        found = np.flatnonzero(met)
+        same = np.zeros(len(found), np.int64)
+        for at in range(0, COORDINATES, STRIDE):
+            same += (signature_b[found, at : at + STRIDE] == signature[a, at : at + STRIDE]).sum(axis=1)
+            able = same + max(0, COORDINATES - at - STRIDE) >= matches
+            found, same = found[able], same[able]
+        if not len(found):
+            continue
+        seen[place[a]] = True
+        for b in found:
+            common = int(np.count_nonzero(seen[place[second[b]]]))
+            if common * 100 >= (n[a] + n_b[b] - common) * percent and labels.merge(int(component[a]), int(component_b[b])):
+                links.append((int(rep[a]), int(rep[second[b]])))
+        seen[place[a]] = False
+    return links
+
+
+def residual_links(posted: DataFrame, labels: DataFrame, sets: DataFrame, matches: int, percent: int, part_rows: int = 2048, part_items: int = 2_000_000) -> DataFrame:
     """Confirmed links between different components that the hubs left out.
 
     A pair with ``matches`` equal coordinates shares one of the rarest COORDINATES - matches + 1 of each
-    side; coordinates shared with nobody come first among these, the common ones are skipped. Lists within
-    one component hold nothing new. Shingles that no other member of the remaining lists has cannot be
-    common to a pair; what is left of each set bounds the similarity of a pair. A pair is judged at the
-    first key of both prefixes only, by these bounds, then its coordinates, then its full sets; nothing but
-    confirmed links leaves the join.
+    side, its prefix. Lists within one component hold nothing new. Shingles that no other member of the
+    remaining lists has cannot be common to a pair; what is left of each set bounds the similarity of a pair.
+    Every vertex belongs to a part of about ``part_rows`` vertices and ``part_items`` shingles around its
+    longest list. Two parts that share a list meet in one task, with those of their vertices that stand in
+    such lists, so a pair is judged once however many lists it shares; a task gives links that join
+    components, never pairs.
     """
     slots = F.greatest(F.lit(0), F.size("shared") - matches + 1)  # keys of one vertex only have taken the first slots
     rarest = posted.select("rep", "n_shingles", "signature", F.slice("shared.key", 1, slots).alias("prefix"))
-    named = rarest.join(labels.withColumnRenamed("vertex", "rep"), "rep", "left")
-    members = named.select("rep", "n_shingles", F.coalesce("component", "rep").alias("component"), F.explode("prefix").alias("key"))
-    members = work_table(members, "prefixes")
-    mixed_lists = members.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
-    open_lists = work_table(members.join(mixed_lists, "key"), "open-lists")
-    items = sets.join(open_lists.select("rep").distinct(), "rep").select("rep", F.explode("items").alias("item"))
+    named = rarest.join(labels.withColumnRenamed("vertex", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    members = work_table(named.select("rep", "n_shingles", "component", F.explode("prefix").alias("key")), "prefixes")
+    open_lists = work_table(members.join(open_keys(members), "key"), "open-lists")
+    alive = open_lists.select("rep").distinct()
+    items = sets.join(alive, "rep").select("rep", F.explode("items").alias("item"))
     alone = items.groupBy("item").agg(F.count(F.lit(1)).alias("n"), F.first("rep").alias("rep")).where("n = 1").groupBy("rep").agg(F.count(F.lit(1)).alias("n_alone"))
-    bounded = open_lists.join(alone, "rep", "left").withColumn("most", F.col("n_shingles") - F.coalesce("n_alone", F.lit(0)))
-    bounded = bounded.where(F.col("most") * 100 >= F.col("n_shingles") * percent).select("key", "rep", "component", "n_shingles", "most")
-    bounded = work_table(bounded.join(rarest.drop("n_shingles"), "rep").join(sets, "rep"), "bounded")
-    a, b = (bounded.select("key", *[F.col(c).alias(f"{c}_{side}") for c in bounded.columns if c != "key"]) for side in "ab")
-    apart = (F.col("rep_a") < F.col("rep_b")) & (F.col("component_a") != F.col("component_b"))
-    fits = similar(F.least("most_a", "most_b"), F.col("n_shingles_a"), F.col("n_shingles_b"), percent)
-    once = F.array_min(F.array_intersect("prefix_a", "prefix_b")) == a["key"]
-    agree = F.size(F.array_intersect("signature_a", "signature_b")) >= matches
-    whole = similar(F.size(F.array_intersect("items_a", "items_b")), F.col("n_shingles_a"), F.col("n_shingles_b"), percent)
-    return a.join(b, (a["key"] == b["key"]) & apart & fits & once & agree & whole).select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"))
+    bounded = open_lists.drop("length").join(alone, "rep", "left").withColumn("most", F.col("n_shingles") - F.coalesce("n_alone", F.lit(0)))
+    bounded = work_table(bounded.where(F.col("most") * 100 >= F.col("n_shingles") * percent).drop("n_alone"), "bounded")
+    bounded = work_table(bounded.join(open_keys(bounded), "key"), "bounded-lists")
+
+    anchors = bounded.groupBy("rep").agg(F.max(F.struct("length", "key")).alias("anchor"), F.first("n_shingles").alias("n"), F.first("component").alias("component"), F.first("most").alias("most"))
+    anchors = work_table(anchors.select("rep", F.col("anchor.key").alias("anchor"), "n", "component", "most"), "anchors")
+    sized = anchors.groupBy("anchor").agg(F.greatest(F.ceil(F.count(F.lit(1)) / part_rows), F.ceil(F.sum("n") / part_items)).alias("parts"))
+    parted = anchors.join(sized, "anchor").select("rep", "component", "most", F.xxhash64("anchor", F.pmod(F.xxhash64("rep"), F.col("parts"))).alias("part"))
+    parted = work_table(parted, "parted")
+    standing = work_table(bounded.select("key", "rep").join(parted.select("rep", "part", "component"), "rep"), "standing")
+    held = work_table(standing.groupBy("key", "part").agg(F.min("component").alias("low_c"), F.max("component").alias("high_c")), "list-parts")
+    a, b = (held.select("key", *[F.col(c).alias(f"{c}_{side}") for c in ("part", "low_c", "high_c")]) for side in "ab")
+    apart = F.least("low_c_a", "low_c_b") < F.greatest("high_c_a", "high_c_b")
+    meeting = a.join(b, "key").where((F.col("part_a") <= F.col("part_b")) & apart)
+    meeting = work_table(meeting.select("key", "part_a", "part_b"), "meeting")
+    sides = meeting.select("key", F.col("part_a").alias("part"), "part_a", "part_b").union(meeting.where("part_a < part_b").select("key", F.col("part_b").alias("part"), "part_a", "part_b"))
+    involved = standing.drop("component").join(sides, ["key", "part"]).select(F.col("part_a").alias("low"), F.col("part_b").alias("high"), "part", "rep").distinct()
+    data = parted.drop("part").join(rarest, "rep").join(sets, "rep")
+
+    def judge(group: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame(merged_lists(group, matches, percent), columns=["a", "b"], dtype="int64")
+
+    return involved.join(data, "rep").groupBy("low", "high").applyInPandas(judge, "a long, b long")
+
+
+def open_keys(members: DataFrame) -> DataFrame:
+    """Lists that hold more than one component, and their length."""
+    held = members.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("length"))
+    return held.where("low < high").select("key", "length")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, matches: int | None = None) -> DataFrame:
@@ -224,7 +309,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return settled.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
 
 
-def drop_near_copies(docs: DataFrame, **options) -> DataFrame:
-    """The documents that stay, one of each component, with their own columns."""
-    dropped = work_table(near_duplicates(docs, **options).where("not kept and doc_id is not null").select("doc_id").distinct(), "near-copies")
-    return docs.join(broadcast_if_small(dropped, dropped.count()), "doc_id", "left_anti")
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
+    """The documents that stay, one of each component, with their own columns; rows without id stay."""
+    judged = near_duplicates(docs, id_col=id_col, **options).where("not kept and doc_id is not null")
+    dropped = work_table(judged.select(F.col("doc_id").alias("near_copy_id")).distinct(), "near-copies")
+    return docs.join(broadcast_if_small(dropped, dropped.count()), docs[id_col] == F.col("near_copy_id"), "left_anti")

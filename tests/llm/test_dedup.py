@@ -162,3 +162,40 @@ def test_documents_of_many_lines(spark):
     assert (got[2].n_lines, got[2].n_dropped_lines, got[2].text) == (20_001, 20_000, "own")
     assert (got[3].n_lines, got[3].n_dropped_lines, got[3].text) == (30_000, 29_999, "same")
     assert drop_repeated_lines(docs).columns == ["doc_id", "text", "n_lines", "n_dropped_lines"]
+
+
+def test_template_texts_below_the_threshold(spark):
+    """Texts of one template share most coordinates and no link; small parts meet as large ones do."""
+    import random
+
+    rng = random.Random(6)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(400)]
+    rows = []
+    for i in range(60):
+        text = list(base)
+        for _ in range(14 + i % 3):
+            at = rng.randrange(400)
+            text[at] = f"e{at}x{rng.randrange(3)}"
+        rows.append((i, " ".join(text)))
+    rows += [(100 + i, rows[i][1] + " tail") for i in range(0, 60, 7)]
+    docs = documents(spark, rows)
+    expected = brute_components(rows)
+    assert 30 < len(set(expected.values())) < len(rows)
+    assert {r.doc_id: r.component_id for r in near_dedup.near_duplicates(docs).collect()} == expected
+    base = near_dedup.signed(docs).selectExpr("doc_id as rep", "n_shingles", "signature")
+    posted = near_dedup.work_table(near_dedup.sharing(near_dedup.work_table(base, "vertices"), 30), "posted")
+    sets = near_dedup.work_table(near_dedup.full_sets(docs.selectExpr("doc_id as rep", "text")), "sets")
+    nobody = spark.createDataFrame([], "vertex long, component long")
+    for part_rows in (4, 1000):
+        links = near_dedup.residual_links(posted, nobody, sets, 30, 85, part_rows=part_rows).collect()
+        parent = {}
+
+        def root(x, parent=parent):
+            while parent.get(x, x) != x:
+                x = parent[x]
+            return x
+
+        for r in links:
+            x, y = sorted((root(r.a), root(r.b)))
+            parent[y] = x
+        assert {i: root(i) for i, _ in rows} == expected
