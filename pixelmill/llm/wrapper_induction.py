@@ -1,11 +1,14 @@
-"""Main text of web pages: same-host DOM trees vote node by node, constant nodes are template, the rest is content."""
+"""Main text of web pages: DOM trees of one host are aligned by simple tree matching; constant nodes are template."""
 
 from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter, defaultdict
 from collections.abc import Iterator
+from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
@@ -13,7 +16,7 @@ from pyspark.sql import functions as F
 
 from pixelmill.llm.batches import bound_batches
 from pixelmill.llm.text import present
-from pixelmill.session import broadcast_if_small, work_table
+from pixelmill.session import work_table
 
 #: Elements and names that mark parts which are not the article.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -21,31 +24,53 @@ RAW = frozenset("script style noscript template iframe svg math textarea select
 INLINE = frozenset("a abbr b bdi bdo big cite code del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
 ASIDE_TAGS = frozenset("nav footer aside form button dialog menu".split())
 ASIDE_ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog menu menubar toolbar".split())
+#: Roles that an article may give to its own parts.
+OWN_ROLES = frozenset("alert banner contentinfo".split())
 ASIDE_NAMES = frozenset(
-    "ad ads advert adverts advertisement adverts adbox adsense sponsor sponsored promo promotion banner sidebar menu nav navbar navigation breadcrumb "
+    "ad ads advert adverts advertisement adbox adsense sponsor sponsored promo promotion banner sidebar menu nav navbar navigation breadcrumb "
     "breadcrumbs footer header masthead cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription "
     "signup login comment comments reply replies respond disqus share sharing social related recommended widget toolbar pager pagination skip".split()
 )
+#: Words that say nothing beside such a name: inside an article "share-buttons" is an aside, "share-price" is not.
+PLAIN_NAMES = frozenset("area bar block box button buttons container form icons inner item items link links list outer post posts section slot text thread top unit wrap wrapper".split())
 CLOSED_BY_SAME = frozenset("li dt dd tr td th option".split())
+#: Elements inside which an open paragraph or item of outside is out of reach.
+SCOPES = {"ul": ("li",), "ol": ("li",), "dl": ("dt", "dd"), "table": ("tr", "td", "th", "p"), "td": ("p",), "th": ("p",), "caption": ("p",)}
 #: Elements that articles hold or lack at will; they tell no layout.
 FLOW = frozenset("p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr td th caption blockquote figure figcaption pre hr address details summary".split())
-DEEPEST = 150
 
 TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/><]*)((?:[^>"']++|"[^"<]*+"|'[^'<]*+'|["'])*+)>""", re.S)
 NAMED = re.compile(r"""(?:^|\s)(class|id|role|hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
+RAW_END = {tag: re.compile(f"</{tag}", re.I) for tag in RAW}
 WORD = re.compile(r"[a-z]+")
 
 
 def is_aside(tag: str, attributes: str, inside: bool) -> bool:
-    """Whether an element is a menu, header, footer, sidebar, notice, advert, form or comment."""
+    """Whether an element is a menu, header, footer, sidebar, notice, advert, form or comment.
+
+    Outside an article any part of a name tells; inside one the whole name must be such a name, or consist
+    of such names and words without meaning of their own.
+    """
     if tag in ASIDE_TAGS or (tag == "header" and not inside):
         return True
     if tag in ("html", "body", "article", "main") and "comment" not in attributes:
         return False
     for name, value in NAMED.findall(attributes):
-        words = WORD.findall(value.lower())
-        if name.lower() == "hidden" or (name.lower() == "role" and not ASIDE_ROLES.isdisjoint(words)) or not ASIDE_NAMES.isdisjoint(words):
+        name = name.lower()
+        if name == "hidden":
             return True
+        if name == "role":
+            roles = ASIDE_ROLES - OWN_ROLES if inside else ASIDE_ROLES
+            if not roles.isdisjoint(WORD.findall(value.lower())):
+                return True
+        elif not inside:
+            if not ASIDE_NAMES.isdisjoint(WORD.findall(value.lower())):
+                return True
+        else:
+            for token in value.strip("\"'").lower().split():
+                parts = set(WORD.findall(token))
+                if not ASIDE_NAMES.isdisjoint(parts) and parts <= ASIDE_NAMES | PLAIN_NAMES:
+                    return True
     return False
 
 
@@ -53,12 +78,13 @@ class Page:
     """Block elements of a page outside its asides, as a tree, and the text blocks in page order."""
 
     def __init__(self, source: str):
-        self.label, self.children, self.text = ["root"], [[]], [""]
-        self.blocks: list[tuple[int, int, str]] = []  # node, rank of its surroundings, text
+        self.label, self.parent, self.text = ["root"], [-1], [""]
+        self.blocks: list[tuple[int, bool, str]] = []  # node, whether in an article or main, text
         pieces: list[str] = []
-        stack = [("root", 0, False, 0)]  # tag, node, aside, rank: 2 in an article, 1 in main, else 0
+        # tag, node, aside, in an article or main, and where in the stack the open paragraph and items are
+        stack: list[tuple] = [("root", 0, False, False, {})]
+        self._open_tags: Counter = Counter()
         at, end = 0, len(source)
-        lower = None
         while at < end:
             found = TAG.search(source, at)
             if not found:
@@ -74,17 +100,16 @@ class Page:
             if tag == "br":
                 pieces.append(" ")
                 continue
-            block = tag not in INLINE
-            if block:
+            if tag not in INLINE:
                 self._flush(stack[-1], pieces)
             if found[1]:
-                self._close(tag, stack)
+                self._close(tag, stack, pieces)
             elif tag in RAW:
-                lower = source.lower() if lower is None else lower
-                stop = lower.find(f"</{tag}", at)
-                if stop < 0:
-                    stop = end if tag not in ("head", "noscript", "select", "object") else at
-                at = stop
+                stop = RAW_END[tag].search(source, at)
+                if stop:
+                    at = stop.start()
+                elif tag not in ("head", "noscript", "select", "object"):
+                    at = end
             elif tag not in VOID and not (tag in INLINE and "class" not in found[3] and "hidden" not in found[3]):
                 self._open(tag, found[3], stack, pieces)
         self._flush(stack[-1], pieces)
@@ -98,134 +123,282 @@ class Page:
                 self.text[node] = f"{self.text[node]} {text}" if self.text[node] else text
                 self.blocks.append((node, top[3], text))
 
+    def _pop(self, stack: list, at: int) -> None:
+        for entry in stack[at:]:
+            self._open_tags[entry[0]] -= 1
+        del stack[at:]
+
+    def _push(self, stack: list, entry: tuple) -> None:
+        self._open_tags[entry[0]] += 1
+        stack.append(entry)
+
     def _open(self, tag: str, attributes: str, stack: list, pieces: list[str]) -> None:
         if tag in INLINE:
-            if is_aside(tag, attributes, stack[-1][3] > 0):
+            if is_aside(tag, attributes, stack[-1][3]):
                 self._flush(stack[-1], pieces)
-                stack.append((tag, stack[-1][1], True, stack[-1][3]))
+                self._push(stack, (tag, stack[-1][1], True, *stack[-1][3:]))
             return
         if tag in CLOSED_BY_SAME:
-            for i in range(len(stack) - 1, max(0, len(stack) - 6), -1):
-                if stack[i][0] == tag:
-                    del stack[i:]
-                    break
-                if stack[i][0] in ("ul", "ol", "table", "dl"):
-                    break
-        elif any(x[0] == "p" for x in stack[-4:]):
-            while stack.pop()[0] != "p":
-                pass
-        _, parent, aside, rank = stack[-1]
-        aside = aside or is_aside(tag, attributes, rank > 0)
-        rank = max(rank, 2 if tag == "article" else 1 if tag == "main" or "role=\"main\"" in attributes else 0)
+            if (at := stack[-1][4].get(tag)) is not None:
+                self._pop(stack, at)
+        if (at := stack[-1][4].get("p")) is not None:
+            self._pop(stack, at)
+        _, parent, aside, inside, marks = stack[-1]
+        aside = aside or is_aside(tag, attributes, inside)
+        inside = inside or tag in ("article", "main") or "role=\"main\"" in attributes
         node = parent
-        if not aside and len(stack) < DEEPEST:
+        if not aside:
             node = len(self.label)
             self.label.append(tag)
-            self.children.append([])
+            self.parent.append(parent)
             self.text.append("")
-            self.children[parent].append(node)
-        stack.append((tag, node, aside, rank))
-
-    def _close(self, tag: str, stack: list) -> None:
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i][0] == tag:
-                if tag in INLINE and stack[i][2] and not stack[i - 1][2]:
-                    pass  # what an inline aside held is dropped with it
-                del stack[i:]
-                return
+        if tag in SCOPES:
+            marks = {k: v for k, v in marks.items() if k not in SCOPES[tag]}
+        if tag == "p" or tag in CLOSED_BY_SAME:
+            marks = marks | {tag: len(stack)}
+        self._push(stack, (tag, node, aside, inside, marks))
+
+    def _close(self, tag: str, stack: list, pieces: list[str]) -> None:
+        if self._open_tags[tag] > 0:
+            at = len(stack) - 1
+            while stack[at][0] != tag:
+                at -= 1
+            if stack[at][2] and not stack[at - 1][2]:
+                self._flush(stack[-1], pieces)  # what an inline aside held goes with it
+            self._pop(stack, at)
 
     def content(self) -> list[tuple[int, str]]:
-        """Node and text of the blocks of the article, else of main, else of all that is no aside."""
-        best = max((rank for _, rank, _ in self.blocks), default=0)
-        return [(node, text) for node, rank, text in self.blocks if rank == best]
+        """Node and text of the blocks in articles and main, else of all that is no aside."""
+        framed = any(inside for _, inside, _ in self.blocks)
+        return [(node, text) for node, inside, text in self.blocks if inside or not framed]
 
 
-def simple_tree_matching(page: Page, ref: Page) -> dict[int, int]:
+def hashed(text: str) -> int:
+    """64 bits of a text as a signed number."""
+    return xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63)
+
+
+@dataclass
+class Tree:
+    """Nodes in page order, parents first: the parent's place, the hash of the labels from the root down, and
+    the hash of these and the node's text (0 without text)."""
+
+    parents: np.ndarray
+    paths: np.ndarray
+    marks: np.ndarray
+
+    def pruned(self, marks: set[int]) -> tuple[Tree, np.ndarray]:
+        """The nodes with one of the marks and their ancestors, and where they stood."""
+        keep = np.fromiter((m in marks for m in self.marks.tolist()), bool, len(self.marks)) & (self.marks != 0)
+        for node in range(len(keep) - 1, 0, -1):
+            if keep[node]:
+                keep[self.parents[node]] = True
+        at = np.flatnonzero(keep)
+        place = np.cumsum(keep) - 1
+        parents = np.where(self.parents[at] >= 0, place[np.maximum(self.parents[at], 0)], -1)
+        return Tree(parents, self.paths[at], self.marks[at]), at
+
+    def children(self) -> list[list[int]]:
+        below: list[list[int]] = [[] for _ in self.parents]
+        for node, parent in enumerate(self.parents.tolist()):
+            if parent >= 0:
+                below[parent].append(node)
+        return below
+
+    def subtrees(self, below: list[list[int]]) -> list[int]:
+        """Equal numbers for equal subtrees."""
+        found = [0] * len(self.parents)
+        for node in range(len(found) - 1, -1, -1):
+            found[node] = hash((int(self.paths[node]), int(self.marks[node]), *[found[x] for x in below[node]]))
+        return found
+
+
+def simple_tree_matching(page: Tree, ref: Tree) -> dict[int, int]:
     """The largest order-preserving match of two trees by labels, as page node -> reference node.
 
     A pair of nodes counts one, or two if both have the same text, so that constant nodes find each other
-    among equal labels.
+    among equal labels. Only nodes with the same labels from the root down can match, so pairs are scored from the
+    deepest level up; equal subtrees at both ends of two lists of children are matched at once, and what is
+    between is aligned row by row, with two bits kept a cell.
     """
-    la, lb, ca, cb, ta, tb = page.label, ref.label, page.children, ref.children, page.text, ref.text
-    tables: dict[tuple[int, int], list[list[int]]] = {}
-    worth: dict[tuple[int, int], int] = {}
-
-    def score(a: int, b: int) -> int:
-        found = worth.get((a, b))
-        if found is not None:
-            return found
-        total = 2 if ta[a] and ta[a] == tb[b] else 1
-        below, across = ca[a], cb[b]
-        if below and across:
-            table = [[0] * (len(across) + 1)]
-            for x in below:
-                before, row, last, label, leaf, text = table[-1], [0], 0, la[x], not ca[x], ta[x]
-                for j, y in enumerate(across):
-                    best = before[j + 1]
-                    if last > best:
-                        best = last
-                    if label == lb[y]:
-                        w = before[j] + ((2 if text and text == tb[y] else 1) if leaf or not cb[y] else score(x, y))
-                        if w > best:
-                            best = w
-                    row.append(best)
-                    last = best
-                table.append(row)
-            tables[a, b] = table
-            total += last
-        worth[a, b] = total
-        return total
-
-    score(0, 0)
+    if not len(page.paths) or not len(ref.paths) or page.paths[0] != ref.paths[0]:
+        return {}
+    below_a, below_b = page.children(), ref.children()
+    tree_a, tree_b = page.subtrees(below_a), ref.subtrees(below_b)
+    size_a = [1 + int(m != 0) for m in page.marks]
+    for node in range(len(size_a) - 1, 0, -1):
+        size_a[page.parents[node]] += size_a[node]
+    scores: dict[tuple[int, int], int] = {}
+
+    def own(a: int, b: int) -> int:
+        return 2 if page.marks[a] and page.marks[a] == ref.marks[b] else 1
+
+    def aligned(a: int, b: int, traced: bool) -> tuple[int, list[tuple[int, int]]]:
+        xs, ys, pairs, total = below_a[a], below_b[b], [], 0
+        first, last_x, last_y = 0, len(xs), len(ys)
+        while first < min(last_x, last_y) and tree_a[xs[first]] == tree_b[ys[first]]:
+            total += size_a[xs[first]]
+            pairs.append((xs[first], ys[first]))
+            first += 1
+        while last_x > first and last_y > first and tree_a[xs[last_x - 1]] == tree_b[ys[last_y - 1]]:
+            last_x, last_y = last_x - 1, last_y - 1
+            total += size_a[xs[last_x]]
+            pairs.append((xs[last_x], ys[last_y]))
+        xs, ys = xs[first:last_x], ys[first:last_y]
+        if xs and ys:
+            paths, marks = ref.paths[ys], ref.marks[ys]
+            inner = [j for j, y in enumerate(ys) if below_b[y]]
+            row = np.zeros(len(ys) + 1, np.int64)
+            steps = []
+            for x in xs:
+                worth = (paths == page.paths[x]) * (1 + ((marks == page.marks[x]) & (marks != 0)))
+                if below_a[x]:
+                    for j in inner:
+                        if worth[j]:
+                            worth[j] = scores[x, ys[j]]
+                taken = np.where(worth > 0, row[:-1] + worth, -1)
+                best = np.maximum(row[1:], taken)
+                after = np.maximum.accumulate(best)
+                if traced:
+                    steps.append((np.packbits(taken == after), np.packbits(row[1:] == after)))
+                row = np.concatenate([[0], np.maximum(after, 0)])
+            total += int(row[-1])
+            i, j = len(xs) - 1, len(ys) - 1
+            while traced and i >= 0 and j >= 0:
+                diagonal, up = (bits[j >> 3] >> (7 - (j & 7)) & 1 for bits in steps[i])
+                if up:
+                    i -= 1
+                elif diagonal:
+                    pairs.append((xs[i], ys[j]))
+                    i, j = i - 1, j - 1
+                else:
+                    j -= 1
+        return total, pairs
+
+    depth_a = [0] * len(below_a)
+    for node in range(1, len(depth_a)):
+        depth_a[node] = depth_a[page.parents[node]] + 1
+    same_path = defaultdict(list)
+    for node, path in enumerate(ref.paths.tolist()):
+        if below_b[node]:
+            same_path[path].append(node)
+    for a in sorted(range(1, len(below_a)), key=lambda x: -depth_a[x]):
+        if below_a[a]:
+            for b in same_path.get(int(page.paths[a]), ()):
+                scores[a, b] = own(a, b) + aligned(a, b, False)[0]
     match: dict[int, int] = {}
     todo = [(0, 0)]
     while todo:
         a, b = todo.pop()
         match[a] = b
-        table = tables.get((a, b))
-        if table is None:
-            continue
-        i, j = len(table) - 1, len(table[0]) - 1
-        while i and j:
-            if table[i][j] == table[i - 1][j]:
-                i -= 1
-            elif table[i][j] == table[i][j - 1]:
-                j -= 1
-            else:
-                i, j = i - 1, j - 1
-                todo.append((ca[a][i], cb[b][j]))
+        if below_a[a] and below_b[b]:
+            todo += aligned(a, b, True)[1]
     return match
 
 
-def hashed(text: str) -> int:
-    """64 bits of a text as a signed number."""
-    return xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63)
-
+def constant_nodes(page: Tree, ref: Tree) -> list[int]:
+    """Reference nodes that the alignment matches with a node of the same text.
 
-def placed(page: Page) -> tuple[list[str], list[int], int]:
-    """Content texts of the page, for each the hash of its node's label path and text, and the layout: the
-    hash of the set of label paths of its containers."""
-    paths = ["root"] * len(page.label)
-    for node, below in enumerate(page.children):  # parents come before their children
-        for child in below:
-            paths[child] = f"{paths[node]}/{page.label[child]}"
+    A node whose labels and text the other tree has nowhere is a slot; it is left out of the alignment.
+    """
+    shared = (set(page.marks.tolist()) & set(ref.marks.tolist())) - {0}
+    if not shared:
+        return []
+    (a, _), (b, places) = page.pruned(shared), ref.pruned(shared)
+    if np.array_equal(a.paths, b.paths) and np.array_equal(a.marks, b.marks):
+        return places[b.marks != 0].tolist()  # the same tree
+    match = simple_tree_matching(a, b)
+    return [int(places[y]) for x, y in match.items() if a.marks[x] and a.marks[x] == b.marks[y]]
+
+
+def parsed(source: str) -> tuple[list[str], list[int], Tree, int]:
+    """Content texts of a page, the tree node of each, the tree of the nodes that hold them with their
+    ancestors, and the layout: the hash of the set of label paths of its containers."""
+    page = Page(source)
+    paths, in_flow = [hashed("root")], [False]
+    for node in range(1, len(page.label)):
+        label, parent = page.label[node], page.parent[node]
+        paths.append(hashed(f"{paths[parent]}/{label}"))
+        in_flow.append(in_flow[parent] or label in FLOW)
     blocks = page.content()
-    containers = {path for path, label in zip(paths, page.label, strict=True) if label not in FLOW and FLOW.isdisjoint(path.split("/"))}
-    return [text for _, text in blocks], [hashed(f"{paths[node]}\n{page.text[node]}") for node, _ in blocks], hashed("\n".join(sorted(containers)))
+    layout = hashed(",".join(map(str, sorted({p for p, flow in zip(paths, in_flow, strict=True) if not flow}))))
+    keep = [False] * len(paths)
+    keep[0] = True
+    marks = [0] * len(paths)
+    for node, _ in blocks:
+        marks[node] = hashed(f"{paths[node]}\n{page.text[node]}") or 1
+        keep[node] = True
+    for node in range(len(paths) - 1, 0, -1):
+        if keep[node]:
+            keep[page.parent[node]] = True
+    place = np.cumsum(keep) - 1
+    kept = np.flatnonzero(keep)
+    parents = np.array([-1 if x == 0 else place[page.parent[x]] for x in kept], np.int32)
+    tree = Tree(parents, np.array(paths, np.int64)[kept], np.array(marks, np.int64)[kept])
+    return [text for _, text in blocks], [int(place[node]) for node, _ in blocks], tree, layout
+
+
+def meet(rows: DataFrame, table: DataFrame, keys: list[str], spread: list[str], small: bool, how: str = "inner", parts: int = 64) -> DataFrame:
+    """Join rows to a table with one row per key. A small table is broadcast; otherwise the rows of each key are
+    dealt to ``parts`` parts, and the table's row goes to those parts that the key has."""
+    if small:
+        return rows.join(F.broadcast(table), keys, how)
+    dealt = rows.withColumn("salt", F.pmod(F.xxhash64(*spread), F.lit(parts)))
+    copies = dealt.select(*keys, "salt").distinct().join(table, keys)
+    return dealt.join(copies, [*keys, "salt"], how).drop("salt")
+
+
+def templates(contents: DataFrame, host_share: float, least_pages: int, ref_bytes: int) -> DataFrame:
+    """host, scope and constant, the marks of template nodes, of each host (scope "*") and each of its layouts."""
+    sized = contents.groupBy("host", "layout").agg(F.count(F.lit(1)).alias("n_contents"))
+    sized = work_table(sized, "layouts")
+    scopes = sized.select("host", F.col("layout").cast("string").alias("scope"), "n_contents").union(
+        sized.groupBy("host").agg(F.sum("n_contents").alias("n_contents")).select("host", F.lit("*").alias("scope"), "n_contents")
+    )
+    scopes = work_table(scopes.where(F.col("n_contents") >= least_pages), "scopes")
+    small = scopes.agg(F.sum(F.octet_length("host") + 32)).first()[0]
+    small = (small or 0) <= ref_bytes
+    by_scope = F.explode(F.array(F.col("layout").cast("string"), F.lit("*"))).alias("scope")
+
+    # marks that enough contents hold anywhere choose the reference: the content with most of them, of those the smallest
+    votes = contents.select("host", "layout", F.explode(F.array_distinct("marks")).alias("mark")).where("mark <> 0").groupBy("host", "layout", "mark").agg(F.count(F.lit(1)).alias("n"))
+    votes = votes.select("host", by_scope, "mark", "n").groupBy("host", "scope", "mark").agg(F.sum("n").alias("n")).where(F.col("n") >= host_share * least_pages)
+    often = meet(votes, scopes, ["host", "scope"], ["mark"], small).where(F.col("n") >= host_share * F.col("n_contents"))
+    wanted = work_table(often.groupBy("host", "scope", "n_contents").agg(F.collect_list("mark").alias("wanted")), "wanted-marks")
+    held = wanted.agg(F.sum(F.size("wanted") * 8 + F.octet_length("host") + 32)).first()[0] or 0
+    scoped = contents.select("host", by_scope, "content", "tree")
+    judged = meet(scoped, wanted, ["host", "scope"], ["content"], held <= ref_bytes)
+    order = F.struct(F.size(F.array_intersect("tree.marks", "wanted")).alias("score"), (-F.size("tree.marks")).alias("minus"), "content")
+    refs = judged.groupBy("host", "scope", "n_contents").agg(F.max_by("tree", order).alias("ref"))
+    refs = work_table(refs, "references")
+    held = refs.agg(F.sum(F.size("ref.marks") * 20 + F.octet_length("host") + 32)).first()[0] or 0
+    pairs = meet(scoped, refs, ["host", "scope"], ["content"], held <= ref_bytes)
+    pairs = pairs.select("host", "scope", *[F.col(f"{side}.{c}").alias(f"{side}_{c}") for side in ("tree", "ref") for c in ("parents", "paths", "marks")])
+
+    def align(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            trees = ([Tree(*map(np.asarray, x)) for x in zip(*[batch[f"{side}_{c}"] for c in ("parents", "paths", "marks")], strict=True)] for side in ("tree", "ref"))
+            yield pd.DataFrame({"host": batch["host"], "scope": batch["scope"], "nodes": [constant_nodes(a, b) for a, b in zip(*trees, strict=True)]})
+
+    matched = pairs.mapInPandas(align, "host string, scope string, nodes array<int>").select("host", "scope", F.explode("nodes").alias("node"))
+    counted = matched.groupBy("host", "scope", "node").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= host_share * least_pages)
+    constant = meet(counted, refs, ["host", "scope"], ["node"], held <= ref_bytes).where(F.col("n") >= host_share * F.col("n_contents"))
+    return constant.groupBy("host", "scope").agg(F.collect_set(F.get("ref.marks", F.col("node"))).alias("constant"))
 
 
-def extract(pages: DataFrame, host_share: float = 0.8, least_pages: int = 5, ref_bytes: int = 32 << 20, per_salt: int = 256) -> DataFrame:
+def extract(pages: DataFrame, host_share: float = 0.8, least_pages: int = 5, ref_bytes: int = 32 << 20) -> DataFrame:
     """page_id, url, text, n_chars of every page (columns page_id, url, html).
 
     Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and comments go by element,
-    role and class names, wherever they stand. What is left of each page votes for its nodes. A node that has
-    the same place (the labels from the root down) and text in at least ``host_share`` of the pages of its host,
-    or of those of the host's pages that share its layout, is template; pages of equal content count once, and
-    ``least_pages`` of them are needed. All other nodes are varying slots, the content. All pages vote, so
-    no single page decides what can be found.
-
-    Templates are broadcast as long as all of them fit ``ref_bytes``; beyond that they are joined by host and
-    layout, large ones split into parts of about ``per_salt`` pages. Null or broken html, also unclosed tags,
+    role and class names. The tree of what is left is aligned by simple tree matching with a reference of the
+    page's host and with one of those of the host's pages that share its layout. A reference node that finds
+    the same text in at least ``host_share`` of the pages is constant, so template; all other nodes are varying
+    slots, the content. Pages of equal content count once, and ``least_pages`` of them are needed: what fewer
+    pages share may be their own text, so smaller hosts lose only what elements, roles and names mark. The
+    reference is the page with most of the nodes that enough pages hold, so no single bad page decides.
+
+    Reference trees and templates are broadcast as long as all of them fit ``ref_bytes``; beyond that they are
+    joined by host and layout, the pages of one host dealt to parts. Null or broken html, also unclosed tags,
     gives what text there is, or the empty text; urls without a host and null urls are one host; every row
     gives one row.
     """
@@ -234,38 +407,27 @@ def extract(pages: DataFrame, host_share: float = 0.8, least_pages: int = 5, ref
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            found = [placed(Page(html)) for html in batch["html"]]
-            columns = {name: [x[i] for x in found] for i, name in enumerate(("texts", "places", "layout"))}
+            found = [parsed(html) for html in batch["html"]]
+            trees = [{"parents": t.parents, "paths": t.paths, "marks": t.marks} for _, _, t, _ in found]
+            columns = {"texts": [x[0] for x in found], "nodes": [x[1] for x in found], "tree": trees, "layout": [x[3] for x in found]}
             yield pd.DataFrame({"page_id": batch["page_id"], "url": batch["url"], "host": batch["host"], **columns})
 
-    blocks = source.mapInPandas(run, "page_id long, url string, host string, texts array<string>, places array<long>, layout long")
+    tree = "struct<parents: array<int>, paths: array<bigint>, marks: array<bigint>>"
+    blocks = source.mapInPandas(run, f"page_id long, url string, host string, texts array<string>, nodes array<int>, tree {tree}, layout long")
     blocks = work_table(blocks, "page-blocks")
-    distinct = blocks.select("host", "layout", F.xxhash64("texts").alias("content"), F.array_distinct("places").alias("places")).distinct()
-    distinct = work_table(distinct, "page-contents")
-    layouts = work_table(distinct.groupBy("host", "layout").agg(F.count(F.lit(1)).alias("n_contents")), "layouts")
-    votes = distinct.select("host", "layout", F.explode("places").alias("place")).groupBy("host", "layout", "place").agg(F.count(F.lit(1)).alias("n"))
-    votes = work_table(votes, "votes")
-
-    def constants(votes: DataFrame, contents: DataFrame, keys: list[str], name: str) -> DataFrame:
-        sized = contents.where(F.col("n_contents") >= least_pages)
-        often = votes.where(F.col("n") >= host_share * least_pages).join(broadcast_if_small(sized, sized.count()), keys)
-        return often.where(F.col("n") >= host_share * F.col("n_contents")).groupBy(*keys).agg(F.collect_list("place").alias(name))
-
-    of_host = constants(votes.groupBy("host", "place").agg(F.sum("n").alias("n")), layouts.groupBy("host").agg(F.sum("n_contents").alias("n_contents")), ["host"], "on_host")
-    of_layout = constants(votes, layouts, ["host", "layout"], "on_layout")
+    content = F.xxhash64("tree.paths", "tree.marks").alias("content")
+    contents = blocks.select("host", "layout", content, "tree").groupBy("host", "layout", "content").agg(F.first("tree").alias("tree"))
+    contents = work_table(contents.select("host", "layout", "content", "tree", F.col("tree.marks").alias("marks")), "page-contents")
+    found = work_table(templates(contents, host_share, least_pages, ref_bytes), "templates")
     none = F.array().cast("array<long>")
-    template = layouts.select("host", "layout").join(of_host, "host", "left").join(of_layout, ["host", "layout"], "left")
+    on_host = found.where("scope = '*'").select("host", F.col("constant").alias("on_host"))
+    on_layout = found.where("scope <> '*'").select("host", F.col("scope").cast("long").alias("layout"), F.col("constant").alias("on_layout"))
+    template = contents.select("host", "layout").distinct().join(on_host, "host", "left").join(on_layout, ["host", "layout"], "left")
     template = template.select("host", "layout", F.array_union(F.coalesce("on_host", none), F.coalesce("on_layout", none)).alias("constant")).where(F.size("constant") > 0)
-    template = work_table(template, "templates")
+    template = work_table(template, "page-templates")
     held = template.agg(F.sum(F.size("constant") * 8 + F.octet_length("host") + 8)).first()[0] or 0
-    if held <= ref_bytes:
-        judged = blocks.join(F.broadcast(template), ["host", "layout"], "left")
-    else:
-        sizes = blocks.groupBy("host", "layout").agg(F.ceil(F.count(F.lit(1)) / per_salt).alias("parts"))
-        sizes = work_table(sizes, "layout-parts")
-        salted = template.join(sizes, ["host", "layout"]).withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).drop("parts")
-        dealt = blocks.join(broadcast_if_small(sizes, sizes.count()), ["host", "layout"]).withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.col("parts")))
-        judged = dealt.join(salted, ["host", "layout", "salt"], "left")
-    varying = F.filter(F.arrays_zip("texts", "places"), lambda x: ~F.coalesce(F.array_contains("constant", x["places"]), F.lit(False)))
+    rows = blocks.select("page_id", "url", "host", "layout", "texts", "nodes", F.col("tree.marks").alias("marks"))
+    judged = meet(rows, template, ["host", "layout"], ["page_id", "url"], held <= ref_bytes, "left")
+    varying = F.filter(F.arrays_zip("texts", "nodes"), lambda x: ~F.coalesce(F.array_contains("constant", F.get("marks", x["nodes"])), F.lit(False)))
     text = F.array_join(F.transform(varying, lambda x: x["texts"]), " ")
     return judged.select("page_id", "url", text.alias("text")).withColumn("n_chars", F.char_length("text").cast("long"))
