@@ -10,16 +10,16 @@ from pixelmill.session import broadcast_if_small, work_table
 
 
 def content_sort(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "max", hot_rows: int = 64, hot_share: int = 2000, carry: bool = False
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "max", hot_rows: int = 1000, hot_bytes: int = 64 << 20, carry: bool = False
 ) -> DataFrame:
     """Group equal texts by sorting their normalised content.
 
     Sampled splitters range-partition the texts (A-Z lower-cased, whole, null as empty) by their first 32
     characters and a hash of the whole; an external sort inside each range puts equal texts side by side
     and the window compares neighbours in full.
-    A text with many copies is salted, so that several ranges share its rows; its total is
-    pre-aggregated before the shuffle. A text is hot if its rows exceed both ``hot_rows`` and
-    1/``hot_share`` of all rows, so at most ``hot_share`` hashes are ever broadcast.
+    A text with more than ``hot_rows`` rows or ``hot_bytes`` bytes in all its copies is salted by a hash of the
+    row's other columns, so that several ranges share its rows whatever the size of the table; its total is
+    pre-aggregated before the shuffle. Hashes of hot texts are broadcast while they are few, else joined.
 
     Result: one row per input row with doc_id, keep_id (the id that stays), group_size, kept, text_sha256;
     with ``carry`` a struct ``row`` of all input columns besides. ``keep`` is "max" or "min" of the ids.
@@ -32,20 +32,21 @@ def content_sort(
         F.col(id_col).alias("doc_id"),
         present(F.col(text_col)).alias("raw"),
         *([F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] if carry else []),
+        F.xxhash64(*[F.col(f"`{f.name}`") for f in docs.schema if f.name != text_col and "map<" not in f.dataType.simpleString()]).alias("mixed"),
     ).withColumn("coarse", F.xxhash64(F.lower("raw")))
-    total = docs.count()
-    counted = rows.groupBy("coarse").agg(F.count(F.lit(1)).alias("copies"))
-    hot = work_table(counted.where((F.col("copies") > hot_rows) & (F.col("copies") * hot_share > total)), "hot-texts")
-    marked = rows.join(F.broadcast(hot), "coarse", "left").withColumn("norm", ascii_lower(F.col("raw"))).drop("raw", "coarse")
+    counted = rows.groupBy("coarse").agg(F.count(F.lit(1)).alias("copies"), F.sum(F.octet_length("raw")).alias("held"))
+    parts = F.greatest(F.ceil(F.col("copies") / hot_rows), F.least(F.ceil(F.col("held") / hot_bytes), F.col("copies")))
+    hot = work_table(counted.select("coarse", parts.alias("parts")).where("parts > 1"), "hot-texts")
+    marked = rows.join(broadcast_if_small(hot, hot.count()), "coarse", "left").withColumn("norm", ascii_lower(F.col("raw"))).drop("raw", "coarse")
 
     hot_groups = (
-        marked.where("copies is not null")
+        marked.where("parts is not null")
         .groupBy(F.sha2("norm", 256).alias("text_sha256"))
         .agg(best("doc_id").alias("hot_keep"), F.count(F.lit(1)).alias("hot_size"))
     )
     hot_groups = work_table(hot_groups, "hot-groups")
     salted = marked.withColumn(
-        "salt", F.when(F.col("copies").isNull(), 0).otherwise(F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("copies") / hot_rows))).cast("int")
+        "salt", F.when(F.col("parts").isNull(), 0).otherwise(F.pmod("mixed", "parts")).cast("int")
     )
     # splitters are sampled to the driver: a short head and a hash order the texts, whatever their length
     salted = salted.withColumns({"head": F.substring("norm", 1, 32), "mark": F.xxhash64("norm")})

@@ -21,7 +21,7 @@ def test_exact_copies_match_brute_force(spark, hot_rows):
     groups = defaultdict(list)
     for i, t in rows:
         groups[(t or "").translate(LOWER)].append(i)
-    got = content_sort(documents(spark, rows), hot_rows=hot_rows, hot_share=10_000).collect()
+    got = content_sort(documents(spark, rows), hot_rows=hot_rows).collect()
     assert len(got) == len(rows)
     expected = defaultdict(list)
     for norm, ids in groups.items():
