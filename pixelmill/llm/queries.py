@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pixelmill.llm.bpe_automaton import round_trip
 from pixelmill.llm.exact_dedup import content_sort
 from pixelmill.llm.line_dedup import drop_repeated_lines
-from pixelmill.llm.mixing import mixture, n_words, standard_targets
+from pixelmill.llm.mixing import mixture
 from pixelmill.llm.near_dedup import near_duplicates
 from pixelmill.llm.quality_cnn import score, train
 from pixelmill.llm.quality_rules import BASE, apply_policy, ledger
@@ -30,8 +30,9 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = mixture(table(spark, sf_dir, "documents"), standard_targets(), n_words(F.col("text")))
-    return mixed.select("row.doc_id", "mix_source", "mix_lang", "mix_topic", F.col("mix_tokens").alias("n_tokens"), "mix_weight", "probability", "sampled")
+    mixed = mixture(table(spark, sf_dir, "documents"), carry=["doc_id", "source", "lang"])
+    shares = [f"{x}_{d}" for d in ("source", "lang", "topic") for x in ("wanted", "attained")]
+    return mixed.select("row.doc_id", "mix_source", "mix_lang", "mix_topic", F.col("mix_tokens").alias("n_tokens"), "mix_weight", "probability", "sampled", *shares)
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
