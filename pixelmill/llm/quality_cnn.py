@@ -6,13 +6,14 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from pixelmill.llm.batches import bound_batches
+from pixelmill.llm.text import present
+from pixelmill.session import work_table
 
 WIDTH = 6  # bytes that a filter sees
 FILTERS = 16
@@ -21,7 +22,7 @@ BLOCK = 128  # a chunk is two neighbouring blocks, so chunks overlap by half
 TAIL = WIDTH - 1
 PIECE = 1024  # blocks convolved at once
 MOST_LABELLED = 3000
-MOST_CHUNKS = 12
+MOST_BYTES = 32 << 20
 KEEP = 0.7
 
 
@@ -91,63 +92,88 @@ def scores(texts: list[str | None], network: Network, tables: list[np.ndarray])
     return 1 / (1 + np.exp(-np.clip(features @ network.out + network.out_bias, -30, 30)))
 
 
-def spread_chunks(text: str | None, most: int = MOST_CHUNKS) -> bytes:
-    """At most ``most`` chunks evenly spread over a whole text, each BLOCK * 2 + TAIL bytes, for training."""
-    room = padded((text or "").encode())
-    blocks = len(room) // BLOCK
-    room = np.concatenate([room, np.zeros(BLOCK + TAIL, np.uint8)])
-    starts = np.unique(np.linspace(0, max(0, blocks - 2), min(most, max(1, blocks - 1))).astype(int))
-    return b"".join(room[s * BLOCK : (s + 2) * BLOCK + TAIL].tobytes() for s in starts)
+def blocks_of(text: bytes) -> np.ndarray:
+    """The blocks of a whole text, each with the TAIL bytes that follow it, as rows."""
+    room = np.concatenate([padded(text), np.zeros(TAIL, np.uint8)])
+    return np.lib.stride_tricks.sliding_window_view(room, BLOCK + TAIL)[::BLOCK]
 
 
-def fit(chunks: list[bytes], labels: list[int], epochs: int = 10, batch: int = 48, rate: float = 0.01, seed: int = 5) -> Network:
-    """Adam on the log loss, gradients through both poolings to the filters and the byte embedding."""
+def start(seed: int = 5) -> dict[str, np.ndarray]:
     rng = np.random.default_rng(seed)
-    span = 2 * BLOCK + TAIL
-    data = [np.frombuffer(x, np.uint8).reshape(-1, span) for x in chunks]
-    y = np.asarray(labels, float)
-    p = {
+    return {
         "embedding": rng.normal(0, 0.5, (256, DEPTH)),
         "filters": rng.normal(0, 0.25, (WIDTH, DEPTH, FILTERS)),
         "bias": np.zeros(FILTERS),
         "out": np.zeros(2 * FILTERS),
         "out_bias": np.zeros(1),
     }
+
+
+def gradients(p: dict[str, np.ndarray], texts: list[np.ndarray], y: np.ndarray, decay: float = 1e-4, dtype: type = np.float32) -> tuple[float, dict[str, np.ndarray]]:
+    """Mean log loss of texts given as blocks, and its gradients through the combination, both poolings and
+    the filters to the byte embedding. All blocks of every text take part; PIECE of them are convolved at once.
+    """
+    sizes = np.array([len(x) for x in texts])
+    x = np.concatenate(texts)
+    lasts = np.cumsum(sizes) - 1
+    one = np.einsum("bd,wdf->wbf", p["embedding"], p["filters"]).astype(dtype)
+    peak = np.empty((len(x), FILTERS), np.int64)
+    top = np.empty((len(x), FILTERS))
+    for at in range(0, len(x), PIECE):
+        part = x[at : at + PIECE]
+        response = one[0][part[:, :BLOCK]]
+        for w in range(1, WIDTH):
+            response += one[w][part[:, w : w + BLOCK]]
+        response[lasts[(lasts >= at) & (lasts < at + PIECE)] - at, BLOCK - TAIL :] = -np.inf  # these windows would leave the text
+        peak[at : at + PIECE] = response.argmax(axis=1)
+        top[at : at + PIECE] = np.take_along_axis(response, peak[at : at + PIECE, None], axis=1)[:, 0]
+    h = np.maximum(top + p["bias"], 0)
+    opens = np.ones(len(x), bool)
+    opens[lasts[sizes > 1]] = False  # the last block starts no chunk, but in a text of one block
+    left = np.flatnonzero(opens)
+    right = np.minimum(left + 1, np.repeat(lasts, sizes)[left])
+    from_left = h[left] >= h[right]
+    chunks = np.where(from_left, h[left], h[right])
+    counts = np.maximum(sizes - 1, 1)
+    owner = np.repeat(np.arange(len(sizes)), counts)
+    at = np.cumsum(counts) - counts
+    mean, high = np.add.reduceat(chunks, at, axis=0) / counts[:, None], np.maximum.reduceat(chunks, at, axis=0)
+    features = np.hstack([mean, high])
+    z = np.clip(features @ p["out"] + p["out_bias"], -30, 30)
+    loss = float(np.mean(np.logaddexp(0, z) - y * z) + decay / 2 * (p["out"] ** 2).sum())
+    error = (1 / (1 + np.exp(-z)) - y) / len(y)
+    d_features = np.outer(error, p["out"])
+    is_high = chunks == high[owner]
+    ties = np.add.reduceat(is_high, at, axis=0)  # chunks that reach the maximum share its gradient
+    d_chunks = (d_features[:, :FILTERS] / counts[:, None])[owner] + (d_features[:, FILTERS:] / ties)[owner] * is_high
+    d_top = np.zeros_like(h)
+    d_top[left] += d_chunks * from_left
+    d_top[right] += d_chunks * ~from_left
+    d_top *= h > 0
+    g = {"out": features.T @ error + decay * p["out"], "out_bias": error.sum(keepdims=True), "bias": d_top.sum(axis=0)}
+    g["filters"], g["embedding"] = np.zeros_like(p["filters"]), np.zeros_like(p["embedding"])
+    rows = np.arange(len(x))[:, None]
+    for w in range(WIDTH):
+        seen = x[rows, peak + w].astype(np.int64) * FILTERS + np.arange(FILTERS)  # the byte under place w of the winning window
+        flow = np.bincount(seen.ravel(), d_top.ravel(), 256 * FILTERS).reshape(256, FILTERS)
+        g["filters"][w] = p["embedding"].T @ flow
+        g["embedding"] += flow @ p["filters"][w].T
+    return loss, g
+
+
+def fit(texts: list[bytes], labels: list[int], epochs: int = 10, batch: int = 48, rate: float = 0.01, seed: int = 5) -> Network:
+    """Adam on the log loss in mini-batches of whole texts."""
+    rng = np.random.default_rng(seed)
+    data = [blocks_of(x) for x in texts]
+    y = np.asarray(labels, float)
+    p = start(seed)
     moment = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in p.items()}
     step = 0
     for epoch in range(epochs if len(data) else 0):
         order = rng.permutation(len(data))
         for first in range(0, len(order), batch):
             picked = order[first : first + batch]
-            counts = np.array([len(data[i]) for i in picked])
-            x = np.concatenate([data[i] for i in picked])
-            owner = np.repeat(np.arange(len(picked)), counts)
-            n = 2 * BLOCK
-            one = np.einsum("bd,wdf->wbf", p["embedding"], p["filters"]).astype(np.float32)
-            response = one[0][x[:, :n]]
-            for w in range(1, WIDTH):
-                response += one[w][x[:, w : w + n]]
-            peak = response.argmax(axis=1)  # chunk, filter
-            top = np.take_along_axis(response, peak[:, None], axis=1)[:, 0] + p["bias"]
-            h = np.maximum(top, 0)
-            at = np.cumsum(counts) - counts
-            mean, high = np.add.reduceat(h, at, axis=0) / counts[:, None], np.maximum.reduceat(h, at, axis=0)
-            features = np.hstack([mean, high])
-            z = features @ p["out"] + p["out_bias"]
-            error = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[picked]) / len(picked)
-            d_features = np.outer(error, p["out"])
-            d_h = (d_features[:, :FILTERS] / counts[:, None])[owner]
-            is_high = h == high[owner]
-            d_h = d_h + d_features[:, FILTERS:][owner] * is_high
-            d_top = d_h * (top > 0)
-            g = {"out": features.T @ error + 1e-4 * p["out"], "out_bias": error.sum(keepdims=True), "bias": d_top.sum(axis=0)}
-            g["filters"], g["embedding"] = np.zeros_like(p["filters"]), np.zeros_like(p["embedding"])
-            rows = np.arange(len(x))[:, None]
-            for w in range(WIDTH):
-                seen = x[rows, peak + w]  # chunk, filter: the byte under place w of the winning window
-                g["filters"][w] = np.einsum("cfd,cf->df", p["embedding"][seen], d_top)
-                flow = d_top[:, :, None] * p["filters"][w].T[None]
-                np.add.at(g["embedding"], seen.ravel(), flow.reshape(-1, DEPTH))
+            _, g = gradients(p, [data[i] for i in picked], y[picked])
             step += 1
             speed = rate * (0.5 * (1 + np.cos(np.pi * epoch / epochs)) + 0.05)
             for k, v in p.items():
@@ -162,28 +188,31 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = MOST_LABELLED, **options) -> Network:
-    """Fit on at most ``most`` labelled documents, those with the smallest hash of their id.
+def train(
+    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = MOST_LABELLED, most_bytes: int = MOST_BYTES, **options
+) -> Network:
+    """Fit on whole texts of at most ``most`` labelled rows and ``most_bytes`` bytes in all.
 
-    Rows whose crc32(doc_id) mod 4 is 2 are held out. Each text gives at most MOST_CHUNKS chunks spread
-    over the whole of it. Only the text of a row is used. Rows without id or label are left out; without any
+    Rows are taken in the order of a hash of their id; one that no longer fits is passed over. Rows whose
+    crc32(doc_id) mod 4 is 2 are held out. Of several labels of an id the smallest counts, of several texts
+    the smallest, too. Only the text of a row is used. Rows without id or label are left out; without any
     labelled row all scores are 0.5.
     """
     bound_batches(docs.sparkSession)
-    usable = labels.select(F.col("doc_id").alias("labelled_id"), F.col("quality").alias("label")).where("labelled_id is not null and label in (0, 1)")
+    usable = labels.select(F.col("doc_id").alias("labelled_id"), F.col("quality").cast("int").alias("label")).where("labelled_id is not null and label in (0, 1)")
     usable = usable.where(~held_out(F.col("labelled_id"))).groupBy("labelled_id").agg(F.min("label").alias("label"))
-    picked = usable.orderBy(F.xxhash64("labelled_id"), "labelled_id").limit(most)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield pd.DataFrame({"labelled_id": batch["labelled_id"], "label": batch["label"], "chunks": [spread_chunks(x) for x in batch["text"]]})
-
-    # ``most`` ids at most
-    texts = docs.select(F.col(id_col).alias("labelled_id"), F.col(text_col).alias("text")).join(F.broadcast(picked), "labelled_id")
-    sample = texts.select("labelled_id", F.col("label").cast("int").alias("label"), "text").mapInPandas(run, "labelled_id long, label int, chunks binary")
-    rows = {r["labelled_id"]: r for r in sample.limit(2 * most).collect()}
-    ordered = [rows[i] for i in sorted(rows)]
-    return fit([bytes(r["chunks"]) for r in ordered], [r["label"] for r in ordered], **options)
+    picked = usable.withColumn("place", F.xxhash64("labelled_id")).orderBy("place", "labelled_id").limit(most)
+    texts = docs.select(F.col(id_col).alias("labelled_id"), present(F.col(text_col)).alias("text"))
+    # ``most`` rows at most from here on
+    sample = texts.join(F.broadcast(picked), "labelled_id").groupBy("labelled_id", "place", "label").agg(F.min("text").alias("text"))
+    sample = work_table(sample, "labelled-texts")
+    fitting, held = [], 0
+    for r in sorted(sample.select("place", "labelled_id", F.octet_length("text").alias("size")).collect()):
+        if held + r["size"] <= most_bytes:
+            fitting.append(r["labelled_id"])
+            held += r["size"]
+    rows = sorted(sample.where(F.col("labelled_id").isin(fitting)).select("labelled_id", "label", "text").collect()) if fitting else []
+    return fit([r["text"].encode() for r in rows], [r["label"] for r in rows], **options)
 
 
 def score(docs: DataFrame, network: Network, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
