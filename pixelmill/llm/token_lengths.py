@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import base64
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, partial
 from pathlib import Path
 
 import pandas as pd
@@ -14,30 +14,35 @@ from pyspark.sql import functions as F
 
 from pixelmill.llm.batches import bound_batches
 
-#: Fixed value: the pattern that splits text before the merges of the public rank files.
+#: The pattern that splits text before the merges of the public rank files, and the special token
+#: that the same vocabulary has beside the ranks.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+SPECIAL = {"<|endoftext|>": 50256}
 
 
 @lru_cache(maxsize=2)
 def encoder(content: bytes) -> tiktoken.Encoding:
     ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, content.splitlines())}
-    return tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=SPECIAL)
 
 
 def token_lengths(docs: DataFrame, rank_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and n_tokens of every whole text; null and empty texts have none."""
+    """doc_id and n_tokens of every whole text; null and empty texts have none.
+
+    A special token's name in a text counts as that one token, as when texts are encoded.
+    """
     content = docs.sparkSession.sparkContext.broadcast(Path(rank_path).read_bytes())
     bound_batches(docs.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode = encoder(content.value).encode_ordinary
+        encode = partial(encoder(content.value).encode, allowed_special="all")
         for batch in batches:
             yield pd.DataFrame({"doc_id": batch["doc_id"], "n_tokens": [len(encode(x)) if x else 0 for x in batch["text"]]})
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(run, "doc_id long, n_tokens long")
 
 
-def length_histogram(lengths: DataFrame, block: int = 1024) -> DataFrame:
+def length_histogram(lengths: DataFrame, block: int = 64) -> DataFrame:
     """One row per encoded length: n_docs and n_tokens of that length, and sums over it and all longer ones.
 
     ``docs_from`` and ``tokens_from`` are suffix sums. ``truncated_tokens`` is what remains of the whole

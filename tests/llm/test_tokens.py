@@ -54,7 +54,7 @@ def test_encode_then_decode_documents(spark):
 
 
 def test_length_histogram_matches_brute_force(spark):
-    rows = awkward()
+    rows = [*awkward(), (300, "a <|endoftext|> b"), (301, "<|endoftext|><|endoftext|>"), (302, "x<|endoftext|")]
     lengths = token_lengths.token_lengths(documents(spark, rows), RANKS)
     n = sorted(r.n_tokens for r in lengths.collect())
     assert n == sorted(len(LIBRARY.encode(t or "", add_special_tokens=False).ids) for _, t in rows)
