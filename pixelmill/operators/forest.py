@@ -106,6 +106,11 @@ def importance(spark: SparkSession, model: PipelineModel) -> DataFrame:
     return spark.createDataFrame(rows, "predictor string, importance double").withColumn("rank", rank)
 
 
+def importance_model(df: DataFrame, target: str, predictors: Sequence[str], id_col: str, mtry: int, trees: int = 200, share: float = 0.8, seed: int = 50) -> PipelineModel:
+    """A forest of its own for the importances, on a stratified ``share`` and with single-row leaves."""
+    return forest(predictors, target, mtry, 1, trees, seed).fit(stratified_fraction(df, target, id_col, share, seed))
+
+
 def predicted(df: DataFrame, model: PipelineModel, name: str) -> DataFrame:
     """Adds ``name``: the predicted class of complete rows, null for the others."""
     judged = model.transform(df)

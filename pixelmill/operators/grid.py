@@ -5,10 +5,14 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pixelmill.functions.projection import transformed
+from pixelmill.session import work_table
+
 
 @dataclass(frozen=True)
 class GridSpec:
@@ -58,11 +62,13 @@ def crop(df: DataFrame, first_row: int, last_row: int, first_col: int, last_col:
 
 
 def stack(layers: Sequence[DataFrame]) -> DataFrame:
-    """Layers of one grid side by side, equi-joined by cell."""
-    first, *rest = layers
-    for layer in rest:
-        first = first.join(layer, ["row", "col"], "full_outer")
-    return first
+    """Layers of one grid side by side (J9): one aggregation by cell, so one shuffle however many layers.
+
+    A layer holds a cell once; cells that only some layers hold are null in the others.
+    """
+    names = list(dict.fromkeys(c for layer in layers for c in layer.columns if c not in ("row", "col")))
+    long = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), layers)
+    return long.groupBy("row", "col").agg(*[F.max(c).alias(c) for c in names])
 
 
 def mosaic(old: DataFrame, new: DataFrame, value: str) -> DataFrame:
@@ -83,13 +89,47 @@ def difference(a: DataFrame, b: DataFrame, value: str) -> DataFrame:
     return both.select("row", "col", F.abs(F.col(value) - F.col("other")).alias("diff"))
 
 
+def exact_quantiles(df: DataFrame, value: str, shares: Sequence[float], buckets: int = 4096, few: int = 50_000) -> list[float | None]:
+    """Quantiles with linear interpolation, as ``percentile`` gives them, without gathering all values.
+
+    Ranges of values are counted, and only those that hold a wanted rank are counted again in finer ranges,
+    until at most ``few`` values of a range, or equal ones, are left.
+    """
+    v = F.col(value).cast("double")
+    held = df.where(v.isNotNull()).select(v.alias("v"))
+    n, low, high = held.agg(F.count(F.lit(1)), F.min("v"), F.max("v")).first()
+    if not n:
+        return [None] * len(shares)
+    places = [(n - 1) * s for s in shares]
+    found: dict[int, float] = {}
+    todo = [(low, high, 0, n, sorted({k for p in places for k in (math.floor(p), math.ceil(p))}))]
+    while todo:
+        low, high, before, inside, ranks = todo.pop()
+        if low == high:
+            found |= dict.fromkeys(ranks, low)
+            continue
+        part = held.where(F.col("v").between(low, high))
+        if inside <= few:
+            values = sorted(r.v for r in part.collect())
+            found |= {k: values[k - before] for k in ranks}
+            continue
+        bucket = F.least(F.floor((F.col("v") - low) / (high - low) * buckets), F.lit(buckets - 1)).alias("bucket")
+        for r in sorted(part.groupBy(bucket).agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("low"), F.max("v").alias("high")).collect()):
+            if wanted := [k for k in ranks if before <= k < before + r.n]:
+                todo.append((r.low, r.high, before, r.n, wanted))
+            before += r.n
+    return [found[math.floor(p)] + (found[math.ceil(p)] - found[math.floor(p)]) * (p - math.floor(p)) for p in places]
+
+
 def drift(diff: DataFrame, above: float) -> DataFrame:
     """Cells, largest, median, 95th percentile, and share above a threshold in percent."""
+    diff = work_table(diff.select("diff"), "differences")
+    median, p95 = exact_quantiles(diff, "diff", (0.5, 0.95))
     return diff.agg(
         F.count(F.lit(1)).alias("n"),
         F.max("diff").alias("max_diff"),
-        F.median("diff").alias("median_diff"),
-        F.percentile("diff", 0.95).alias("p95_diff"),
+        F.lit(median).cast("double").alias("median_diff"),
+        F.lit(p95).cast("double").alias("p95_diff"),
         (F.avg((F.col("diff") > above).cast("double")) * 100).alias("pct_above"),
     )
 
@@ -116,9 +156,10 @@ def null_free(df: DataFrame, columns: Sequence[str]) -> list[str]:
 
 
 def nearest(df: DataFrame, source: GridSpec, target: GridSpec) -> DataFrame:
-    """Value of the source cell under each target cell's centre."""
+    """Value of the source cell under each target cell's centre (G2), brought to the source's reference system."""
     x = target.left + (F.col("row_col.col") + 0.5) * target.dx
     y = target.top - (F.col("row_col.row") + 0.5) * target.dy
+    x, y = transformed(x, y, target.srid, source.srid)
     cells = template(df.sparkSession, target).select(F.struct("row", "col").alias("row_col"))
     cells = cells.select("row_col", F.floor((source.top - y) / source.dy).cast("int").alias("row"), F.floor((x - source.left) / source.dx).cast("int").alias("col"))
     values = [c for c in df.columns if c not in ("row", "col")]
@@ -126,9 +167,10 @@ def nearest(df: DataFrame, source: GridSpec, target: GridSpec) -> DataFrame:
 
 
 def bilinear(df: DataFrame, value: str, source: GridSpec, target: GridSpec) -> DataFrame:
-    """Weighted mean of the four source cells around each target centre; nulls lend their weight."""
-    x = (target.left + (F.col("col") + 0.5) * target.dx - source.left) / source.dx - 0.5
-    y = (source.top - (target.top - (F.col("row") + 0.5) * target.dy)) / source.dy - 0.5
+    """Weighted mean of the four source cells around each target centre, brought to the source's reference system;
+    nulls lend their weight (G3, G1, G5)."""
+    x, y = transformed(target.left + (F.col("col") + 0.5) * target.dx, target.top - (F.col("row") + 0.5) * target.dy, target.srid, source.srid)
+    x, y = (x - source.left) / source.dx - 0.5, (source.top - y) / source.dy - 0.5
     placed = template(df.sparkSession, target).withColumns({"x": x, "y": y}).withColumns({"x0": F.floor("x").cast("int"), "y0": F.floor("y").cast("int")})
     right, down = F.col("x") - F.col("x0"), F.col("y") - F.col("y0")
     corners = [((1 - right if i == 0 else right) * (1 - down if j == 0 else down), i, j) for j in (0, 1) for i in (0, 1)]

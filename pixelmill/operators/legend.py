@@ -94,7 +94,7 @@ LEVEL_2 = """
 71 #616161 Aree estrattive e cave
 """
 #: Level-2 classes merged for the coarse evaluation; a class that is not listed is an error.
-AGGREGATED = {11: 12, 12: 12, 13: 12, 21: 20, 22: 20, 31: 31, 41: 41, 42: 42, 43: 43, 44: 40, 45: 40, 46: 46, 51: 51, 52: 52, 53: 53, 54: 54, 61: 61, 71: 71}
+AGGREGATED = {11: 11, 12: 12, 13: 12, 21: 20, 22: 20, 31: 31, 41: 41, 42: 42, 43: 43, 44: 40, 45: 40, 46: 46, 51: 51, 52: 52, 53: 53, 54: 54, 61: 61, 71: 71}
 #: Macrotypes of one class only are assigned it directly.
 DIRECT = {3: 31, 6: 61, 7: 71}
 TRAINING = "Training"

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from math import atan, cos, pi, sin, sqrt
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -86,13 +87,30 @@ def global_metrics(matrix: DataFrame) -> DataFrame:
     )
 
 
-#: 0.975 quantiles of Student's t by degrees of freedom.
-T_975 = {1: 12.706205, 2: 4.302653, 3: 3.182446, 4: 2.776445, 5: 2.570582, 6: 2.446912, 7: 2.364624, 8: 2.306004, 9: 2.262157}
+def t_within(t: float, df: int) -> float:
+    """Chance that Student's t with ``df`` degrees of freedom stays within -t .. t: the finite trigonometric sum."""
+    angle = atan(t / sqrt(df))
+    total = term = cos(angle) if df % 2 else 1.0
+    for k in range(3 if df % 2 else 2, df - 1, 2):
+        term *= cos(angle) ** 2 * (k - 1) / k
+        total += term
+    if df % 2:
+        return (angle + (sin(angle) * total if df > 1 else 0.0)) * 2 / pi
+    return sin(angle) * total
+
+
+def t_quantile(df: int, within: float = 0.95) -> float:
+    """The bound that Student's t keeps with that chance, rounded to six digits."""
+    low, high = 0.0, 1000.0
+    for _ in range(80):
+        middle = (low + high) / 2
+        low, high = (middle, high) if t_within(middle, df) < within else (low, middle)
+    return round(high, 6)
 
 
 def fold_band(per_fold: DataFrame, value: str, k: int = 5) -> DataFrame:
     """Mean and standard deviation over folds, and the t band of the mean."""
-    half = F.lit(T_975[k - 1]) * F.col("sd") / F.sqrt(F.lit(float(k)))
+    half = F.lit(t_quantile(k - 1)) * F.col("sd") / F.sqrt(F.lit(float(k)))
     stats = per_fold.agg(F.avg(value).alias("mean"), F.stddev_samp(value).alias("sd"))
     return stats.select("mean", "sd", (F.col("mean") - half).alias("band_low"), (F.col("mean") + half).alias("band_high"))
 

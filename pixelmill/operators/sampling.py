@@ -8,11 +8,23 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pixelmill.session import work_table
+
 
 def digest(id_col: str, seed: int) -> Column:
     return F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(id_col).cast("string")))
 
 
+def numbered(df: DataFrame, order: list[str], name: str = "polygon_id", slices: int = 1024) -> DataFrame:
+    """Adds 1, 2, ... in the order of a stable key (W1), counted inside sampled ranges and over the ranges before."""
+    ranged = work_table(df.repartitionByRange(slices, *order).withColumn("id_range", F.spark_partition_id()), "id-ranges")
+    sizes = ranged.groupBy("id_range").agg(F.count(F.lit(1)).alias("n"))
+    # one row per range
+    starts = sizes.select("id_range", (F.sum("n").over(Window.orderBy("id_range")) - F.col("n")).alias("id_start"))
+    place = F.row_number().over(Window.partitionBy("id_range").orderBy(*order))
+    return ranged.withColumn("id_place", place).join(F.broadcast(starts), "id_range").select(*df.columns, (F.col("id_start") + F.col("id_place")).alias(name))
+
+
 def ranked(df: DataFrame, class_col: str, id_col: str, seed: int) -> DataFrame:
     """With rn, the random rank within the class, and class_n, the size of the class.
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -21,14 +23,46 @@ def valid_rings(rings: Column) -> Column:
     return F.coalesce((F.size(rings) > 0) & F.forall(rings, ring_ok), F.lit(False))
 
 
+def without_stray_points(ring: Column) -> Column:
+    """Points that repeat the one before, or that the ring reaches and leaves along the same line (spikes)."""
+    def last(r: Column, k: int) -> Column:
+        return F.element_at(r, -k)
+
+    def add(done: Column, p: Column) -> Column:
+        turn = (last(done, 1)["x"] - last(done, 2)["x"]) * (p["y"] - last(done, 1)["y"]) - (last(done, 1)["y"] - last(done, 2)["y"]) * (p["x"] - last(done, 1)["x"])
+        back = (last(done, 1)["x"] - last(done, 2)["x"]) * (p["x"] - last(done, 1)["x"]) + (last(done, 1)["y"] - last(done, 2)["y"]) * (p["y"] - last(done, 1)["y"])
+        spike = (F.size(done) >= 2) & (turn == 0) & (back < 0)
+        shorter = F.slice(done, 1, F.size(done) - 1)
+        joined = F.when(last(shorter, 1) == p, shorter).otherwise(F.concat(shorter, F.array(p)))
+        return F.when((F.size(done) >= 1) & (last(done, 1) == p), done).when(spike, joined).otherwise(F.concat(done, F.array(p)))
+
+    return F.aggregate(ring, F.slice(ring, 1, 0), add)
+
+
+def repaired(rings: Column) -> Column:
+    """Rings without null and repeated points and spikes, closed where they were open, oriented outer ring
+    against holes; rings that keep no area are dropped, a polygon without rings is null (G19).
+
+    Rings that cross themselves stay as they are: scan lines read them by the even-odd rule.
+    """
+    whole = lambda r: F.filter(r, lambda p: p["x"].isNotNull() & p["y"].isNotNull())
+    closed = lambda r: F.when((F.size(r) > 0) & (F.element_at(r, 1) != F.element_at(r, -1)), F.concat(r, F.slice(r, 1, 1))).otherwise(r)
+    clean = F.transform(F.transform(F.transform(rings, whole), without_stray_points), closed)
+    held = F.filter(clean, lambda r: (F.size(r) >= 4) & (ring_area(F.array(r)) > 0))
+    turned = F.transform(held, lambda r, i: F.when((signed_area(r) > 0) == (i == 0), r).otherwise(F.reverse(r)))
+    return F.when(F.size(turned) > 0, turned)
+
+
+def signed_area(ring: Column) -> Column:
+    """Positive for a ring that turns left."""
+    steps = F.sequence(F.lit(1), F.size(ring) - 1)
+    return F.aggregate(steps, F.lit(0.0), lambda s, i: s + (ring[i - 1]["x"] * ring[i]["y"] - ring[i]["x"] * ring[i - 1]["y"]) / 2)
+
+
 def ring_area(rings: Column) -> Column:
     """Area by the shoelace formula, holes (of opposite turn) taken off."""
 
-    def signed(ring: Column) -> Column:
-        steps = F.sequence(F.lit(1), F.size(ring) - 1)
-        return F.aggregate(steps, F.lit(0.0), lambda s, i: s + (ring[i - 1]["x"] * ring[i]["y"] - ring[i]["x"] * ring[i - 1]["y"]) / 2)
-
-    return F.abs(F.aggregate(rings, F.lit(0.0), lambda s, r: s + signed(r)))
+    return F.abs(F.aggregate(rings, F.lit(0.0), lambda s, r: s + signed_area(r)))
 
 
 def zonal_cells(polygons: DataFrame, spec: GridSpec, id_col: str = "id", rings: str = "rings") -> DataFrame:
@@ -93,32 +127,32 @@ def clip(layer: DataFrame, cells: DataFrame) -> DataFrame:
     return layer.join(cells.select("row", "col").distinct(), ["row", "col"], "left_semi")
 
 
-def lower_envelope(col: np.ndarray, height: np.ndarray, at: np.ndarray, dx: float) -> np.ndarray:
-    """min over c of (dx * (x - c))^2 + height[c] for every x of ``at``, in linear time."""
-    tops: list[int] = []
-    edges: list[float] = []
-    for q in range(len(col)):
-        x = -np.inf
-        while tops:
-            p = tops[-1]
-            x = ((height[q] + (dx * col[q]) ** 2) - (height[p] + (dx * col[p]) ** 2)) / (2 * dx * dx * (col[q] - col[p]))
-            if x > edges[-1]:
-                break
-            tops.pop()
-            edges.pop()
-            x = -np.inf
-        tops.append(q)
-        edges.append(x)
-    best = np.asarray(tops)[np.searchsorted(np.asarray(edges), at, side="left") - 1]
-    return (dx * (at - col[best])) ** 2 + height[best]
-
-
-def distance(grid: DataFrame, source: str, dx: float, dy: float) -> DataFrame:
+def row_minima(height: np.ndarray, dx: float) -> np.ndarray:
+    """min over c of (dx * (x - c))^2 + height[row, c] for every row and column x; inf where nothing is held.
+
+    Columns are searched at growing distance, all rows at once; a row is done when the distance alone exceeds
+    all that was found.
+    """
+    best = height.copy()
+    rows = np.arange(len(height))
+    for k in range(1, height.shape[1]):
+        step = (k * dx) ** 2
+        rows = rows[best[rows].max(axis=1, initial=-np.inf) > step]
+        if not len(rows):
+            break
+        held, found = height[rows] + step, best[rows]
+        np.minimum(found[:, k:], held[:, :-k], out=found[:, k:])
+        np.minimum(found[:, :-k], held[:, k:], out=found[:, :-k])
+        best[rows] = found
+    return best
+
+
+def distance(grid: DataFrame, source: str, dx: float, dy: float, block_rows: int = 64) -> DataFrame:
     """Exact distance of every cell to the nearest cell whose ``source`` is not null; 0 there.
 
-    Pass 1 finds the nearest source up and down each column by windows; pass 2 takes, row by row, the lower
-    envelope of the parabolas that pass 1 left. A task holds one row of the raster at a time. A grid without
-    sources gives nulls.
+    Pass 1 finds the nearest source up and down each column by windows; pass 2 takes, for ``block_rows`` rows
+    of the raster at a time, the smallest sum of squares along the row. A task holds one such block. A grid
+    without sources gives nulls.
     """
     ship_package(grid.sparkSession)
     up = Window.partitionBy("col").orderBy("row").rowsBetween(Window.unboundedPreceding, 0)
@@ -127,16 +161,17 @@ def distance(grid: DataFrame, source: str, dx: float, dy: float) -> DataFrame:
     above, below = F.last(here, ignorenulls=True).over(up), F.first(here, ignorenulls=True).over(down)
     vertical = grid.select("row", "col", F.least(F.col("row") - above, below - F.col("row")).alias("g"))
 
-    def of_row(cells: pd.DataFrame) -> pd.DataFrame:
-        cells = cells.sort_values("col")
-        held = cells[cells["g"].notna()]
-        at = cells["col"].to_numpy(float)
-        squared = np.full(len(at), np.nan)
-        if len(held):
-            squared = lower_envelope(held["col"].to_numpy(float), (held["g"].to_numpy(float) * dy) ** 2, at, dx)
-        return cells[["row", "col"]].assign(distance=np.sqrt(squared))
+    def of_block(cells: pd.DataFrame) -> pd.DataFrame:
+        rows, at = np.unique(cells["row"].to_numpy(), return_inverse=True)
+        col = cells["col"].to_numpy()
+        height = np.full((len(rows), int(col.max() - col.min()) + 1), np.inf)
+        g = cells["g"].to_numpy(float)
+        height[at, col - col.min()] = np.where(np.isnan(g), np.inf, (g * dy) ** 2)
+        squared = row_minima(height, dx)[at, col - col.min()]
+        return cells[["row", "col"]].assign(distance=np.sqrt(np.where(np.isinf(squared), np.nan, squared)))
 
-    return vertical.groupBy("row").applyInPandas(of_row, "row int, col int, distance double").select("row", "col", F.nanvl("distance", F.lit(None)).alias("distance"))
+    blocks = vertical.groupBy(F.expr(f"row DIV {block_rows}"))
+    return blocks.applyInPandas(of_block, "row int, col int, distance double").select("row", "col", F.nanvl("distance", F.lit(None)).alias("distance"))
 
 
 def buffer_cells(grid: DataFrame, source: str, radius: float, dx: float, dy: float) -> DataFrame:
@@ -144,6 +179,25 @@ def buffer_cells(grid: DataFrame, source: str, radius: float, dx: float, dy: flo
     return distance(grid, source, dx, dy).where(F.col("distance") <= radius).select("row", "col")
 
 
+def isolated_parts(polygons: DataFrame, spec: GridSpec, radius: float, least_area: float) -> DataFrame:
+    """The large connected parts of a set of polygons, as cells with their part and its area.
+
+    Cells whose centre lies within ``radius`` of a polygon's cell join fragments; all are united, split into
+    connected parts, and parts under ``least_area`` dropped.
+    """
+    source = zonal_cells(polygons, spec).select("row", "col").distinct().withColumn("on", F.lit(1))
+    reach = math.ceil(radius / min(spec.dx, spec.dy) + 0.5)
+    span = F.sequence(F.lit(-reach), F.lit(reach))
+    # only cells within reach of a source take part, not the whole grid
+    near = source.select("row", "col", F.explode(span).alias("i")).select("row", "col", "i", F.explode(span).alias("j"))
+    gap = F.hypot(F.greatest(F.abs("i") - 0.5, F.lit(0.0)) * spec.dy, F.greatest(F.abs("j") - 0.5, F.lit(0.0)) * spec.dx)
+    joined = near.where(gap <= radius)
+    cells = joined.select((F.col("row") + F.col("i")).alias("row"), (F.col("col") + F.col("j")).alias("col")).distinct()
+    cells = cells.where(F.col("row").between(0, spec.n_rows - 1) & F.col("col").between(0, spec.n_cols - 1))
+    labelled = raster_components(cells, spec.n_cols)
+    return labelled.join(large_components(labelled, spec.dx * spec.dy, least_area), "component").select("row", "col", "component", "area")
+
+
 def raster_components(cells: DataFrame, n_cols: int) -> DataFrame:
     """component of each cell: the smallest row * n_cols + col among the cells joined by an edge."""
     ids = cells.select("row", "col").distinct().withColumn("id", F.col("row").cast("long") * n_cols + F.col("col"))

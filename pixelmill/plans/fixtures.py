@@ -97,6 +97,20 @@ def truth_pred(spark: SparkSession, sf_dir: str) -> DataFrame:
 TRUTH = """truth AS (SELECT o_orderkey AS id, CAST(substring(o_orderpriority, 1, 1) AS INT) AS t, CAST(o_orderkey % 5 + 1 AS INT) AS fold,
   CASE WHEN o_orderkey % 4 = 0 THEN CAST(substring(o_orderpriority, 1, 1) AS INT) % 5 + 1 ELSE CAST(substring(o_orderpriority, 1, 1) AS INT) END AS p FROM orders)"""
 
+#: All 18 level-2 classes, a quarter of the rows taken for the next one.
+CODES_18 = [int(c) for c, _, _ in table_rows(LEVEL_2)]
+
+
+def truth_pred_18(spark: SparkSession, sf_dir: str) -> DataFrame:
+    codes = F.array(*[F.lit(c) for c in CODES_18])
+    at = F.expr("CAST((o_orderkey * 7) % 18 AS INT)")
+    taken = F.when(F.expr("o_orderkey % 4 = 0"), (at + 1) % 18).otherwise(at)
+    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), codes[at].alias("true"), codes[taken].alias("pred"))
+
+
+TRUTH_18 = f"""truth_18 AS (SELECT o_orderkey AS id, [{", ".join(map(str, CODES_18))}][(o_orderkey * 7) % 18 + 1] AS t,
+  [{", ".join(map(str, CODES_18))}][((o_orderkey * 7) % 18 + CASE WHEN o_orderkey % 4 = 0 THEN 1 ELSE 0 END) % 18 + 1] AS p FROM orders)"""
+
 UNKNOWN = (9991, 9992)
 
 
@@ -156,3 +170,26 @@ covered AS (SELECT id, cls, r, c FROM rects, n, cells WHERE c + 0.5 >= x AND c +
 def river(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The raster with a value on the river cells only."""
     return full_grid(spark, sf_dir).withColumn("river", F.when(F.col("col") == (F.col("row") * 3) % N_COLS, 1))
+
+
+def places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Longitudes and latitudes around the middle of a UTM zone."""
+    key = F.col("c_custkey")
+    return table(spark, sf_dir, "customer").select(key.alias("id"), (6.0 + (key % 600) / 100).alias("lon"), (43.0 + (key % 379) / 100).alias("lat"))
+
+
+def spoilt_rects(spark: SparkSession, sf_dir: str, n_rows: int) -> DataFrame:
+    """The rectangles with faults by id: empty, open, repeated and null points, a spike, the wrong turn."""
+    ring = F.col("rings")[0]
+    nothing = F.lit(None).cast("double")
+    null_point = F.array(F.struct(nothing.alias("x"), nothing.alias("y")))
+    spike = F.array(F.struct((ring[1]["x"] + 5).alias("x"), ring[1]["y"].alias("y")), ring[1])
+    fault = F.col("id") % 5
+    spoilt = (
+        F.when(fault == 0, F.slice(ring, 1, 1))
+        .when(fault == 1, F.slice(ring, 1, 4))
+        .when(fault == 2, F.concat(F.slice(ring, 1, 2), F.slice(ring, 2, 4)))
+        .when(fault == 3, F.concat(F.slice(ring, 1, 2), spike, null_point, F.slice(ring, 3, 3)))
+        .otherwise(F.reverse(ring))
+    )
+    return rects(spark, sf_dir, n_rows).withColumn("rings", F.array(spoilt))

@@ -7,11 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pixelmill.functions import indices
+from pixelmill.functions import indices, projection
 from pixelmill.operators import applicability, composite, forest, grid, legend, metrics, neighbourhood, purity, sampling, selection, separability, spatial
 from pixelmill.operators.grid import GridSpec
 from pixelmill.plans import fixtures as fx
-from pixelmill.sources import files
+from pixelmill.sources import files, vectors
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -196,7 +196,10 @@ def u4_set_intersection(spark, sf_dir):
     return legend.legend(spark).select("classe").intersect(fx.legend_raw(spark, sf_dir).select("classe"))
 
 
-@query("SELECT mtry, node FROM (VALUES (1), (2), (3)) AS m(mtry), (VALUES (5), (10)) AS n(node)")
+@query(
+    f"WITH p AS (SELECT {len(fx.FEATURES)} AS p), m AS (SELECT unnest([floor(sqrt(p) / 2), floor(sqrt(p)), round_even(p / 5, 0), round_even(p / 3, 0)]) AS m, p FROM p) "
+    f"SELECT DISTINCT CAST(greatest(1, least(p, {forest.MTRY_MOST}, m)) AS INT) AS mtry, node FROM m, (VALUES (5), (10)) AS n(node)"
+)
 def u6_settings_grid(spark, sf_dir):
     mtry = spark.createDataFrame([(m,) for m in forest.mtry_grid(8)], "mtry int")
     return mtry.crossJoin(F.broadcast(spark.createDataFrame([(5,), (10,)], "node int")))
@@ -251,7 +254,7 @@ def a4_layer_stats(spark, sf_dir):
     return grid.layer_stats(both, ["v", "full_v"]).withColumn("mean_value", F.round("mean_value", 4))
 
 
-@query("SELECT 'full_v' AS layer")
+@query(f"WITH {fx.GRID}, k AS (SELECT 'v' AS layer, count(*) - count(v) AS gaps FROM cells UNION ALL SELECT 'full_v', count(*) - count(full_v) FROM cells) SELECT layer FROM k WHERE gaps = 0")
 def p15_null_free_columns(spark, sf_dir):
     both = fx.full_grid(spark, sf_dir).select(F.col("v").alias("full_v"), F.when(F.expr(f"(row * {fx.N_COLS} + col) % 7 >= 2"), F.col("v")).alias("v"))
     return spark.createDataFrame([(c,) for c in grid.null_free(both, ["v", "full_v"])], "layer string")
@@ -349,7 +352,7 @@ def g9_focal_fill_until_done(spark, sf_dir):
 
 
 def _fill_inside_sql(rounds: int) -> str:
-    steps = [f"{fx.GRID}", "near AS (SELECT * FROM (VALUES (-1), (0), (1)) a(dr), (VALUES (-1), (0), (1)) b(dc))", "s0 AS (SELECT r, c, v FROM cells WHERE r < 10 AND c < 40)"]
+    steps = [f"{fx.GRID}", "near AS (SELECT * FROM (VALUES (-1), (0), (1)) a(dr), (VALUES (-1), (0), (1)) b(dc))", "s0 AS (SELECT r, c, v FROM cells WHERE r % 40 < 10 AND c < 40)"]
     for k in range(rounds):
         steps.append(
             f"s{k + 1} AS (SELECT a.r, a.c, coalesce(any_value(a.v), avg(b.v)) AS v FROM s{k} a CROSS JOIN near LEFT JOIN s{k} b ON b.r = a.r + dr AND b.c = a.c + dc GROUP BY a.r, a.c)"
@@ -360,12 +363,12 @@ def _fill_inside_sql(rounds: int) -> str:
 @query(_fill_inside_sql(5))
 def g10_fill_inside(spark, sf_dir):
     df = fx.grid(spark, sf_dir)
-    return neighbourhood.fill_inside(df, "v", df.where("row < 10 AND col < 40")).withColumn("v", F.round("v", 4))
+    return neighbourhood.fill_inside(df, "v", df.where("row % 40 < 10 AND col < 40")).withColumn("v", F.round("v", 4))
 
 
-@query()
+@query(_fill_inside_sql(5))
 def g10_fill_inside_whole(spark, sf_dir):
-    """As g10_fill_inside, with a mask that grows with the raster: ten of every 40 rows."""
+    """Over the whole raster: the mask, ten of every 40 rows, grows with it."""
     df = fx.grid(spark, sf_dir)
     return neighbourhood.fill_inside(df, "v", df.where("row % 40 < 10 AND col < 40")).withColumn("v", F.round("v", 4))
 
@@ -463,37 +466,32 @@ def g18_buffer(spark, sf_dir):
     return spatial.buffer_cells(fx.river(spark, sf_dir), "river", 25.0, 10.0, 10.0)
 
 
-@query(
-    f"""WITH RECURSIVE {fx.GRID}, on_cells AS (SELECT r, c, CAST(r AS BIGINT) * 100 + c AS id FROM cells WHERE full_v > 150000 AND r < 40),
-links AS (SELECT a.id AS a, b.id AS b FROM on_cells a JOIN on_cells b ON (b.r = a.r AND b.c IN (a.c - 1, a.c + 1)) OR (b.c = a.c AND b.r IN (a.r - 1, a.r + 1))),
-reach(v, w) AS (SELECT id, id FROM on_cells UNION SELECT reach.v, links.b FROM reach JOIN links ON links.a = reach.w WHERE links.b < 1000000)
-SELECT r AS "row", c AS col, min(w) AS component FROM reach JOIN on_cells ON id = v GROUP BY r, c"""
-)
+@query()  # a closure over the whole raster is too slow in SQL; the tests hold it against union-find
 def g17_components(spark, sf_dir):
-    return spatial.raster_components(fx.full_grid(spark, sf_dir).where("v > 150000 AND row < 40"), fx.N_COLS)
+    return spatial.raster_components(fx.full_grid(spark, sf_dir).where("v > 150000"), fx.N_COLS)
 
 
 @query(
-    f"""WITH RECURSIVE {fx.GRID}, on_cells AS (SELECT r, c, CAST(r AS BIGINT) * 100 + c AS id FROM cells WHERE full_v > 250000 AND r < 40),
-links AS (SELECT a.id AS a, b.id AS b FROM on_cells a JOIN on_cells b ON (b.r = a.r AND b.c IN (a.c - 1, a.c + 1)) OR (b.c = a.c AND b.r IN (a.r - 1, a.r + 1))),
-reach(v, w) AS (SELECT id, id FROM on_cells UNION SELECT reach.v, links.b FROM reach JOIN links ON links.a = reach.w),
+    f"""WITH RECURSIVE {fx.GRID}, on_cells AS (SELECT r, c, CAST(r AS BIGINT) * 100 + c AS id FROM cells WHERE full_v > 250000),
+links AS MATERIALIZED (SELECT a.id AS a, b.id AS b FROM on_cells a JOIN on_cells b ON b.r = a.r AND b.c = a.c + 1 UNION ALL SELECT b.id, a.id FROM on_cells a JOIN on_cells b ON b.r = a.r AND b.c = a.c + 1 UNION ALL SELECT a.id, b.id FROM on_cells a JOIN on_cells b ON b.c = a.c AND b.r = a.r + 1 UNION ALL SELECT b.id, a.id FROM on_cells a JOIN on_cells b ON b.c = a.c AND b.r = a.r + 1),
+reach(w, v) AS (SELECT id, id FROM on_cells WHERE id NOT IN (SELECT b FROM links WHERE a < b) UNION SELECT reach.w, links.b FROM reach JOIN links ON links.a = reach.v WHERE links.b > reach.w),
 part AS (SELECT v, min(w) AS component FROM reach GROUP BY v)
 SELECT component, count(*) AS n_cells, count(*) * 100.0::DOUBLE AS area FROM part GROUP BY component HAVING count(*) >= 5"""
 )
 def p26_large_components(spark, sf_dir):
-    labelled = spatial.raster_components(fx.full_grid(spark, sf_dir).where("v > 250000 AND row < 40"), fx.N_COLS)
+    labelled = spatial.raster_components(fx.full_grid(spark, sf_dir).where("v > 250000"), fx.N_COLS)
     return spatial.large_components(labelled, 100.0, 500.0)
 
 
 @query()
 def g17_components_whole(spark, sf_dir):
-    """As g17_components, over all rows of the raster."""
+    """Over all rows of the raster."""
     return spatial.raster_components(fx.full_grid(spark, sf_dir).where("v > 150000"), fx.N_COLS)
 
 
-@query()
+@query(SQL["p26_large_components"])
 def p26_large_components_whole(spark, sf_dir):
-    """As p26_large_components, over all rows of the raster."""
+    """Over all rows of the raster."""
     labelled = spatial.raster_components(fx.full_grid(spark, sf_dir).where("v > 250000"), fx.N_COLS)
     return spatial.large_components(labelled, 100.0, 500.0)
 
@@ -558,8 +556,8 @@ def a18_purity_loss(spark, sf_dir):
 LEVELS = [1, 2, 3, 4, 5]
 
 
-def _accuracy_sql(where: str = "true") -> str:
-    return f"""{fx.TRUTH}, lv(k) AS (VALUES (1), (2), (3), (4), (5)),
+def _accuracy_sql(where: str = "true", truth: str = fx.TRUTH, levels: list[int] = LEVELS) -> str:
+    return f"""{truth}, lv(k) AS (VALUES {", ".join(f"({k})" for k in levels)}),
 m AS (SELECT a.k AS p, b.k AS t, (SELECT count(*) FROM truth WHERE truth.p = a.k AND truth.t = b.k AND {where}) AS n FROM lv a, lv b),
 s AS (SELECT CAST(sum(n) AS DOUBLE) AS big FROM m),
 k AS (SELECT k AS class, CAST((SELECT sum(n) FROM m WHERE t = k) AS BIGINT) AS n_true, CAST((SELECT sum(n) FROM m WHERE p = k) AS BIGINT) AS n_pred, CAST((SELECT sum(n) FROM m WHERE p = k AND t = k) AS BIGINT) AS tp FROM lv),
@@ -601,6 +599,24 @@ def v11_aggregated_eval(spark, sf_dir):
     return metrics.confusion(merged, "pred", "true", [1, 3, 4]).where("n > 0")
 
 
+MERGED = sorted(set(legend.AGGREGATED.values()))
+MERGED_SQL = f"{fx.TRUTH_18}, agg(a, b) AS (VALUES {', '.join(f'({a}, {b})' for a, b in legend.AGGREGATED.items())}), truth AS (SELECT x.b AS p, y.b AS t FROM truth_18 JOIN agg x ON x.a = truth_18.p JOIN agg y ON y.a = truth_18.t)"
+CLASS_METRICS = "class, n_true, n_pred, round(100 * pa, 2) AS pa, round(100 * ua, 2) AS ua, round(100 * spec, 2) AS spec, round(100 * coalesce(2 * ua * pa / nullif(ua + pa, 0), 0), 2) AS f1, round(100 * (pa + spec) / 2, 2) AS ba, round(pa + spec - 1, 4) AS tss"
+
+
+@query(f"WITH {_accuracy_sql(truth=MERGED_SQL, levels=MERGED)} SELECT {CLASS_METRICS} FROM q")
+def v11_aggregated_classes(spark, sf_dir):
+    """Per class, after the level-2 classes are merged from 18 to 15."""
+    merged = fx.truth_pred_18(spark, sf_dir).select(*[legend.aggregate_classes(F.col(c)).alias(c) for c in ("pred", "true")])
+    return metrics.class_metrics(metrics.confusion(merged, "pred", "true", MERGED))
+
+
+@query(f"WITH {_accuracy_sql(truth=fx.TRUTH_18.replace('truth_18 AS', 'truth AS'), levels=sorted(legend.AGGREGATED))} SELECT {GLOBAL} FROM g")
+def v11_level_2(spark, sf_dir):
+    """Of all 18 level-2 classes."""
+    return metrics.global_metrics(metrics.confusion(fx.truth_pred_18(spark, sf_dir), "pred", "true", sorted(legend.AGGREGATED)))
+
+
 @query(
     f"""SELECT 'internal' AS setting, oa, ba, wa, kappa FROM (WITH {_accuracy_sql("id % 2 = 0")} SELECT {GLOBAL} FROM g)
 UNION ALL SELECT 'transfer', oa, ba, wa, kappa FROM (WITH {_accuracy_sql("id % 2 = 1")} SELECT {GLOBAL} FROM g)"""
@@ -630,12 +646,41 @@ def m1_jm_pairs(spark, sf_dir):
     return separability.jm_pairs(fx.pixels(spark, sf_dir), "cod_l2", ["f0", "f1"])
 
 
-@query()
+N_F = len(fx.FEATURES)
+#: Every class matrix and every pooled one, bordered by the gap of means, is reduced column by column: the pivots give
+#: the logarithms of determinants, the corner left over the squared distance.
+JM_SQL = f"""{fx.PIXELS}, x AS (SELECT cod_l2 AS class, [{', '.join(fx.FEATURES)}] AS f FROM pixels),
+ij AS (SELECT i, j FROM range(1, {N_F + 1}) a(i), range(1, {N_F + 1}) b(j)),
+cov AS (SELECT class, i, j, covar_samp(f[i], f[j]) AS v FROM x, ij GROUP BY class, i, j),
+mean AS (SELECT class, i, avg(f[i]) AS m FROM x, range(1, {N_F + 1}) a(i) GROUP BY class, i),
+k AS (SELECT class, count(*) AS n FROM x GROUP BY class),
+pairs AS (SELECT a.class AS ca, b.class AS cb FROM k a JOIN k b ON a.class <= b.class),
+gap AS (SELECT ca, cb, a.i, a.m - b.m AS v FROM pairs JOIN mean a ON a.class = ca JOIN mean b ON b.class = cb AND b.i = a.i),
+whole AS (SELECT ca, cb, a.i, a.j, (a.v + b.v) / 2 AS v FROM pairs JOIN cov a ON a.class = ca JOIN cov b ON b.class = cb AND b.i = a.i AND b.j = a.j
+  UNION ALL SELECT ca, cb, i, {N_F + 1}, v FROM gap UNION ALL SELECT ca, cb, {N_F + 1}, i, v FROM gap UNION ALL SELECT ca, cb, {N_F + 1}, {N_F + 1}, 0.0 FROM pairs),
+steps(k, ca, cb, i, j, v) AS (SELECT 0, ca, cb, i, j, v FROM whole UNION ALL
+  SELECT e.k + 1, e.ca, e.cb, e.i, e.j, e.v - r.v * c.v / p.v FROM steps e JOIN steps p ON p.ca = e.ca AND p.cb = e.cb AND p.i = e.k + 1 AND p.j = e.k + 1
+  JOIN steps r ON r.ca = e.ca AND r.cb = e.cb AND r.i = e.i AND r.j = e.k + 1 JOIN steps c ON c.ca = e.ca AND c.cb = e.cb AND c.i = e.k + 1 AND c.j = e.j
+  WHERE e.i > e.k + 1 AND e.j > e.k + 1 AND e.k < {N_F}),
+logs AS (SELECT ca, cb, sum(ln(v)) AS log_det FROM steps WHERE i = k + 1 AND j = k + 1 AND k < {N_F} GROUP BY ca, cb),
+far AS (SELECT ca, cb, -v AS q FROM steps WHERE k = {N_F}),
+jm AS (SELECT far.ca AS class_a, far.cb AS class_b, x.n AS n_a, y.n AS n_b,
+  round(least(greatest(2 * (1 - exp(-(q / 8 + (p.log_det - (a.log_det + b.log_det) / 2) / 2))), 0), 2), 4) AS jm, least(x.n, y.n) < {N_F + 1} AS few
+  FROM far JOIN logs p ON p.ca = far.ca AND p.cb = far.cb JOIN logs a ON a.ca = far.ca AND a.cb = far.ca JOIN logs b ON b.ca = far.cb AND b.cb = far.cb
+  JOIN k x ON x.class = far.ca JOIN k y ON y.class = far.cb WHERE far.ca < far.cb)"""
+CODES = [10 * (k // 2 + 1) + k % 2 + 1 for k in range(10)]
+
+
+@query(
+    f"WITH RECURSIVE {JM_SQL}, sides AS (SELECT class_a AS class, class_b AS other, jm FROM jm UNION ALL SELECT class_b, class_a, jm FROM jm) SELECT class, "
+    + ", ".join(f'max(CASE WHEN other = {c} THEN jm END) AS "{c}"' for c in CODES)
+    + " FROM sides GROUP BY class"
+)
 def m2_jm_matrix(spark, sf_dir):
     return separability.jm_matrix(separability.jm_pairs(fx.pixels(spark, sf_dir), "cod_l2", fx.FEATURES))
 
 
-@query()
+@query(f"WITH RECURSIVE {JM_SQL} SELECT * FROM jm ORDER BY jm, class_a, class_b LIMIT 10")
 def o2_least_separable(spark, sf_dir):
     return separability.jm_pairs(fx.pixels(spark, sf_dir), "cod_l2", fx.FEATURES).orderBy("jm", "class_a", "class_b").limit(10)
 
@@ -663,19 +708,41 @@ def m6_kendall(spark, sf_dir):
     return selection.kendall(fx.pixels(spark, sf_dir), ["f0", "f1", "f2"], "id", most=300).withColumn("tau", F.round("tau", 6))
 
 
-@query()
+ALL_LONG = "long AS (" + " UNION ALL ".join(f"SELECT '{f}' AS predictor, {f} AS value, cod_l1 AS class FROM pixels" for f in fx.FEATURES) + ")"
+
+
+@query(
+    f"""WITH {fx.PIXELS}, {ALL_LONG}, k AS (SELECT predictor, class, value, (rank() OVER w + rank() OVER w + count(*) OVER (PARTITION BY predictor, value) - 1) / 2 AS mid, count(*) OVER (PARTITION BY predictor) AS n FROM long WINDOW w AS (PARTITION BY predictor ORDER BY value)),
+u AS (SELECT predictor, class, (sum(mid) - count(*) * (count(*) + 1) / 2) / (count(*) * (any_value(n) - count(*))) AS a FROM k GROUP BY predictor, class)
+SELECT predictor, round(max(greatest(a, 1 - a)), 6) AS auc FROM u GROUP BY predictor"""
+)
 def m4_auc_whole(spark, sf_dir):
     """As m4_auc, of all predictors."""
-    return selection.best_auc(fx.pixels(spark, sf_dir), "cod_l1", fx.FEATURES)
+    return selection.best_auc(fx.pixels(spark, sf_dir), "cod_l1", fx.FEATURES).withColumn("auc", F.round("auc", 6))
 
 
-@query()
+def _tau_sql(columns: dict[str, str]) -> str:
+    """tau of every ordered pair of columns over the 3,000 rows of the smallest digests, all row pairs compared."""
+    names = list(columns)
+    shown = ", ".join(f"{e} AS {c}" for c, e in columns.items())
+    terms = ", ".join(f"sum(sign(a.{x} - b.{x}) * sign(a.{y} - b.{y})) AS t_{x}_{y}" for i, x in enumerate(names) for y in names[i:])
+    each = " UNION ALL ".join(
+        f"SELECT '{x}' AS a, '{y}' AS b, coalesce(t_{min(x, y, key=names.index)}_{max(x, y, key=names.index)} / nullif(sqrt(CAST(t_{x}_{x} AS DOUBLE) * t_{y}_{y}), 0), 0) AS tau FROM sums" for x in names for y in names
+    )
+    return f"{fx.PIXELS}, s AS (SELECT {shown} FROM pixels ORDER BY md5('50|' || id), id LIMIT 3000), sums AS (SELECT {terms} FROM s a, s b), tau AS ({each})"
+
+
+@query(f"WITH {_tau_sql({f: f for f in fx.FEATURES})} SELECT a, b, round(tau, 6) AS tau FROM tau")
 def m6_kendall_whole(spark, sf_dir):
     """As m6_kendall, of all predictors and on as many rows as the function takes."""
-    return selection.kendall(fx.pixels(spark, sf_dir), fx.FEATURES, "id")
+    return selection.kendall(fx.pixels(spark, sf_dir), fx.FEATURES, "id").withColumn("tau", F.round("tau", 6))
 
 
-@query()
+#: States the pruning where no two pairs above the cutoff share a predictor, as here.
+@query(
+    f"""WITH {_tau_sql({f: f for f in fx.FEATURES} | {"g0": "f0 * 2 + 1"})}, m AS (SELECT a, sum(abs(tau)) FILTER (WHERE a <> b) AS total FROM tau GROUP BY a)
+SELECT m.a AS predictor FROM m WHERE NOT EXISTS (SELECT 1 FROM tau JOIN m o ON o.a = tau.b WHERE tau.a = m.a AND tau.b <> m.a AND abs(tau) > 0.90 AND (round(m.total, 9) > round(o.total, 9) OR (round(m.total, 9) = round(o.total, 9) AND m.a > o.a)))"""
+)
 def m7_prune(spark, sf_dir):
     names = [*fx.FEATURES, "g0"]
     df = fx.pixels(spark, sf_dir).withColumn("g0", F.col("f0") * 2 + 1)
@@ -710,7 +777,7 @@ def m11_tuning(spark, sf_dir):
 @query()
 def m15_importance(spark, sf_dir):
     df, settings = _settings(spark, sf_dir)
-    return forest.importance(spark, forest.final_model(df, "cod_l1", fx.FEATURES, "id", **settings))
+    return forest.importance(spark, forest.importance_model(df, "cod_l1", fx.FEATURES, "id", settings["mtry"]))
 
 
 @query()
@@ -781,3 +848,211 @@ def s6_raster_round_trip(spark, sf_dir):
     files.write_raster(fx.grid(spark, sf_dir).withColumn("v", F.rint(F.col("v") / 100)), path, {"v": "int"}, block_rows=64)
     return files.read_raster(spark, path).withColumn("v", F.col("v").cast("double"))
 
+
+
+@query(f'WITH {fx.GRID} SELECT r AS "row", c AS col, v FROM cells WHERE r // 16 BETWEEN 2 AND 3')
+def s8_block_rows(spark, sf_dir):
+    path = f"{files.scratch(spark)}/blocks"
+    files.write_raster(fx.grid(spark, sf_dir), path, {"v": "double"}, block_rows=16)
+    return files.read_block(spark, path, 2, 3)
+
+
+@query(f"WITH {fx.GRID}, {fx.RECTS} SELECT id, cls, CAST(5 AS INT) AS n_points, CAST(round(w * h, 6) AS DOUBLE) AS area FROM rects")
+def s9_geopackage_round_trip(spark, sf_dir):
+    """Rectangles written as GeoPackage parts by the tasks, read back file by file."""
+    path = f"{files.scratch(spark)}/rects"
+    shapes = fx.rects(spark, sf_dir, fx.spec_of(fx.grid(spark, sf_dir)).n_rows)
+    vectors.write_geopackage(shapes.select("id", "cls", vectors.polygon_wkb("rings").alias("geom")), path, "rects")
+    back = vectors.with_rings(vectors.read_geopackage(spark, path))
+    return back.select(
+        F.get_json_object("attributes", "$.id").cast("long").alias("id"), F.get_json_object("attributes", "$.cls").cast("int").alias("cls"), F.size(F.col("rings")[0]).alias("n_points"), F.round(spatial.ring_area(F.col("rings")), 6).alias("area")
+    )
+
+
+@query(f"WITH {fx.GRID} SELECT round(avg(v), 4) AS mean_value, round(max(v), 4) AS max_value FROM cells")
+def s14_parameters(spark, sf_dir):
+    path = f"{files.scratch(spark)}/parameters"
+    stats = fx.grid(spark, sf_dir).agg(F.round(F.avg("v"), 4).alias("mean_value"), F.round(F.max("v"), 4).alias("max_value")).first()
+    files.write_parameters(spark, stats.asDict(), path)
+    return spark.createDataFrame([tuple(files.read_parameters(spark, path).values())], "mean_value double, max_value double")
+
+
+@query(f'WITH {fx.GRID} SELECT r AS "row", c AS col, coalesce(CASE WHEN c % 2 = 0 THEN full_v END, v) AS v FROM cells')
+def s15_prefer_filled(spark, sf_dir):
+    filled = fx.full_grid(spark, sf_dir).where("col % 2 = 0")
+    return grid.prefer_filled(fx.grid(spark, sf_dir), filled, "v")
+
+
+# projections and perimeters
+
+_PLACES = "places AS (SELECT c_custkey AS id, 6.0 + (c_custkey % 600) / 100 AS lon, 43.0 + (c_custkey % 379) / 100 AS lat FROM customer)"
+
+
+def _series(kind: str, x: str, y: str, terms: tuple[float, ...]) -> str:
+    outer, inner = ("cos", "sinh") if kind == "east" else ("sin", "cosh")
+    return " + ".join(f"({a!r}) * {outer}({2 * j} * {x}) * {inner}({2 * j} * {y})" for j, a in enumerate(terms, 1))
+
+
+@query(
+    f"""WITH {_PLACES}, a AS (SELECT id, radians(lon - 9) AS away, sinh(atanh(sin(radians(lat))) - {projection.ECCENTRICITY!r} * atanh({projection.ECCENTRICITY!r} * sin(radians(lat)))) AS t FROM places),
+b AS (SELECT id, atan2(t, cos(away)) AS xi, asinh(sin(away) / sqrt(t * t + cos(away) * cos(away))) AS eta FROM a)
+SELECT id, round(500000 + {projection.RADIUS!r} * (eta + {_series("east", "xi", "eta", projection.FORWARD)}), 3) AS x, round({projection.RADIUS!r} * (xi + {_series("north", "xi", "eta", projection.FORWARD)}), 3) AS y FROM b"""
+)
+def g5_to_utm(spark, sf_dir):
+    x, y = projection.transformed(F.col("lon"), F.col("lat"), 4326, 32632)
+    return fx.places(spark, sf_dir).select("id", F.round(x, 3).alias("x"), F.round(y, 3).alias("y"))
+
+
+@query(f"WITH {_PLACES} SELECT id, round(lon, 7) AS lon, round(lat, 7) AS lat FROM places")
+def g5_utm_round_trip(spark, sf_dir):
+    """There and back through the neighbouring zone gives the same place."""
+    x, y = projection.transformed(F.col("lon"), F.col("lat"), 4326, 32632)
+    there = fx.places(spark, sf_dir).select("id", x.alias("x"), y.alias("y"))
+    x, y = projection.transformed(F.col("x"), F.col("y"), 32632, 32633)
+    there = there.select("id", x.alias("x"), y.alias("y"))
+    lon, lat = projection.transformed(F.col("x"), F.col("y"), 32633, 4326)
+    return there.select("id", F.round(lon, 7).alias("lon"), F.round(lat, 7).alias("lat"))
+
+
+@query(
+    f"""WITH {fx.GRID}, {fx.RECTS}, e AS (SELECT min(x) - 300 AS w, min(y) - 300 AS s, max(x + w) + 300 AS e, max(y + h) + 300 AS n, any_value(n_rows) AS n_rows FROM rects, n),
+k AS (SELECT greatest(0, ceil(0 - w)) AS west, greatest(0, ceil(0 - s)) AS south, greatest(0, ceil(e - 100)) AS east, greatest(0, ceil(n - n_rows)) AS north, n_rows FROM e)
+SELECT CAST(0 - west AS DOUBLE) AS "left", CAST(n_rows + north AS DOUBLE) AS top, CAST(n_rows + north + south AS INT) AS n_rows, CAST(100 + east + west AS INT) AS n_cols FROM k"""
+)
+def g6_snapped_extent(spark, sf_dir):
+    spec = fx.spec_of(fx.grid(spark, sf_dir))
+    points = fx.rects(spark, sf_dir, spec.n_rows).select(F.explode(F.col("rings")[0]).alias("p")).select("p.x", "p.y")
+    found = spec.snapped(*points.agg(F.min("x"), F.min("y"), F.max("x"), F.max("y")).first())
+    return spark.createDataFrame([(found.left, found.top, found.n_rows, found.n_cols)], "left double, top double, n_rows int, n_cols int")
+
+
+@query(f'WITH {fx.GRID}, {fx.RECTS} SELECT r AS "row", c AS col, v FROM cells WHERE (r, c) IN (SELECT (r, c) FROM covered)')
+def g20_clip(spark, sf_dir):
+    df = fx.grid(spark, sf_dir)
+    spec = fx.spec_of(df)
+    return spatial.clip(df, spatial.zonal_cells(fx.rects(spark, sf_dir, spec.n_rows), spec))
+
+
+@query(f"WITH {fx.GRID}, {fx.RECTS} SELECT id, CAST(round(w * h, 6) AS DOUBLE) AS area, 5 AS n_points FROM rects WHERE id % 5 <> 0")
+def g19_repaired(spark, sf_dir):
+    """Rings left open, with repeated points, nulls, spikes and the wrong turn are mended; empty ones go."""
+    spoilt = fx.spoilt_rects(spark, sf_dir, fx.spec_of(fx.grid(spark, sf_dir)).n_rows).withColumn("rings", spatial.repaired(F.col("rings")))
+    whole = spoilt.where(spatial.valid_rings(F.col("rings")))
+    return whole.select("id", F.round(spatial.ring_area(F.col("rings")), 6).alias("area"), F.size(F.col("rings")[0]).alias("n_points"))
+
+
+@query(
+    f"""WITH RECURSIVE {fx.GRID}, {fx.RECTS}, src AS (SELECT DISTINCT r, c FROM covered), five AS (SELECT * FROM (VALUES (0, 0), (0, 1), (0, -1), (1, 0), (-1, 0)) x(dr, dc)),
+on_cells AS (SELECT DISTINCT CAST(r + dr AS INT) AS r, CAST(c + dc AS INT) AS c, CAST(r + dr AS BIGINT) * 100 + c + dc AS id FROM src, five, n WHERE r + dr BETWEEN 0 AND n_rows - 1 AND c + dc BETWEEN 0 AND 99),
+links AS MATERIALIZED (SELECT a.id AS a, b.id AS b FROM on_cells a JOIN on_cells b ON b.r = a.r AND b.c = a.c + 1 UNION ALL SELECT b.id, a.id FROM on_cells a JOIN on_cells b ON b.r = a.r AND b.c = a.c + 1 UNION ALL SELECT a.id, b.id FROM on_cells a JOIN on_cells b ON b.c = a.c AND b.r = a.r + 1 UNION ALL SELECT b.id, a.id FROM on_cells a JOIN on_cells b ON b.c = a.c AND b.r = a.r + 1),
+reach(w, v) AS (SELECT id, id FROM on_cells WHERE id NOT IN (SELECT b FROM links WHERE a < b) UNION SELECT reach.w, links.b FROM reach JOIN links ON links.a = reach.v WHERE links.b > reach.w),
+part AS (SELECT v, min(w) AS component FROM reach GROUP BY v), sized AS (SELECT component, count(*) * 1.0::DOUBLE AS area FROM part GROUP BY component HAVING count(*) >= 12)
+SELECT r AS "row", c AS col, component, area FROM on_cells JOIN part ON v = id JOIN sized USING (component)"""
+)
+def g17_isolated_parts(spark, sf_dir):
+    """Widened by half a cell, united, split into parts, small parts dropped."""
+    spec = fx.spec_of(fx.grid(spark, sf_dir))
+    return spatial.isolated_parts(fx.rects(spark, sf_dir, spec.n_rows), spec, 0.5, 12.0)
+
+
+# columns, orders, names
+
+
+@query(f'WITH {fx.GRID}, {fx.RECTS} SELECT covered.id, r AS "row", c AS col, rects.cls, CAST(rects.w AS DOUBLE) AS w FROM covered JOIN rects ON rects.id = covered.id')
+def j2_polygon_attributes(spark, sf_dir):
+    spec = fx.spec_of(fx.grid(spark, sf_dir))
+    shapes = fx.rects(spark, sf_dir, spec.n_rows)
+    attributes = shapes.select("id", "cls", (F.col("rings")[0][1]["x"] - F.col("rings")[0][0]["x"]).alias("w"))
+    return legend.attach(spatial.zonal_cells(shapes, spec), attributes, "id")
+
+
+@query(
+    f"WITH {fx.LEGEND}, names(cod_l2, colour) AS (VALUES " + ", ".join(f"({v}, '{c}')" for v, c, _ in legend.table_rows(legend.LEVEL_2)) + ") SELECT polygon_id, colour FROM raw LEFT JOIN legend ON legend.classe = raw.classe LEFT JOIN names ON names.cod_l2 = legend.cod_l2"
+)
+def j3_lookup(spark, sf_dir):
+    colours = legend.palette(spark).where("level = 2").select(F.col("value").alias("cod_l2"), "colour")
+    coded = legend.attach(fx.legend_raw(spark, sf_dir), legend.legend(spark), "classe")
+    return legend.attach(coded, colours, "cod_l2").select("polygon_id", "colour")
+
+
+@query(f"WITH {fx.BANDS_SQL} SELECT b04 AS \"B04_MAM\", b08 AS \"B08_MAM\" FROM bands")
+def p2_season_names(spark, sf_dir):
+    """Two bands picked and named by season."""
+    return fx.bands(spark, sf_dir).select("b04", "b08").withColumnsRenamed({b: f"{b.upper()}_MAM" for b in ("b04", "b08")})
+
+
+@query(f"WITH {fx.LEGEND} SELECT polygon_id, classe, area FROM raw")
+def p12_drop_stale(spark, sf_dir):
+    """Columns of an earlier run go by name, whether they are there or not."""
+    return fx.legend_raw(spark, sf_dir).withColumn("COD_L1", F.lit(1)).drop("description", "COD_L1", "COD_MASCHERA")
+
+
+@query(f"WITH {fx.PIXELS}, m(model, k) AS (VALUES ('L1', NULL), ('L2_1', 1), ('L2_2', 2), ('L2_4', 4), ('L2_5', 5)) SELECT model, count(*) AS n FROM pixels JOIN m ON k IS NULL OR k = cod_l1 GROUP BY model")
+def p14_model_rows(spark, sf_dir):
+    """Rows of each model by its stored filter."""
+    pixels = fx.pixels(spark, sf_dir)
+    counted = pixels.agg(*[F.count_if(F.expr(m.rows)).alias(m.name) for m in selection.MODELS])
+    each = F.explode(F.array(*[F.struct(F.lit(m.name).alias("model"), F.col(m.name).alias("n")) for m in selection.MODELS]))
+    return counted.select(each.alias("m")).select("m.*").where("n > 0")
+
+
+@query(f"WITH {fx.LEGEND} SELECT polygon_id, raw.classe FROM raw JOIN legend ON legend.classe = raw.classe WHERE cod_l2 = 41")
+def p25_polygon_filter(spark, sf_dir):
+    coded = legend.attach(fx.legend_raw(spark, sf_dir), legend.legend(spark), "classe")
+    return coded.where("cod_l2 IS NOT NULL AND cod_l2 = 41").select("polygon_id", "classe")
+
+
+@query(f"WITH {fx.LEGEND} SELECT string_agg(k, ',' ORDER BY c) AS codes FROM (SELECT DISTINCT cod_l2 AS c, CAST(cod_l2 AS VARCHAR) AS k FROM legend)")
+def o6_sorted_codes(spark, sf_dir):
+    return legend.legend(spark).agg(F.array_join(F.array_sort(F.collect_set("cod_l2")), ",").alias("codes"))
+
+
+@query(f"WITH {fx.LEGEND} SELECT polygon_id, classe FROM raw ORDER BY classe, polygon_id LIMIT 5")
+def o5_preview(spark, sf_dir):
+    """The first five in the order of class codes."""
+    return fx.legend_raw(spark, sf_dir).select("polygon_id", "classe").orderBy("classe", "polygon_id").limit(5)
+
+
+@query(f"WITH {fx.LEGEND} SELECT classe, format('{{:,}}', 1000 * count(*)) AS shown FROM raw GROUP BY classe")
+def f22_thousands(spark, sf_dir):
+    return legend.frequency(fx.legend_raw(spark, sf_dir), "classe").select("classe", F.format_number(F.col("n") * 1000, 0).alias("shown"))
+
+
+@query(f"WITH {fx.LEGEND} SELECT polygon_id AS id, row_number() OVER (ORDER BY description, polygon_id) AS polygon_no FROM raw")
+def w1_polygon_ids(spark, sf_dir):
+    raw = fx.legend_raw(spark, sf_dir).select(F.col("polygon_id").alias("id"), "description")
+    return sampling.numbered(raw, ["description", "id"], "polygon_no").select("id", "polygon_no")
+
+
+@query(f"WITH {fx.PIXELS}, r AS (SELECT *, row_number() OVER (PARTITION BY cod_l2 ORDER BY md5('50|' || id), id) AS rn, count(*) OVER (PARTITION BY cod_l2) AS n FROM pixels) SELECT id, cod_l2, CASE WHEN rn <= ceil(0.7::DOUBLE * n) THEN 'train' ELSE 'validation' END AS part FROM r")
+def u2_bound_parts(spark, sf_dir):
+    """Training and validation rows bound together again."""
+    dealt = sampling.train_split(fx.pixels(spark, sf_dir).select("id", "cod_l2"), "cod_l2", "id")
+    return dealt.where("part = 'train'").unionByName(dealt.where("part = 'validation'"))
+
+
+@query(f'WITH {fx.PIXELS} SELECT CAST(id // 100 AS INT) AS "row", CAST(id % 100 AS INT) AS col, f5, f0, f2 FROM pixels')
+def m18_model_stack(spark, sf_dir):
+    """The predictors of one model, in the model's order."""
+    df = fx.pixels(spark, sf_dir).withColumns({"row": F.expr("CAST(id DIV 100 AS INT)"), "col": F.expr("CAST(id % 100 AS INT)")})
+    model = forest.final_model(df, "cod_l1", ["f5", "f0", "f2"], "id", mtry=1, node=5, trees=2)
+    forest.check_available(df, {"L1": model})
+    return forest.export_stack(df, model)
+
+
+@query(f"WITH {fx.PIXELS} " + " UNION ALL ".join(f"SELECT '{f}' AS predictor, round(greatest(0, avg({f}) - 0.01), 6) AS weight FROM pixels" for f in fx.FEATURES[:6]) + " UNION ALL SELECT 'f6', 0.0 UNION ALL SELECT 'f7', 0.0")
+def m21_stored_weights(spark, sf_dir):
+    """Weights from stored importances: negative ones and those that the file does not name count 0."""
+    path = f"{files.scratch(spark)}/importance"
+    pixels = fx.pixels(spark, sf_dir)
+    means = pixels.agg(*[(F.avg(f) - 0.01).alias(f) for f in fx.FEATURES[:6]])
+    each = F.explode(F.array(*[F.struct(F.lit(f).alias("predictor"), F.col(f).alias("importance")) for f in fx.FEATURES[:6]]))
+    means.select(each.alias("s")).select("s.*").write.parquet(path)
+    weights = applicability.importance_weights(pixels, fx.FEATURES, "cod_l1", "id", path)
+    return spark.createDataFrame([(f, round(w, 6)) for f, w in zip(fx.FEATURES, weights, strict=True)], "predictor string, weight double")
+
+
+@query(f'WITH {fx.PIXELS} SELECT id, f0 AS "GLCM_CON_MAM_v3", f1 AS "GLCM_HOM_MAM_v3", f2 AS "GLCM_ENT_MAM_v3" FROM pixels')
+def g12_texture_names(spark, sf_dir):
+    textures = fx.pixels(spark, sf_dir).select("id", F.col("f0").alias("con"), F.col("f1").alias("hom"), F.col("f2").alias("ent"))
+    return neighbourhood.name_textures(textures, "MAM")

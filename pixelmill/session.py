@@ -5,13 +5,17 @@ from __future__ import annotations
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SHIPPED: set[str] = set()
-WRITTEN: list[str] = []
+#: Paths of the intermediate tables of the query that runs in this context.
+WRITTEN: ContextVar[list[str]] = ContextVar("written", default=[])
 
 
 def ship_package(spark: SparkSession) -> None:
@@ -46,19 +50,31 @@ def shared_folder(spark: SparkSession) -> str:
 def work_table(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts lineage and survives lost executors."""
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    WRITTEN.append(path)
+    WRITTEN.get().append(path)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def work_scope(spark: SparkSession) -> Iterator[list[str]]:
+    """Intermediate tables written inside belong to this scope and are deleted at its end, so store the results
+    before it ends. Queries outside, also those of other threads, keep theirs."""
+    token = WRITTEN.set([])
+    try:
+        yield WRITTEN.get()
+    finally:
+        clear_work_tables(spark)
+        WRITTEN.reset(token)
+
+
 def clear_work_tables(spark: SparkSession) -> int:
-    """Delete the intermediate tables written so far, once the results that read them are stored."""
-    conf = spark._jsc.hadoopConfiguration()
-    for path in WRITTEN:
+    """Delete the intermediate tables of the present scope, once the results that read them are stored."""
+    conf, paths = spark._jsc.hadoopConfiguration(), WRITTEN.get()
+    for path in paths:
         hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
         hadoop.getFileSystem(conf).delete(hadoop, True)
-    n = len(WRITTEN)
-    WRITTEN.clear()
+    n = len(paths)
+    paths.clear()
     return n
 
 

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import json
 import math
 import random
 import sqlite3
@@ -13,8 +14,8 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from pixelmill import session
-from pixelmill.functions import indices
-from pixelmill.operators import applicability, checks, composite, forest, legend, neighbourhood, purity, sampling, selection, separability, spatial
+from pixelmill.functions import indices, projection
+from pixelmill.operators import applicability, checks, composite, forest, grid, legend, metrics, neighbourhood, purity, sampling, selection, separability, spatial
 from pixelmill.operators.components import components
 from pixelmill.operators.grid import GridSpec, bilinear, mosaic, nearest, prefer_filled, stack
 from pixelmill.sources import files, scenes, vectors
@@ -306,7 +307,7 @@ def test_rasters_models_and_guards(spark):
 def test_work_tables_can_be_cleared(spark):
     table = session.work_table(spark.range(3), "three")
     assert table.count() == 3 and session.clear_work_tables(spark) > 0
-    assert session.WRITTEN == [] and session.clear_work_tables(spark) == 0
+    assert session.WRITTEN.get() == [] and session.clear_work_tables(spark) == 0
 
 
 def test_streamed_counts_equal_batch_counts(spark, tmp_path):
@@ -320,10 +321,127 @@ def test_streamed_counts_equal_batch_counts(spark, tmp_path):
 
 
 @settings(max_examples=30, deadline=None)
-@given(st.lists(st.tuples(st.integers(0, 30), st.floats(0, 400)), min_size=1, max_size=12, unique_by=lambda x: x[0]))
-def test_lower_envelope(points):
-    points.sort()
-    col, height = (np.array(x, float) for x in zip(*points, strict=True))
-    at = np.arange(31, dtype=float)
-    got = spatial.lower_envelope(col, height, at, 2.0)
-    assert got == pytest.approx([min((2 * (x - c)) ** 2 + h for c, h in points) for x in at])
+@given(st.lists(st.tuples(st.integers(0, 30), st.floats(0, 400)), min_size=1, max_size=12, unique_by=lambda x: x[0]), st.integers(1, 3))
+def test_row_minima(points, rows):
+    height = np.full((rows, 31), np.inf)
+    for c, h in points:
+        height[:, c] = h
+    height[0, 5] = 1.0
+    got = spatial.row_minima(height, 2.0)
+    for r in range(rows):
+        held = [(c, height[r, c]) for c in range(31) if np.isfinite(height[r, c])]
+        assert got[r] == pytest.approx([min((2 * (x - c)) ** 2 + h for c, h in held) for x in range(31)])
+    assert np.isinf(spatial.row_minima(np.full((2, 4), np.inf), 1.0)).all()
+
+
+def test_neighbours_are_told_by_coordinates(spark):
+    """A plane and a texture without column 5: beside the gap there is no neighbour."""
+    plane = raster(spark, [[10.0 * c for c in range(9)] for _ in range(6)]).where("col <> 5")
+    slope = {(r.row, r.col): r.slope for r in neighbourhood.terrain(plane, "v", 10.0, 10.0).collect()}
+    assert all(slope[r, c] is None for r in range(6) for c in (4, 6)) and slope[2, 2] == pytest.approx(45)
+    grey = raster(spark, [[(r + c) % 3 for c in range(14)] for r in range(9)]).withColumn("g", F.col("v").cast("int")).where("col <> 7")
+    found = {(r.row, r.col): r.con for r in neighbourhood.texture(grey, "g").collect()}
+    assert all(found[4, c] is None for c in range(4, 11) if c != 7) and found[4, 3] is not None
+
+
+def test_entropy_matches_counting(spark):
+    rng = random.Random(3)
+    values = [[rng.randrange(3) for _ in range(9)] for _ in range(8)]
+    found = neighbourhood.entropy(raster(spark, values).withColumn("g", F.col("v").cast("int")), "g").where("ent IS NOT NULL").collect()
+    assert found
+    for x in found:
+        total = 0.0
+        for dr, dc in neighbourhood.SHIFTS:
+            codes = [(values[r][c], values[r + dr][c + dc]) for r in range(x.row - 2, x.row + 3) for c in range(x.col - 2, x.col + 3)]
+            total -= sum(codes.count(k) / 25 * math.log(codes.count(k) / 25) for k in set(codes))
+        assert x.ent == pytest.approx(total / 4)
+
+
+def test_quantiles_are_exact(spark):
+    rng = random.Random(4)
+    values = [round(rng.expovariate(0.1), 2) for _ in range(700)] + [3.5] * 300
+    df = spark.createDataFrame([(v,) for v in [*values, None]], "x double")
+    shares = (0.0, 0.1, 0.5, 0.95, 1.0)
+    expected = np.percentile(values, [100 * s for s in shares])
+    for few in (5, 10_000):
+        assert grid.exact_quantiles(df, "x", shares, buckets=16, few=few) == pytest.approx(expected)
+    assert grid.exact_quantiles(df.limit(0), "x", (0.5,)) == [None]
+
+
+def test_student_quantiles():
+    known = {1: 12.706205, 2: 4.302653, 3: 3.182446, 4: 2.776445, 9: 2.262157, 10: 2.228139, 30: 2.042272, 120: 1.979930}
+    for df, t in known.items():
+        assert metrics.t_quantile(df) == pytest.approx(t, abs=2e-6)
+
+
+def test_projection_of_known_places(spark):
+    df = spark.createDataFrame([(9.0, 45.0), (9.0, 0.0), (12.0, 45.0)], "lon double, lat double")
+    x, y = projection.to_utm(F.col("lon"), F.col("lat"), 32632)
+    got = [tuple(r) for r in df.select(x, y).collect()]
+    assert got[0] == pytest.approx((500_000, 4_982_950.400), abs=0.001) and got[1] == pytest.approx((500_000, 0), abs=1e-6)
+    west = df.select(*projection.to_utm(F.col("lon"), F.col("lat"), 32633)).collect()[2]
+    assert west[0] == pytest.approx(1_000_000 - got[2][0], abs=1e-6) and west[1] == pytest.approx(got[2][1], abs=1e-6)
+    with pytest.raises(ValueError):
+        projection.zone_of(3035)
+    spec, geographic = GridSpec(499_990.0, 4_983_000.0, 10.0, 10.0, 8, 2), GridSpec(8.9999, 45.0004, 0.0001, 0.0001, 6, 2, 4326)
+    layer = raster(spark, [[10 * r + c for c in range(2)] for r in range(8)])
+    assert nearest(layer, spec, geographic).where("v IS NOT NULL").count() > 0
+
+
+def shapefile(kind, records):
+    body = b""
+    for k, content in enumerate(records, 1):
+        body += struct.pack(">2i", k, len(content) // 2) + content
+    return struct.pack(">7i", 9994, 0, 0, 0, 0, 0, 50 + len(body) // 2) + struct.pack("<2i8d", 1000, kind, *[0.0] * 8) + body
+
+
+def dbf(fields, rows):
+    size = 1 + sum(n for _, _, n, _ in fields)
+    head = b"".join(name.encode().ljust(11, b"\0") + kind.encode() + bytes(4) + bytes([n, d]) + bytes(14) for name, kind, n, d in fields)
+    lines = b"".join(b" " + b"".join(str(v).encode("utf-8").ljust(n)[:n] for v, (_, _, n, _) in zip(row, fields, strict=True)) for row in rows)
+    return struct.pack("<B3BIHH20x", 3, 124, 1, 1, len(rows), 33 + len(head), size) + head + b"\r" + lines
+
+
+def test_shapefiles(spark, tmp_path):
+    outer, hole, other = square(0, 0, 6, 6)[::-1], square(2, 2, 2, 2), square(10, 10, 1, 1)[::-1]
+    points = [*outer, *hole, *other]
+    polygon = struct.pack("<i4d2i3i", 5, 0, 0, 11, 11, 3, len(points), 0, 5, 10) + b"".join(struct.pack("<2d", *p) for p in points)
+    (tmp_path / "park.shp").write_bytes(shapefile(5, [polygon, struct.pack("<i", 0)]))
+    (tmp_path / "park.dbf").write_bytes(dbf([("CLASSE", "N", 5, 0), ("NAME", "C", 8, 0), ("HA", "F", 7, 2)], [(511, "Pò", "1.25"), ("", "x", "***")]))
+    (tmp_path / "park.cpg").write_text("UTF-8")
+    (tmp_path / "wells.shp").write_bytes(shapefile(1, [struct.pack("<i2d", 1, 3.0, 4.0)]))
+    rows = {(r.layer, r.fid): r for r in vectors.with_rings(vectors.read_shapefile(spark, str(tmp_path))).collect()}
+    park = rows["park", 1]
+    assert [len(r) for r in park.rings] == [5, 5, 5] and spark.createDataFrame([park], "file string, layer string, fid long, geom binary, attributes string, rings " + spatial.RINGS).select(spatial.ring_area(F.col("rings"))).first()[0] == pytest.approx(33)
+    assert json.loads(park.attributes) == {"CLASSE": 511, "NAME": "Pò", "HA": 1.25} and json.loads(rows["park", 2].attributes) == {"CLASSE": None, "NAME": "x", "HA": None}
+    assert rows["park", 2].geom is None and rows["park", 2].rings == [] and rows["wells", 1].geom == struct.pack("<BI2d", 1, 1, 3.0, 4.0)
+
+
+def test_selection_summary_per_model(spark):
+    rng = np.random.default_rng(7)
+    rows = [(i, 1 + i % 2, 10 * (1 + i % 2) + i // 2 % 2, float(i % 2 + rng.normal(0, 0.1)), float(i // 2 % 2 + rng.normal(0, 0.1)), float(rng.normal())) for i in range(160)]
+    df = spark.createDataFrame(rows, "id int, cod_l1 int, cod_l2 int, a double, b double, noise double")
+    found = selection.select_predictors(df, ["a", "b", "noise"], "id", least_auc=0.6, max_runs=4, trees=5)
+    assert set(found) == {"L1", "L2_1", "L2_2"} and "a" in found["L1"]["predictors"] and "b" in found["L2_1"]["predictors"]
+    table = selection.selection_table(spark, found)
+    assert table.columns == ["model", "predictor", "place"] and table.where("model = 'L1'").count() == len(found["L1"]["predictors"])
+
+
+def test_importance_is_recomputed_where_none_is_stored(spark):
+    rng = np.random.default_rng(8)
+    df = spark.createDataFrame([(i, i % 2, float(i % 2 + rng.normal(0, 0.1)), float(rng.normal())) for i in range(80)], "id int, k int, good double, noise double")
+    weights = applicability.importance_weights(df, ["good", "noise"], "k", "id", f"{files.scratch(spark)}/none")
+    assert weights[0] > weights[1] >= 0
+
+
+def test_texture_names():
+    assert neighbourhood.missing_textures(["GLCM_CON_MAM_v3", "GLCM_HOM_MAM_v3"], ["MAM"]) == ["GLCM_ENT_MAM_v3"]
+
+
+def test_scopes_clear_their_own_tables_only(spark):
+    outer = session.work_table(spark.range(2), "outer")
+    with session.work_scope(spark) as paths:
+        inner = session.work_table(spark.range(3), "inner")
+        assert inner.count() == 3 and len(paths) == 1
+        held = paths[0]
+    assert paths == [] and not files.path_exists(spark, held) and outer.count() == 2
