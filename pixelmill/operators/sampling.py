@@ -15,9 +15,9 @@ def digest(id_col: str, seed: int) -> Column:
     return F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(id_col).cast("string")))
 
 
-def numbered(df: DataFrame, order: list[str], name: str = "polygon_id", slices: int = 1024) -> DataFrame:
+def numbered(df: DataFrame, order: list[str], name: str = "polygon_id") -> DataFrame:
     """Adds 1, 2, ... in the order of a stable key (W1), counted inside sampled ranges and over the ranges before."""
-    ranged = work_table(df.repartitionByRange(slices, *order).withColumn("id_range", F.spark_partition_id()), "id-ranges")
+    ranged = work_table(df.repartitionByRange(*order).withColumn("id_range", F.spark_partition_id()), "id-ranges")
     sizes = ranged.groupBy("id_range").agg(F.count(F.lit(1)).alias("n"))
     # one row per range
     starts = sizes.select("id_range", (F.sum("n").over(Window.orderBy("id_range")) - F.col("n")).alias("id_start"))
