@@ -230,13 +230,13 @@ def residual_links(posted: DataFrame, labels: DataFrame, sets: DataFrame, matche
     A pair with ``matches`` equal coordinates shares one of the rarest COORDINATES - matches + 1 of each
     side, its prefix. Lists within one component hold nothing new. Shingles that no other member of the
     remaining lists has cannot be common to a pair; what is left of each set bounds the similarity of a pair.
-    Every vertex belongs to a part of about ``part_rows`` vertices and ``part_items`` shingles around its
-    longest list. Two parts that share a list meet in one task, with those of their vertices that stand in
+    Every vertex belongs to a part of about ``part_rows`` vertices and ``part_items`` shingles that share their
+    most common coordinate, so similar vertices mostly stand in one part. Two parts that share a list meet in one task, with those of their vertices that stand in
     such lists, so a pair is judged once however many lists it shares; a task gives links that join
     components, never pairs.
     """
     slots = F.greatest(F.lit(0), F.size("shared") - matches + 1)  # keys of one vertex only have taken the first slots
-    rarest = posted.select("rep", "n_shingles", "signature", F.slice("shared.key", 1, slots).alias("prefix"))
+    rarest = posted.select("rep", "n_shingles", "signature", F.slice("shared.key", 1, slots).alias("prefix"), F.element_at("shared", -1)["key"].alias("anchor"))
     named = rarest.join(labels.withColumnRenamed("vertex", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     members = work_table(named.select("rep", "n_shingles", "component", F.explode("prefix").alias("key")), "prefixes")
     open_lists = work_table(members.join(open_keys(members), "key"), "open-lists")
@@ -247,8 +247,8 @@ def residual_links(posted: DataFrame, labels: DataFrame, sets: DataFrame, matche
     bounded = work_table(bounded.where(F.col("most") * 100 >= F.col("n_shingles") * percent).drop("n_alone"), "bounded")
     bounded = work_table(bounded.join(open_keys(bounded), "key"), "bounded-lists")
 
-    anchors = bounded.groupBy("rep").agg(F.max(F.struct("length", "key")).alias("anchor"), F.first("n_shingles").alias("n"), F.first("component").alias("component"), F.first("most").alias("most"))
-    anchors = work_table(anchors.select("rep", F.col("anchor.key").alias("anchor"), "n", "component", "most"), "anchors")
+    anchors = bounded.select("rep", F.col("n_shingles").alias("n"), "component", "most").distinct().join(rarest.select("rep", "anchor"), "rep")
+    anchors = work_table(anchors, "anchors")
     sized = anchors.groupBy("anchor").agg(F.greatest(F.ceil(F.count(F.lit(1)) / part_rows), F.ceil(F.sum("n") / part_items)).alias("parts"))
     parted = anchors.join(sized, "anchor").select("rep", "component", "most", F.xxhash64("anchor", F.pmod(F.xxhash64("rep"), F.col("parts"))).alias("part"))
     parted = work_table(parted, "parted")
@@ -260,7 +260,7 @@ def residual_links(posted: DataFrame, labels: DataFrame, sets: DataFrame, matche
     meeting = work_table(meeting.select("key", "part_a", "part_b"), "meeting")
     sides = meeting.select("key", F.col("part_a").alias("part"), "part_a", "part_b").union(meeting.where("part_a < part_b").select("key", F.col("part_b").alias("part"), "part_a", "part_b"))
     involved = standing.drop("component").join(sides, ["key", "part"]).select(F.col("part_a").alias("low"), F.col("part_b").alias("high"), "part", "rep").distinct()
-    data = parted.drop("part").join(rarest, "rep").join(sets, "rep")
+    data = parted.drop("part").join(rarest.drop("anchor"), "rep").join(sets, "rep")
 
     def judge(group: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame(merged_lists(group, matches, percent), columns=["a", "b"], dtype="int64")
