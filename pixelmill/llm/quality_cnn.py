@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from pixelmill.llm.batches import bound_batches
+from pixelmill.llm.batches import bound_batches, smallest_hashes
 from pixelmill.llm.text import present
 from pixelmill.session import work_table
 
@@ -201,7 +201,8 @@ def train(
     bound_batches(docs.sparkSession)
     usable = labels.select(F.col("doc_id").alias("labelled_id"), F.col("quality").cast("int").alias("label")).where("labelled_id is not null and label in (0, 1)")
     usable = usable.where(~held_out(F.col("labelled_id"))).groupBy("labelled_id").agg(F.min("label").alias("label"))
-    picked = usable.withColumn("place", F.xxhash64("labelled_id")).orderBy("place", "labelled_id").limit(most)
+    usable = usable.withColumn("place", F.xxhash64("labelled_id"))
+    picked = usable.where(F.col("place") <= smallest_hashes(usable.count(), most)).orderBy("place", "labelled_id").limit(most)
     texts = docs.select(F.col(id_col).alias("labelled_id"), present(F.col(text_col)).alias("text"))
     # ``most`` rows at most from here on
     sample = texts.join(F.broadcast(picked), "labelled_id").groupBy("labelled_id", "place", "label").agg(F.min("text").alias("text"))
