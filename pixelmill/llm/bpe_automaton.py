@@ -23,6 +23,8 @@ BLANK = r"\t-\r \x85\xa0  -     　"
 SPLIT = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{BLANK}\p{{L}}\p{{N}}]+|[{BLANK}]+(?![^{BLANK}])|[{BLANK}]+"
 NEVER = 1 << 60
 REMEMBERED = 300_000
+#: States that the transition table holds at most.
+MOST_STATES = 400_000
 
 
 def byte_of_letter() -> dict[str, int]:
@@ -57,7 +59,7 @@ class MergeAutomaton:
                 self.born[i] = -1
         for step, (a, b) in enumerate(merges):
             self._gadget(step, vocabulary[a], vocabulary[b], vocabulary[a + b])
-        self._starts()
+        self._ends()
 
     def _gadget(self, step: int, a: int, b: int, c: int) -> None:
         if not self._has_arc(a, b):
@@ -80,56 +82,121 @@ class MergeAutomaton:
             state, until = self.right[state], self.born[state]
         return True
 
-    def _starts(self) -> None:
-        """Tables to find the tokens that start at a place, the longest first."""
+    def _ends(self) -> None:
+        """The table that reads bytes: a state per beginning of a token, the state to fall back to, and the tokens
+        that end there, the longest first."""
         self.token = {label: i for i, label in enumerate(self.label) if self.born[i] != NEVER}
-        self.reach: dict[bytes, int] = {}
-        for label in self.token:
-            self.reach[label[:2]] = max(self.reach.get(label[:2], 0), len(label))
+        self.size = [len(label) for label in self.label]
+        self.step: dict[int, int] = {}
+        own: list[int] = [-1]
+        for label, i in self.token.items():
+            state = 0
+            for byte in label:
+                key = state << 8 | byte
+                state = self.step.get(key, -1)
+                if state < 0:
+                    state = self.step[key] = len(own)
+                    own.append(-1)
+            own[state] = i
+        below: list[list[tuple[int, int]]] = [[] for _ in own]
+        for key, state in self.step.items():
+            below[key >> 8].append((key & 255, state))
+        self.fall, self.depth = [0] * len(own), [0] * len(own)
+        self.ends: list[tuple[int, ...]] = [()] * len(own)
+        queue = [0]
+        for state in queue:  # states of shorter beginnings first
+            for byte, after in below[state]:
+                self.depth[after] = self.depth[state] + 1
+                if state:
+                    self.fall[after] = self._read(self.fall[state], byte)
+                shorter = self.ends[self.fall[after]]
+                self.ends[after] = (own[after], *shorter) if own[after] >= 0 else shorter
+                queue.append(after)
+        self._restart()
+
+    def _read(self, state: int, byte: int) -> int:
+        while (after := self.step.get(state << 8 | byte)) is None:
+            if not state:
+                return 0
+            state = self.fall[state]
+        return after
+
+    def _restart(self) -> None:
+        """Only the state before the first byte is left: no token begun, nothing read."""
+        start = (0, (-1,))
+        self.next: dict[int, int] = {}
+        self.states: list[tuple[int, tuple[int, ...]]] = [start]
+        self.number = {start: 0}
+
+    def _compile(self, state: int, byte: int) -> int:
+        """The transition of a state by a byte, entered in the table.
+
+        A state is the longest beginning of a token that the bytes read end with, and the last arc of the accepted
+        path at each place inside it. Of the tokens that end at the new place exactly one is the last arc there:
+        the one for which the arc before it has a follower.
+        """
+        if len(self.states) >= MOST_STATES:
+            return -1
+        begun, lasts = self.states[state]
+        after = self._read(begun, byte)
+        for token in self.ends[after]:
+            before = lasts[-self.size[token]]
+            key = before << 20 | token
+            holds = before < 0 or self.arcs.get(key)
+            if holds is None:
+                holds = self.arcs[key] = self._has_arc(before, token)
+            if holds:
+                break
+        else:
+            raise ValueError("a byte without a token")
+        entry = (after, (*lasts, token)[-self.depth[after] - 1 :])
+        found = self.number.get(entry)
+        if found is None:
+            found = self.number[entry] = len(self.states)
+            self.states.append(entry)
+        self.next[state << 8 | byte] = found
+        return found
 
     def encode(self, piece: bytes) -> tuple[int, ...]:
-        """Labels of the one accepted path over a pre-split piece.
-
-        Arcs are followed longest label first. A place that leads nowhere is never entered again, as only
-        one path leads there.
-        """
+        """Labels of the one accepted path over a pre-split piece: one table look-up a byte, then back along the
+        last arcs. The table is filled as bytes are met; when it is full it is begun anew."""
         whole = self.token.get(piece)
         if whole is not None:
             return (whole,)
-        token, arcs, n = self.token, self.arcs, len(piece)
-        path: list[int] = []
-        places = [0]
-        dead: set[int] = set()
-        state, at = -1, 0
-        longest = NEVER
-        while at < n:
-            size = min(longest, n - at, self.reach.get(piece[at : at + 2], 1))
-            while size:
-                found = token.get(piece[at : at + size])
-                if found is not None and at + size not in dead:
-                    if state < 0:
-                        break
-                    key = state << 20 | found
-                    holds = arcs.get(key)
-                    if holds is None:
-                        holds = arcs[key] = self._has_arc(state, found)
-                    if holds:
-                        break
-                size -= 1
-            if size:
-                path.append(found)
-                at += size
-                places.append(at)
-                state, longest = found, NEVER
-            else:
-                if not path:
-                    raise ValueError("a byte without a token")
-                dead.add(at)
-                places.pop()
-                longest = at - places[-1] - 1
-                at = places[-1]
-                path.pop()
-                state = path[-1] if path else -1
+        table = self.next
+        state, passed = 0, [0]
+        for byte in piece:
+            after = table.get(state << 8 | byte)
+            if after is None:
+                after = self._compile(state, byte)
+                if after < 0:
+                    self._restart()
+                    return self.encode(piece) if len(piece) < MOST_STATES else self._long(piece)
+            state = after
+            passed.append(state)
+        states, size = self.states, self.size
+        path, at = [], len(piece)
+        while at:
+            token = states[passed[at]][1][-1]
+            path.append(token)
+            at -= size[token]
+        path.reverse()
+        return tuple(path)
+
+    def _long(self, piece: bytes) -> tuple[int, ...]:
+        """As ``encode`` for a piece that may fill the table by itself: last arcs are kept, states are not."""
+        last, state = [-1], (0, (-1,))
+        for byte in piece:
+            self._restart()
+            self.states[0] = state
+            state = self.states[self._compile(0, byte)]
+            last.append(state[1][-1])
+        self._restart()
+        path, at = [], len(piece)
+        while at:
+            path.append(last[at])
+            at -= self.size[last[at]]
+        path.reverse()
         return tuple(path)
 
 
@@ -184,7 +251,10 @@ class Tokenizer:
         single space that has no other white space beside it, so such a run is split by itself."""
         if len(run) < 2 or self.edge(run[1]) or self.edge(run[-1]):
             raise NotApart
-        return tuple(chain.from_iterable(map(self.piece_ids.__getitem__, self.pieces.findall(run))))
+        pieces = self.pieces.findall(run)
+        if len(pieces) == 1:
+            return self._piece(run)  # remembered as the run
+        return tuple(chain.from_iterable(map(self.piece_ids.__getitem__, pieces)))
 
     def _ordinary(self, text: str) -> list[int]:
         runs = text.split(" ")
