@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from public_tokenizers import path as tokenizer_file
 from pyspark.sql import DataFrame, SparkSession
@@ -14,7 +15,7 @@ from pixelmill.llm.line_dedup import drop_repeated_lines
 from pixelmill.llm.mixing import mixture
 from pixelmill.llm.near_dedup import near_duplicates
 from pixelmill.llm.quality_cnn import score, train
-from pixelmill.llm.quality_rules import BASE, apply_policy, ledger
+from pixelmill.llm.quality_rules import BASE, POLICIES, RULES, ablations, apply_policy, ledger
 from pixelmill.llm.sharding import shard_by_bytes
 from pixelmill.llm.token_lengths import length_histogram, token_lengths
 from pixelmill.llm.wrapper_induction import extract
@@ -36,10 +37,18 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    judged = apply_policy(ledger(table(spark, sf_dir, "documents")), "v1")
+    entries = work_table(ledger(table(spark, sf_dir, "documents")), "rule-ledger")
+    judged = apply_policy(entries, "v1")
     return judged.withColumn("base_failed", F.col("fail_mask").bitwiseAND(BASE) != 0)
 
 
+def rule_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per policy and rule what it drops, alone and with others, from one stored ledger (op3)."""
+    entries = work_table(ledger(table(spark, sf_dir, "documents")), "rule-ledger")
+    first, *rest = [ablations(entries, policy).withColumn("policy", F.lit(policy)) for policy in POLICIES]
+    return reduce(DataFrame.unionByName, rest, first)
+
+
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return score(docs, train(docs, table(spark, sf_dir, "labels"))).select("doc_id", "held_out", "score", "predicted")
@@ -71,6 +80,33 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cleaned.select("doc_id", "n_lines", "n_dropped_lines", F.sha2(F.col("text"), 256).alias("text_sha256"))
 
 
+#: Words, lines and three-word windows by regular expressions and lists; the mask is the sum of the bits.
+LEDGER_SQL = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+         [x FOR x IN string_split(coalesce(text, ''), chr(10)) IF regexp_matches(x, '[^\x20\x09-\x0D]')] AS l
+  FROM documents
+),
+grams AS (SELECT doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS gram FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM d)),
+again AS (SELECT doc_id, i FROM grams QUALIFY count(*) OVER (PARTITION BY doc_id, gram) > 1),
+covered AS (SELECT doc_id, count(DISTINCT pos) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS pos FROM again) GROUP BY doc_id),
+m AS (
+  SELECT d.doc_id, len(w) AS n_words, CAST(coalesce(list_sum([length(x) FOR x IN w]), 0) AS BIGINT) AS word_chars,
+         length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols, len(l) - len(list_distinct(l)) AS n_dup_lines,
+         coalesce(covered.n, 0) AS n_repeat_words, len(l) AS n_lines, length(regexp_replace(text, '[^!]', '', 'g')) AS n_exclaims
+  FROM d LEFT JOIN covered ON covered.doc_id = d.doc_id
+),
+ledger AS (SELECT *, CAST(MASK AS INT) AS fail_mask FROM m)
+""".replace("MASK", " + ".join(f"CASE WHEN {r.fails} THEN {1 << r.bit} ELSE 0 END" for r in RULES))
+SQL_OP3 = f"{LEDGER_SQL} SELECT *, 'v1' AS policy, fail_mask & {POLICIES['v1']} = 0 AS kept, fail_mask & {BASE} <> 0 AS base_failed FROM ledger"
+SQL_ABLATIONS = LEDGER_SQL + " UNION ALL ".join(
+    f"SELECT '{policy}' AS policy, '{r.name}' AS rule, count(*) FILTER (WHERE fail_mask & {1 << r.bit} <> 0) AS n_failed, "
+    f"count(*) FILTER (WHERE fail_mask & {heeded} = {1 << r.bit}) AS n_failed_alone, count(*) FILTER (WHERE fail_mask & {heeded & ~(1 << r.bit)} = 0) AS n_kept_without FROM ledger"
+    for policy, heeded in POLICIES.items()
+    for r in RULES
+    if heeded >> r.bit & 1
+)
+
 SQL_OP6 = """
 WITH d AS (
   SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS norm FROM documents
@@ -118,6 +154,7 @@ QUERIES = (
     op8_token_counts,
     op9_bpe,
     op10_line_dedup,
+    rule_ablations,
 )
 
 
@@ -126,4 +163,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_exact_dedup": SQL_OP6, "op10_line_dedup": SQL_OP10}
+    return {"op3_quality_rules": SQL_OP3, "rule_ablations": SQL_ABLATIONS, "op6_exact_dedup": SQL_OP6, "op10_line_dedup": SQL_OP10}

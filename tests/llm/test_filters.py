@@ -61,6 +61,22 @@ def test_differencing_is_tight():
     assert sharding.differencing([], 4) == [] and len(set(sharding.differencing([5, 5, 5], 3))) == 3
 
 
+def test_differencing_matches_plain_lists():
+    """Partial partitions as lists of bins, the two of largest spread joined in opposite order."""
+    rng = random.Random(9)
+    for k in (2, 3, 5):
+        sizes = [rng.randint(1, 10**9) for _ in range(60)]
+        parts = [[(s, [i])] + [(0, [])] * (k - 1) for i, s in enumerate(sizes)]
+        while len(parts) > 1:
+            parts.sort(key=lambda p: p[-1][0] - p[0][0])
+            a, b = parts.pop(0), parts.pop(0)
+            parts.append(sorted(((x[0] + y[0], x[1] + y[1]) for x, y in zip(a, reversed(b), strict=True)), key=lambda x: -x[0]))
+        bins = [0] * k
+        for size, shard in zip(sizes, sharding.differencing(sizes, k), strict=True):
+            bins[shard] += size
+        assert sorted(bins) == sorted(x[0] for x in parts[0])
+
+
 def test_shards(spark):
     rows = awkward()
     got = sharding.shard_by_bytes(documents(spark, rows), shards=4, bundles=64, heavy=8, cell_rows=5).collect()
