@@ -714,11 +714,11 @@ ALL_LONG = "long AS (" + " UNION ALL ".join(f"SELECT '{f}' AS predictor, {f} AS
 @query(
     f"""WITH {fx.PIXELS}, {ALL_LONG}, k AS (SELECT predictor, class, value, (rank() OVER w + rank() OVER w + count(*) OVER (PARTITION BY predictor, value) - 1) / 2 AS mid, count(*) OVER (PARTITION BY predictor) AS n FROM long WINDOW w AS (PARTITION BY predictor ORDER BY value)),
 u AS (SELECT predictor, class, (sum(mid) - count(*) * (count(*) + 1) / 2) / (count(*) * (any_value(n) - count(*))) AS a FROM k GROUP BY predictor, class)
-SELECT predictor, round(max(greatest(a, 1 - a)), 6) AS auc FROM u GROUP BY predictor"""
+SELECT predictor, round(max(greatest(a, 1 - a)), 9) AS auc FROM u GROUP BY predictor"""
 )
 def m4_auc_whole(spark, sf_dir):
     """As m4_auc, of all predictors."""
-    return selection.best_auc(fx.pixels(spark, sf_dir), "cod_l1", fx.FEATURES).withColumn("auc", F.round("auc", 6))
+    return selection.best_auc(fx.pixels(spark, sf_dir), "cod_l1", fx.FEATURES).withColumn("auc", F.round("auc", 9))
 
 
 def _tau_sql(columns: dict[str, str]) -> str:
@@ -732,10 +732,10 @@ def _tau_sql(columns: dict[str, str]) -> str:
     return f"{fx.PIXELS}, s AS (SELECT {shown} FROM pixels ORDER BY md5('50|' || id), id LIMIT 3000), sums AS (SELECT {terms} FROM s a, s b), tau AS ({each})"
 
 
-@query(f"WITH {_tau_sql({f: f for f in fx.FEATURES})} SELECT a, b, round(tau, 6) AS tau FROM tau")
+@query(f"WITH {_tau_sql({f: f for f in fx.FEATURES})} SELECT a, b, round(tau, 9) AS tau FROM tau")
 def m6_kendall_whole(spark, sf_dir):
     """As m6_kendall, of all predictors and on as many rows as the function takes."""
-    return selection.kendall(fx.pixels(spark, sf_dir), fx.FEATURES, "id").withColumn("tau", F.round("tau", 6))
+    return selection.kendall(fx.pixels(spark, sf_dir), fx.FEATURES, "id").withColumn("tau", F.round("tau", 9))
 
 
 #: States the pruning where no two pairs above the cutoff share a predictor, as here.
