@@ -10,7 +10,7 @@ from pixelmill.session import broadcast_if_small, work_table
 
 
 def content_sort(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "max", hot_rows: int = 1000, hot_bytes: int = 64 << 20, carry: bool = False
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "max", hot_rows: int = 256, hot_bytes: int = 64 << 20, carry: bool = False
 ) -> DataFrame:
     """Group equal texts by sorting their normalised content.
 
@@ -30,18 +30,19 @@ def content_sort(
     order = F.col("doc_id").desc_nulls_last() if keep == "max" else F.col("doc_id").asc_nulls_last()
     rows = docs.select(
         F.col(id_col).alias("doc_id"),
-        present(F.col(text_col)).alias("raw"),
-        *([F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] if carry else []),
+        F.col(text_col).alias("text"),
+        *([F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text_col]).alias("rest")] if carry else []),
         F.xxhash64(*[F.col(f"`{f.name}`") for f in docs.schema if f.name != text_col and "map<" not in f.dataType.simpleString()]).alias("mixed"),
-    ).withColumn("coarse", F.xxhash64(F.lower("raw")))
-    counted = rows.groupBy("coarse").agg(F.count(F.lit(1)).alias("copies"), F.sum(F.octet_length("raw")).alias("held"))
+    ).withColumn("coarse", F.xxhash64(F.lower(present(F.col("text")))))
+    norm = ascii_lower(present(F.col("text")))
+    counted = rows.groupBy("coarse").agg(F.count(F.lit(1)).alias("copies"), F.sum(F.octet_length(present(F.col("text")))).alias("held"))
     parts = F.greatest(F.ceil(F.col("copies") / hot_rows), F.least(F.ceil(F.col("held") / hot_bytes), F.col("copies")))
     hot = work_table(counted.select("coarse", parts.alias("parts")).where("parts > 1"), "hot-texts")
-    marked = rows.join(broadcast_if_small(hot, hot.count()), "coarse", "left").withColumn("norm", ascii_lower(F.col("raw"))).drop("raw", "coarse")
+    marked = rows.join(broadcast_if_small(hot, hot.count()), "coarse", "left").drop("coarse")
 
     hot_groups = (
         marked.where("parts is not null")
-        .groupBy(F.sha2("norm", 256).alias("text_sha256"))
+        .groupBy(F.sha2(norm, 256).alias("text_sha256"))
         .agg(best("doc_id").alias("hot_keep"), F.count(F.lit(1)).alias("hot_size"))
     )
     hot_groups = work_table(hot_groups, "hot-groups")
@@ -49,11 +50,12 @@ def content_sort(
         "salt", F.when(F.col("parts").isNull(), 0).otherwise(F.pmod("mixed", "parts")).cast("int")
     )
     # splitters are sampled to the driver: a short head and a hash order the texts, whatever their length
-    salted = salted.withColumns({"head": F.substring("norm", 1, 32), "mark": F.xxhash64("norm")})
+    salted = salted.withColumns({"head": F.substring(norm, 1, 32), "mark": F.xxhash64(norm)})
     run = Window.partitionBy("head", "mark", "salt", "norm").orderBy(order)
     whole = run.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    compared = salted.repartitionByRange("head", "mark", "salt").select(
-        *["doc_id", *(["row"] if carry else [])],
+    # a text travels once, and is normalised again where it arrives
+    compared = salted.repartitionByRange("head", "mark", "salt").withColumn("norm", norm).select(
+        *["doc_id", *(["text", "rest"] if carry else [])],
         F.sha2("norm", 256).alias("text_sha256"),
         F.row_number().over(run).alias("place"),
         F.first("doc_id").over(whole).alias("run_keep"),
@@ -67,7 +69,7 @@ def content_sort(
         F.coalesce("hot_size", "run_size").alias("group_size"),
         ((F.col("place") == 1) & F.col("doc_id").eqNullSafe(keep_id)).alias("kept"),
         "text_sha256",
-        *(["row"] if carry else []),
+        *([F.struct(*[(F.col("text") if c == text_col else F.col("rest").getField(c)).alias(c) for c in docs.columns]).alias("row")] if carry else []),
     )
 
 
