@@ -11,9 +11,12 @@ from pyspark.sql import functions as F
 
 from pixelmill.llm.bpe_automaton import round_trip
 from pixelmill.llm.exact_dedup import content_sort
+from pixelmill.llm.harmonic_packing import pack
 from pixelmill.llm.line_dedup import drop_repeated_lines
+from pixelmill.llm.merkle import folded, manifest, proof_text
 from pixelmill.llm.mixing import mixture
 from pixelmill.llm.near_dedup import near_duplicates
+from pixelmill.llm.prefix_trie import prefix_trie, reopened
 from pixelmill.llm.quality_cnn import score, train
 from pixelmill.llm.quality_rules import BASE, POLICIES, RULES, ablations, apply_policy, ledger
 from pixelmill.llm.sharding import shard_by_bytes
@@ -80,6 +83,26 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cleaned.select("doc_id", "n_lines", "n_dropped_lines", F.sha2(F.col("text"), 256).alias("text_sha256"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Proofs of all documents, of which half are presented without their line breaks."""
+    chosen = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0
+    without_breaks = F.when(chosen, F.replace("text", F.lit("\n"), F.lit(""))).otherwise(F.col("text"))
+    proven = manifest(table(spark, sf_dir, "documents"), shown={"text": without_breaks}).withColumn("folded_root", folded(F.col("shown_leaf"), F.col("path")))
+    return proven.select(
+        "doc_id", "leaf", "subroot", "root", F.sha2(proof_text(F.col("path")), 256).alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified")
+    )
+
+
+def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = pack(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
+    return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    trie = prefix_trie(*reopened(table(spark, sf_dir, "conversations")))
+    return trie.select("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256")
+
+
 #: Words, lines and three-word windows by regular expressions and lists; the mask is the sum of the bits.
 LEDGER_SQL = r"""
 WITH d AS (
@@ -142,6 +165,98 @@ kept AS (
 SELECT doc_id, n_lines, n_dropped_lines, sha256(cleaned) AS text_sha256 FROM kept
 """
 
+#: CRC-32 of the decimal digits of a column, bit by bit.
+CRC32_SQL = """xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, [ord(c)::BIGINT FOR c IN string_split(COLUMN::VARCHAR, '')]),
+  lambda a, b: list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda s, _: CASE WHEN s % 2 = 1 THEN xor(s // 2, 3988292384) ELSE s // 2 END)))"""
+
+
+def crc32_sql(column: str) -> str:
+    return CRC32_SQL.replace("COLUMN", column)
+
+
+LEAF_SQL = " || ".join(f"coalesce(strlen({c}::VARCHAR) || ':' || {c}, '-')" for c in ("doc_id", "source", "lang", "n_chars", "text"))
+#: Levels by recursion, siblings by comparing the nodes of a run, paths level by level, folding by recursion.
+SQL_OP11 = f"""
+WITH RECURSIVE d AS (
+  SELECT *, CASE WHEN {crc32_sql("doc_id")} % 2 = 0 THEN replace(text, chr(10), '') ELSE text END AS shown FROM documents
+),
+leaves AS (
+  SELECT doc_id, source, leaf, shown_leaf, row_number() OVER (ORDER BY doc_id) AS doc,
+         row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS place, count(*) OVER (PARTITION BY source) AS n
+  FROM (SELECT doc_id, source, sha256({LEAF_SQL}) AS leaf, sha256({LEAF_SQL.replace("text", "shown")}) AS shown_leaf FROM d)
+),
+up AS (
+  SELECT source, 0 AS level, place, leaf AS node, n FROM leaves
+  UNION ALL
+  SELECT source, level + 1, place // 3, sha256(string_agg(node, '' ORDER BY place)), any_value((n + 2) // 3) FROM up WHERE n > 1 GROUP BY source, level, place // 3
+),
+subroots AS (SELECT source, node, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS place, count(*) OVER () AS n FROM up WHERE n = 1),
+top AS (
+  SELECT 0 AS level, place, node, n FROM subroots
+  UNION ALL
+  SELECT level + 1, place // 3, sha256(string_agg(node, '' ORDER BY place)), any_value((n + 2) // 3) FROM top WHERE n > 1 GROUP BY level, place // 3
+),
+nodes AS (SELECT coalesce('s' || source, '') AS tree, level, place, node FROM up WHERE n > 1 UNION ALL SELECT 'top', 1000 + level, place, node FROM top WHERE n > 1),
+around AS (
+  SELECT a.tree, a.level, a.place, coalesce(string_agg(b.node, '' ORDER BY b.place) FILTER (WHERE b.place < a.place), '') AS before,
+         coalesce(string_agg(b.node, '' ORDER BY b.place) FILTER (WHERE b.place > a.place), '') AS after
+  FROM nodes a JOIN nodes b ON a.tree = b.tree AND a.level = b.level AND a.place // 3 = b.place // 3
+  GROUP BY a.tree, a.level, a.place
+),
+path AS (
+  SELECT doc, row_number() OVER (PARTITION BY doc ORDER BY level) AS step, before, after
+  FROM (
+    SELECT doc, level, before, after FROM leaves JOIN around ON tree = coalesce('s' || source, '') AND level < 1000 AND around.place = leaves.place // CAST(pow(3, level) AS BIGINT)
+    UNION ALL
+    SELECT doc, level, before, after FROM leaves JOIN subroots s ON s.source IS NOT DISTINCT FROM leaves.source
+    JOIN around ON tree = 'top' AND around.place = s.place // CAST(pow(3, level - 1000) AS BIGINT)
+  )
+),
+fold AS (
+  SELECT doc, 0 AS step, shown_leaf AS node FROM leaves
+  UNION ALL
+  SELECT fold.doc, path.step, sha256(before || node || after) FROM fold JOIN path ON path.doc = fold.doc AND path.step = fold.step + 1
+),
+folded AS (SELECT doc, arg_max(node, step) AS folded_root FROM fold GROUP BY doc),
+proofs AS (SELECT doc, string_agg(before || after, '' ORDER BY step) AS proof FROM path GROUP BY doc)
+SELECT doc_id, leaf, s.node AS subroot, top.node AS root, sha256(coalesce(proof, '')) AS proof_sha256, folded_root, folded_root = top.node AS verified
+FROM leaves JOIN subroots s ON s.source IS NOT DISTINCT FROM leaves.source JOIN top ON top.n = 1
+JOIN folded ON folded.doc = leaves.doc LEFT JOIN proofs ON proofs.doc = leaves.doc
+"""
+
+#: A prefix is the chain of its turns' digests; the ancestors of a node are the shorter prefixes of its smallest member.
+SQL_OP13 = f"""
+WITH t AS (
+  SELECT conv_id, digest, bytes, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, digest) - 1 AS rank
+  FROM (SELECT conv_id, turn, coalesce(role, '') AS role, sha256(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS digest,
+               strlen(coalesce(text, '')) AS bytes FROM conversations WHERE conv_id IS NOT NULL)
+),
+c AS (SELECT conv_id, count(*) AS n, {crc32_sql("conv_id")} % 9 AS h, conv_id - conv_id % 5 AS base FROM t GROUP BY conv_id),
+r AS (
+  SELECT c.conv_id, rank AS place, digest, bytes FROM c JOIN t ON t.conv_id = c.base WHERE rank < h
+  UNION ALL
+  SELECT c.conv_id, rank - c.h + least(c.h, coalesce(b.n, 0)), digest, bytes FROM c JOIN t ON t.conv_id = c.conv_id LEFT JOIN c b ON b.conv_id = c.base WHERE rank >= c.h
+),
+p AS (
+  SELECT conv_id, place + 1 AS depth, string_agg(digest, '') OVER (PARTITION BY conv_id ORDER BY place) AS node, bytes FROM r
+  UNION ALL
+  SELECT conv_id, 0, '', 0 FROM c
+),
+ends AS (
+  SELECT node, string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) AS members FROM (SELECT * FROM p QUALIFY depth = max(depth) OVER (PARTITION BY conv_id)) GROUP BY node
+),
+met AS (SELECT node, depth, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(bytes) AS bytes FROM p GROUP BY node, depth),
+below AS (SELECT left(node, len(node) - 64) AS node, count(*) AS n_children FROM met WHERE depth > 0 GROUP BY ALL),
+nodes AS (SELECT met.*, coalesce(n_children, 0) AS n_children FROM met LEFT JOIN below ON below.node = met.node),
+sums AS (
+  SELECT p.node, count(*) FILTER (WHERE n_children = 0) AS n_leaves, CAST(sum((n_convs - 1) * nodes.bytes) AS BIGINT) AS saved_tokens
+  FROM nodes JOIN p ON p.conv_id = nodes.conv_id AND p.depth <= nodes.depth GROUP BY p.node
+)
+SELECT nodes.conv_id, nodes.depth, up.conv_id AS parent_conv_id, nodes.n_convs, nodes.n_children, n_leaves, saved_tokens, sha256(coalesce(members, '')) AS ends_sha256
+FROM nodes JOIN sums ON sums.node = nodes.node LEFT JOIN ends ON ends.node = nodes.node
+LEFT JOIN nodes up ON nodes.depth > 0 AND up.node = left(nodes.node, len(nodes.node) - 64)
+"""
+
 
 QUERIES = (
     op1_sharding,
@@ -154,6 +269,9 @@ QUERIES = (
     op8_token_counts,
     op9_bpe,
     op10_line_dedup,
+    op11_merkle_manifest,
+    op12_packing,
+    op13_prefix_trie,
     rule_ablations,
 )
 
@@ -163,4 +281,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_quality_rules": SQL_OP3, "rule_ablations": SQL_ABLATIONS, "op6_exact_dedup": SQL_OP6, "op10_line_dedup": SQL_OP10}
+    return {"op3_quality_rules": SQL_OP3, "rule_ablations": SQL_ABLATIONS, "op6_exact_dedup": SQL_OP6, "op10_line_dedup": SQL_OP10, "op11_merkle_manifest": SQL_OP11, "op13_prefix_trie": SQL_OP13}
