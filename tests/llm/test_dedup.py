@@ -9,6 +9,7 @@ import pytest
 from pixelmill.llm import near_dedup
 from pixelmill.llm.exact_dedup import content_sort, drop_copies
 from pixelmill.llm.line_dedup import drop_repeated_lines
+from pixelmill.session import work_table
 from tests.llm.fixtures import awkward, documents
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -41,6 +42,24 @@ def test_exact_copies_keep_columns_and_empty_input(spark):
     assert drop_copies(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize(("hot_rows", "keep"), [(2, "max"), (256, "max"), (256, "min")])
+def test_hot_texts_keep_one_row(spark, hot_rows, keep):
+    rows = [(7, "One id", k % 10) for k in range(600)] + [(None, "no ids", k % 10) for k in range(600)] + [(3, "alike", 0)] * 5000
+    rows += [(k % 4 or None, "few Ids", k % 10) for k in range(600)] + [(k, "ALIKE", 1) for k in range(600)] + [(9, "cold", 0), (9, "cold", 0), (1, "other", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source int").repartition(5)
+    docs = work_table(docs, "hot")
+    got = content_sort(docs, keep=keep, hot_rows=hot_rows).collect()
+    assert len(got) == len(rows)
+    best = max if keep == "max" else min
+    for norm in {t.lower() for _, t, _ in rows}:
+        ids = [i for i, t, _ in rows if t.lower() == norm]
+        mine = [r for r in got if r.text_sha256 == hashlib.sha256(norm.encode()).hexdigest()]
+        wanted = best((i for i in ids if i is not None), default=None)
+        assert {(r.keep_id, r.group_size) for r in mine} == {(wanted, len(ids))}
+        assert [r.doc_id for r in mine if r.kept] == [wanted]
+    assert len(drop_copies(docs, keep=keep, hot_rows=hot_rows).collect()) == 6
+
+
 def shingle_set(text):
     w = WORD.findall((text or "").translate(LOWER))
     return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
