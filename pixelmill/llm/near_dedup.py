@@ -312,5 +312,5 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """The documents that stay, one of each component, with their own columns; rows without id stay."""
     judged = near_duplicates(docs, id_col=id_col, **options).where("not kept and doc_id is not null")
-    dropped = work_table(judged.select(F.col("doc_id").alias("near_copy_id")).distinct(), "near-copies")
-    return docs.join(broadcast_if_small(dropped, dropped.count()), docs[id_col] == F.col("near_copy_id"), "left_anti")
+    dropped = work_table(judged.select(F.col("doc_id").alias(id_col)).distinct(), "near-copies")  # joined by name, so no column can clash
+    return docs.join(broadcast_if_small(dropped, dropped.count()), id_col, "left_anti").select(*[f"`{c}`" for c in docs.columns])

@@ -20,8 +20,8 @@ from pixelmill.session import work_table
 
 #: Elements and names that mark parts which are not the article.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template iframe svg math textarea select object canvas head".split())
-INLINE = frozenset("a abbr b bdi bdo big cite code del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
+RAW = frozenset("script style template iframe svg textarea select canvas head annotation annotation-xml".split())
+INLINE = frozenset("a abbr b bdi bdo big cite code del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr math mrow mi mn mo ms mtext msub msup msqrt mfrac".split())
 ASIDE_TAGS = frozenset("nav footer aside form button dialog menu".split())
 ASIDE_ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog menu menubar toolbar".split())
 #: Roles that an article may give to its own parts.
@@ -31,8 +31,14 @@ ASIDE_NAMES = frozenset(
     "breadcrumbs footer header masthead cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription "
     "signup login comment comments reply replies respond disqus share sharing social related recommended widget toolbar pager pagination skip".split()
 )
-#: Words that say nothing beside such a name: inside an article "share-buttons" is an aside, "share-price" is not.
+#: Names of what readers write: an article inside is one of their comments.
+READER_NAMES = frozenset("comment comments reply replies respond disqus".split())
+#: Words that say nothing beside such a name: "share-buttons" is an aside, "share-price" is not.
 PLAIN_NAMES = frozenset("area bar block box button buttons container form icons inner item items link links list outer post posts section slot text thread top unit wrap wrapper".split())
+#: Words that say nothing outside an article only.
+SITE_NAMES = frozenset("bottom column content fixed global group left main page panel primary right secondary site sticky".split())
+#: What an element is: no aside; one by a name; one for good, by its element, role, or as the readers' part.
+NO, NAMED_ASIDE, ASIDE = range(3)
 CLOSED_BY_SAME = frozenset("li dt dd tr td th option".split())
 #: Elements inside which an open paragraph or item of outside is out of reach.
 SCOPES = {"ul": ("li",), "ol": ("li",), "dl": ("dt", "dd"), "table": ("tr", "td", "th", "p"), "td": ("p",), "th": ("p",), "caption": ("p",)}
@@ -45,33 +51,33 @@ RAW_END = {tag: re.compile(f"</{tag}", re.I) for tag in RAW}
 WORD = re.compile(r"[a-z]+")
 
 
-def is_aside(tag: str, attributes: str, inside: bool) -> bool:
+def aside_kind(tag: str, attributes: str, inside: bool) -> int:
     """Whether an element is a menu, header, footer, sidebar, notice, advert, form or comment.
 
-    Outside an article any part of a name tells; inside one the whole name must be such a name, or consist
-    of such names and words without meaning of their own.
+    A class or id tells only as a whole: it must consist of such names and words without meaning of their own, so
+    "has-sidebar" and "comments-open" tell nothing. What holds the page or its article is never an aside, whatever its
+    attributes say; an article inside another may be a comment.
     """
-    if tag in ASIDE_TAGS or (tag == "header" and not inside):
-        return True
-    if tag in ("html", "body", "article", "main") and "comment" not in attributes:
-        return False
+    if tag in ASIDE_TAGS or (tag in ("header", "noscript") and not inside):
+        return ASIDE
+    if tag in ("html", "body", "main") or (tag == "article" and not inside):
+        return NO
+    kind = NO
     for name, value in NAMED.findall(attributes):
         name = name.lower()
         if name == "hidden":
-            return True
+            return ASIDE
         if name == "role":
             roles = ASIDE_ROLES - OWN_ROLES if inside else ASIDE_ROLES
             if not roles.isdisjoint(WORD.findall(value.lower())):
-                return True
-        elif not inside:
-            if not ASIDE_NAMES.isdisjoint(WORD.findall(value.lower())):
-                return True
+                return ASIDE
         else:
             for token in value.strip("\"'").lower().split():
                 parts = set(WORD.findall(token))
-                if not ASIDE_NAMES.isdisjoint(parts) and parts <= ASIDE_NAMES | PLAIN_NAMES:
-                    return True
-    return False
+                names = parts & ASIDE_NAMES
+                if names and parts <= ASIDE_NAMES | PLAIN_NAMES | (frozenset() if inside else SITE_NAMES):
+                    kind = max(kind, ASIDE if names & READER_NAMES else NAMED_ASIDE)
+    return kind
 
 
 class Page:
@@ -79,10 +85,12 @@ class Page:
 
     def __init__(self, source: str):
         self.label, self.parent, self.text = ["root"], [-1], [""]
-        self.blocks: list[tuple[int, bool, str]] = []  # node, whether in an article or main, text
+        # node, whether in an article or main, whether that stands in an element with an aside's name, text
+        self.blocks: list[tuple[int, bool, bool, str]] = []
         pieces: list[str] = []
-        # tag, node, aside, in an article or main, and where in the stack the open paragraph and items are
-        stack: list[tuple] = [("root", 0, False, False, {})]
+        # tag, node, kind of aside, in an article or main, where in the stack the open paragraph and items are, and
+        # whether the article stands in an element with an aside's name
+        stack: list[tuple] = [("root", 0, NO, False, {}, False)]
         self._open_tags: Counter = Counter()
         at, end = 0, len(source)
         while at < end:
@@ -108,7 +116,7 @@ class Page:
                 stop = RAW_END[tag].search(source, at)
                 if stop:
                     at = stop.start()
-                elif tag not in ("head", "noscript", "select", "object"):
+                elif tag not in ("head", "select"):
                     at = end
             elif tag not in VOID and not (tag in INLINE and "class" not in found[3] and "hidden" not in found[3]):
                 self._open(tag, found[3], stack, pieces)
@@ -121,7 +129,7 @@ class Page:
             if text:
                 node = top[1]
                 self.text[node] = f"{self.text[node]} {text}" if self.text[node] else text
-                self.blocks.append((node, top[3], text))
+                self.blocks.append((node, top[3], top[5], text))
 
     def _pop(self, stack: list, at: int) -> None:
         for entry in stack[at:]:
@@ -134,18 +142,21 @@ class Page:
 
     def _open(self, tag: str, attributes: str, stack: list, pieces: list[str]) -> None:
         if tag in INLINE:
-            if is_aside(tag, attributes, stack[-1][3]):
+            if aside_kind(tag, attributes, stack[-1][3]):
                 self._flush(stack[-1], pieces)
-                self._push(stack, (tag, stack[-1][1], True, *stack[-1][3:]))
+                self._push(stack, (tag, stack[-1][1], ASIDE, *stack[-1][3:]))
             return
         if tag in CLOSED_BY_SAME:
             if (at := stack[-1][4].get(tag)) is not None:
                 self._pop(stack, at)
         if (at := stack[-1][4].get("p")) is not None:
             self._pop(stack, at)
-        _, parent, aside, inside, marks = stack[-1]
-        aside = aside or is_aside(tag, attributes, inside)
-        inside = inside or tag in ("article", "main") or "role=\"main\"" in attributes
+        _, parent, aside, inside, marks, lost = stack[-1]
+        frame = tag in ("article", "main") or "role=\"main\"" in attributes
+        if frame and aside == NAMED_ASIDE and not inside:
+            aside, lost = NO, lost or tag == "article"  # the name was that of the layout, if this is the only article
+        aside = max(aside, aside_kind(tag, attributes, inside))
+        inside = inside or frame and not aside
         node = parent
         if not aside:
             node = len(self.label)
@@ -156,7 +167,7 @@ class Page:
             marks = {k: v for k, v in marks.items() if k not in SCOPES[tag]}
         if tag == "p" or tag in CLOSED_BY_SAME:
             marks = marks | {tag: len(stack)}
-        self._push(stack, (tag, node, aside, inside, marks))
+        self._push(stack, (tag, node, aside, inside, marks, lost))
 
     def _close(self, tag: str, stack: list, pieces: list[str]) -> None:
         if self._open_tags[tag] > 0:
@@ -168,9 +179,11 @@ class Page:
             self._pop(stack, at)
 
     def content(self) -> list[tuple[int, str]]:
-        """Node and text of the blocks in articles and main, else of all that is no aside."""
-        framed = any(inside for _, inside, _ in self.blocks)
-        return [(node, text) for node, inside, text in self.blocks if inside or not framed]
+        """Node and text of the blocks in articles and main, else of the articles in elements with an aside's name,
+        else of all that is no aside."""
+        ranks = [2 if inside and not lost else 1 if inside else 0 for _, inside, lost, _ in self.blocks]
+        best = max(ranks, default=0)
+        return [(node, text) for rank, (node, _, _, text) in zip(ranks, self.blocks, strict=True) if rank == best]
 
 
 def hashed(text: str) -> int:

@@ -218,3 +218,10 @@ def test_template_texts_below_the_threshold(spark):
             x, y = sorted((root(r.a), root(r.b)))
             parent[y] = x
         assert {i: root(i) for i, _ in rows} == expected
+
+
+def test_near_copies_beside_clashing_columns(spark):
+    docs = documents(spark, [(1, "a b c d e f"), (2, "a b c d e f"), (3, "x"), (None, "x")])
+    docs = docs.selectExpr("n AS near_copy_id", "*", "label AS component_id", "gone AS kept", "size AS set_key", "1 AS rep")
+    left = near_dedup.drop_near_copies(docs)
+    assert left.columns == docs.columns and sorted(str(r.doc_id) for r in left.collect()) == ["1", "3", "None"]

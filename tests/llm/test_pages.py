@@ -46,7 +46,18 @@ def test_article_text_stays():
     assert content('<article><section role="alert">Storm warning</section><p>Text</p></article>') == "Storm warning Text"
     assert content("<main><p>Intro in main.</p><article><p>Body.</p></article><p>After.</p></main><p>Off</p>") == "Intro in main. Body. After."
     assert content('<article><p>Text</p><div class="share-buttons">Share</div><ul class="comment-list"><li>Nice</ul><div class="cookie-notice">We</div></article>') == "Text"
-    assert content('<div class="share-price">in no article</div><p>Text</p>') == "Text"
+    assert content('<div class="share-price">in no article</div><p>Text</p>') == "in no article Text"
+
+
+def test_names_of_layouts_keep_the_article():
+    """Names that blog software gives to what holds the article, or to the article itself."""
+    for opened in ('<div class="layout has-sidebar"><main>', '<div class="with-sidebar"><article>', '<body class="single comments-open"><article>', '<article class="post comments-closed">', '<div class="layout sidebar"><article>', '<div class="right-sidebar"><main>', '<body class="page left-sidebar no-header"><p>'):
+        assert content(f"{opened}<p>All of it.</p>") == "All of it."
+    assert content('<div class="restaurant-menu-review"><p>Good food.</p></div><p class="share-price">Up 3%.</p>') == "Good food. Up 3%."
+    assert content('<article><p>As <math><mi>x</mi><mo>=</mo><mn>1</mn><annotation>x=1</annotation></math> shows</p><object><p>Chart</p></object><noscript>Plain</noscript></article>') == "As x=1 shows Chart Plain"
+    assert content('<article><p>Mine</p></article><div class="related"><article><p>Another</p></article></div><div id="comments"><article><p>Nice</p></article></div>') == "Mine"
+    assert content('<article><p>Mine</p><article class="comment"><p>Nice</p></article></article><noscript>Turn it on</noscript>') == "Mine"
+    assert content('<div class="site-header">Name</div><div id="main-nav">Go</div><div class="page-footer"><p>Us</p></div><div id="comments"><article>Hm</article></div><p>Text</p>') == "Text"
 
 
 def test_open_elements_far_above_are_closed():
