@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import json
+import random
 import zlib
 from collections import defaultdict
 
@@ -50,6 +52,22 @@ def test_stretches_are_encoded_alike():
     assert stretches("x" * 500, 10) == ["x" * 500]
 
 
+def test_encoder_equals_the_library():
+    encode = harmonic_packing.encoder(JSON.read_bytes()).encode
+    rng = random.Random(4)
+    alphabet = [" ", "  ", "\n", "\t", "\x85", "\xa0", "\u2028", "\u3000", "\x1c", "a", "the", "'s", "é", "中", "½", "$%", "<|endoftext|>", "\x00", "\r\n"]
+    for text in ["".join(rng.choices(alphabet, k=rng.randint(1, 40))) for _ in range(500)] + [" " * 1_000_000, "\n" * 400_000 + "a", "x" * 100_000]:
+        assert encode(text).tolist() == LIBRARY.encode(text, add_special_tokens=False).ids
+
+
+def test_vocabulary_of_another_order():
+    """Numbers that do not tell the turn of the merges: the library itself encodes."""
+    vocabulary = {"a": 0, "b": 1, "c": 2, "bc": 3, "ab": 4}
+    content = json.dumps({"version": "1.0", "truncation": None, "padding": None, "added_tokens": [], "normalizer": None, "pre_tokenizer": None, "post_processor": None, "decoder": None, "model": {"type": "BPE", "dropout": None, "unk_token": None, "continuing_subword_prefix": None, "end_of_word_suffix": None, "fuse_unk": False, "byte_fallback": False, "ignore_merges": False, "vocab": vocabulary, "merges": ["a b", "b c"]}})
+    own = harmonic_packing.Encoder(content.encode())
+    assert own.ranks is None and own.encode("abc").tolist() == [4, 2]
+
+
 def test_packing_of_awkward_rows(spark, monkeypatch):
     monkeypatch.setattr(harmonic_packing, "STRETCH", 300)
     rows = [*awkward(), (None, "again"), (95, "long " * 3000)]
