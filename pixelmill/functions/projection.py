@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from math import pi, sqrt
+from types import SimpleNamespace
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -18,6 +20,10 @@ INVERSE = (N / 2 - 2 * N**2 / 3 + 37 * N**3 / 96 - N**4 / 360, N**2 / 48 + N**3
 LATITUDE = (2 * N - 2 * N**2 / 3 - 2 * N**3 + 116 * N**4 / 45, 7 * N**2 / 3 - 8 * N**3 / 5 - 227 * N**4 / 45, 56 * N**3 / 15 - 136 * N**4 / 35, 4279 * N**4 / 630)
 RADIUS = SCALE * MAJOR / (1 + N) * (1 + N**2 / 4 + N**4 / 64)
 ECCENTRICITY = 2 * sqrt(N) / (1 + N)
+#: The same functions for arrays inside tasks.
+ARRAYS = SimpleNamespace(
+    radians=np.radians, degrees=np.degrees, sin=np.sin, cos=np.cos, sinh=np.sinh, cosh=np.cosh, asin=np.arcsin, atan2=np.arctan2, asinh=np.arcsinh, atanh=np.arctanh, hypot=np.hypot, lit=float
+)
 
 
 def zone_of(srid: int) -> tuple[float, float]:
@@ -28,34 +34,34 @@ def zone_of(srid: int) -> tuple[float, float]:
     return zone * 6.0 - 183.0, SOUTH * half
 
 
-def to_utm(lon: Column, lat: Column, srid: int) -> tuple[Column, Column]:
-    """East and north of degrees."""
+def to_utm(lon: Column, lat: Column, srid: int, m=F) -> tuple[Column, Column]:
+    """East and north of degrees; of columns, or of arrays with ``ARRAYS``."""
     meridian, shift = zone_of(srid)
-    away, phi = F.radians(lon - meridian), F.radians(lat)
-    t = F.sinh(F.atanh(F.sin(phi)) - ECCENTRICITY * F.atanh(ECCENTRICITY * F.sin(phi)))
-    xi, eta = F.atan2(t, F.cos(away)), F.asinh(F.sin(away) / F.hypot(t, F.cos(away)))
-    east = eta + sum((F.cos(2 * j * xi) * F.sinh(2 * j * eta) * a for j, a in enumerate(FORWARD, 1)), F.lit(0.0))
-    north = xi + sum((F.sin(2 * j * xi) * F.cosh(2 * j * eta) * a for j, a in enumerate(FORWARD, 1)), F.lit(0.0))
+    away, phi = m.radians(lon - meridian), m.radians(lat)
+    t = m.sinh(m.atanh(m.sin(phi)) - ECCENTRICITY * m.atanh(ECCENTRICITY * m.sin(phi)))
+    xi, eta = m.atan2(t, m.cos(away)), m.asinh(m.sin(away) / m.hypot(t, m.cos(away)))
+    east = eta + sum((m.cos(2 * j * xi) * m.sinh(2 * j * eta) * a for j, a in enumerate(FORWARD, 1)), m.lit(0.0))
+    north = xi + sum((m.sin(2 * j * xi) * m.cosh(2 * j * eta) * a for j, a in enumerate(FORWARD, 1)), m.lit(0.0))
     return east * RADIUS + EAST, north * RADIUS + shift
 
 
-def from_utm(x: Column, y: Column, srid: int) -> tuple[Column, Column]:
+def from_utm(x: Column, y: Column, srid: int, m=F) -> tuple[Column, Column]:
     """Longitude and latitude in degrees of east and north."""
     meridian, shift = zone_of(srid)
     xi, eta = (y - shift) / RADIUS, (x - EAST) / RADIUS
-    xi_0 = xi - sum((F.sin(2 * j * xi) * F.cosh(2 * j * eta) * b for j, b in enumerate(INVERSE, 1)), F.lit(0.0))
-    eta_0 = eta - sum((F.cos(2 * j * xi) * F.sinh(2 * j * eta) * b for j, b in enumerate(INVERSE, 1)), F.lit(0.0))
-    chi = F.asin(F.sin(xi_0) / F.cosh(eta_0))
-    phi = chi + sum((F.sin(2 * j * chi) * d for j, d in enumerate(LATITUDE, 1)), F.lit(0.0))
-    return F.atan2(F.sinh(eta_0), F.cos(xi_0)) * (180 / pi) + meridian, F.degrees(phi)
+    xi_0 = xi - sum((m.sin(2 * j * xi) * m.cosh(2 * j * eta) * b for j, b in enumerate(INVERSE, 1)), m.lit(0.0))
+    eta_0 = eta - sum((m.cos(2 * j * xi) * m.sinh(2 * j * eta) * b for j, b in enumerate(INVERSE, 1)), m.lit(0.0))
+    chi = m.asin(m.sin(xi_0) / m.cosh(eta_0))
+    phi = chi + sum((m.sin(2 * j * chi) * d for j, d in enumerate(LATITUDE, 1)), m.lit(0.0))
+    return m.atan2(m.sinh(eta_0), m.cos(xi_0)) * (180 / pi) + meridian, m.degrees(phi)
 
 
-def transformed(x: Column, y: Column, source: int, target: int) -> tuple[Column, Column]:
+def transformed(x: Column, y: Column, source: int, target: int, m=F) -> tuple[Column, Column]:
     """Coordinates in another reference system; nothing is computed where both are the same."""
     if source == target:
         return x, y
-    lon, lat = (x, y) if source == GEOGRAPHIC else from_utm(x, y, source)
-    return (lon, lat) if target == GEOGRAPHIC else to_utm(lon, lat, target)
+    lon, lat = (x, y) if source == GEOGRAPHIC else from_utm(x, y, source, m)
+    return (lon, lat) if target == GEOGRAPHIC else to_utm(lon, lat, target, m)
 
 
 def transformed_rings(rings: Column, source: int, target: int) -> Column:

@@ -172,6 +172,32 @@ def river(spark: SparkSession, sf_dir: str) -> DataFrame:
     return full_grid(spark, sf_dir).withColumn("river", F.when(F.col("col") == (F.col("row") * 3) % N_COLS, 1))
 
 
+#: Two tiles on both sides of the edge of two zones, and a grid across them.
+CUBE_TILES = {"T32TQQ": (735_000.0, 4_990_000.0, 20.0, 32632), "T33TUK": (263_000.0, 4_990_000.0, 20.0, 32633)}
+CUBE_TARGET = (734_907.3, 4_990_031.7, 25.0, 90)
+
+
+def cube_specs(n_rows: int) -> tuple[dict[str, GridSpec], GridSpec]:
+    left, top, cell, cols = CUBE_TARGET
+    tiles = {name: GridSpec(x, y, d, d, n_rows, N_COLS, srid) for name, (x, y, d, srid) in CUBE_TILES.items()}
+    return tiles, GridSpec(left, top, cell, cell, n_rows * 4 // 5 + 5, cols, 32632)
+
+
+def scenes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three dates of two tiles: the raster with gaps in two brightnesses, and a scene class."""
+    rows = grid(spark, sf_dir).withColumn("key", F.col("row") * N_COLS + F.col("col")).withColumn("date", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))))
+    rows = rows.withColumn("tile", F.explode(F.array(*map(F.lit, CUBE_TILES))))
+    first = F.col("tile") == next(iter(CUBE_TILES))
+    return rows.select(
+        "tile",
+        F.expr("TIMESTAMP_NTZ '2019-04-01 10:10:00' + make_dt_interval(5 * date)").alias("ts"),
+        "row",
+        "col",
+        F.when(first, (F.col("key") * 5 + F.col("date") * 3) % 12).otherwise((F.col("key") * 7 + F.col("date")) % 12).cast("int").alias("scl"),
+        F.when(first, F.col("v") / 100 * (1 + F.col("date") / 10)).otherwise(F.col("v") / 100 * (1 + F.col("date") / 8) + 100).alias("b08"),
+    )
+
+
 def places(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Longitudes and latitudes around the middle of a UTM zone."""
     key = F.col("c_custkey")

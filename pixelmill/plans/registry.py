@@ -18,11 +18,11 @@ QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 
 
-def query(sql: str | None = None) -> Callable[[Query], Query]:
+def query(sql: str | None = None, name: str | None = None) -> Callable[[Query], Query]:
     def register(f: Query) -> Query:
-        QUERIES[f.__name__] = f
+        QUERIES[name or f.__name__] = f
         if sql is not None:
-            SQL[f.__name__] = sql
+            SQL[name or f.__name__] = sql
         return f
 
     return register
@@ -366,11 +366,7 @@ def g10_fill_inside(spark, sf_dir):
     return neighbourhood.fill_inside(df, "v", df.where("row % 40 < 10 AND col < 40")).withColumn("v", F.round("v", 4))
 
 
-@query(_fill_inside_sql(5))
-def g10_fill_inside_whole(spark, sf_dir):
-    """Over the whole raster: the mask, ten of every 40 rows, grows with it."""
-    df = fx.grid(spark, sf_dir)
-    return neighbourhood.fill_inside(df, "v", df.where("row % 40 < 10 AND col < 40")).withColumn("v", F.round("v", 4))
+query(_fill_inside_sql(5), name="g10_fill_inside_whole")(g10_fill_inside)  # its name of the round with windows
 
 
 PAIRS = f"""grey AS (SELECT r, c, {GREY.format(v="full_v")} AS g FROM cells),
@@ -483,17 +479,8 @@ def p26_large_components(spark, sf_dir):
     return spatial.large_components(labelled, 100.0, 500.0)
 
 
-@query()
-def g17_components_whole(spark, sf_dir):
-    """Over all rows of the raster."""
-    return spatial.raster_components(fx.full_grid(spark, sf_dir).where("v > 150000"), fx.N_COLS)
-
-
-@query(SQL["p26_large_components"])
-def p26_large_components_whole(spark, sf_dir):
-    """Over all rows of the raster."""
-    labelled = spatial.raster_components(fx.full_grid(spark, sf_dir).where("v > 250000"), fx.N_COLS)
-    return spatial.large_components(labelled, 100.0, 500.0)
+query(name="g17_components_whole")(g17_components)  # their names of the round with windows
+query(SQL["p26_large_components"], name="p26_large_components_whole")(p26_large_components)
 
 
 # sampling
@@ -732,10 +719,10 @@ def _tau_sql(columns: dict[str, str]) -> str:
     return f"{fx.PIXELS}, s AS (SELECT {shown} FROM pixels ORDER BY md5('50|' || id), id LIMIT 3000), sums AS (SELECT {terms} FROM s a, s b), tau AS ({each})"
 
 
-@query(f"WITH {_tau_sql({f: f for f in fx.FEATURES})} SELECT a, b, round(tau, 9) AS tau FROM tau")
+@query(f"WITH {_tau_sql({f: f for f in fx.FEATURES})} SELECT a, b, round(tau, 12) AS tau FROM tau")
 def m6_kendall_whole(spark, sf_dir):
     """As m6_kendall, of all predictors and on as many rows as the function takes."""
-    return selection.kendall(fx.pixels(spark, sf_dir), fx.FEATURES, "id").withColumn("tau", F.round("tau", 9))
+    return selection.kendall(fx.pixels(spark, sf_dir), fx.FEATURES, "id").withColumn("tau", F.round("tau", 12))
 
 
 #: States the pruning where no two pairs above the cutoff share a predictor, as here.
@@ -1056,3 +1043,6 @@ def m21_stored_weights(spark, sf_dir):
 def g12_texture_names(spark, sf_dir):
     textures = fx.pixels(spark, sf_dir).select("id", F.col("f0").alias("con"), F.col("f1").alias("hom"), F.col("f2").alias("ent"))
     return neighbourhood.name_textures(textures, "MAM")
+
+
+from pixelmill.plans import rasters  # noqa: E402, F401  registers the queries on files and cubes

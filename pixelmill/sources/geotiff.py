@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Iterator, Sequence
 from concurrent.futures import ThreadPoolExecutor
@@ -13,7 +14,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual, EqualTo, WriterCommitMessage
-from pyspark.sql.types import DoubleType, FloatType, IntegerType, LongType, StructField, StructType
+from pyspark.sql.types import DoubleType, FloatType, IntegerType, LongType, StringType, StructField, StructType
 
 from pixelmill.operators.grid import GridSpec
 from pixelmill.session import ship_package
@@ -24,6 +25,8 @@ from pixelmill.sources.tiff import Image
 FORMAT = "pixelmill_geotiff"
 #: Compressed bytes that a task reads, about.
 TASK_BYTES = 8 << 20
+#: What ends the name of a file: its block in a raster of several files.
+BLOCK_NAME = re.compile(r"(-?r\d{6}-c\d{6})?\.tiff?$", re.I)
 #: Types of storage by name.
 STORED = {"byte": "u1", "int16": "<i2", "uint16": "<u2", "int32": "<i4", "float32": "<f4", "float64": "<f8"}
 
@@ -51,6 +54,18 @@ def listed(path: str) -> list[tuple[str, Image]]:
         return list(pool.map(one, names))
 
 
+def scene_of(path: str) -> str:
+    """The name of the scene that a file holds, or holds a block of."""
+    return BLOCK_NAME.sub("", path.rsplit("/", 1)[-1])
+
+
+def by_scene(files: list[tuple[str, Image]]) -> dict[str, list[tuple[str, Image]]]:
+    found: dict[str, list[tuple[str, Image]]] = {}
+    for path, image in files:
+        found.setdefault(scene_of(path), []).append((path, image))
+    return found
+
+
 def grid_of(images: Sequence[Image]) -> GridSpec:
     """The grid that holds all files; they must share cell size and reference system."""
     first = images[0]
@@ -93,6 +108,7 @@ class TileRange(InputPartition):
     pieces: list[list[tuple[int, int]]]  # per tile: offset and bytes of each wanted plane
     row: int
     col: int
+    file: str | None = None
 
 
 class GeoTiffReader(DataSourceReader):
@@ -114,10 +130,13 @@ class GeoTiffReader(DataSourceReader):
 
     def partitions(self) -> list[TileRange]:
         files = listed(self.options["path"])
-        grid = grid_of([image for _, image in files])
+        each = self.options.get("each") == "true"
+        scenes = by_scene(files) if each else {"": files}
+        grids = {scene: grid_of([image for _, image in held]) for scene, held in scenes.items()}
         first_row, last_row, first_col, last_col = self.window
         most, found = int(self.options.get("bytes", TASK_BYTES)), []
-        for path, image in files:
+        for scene, path, image in ((scene, *x) for scene, held in scenes.items() for x in held):
+            grid, file = grids[scene], scene if each else None
             row, col = round((grid.top - image.top) / image.dy), round((image.left - grid.left) / image.dx)
             planes = picked(image, self.options) if image.planar else [0]
             plane = image.tiles_across * image.tiles_down
@@ -130,10 +149,10 @@ class GeoTiffReader(DataSourceReader):
                 pieces.append([(image.offsets[p * plane + tile], image.sizes[p * plane + tile]) for p in planes])
                 held += sum(size for _, size in pieces[-1])
                 if held >= most:
-                    found.append(TileRange(path, bare, tiles, pieces, row, col))
+                    found.append(TileRange(path, bare, tiles, pieces, row, col, file))
                     tiles, pieces, held = [], [], 0
             if tiles:
-                found.append(TileRange(path, bare, tiles, pieces, row, col))
+                found.append(TileRange(path, bare, tiles, pieces, row, col, file))
         return found or [TileRange("", files[0][1], [], [], 0, 0)]
 
     def read(self, part: TileRange) -> Iterator[pa.RecordBatch]:
@@ -162,6 +181,8 @@ class GeoTiffReader(DataSourceReader):
                     if image.nodata is not None:
                         absent |= flat == image.nodata
                     columns.append(pa.array(flat, mask=absent).cast({"f": {4: pa.float32(), 8: pa.float64()}}.get(flat.dtype.kind, {}).get(flat.dtype.itemsize) or (pa.int32() if isinstance(column_type(flat.dtype), IntegerType) else pa.int64())))
+                if part.file is not None:
+                    columns.insert(0, pa.array([part.file] * len(columns[0])))
                 yield pa.RecordBatch.from_arrays(columns, names=self.names)
 
 
@@ -204,7 +225,7 @@ class GeoTiffWriter(DataSourceArrowWriter):
                         padded = np.full((tile, tile), self.nodata, self.dtype)
                         padded[: part.shape[0], : part.shape[1]] = part
                         tiles.append(tiff.encoded(padded, compression, predictor))
-            name = f"r{at[0]:06d}-c{at[1]:06d}.tif"
+            name = f"{o['prefix']}r{at[0]:06d}-c{at[1]:06d}.tif"
             if name in done:
                 raise ValueError("cells must come block by block")
             done[name] = f"{staging}/{uuid.uuid4().hex}.tif"
@@ -246,7 +267,7 @@ class GeoTiffWriter(DataSourceArrowWriter):
         system, folder = located(self.options["path"])
         if self.overwrite:
             for old in system.get_file_info(fs.FileSelector(folder)):
-                if old.path.endswith(".tif"):
+                if scene_of(old.path) == self.options["prefix"].rstrip("-") and old.path.endswith(".tif"):
                     system.delete_file(old.path)
         for message in messages:
             for place, name in message.files if message else []:
@@ -264,7 +285,7 @@ class GeoTiffSource(DataSource):
     """``spark.read.format("pixelmill_geotiff")``: row, col and a column per layer of a file or a folder of files.
 
     Options: path; bands (positions from 1) or layers (names); window (first row, last row, first column, last column);
-    bytes, the compressed bytes of a task. Tiled and stripped files, plain, LZW and DEFLATE, with predictors, both byte
+    bytes, the compressed bytes of a task; each (true: a folder of scenes, not of one raster; rows and columns count inside each, whose name is the column ``file``). Tiled and stripped files, plain, LZW and DEFLATE, with predictors, both byte
     orders, also BigTIFF. NaN and the file's nodata value are null.
     """
 
@@ -275,6 +296,8 @@ class GeoTiffSource(DataSource):
     def schema(self) -> StructType:
         _, image = listed(self.options["path"])[0]
         cells = [StructField(n, IntegerType()) for n in ("row", "col")]
+        if self.options.get("each") == "true":
+            cells.insert(0, StructField("file", StringType()))
         return StructType([*cells, *[StructField(image.names[b], column_type(image.dtype)) for b in picked(image, self.options)]])
 
     def reader(self, schema: StructType) -> GeoTiffReader:
@@ -291,7 +314,7 @@ def registered(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def read_geotiff(spark: SparkSession, path: str, layers: Sequence[str] | None = None, bands: Sequence[int] | None = None, window: tuple[int, int, int, int] | None = None) -> DataFrame:
+def read_geotiff(spark: SparkSession, path: str, layers: Sequence[str] | None = None, bands: Sequence[int] | None = None, window: tuple[int, int, int, int] | None = None, each: bool = False) -> DataFrame:
     """Pixels of a GeoTIFF, or of a folder of them (S4); ``bands`` picks layers by position from 1.
 
     Only the tiles of ``window`` (first and last row, first and last column), or those that filters on row and col
@@ -301,7 +324,7 @@ def read_geotiff(spark: SparkSession, path: str, layers: Sequence[str] | None =
     for name, value in (("layers", layers), ("bands", bands), ("window", window)):
         if value is not None:
             reader = reader.option(name, ",".join(map(str, value)))
-    return reader.load(path)
+    return reader.option("each", str(each).lower()).load(path)
 
 
 def geotiff_grid(path: str) -> GridSpec:
@@ -320,12 +343,14 @@ def write_geotiff(
     tile: int = 256,
     block: int = 1024,
     overwrite: bool = True,
+    scene: str | None = None,
 ) -> None:
     """Write row, col and layers as a folder of tiled GeoTIFFs, one for each block of ``block`` cells square.
 
     One shuffle brings the cells of a block together; a task holds one block of all layers. ``kind`` is the storage type
     of all layers, ``compression`` none, lzw or deflate. Absent and null cells are ``nodata``, in whole-number rasters
     without one an error (null) or 0 (absent). Without ``overwrite`` a raster that is there is never touched (S21).
+    ``scene`` names one of several rasters in the folder; only that one is replaced.
     """
     if block % tile or tile % 16:
         raise ValueError("a block holds whole tiles, a tile a multiple of 16 cells")
@@ -334,7 +359,7 @@ def write_geotiff(
     spark = registered(df.sparkSession)
     if not overwrite and path_exists(spark, path):
         raise FileExistsError(path)
-    options = {"left": grid.left, "top": grid.top, "dx": grid.dx, "dy": grid.dy, "rows": grid.n_rows, "cols": grid.n_cols, "srid": grid.srid, "tile": tile, "block": block}
+    options = {"left": grid.left, "top": grid.top, "dx": grid.dx, "dy": grid.dy, "rows": grid.n_rows, "cols": grid.n_cols, "srid": grid.srid, "tile": tile, "block": block, "prefix": f"{scene}-" if scene else ""}
     options |= {"type": kind, "compression": compression, "predictor": str(predictor).lower()} | ({} if nodata is None else {"nodata": nodata})
     at = [F.expr(f"row DIV {block}"), F.expr(f"col DIV {block}")]
     writer = df.repartition(*at).sortWithinPartitions(*at).write.format(FORMAT).mode("overwrite")

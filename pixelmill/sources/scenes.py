@@ -8,7 +8,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pixelmill.operators.grid import GridSpec
 from pixelmill.sources.files import path_exists
+from pixelmill.sources.geotiff import by_scene, grid_of, listed, read_geotiff
 
 #: The tiles that cover the area, those a run cannot do without, and how names show them.
 TILES = ("T32TLQ", "T32TLR", "T32TMQ", "T32TMR")
@@ -51,3 +53,26 @@ def scene_table(spark: SparkSession, folder: str, path: str) -> DataFrame:
     if not path_exists(spark, path):
         list_archives(spark, folder).write.parquet(path)
     return spark.read.parquet(path)
+
+
+def scene_grids(folder: str) -> dict[str, GridSpec]:
+    """The grid of each tile with a GeoTIFF scene in the folder; all scenes of a tile share it (S3)."""
+    grids: dict[str, GridSpec] = {}
+    for scene, files in by_scene(listed(folder)).items():
+        if not (found := re.search(TILE_PATTERN, scene)):
+            continue
+        grid = grid_of([image for _, image in files])
+        if grids.setdefault(found[1], grid) != grid:
+            raise ValueError(f"scenes of {found[1]} have different grids")
+    return grids
+
+
+def scene_pixels(spark: SparkSession, folder: str, bands: Sequence[str] | None = None) -> DataFrame:
+    """tile, ts, row, col and the layers of every GeoTIFF scene in a folder (S3): the observations of a cube.
+
+    Scenes are read by ranges of tiles, as many tasks as their bytes ask for. Names that show no tile are left out.
+    """
+    pixels = read_geotiff(spark, folder, bands, each=True)
+    acquired = F.try_to_timestamp(F.regexp_extract("file", ACQUIRED_PATTERN, 1), F.lit("yyyyMMdd'T'HHmmss")).cast("timestamp_ntz")
+    named = pixels.select(F.regexp_extract("file", TILE_PATTERN, 1).alias("tile"), acquired.alias("ts"), *[c for c in pixels.columns if c != "file"])
+    return named.where("tile <> ''")
