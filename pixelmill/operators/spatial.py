@@ -130,20 +130,31 @@ def clip(layer: DataFrame, cells: DataFrame) -> DataFrame:
 def row_minima(height: np.ndarray, dx: float) -> np.ndarray:
     """min over c of (dx * (x - c))^2 + height[row, c] for every row and column x; inf where nothing is held.
 
-    Columns are searched at growing distance, all rows at once; a row is done when the distance alone exceeds
-    all that was found.
+    The lower envelope of the parabolas over each row, in time linear in the columns: columns are added from left to
+    right, in all rows at once; a new parabola removes those at the end of the envelope that it lies below.
     """
-    best = height.copy()
-    rows = np.arange(len(height))
-    for k in range(1, height.shape[1]):
-        step = (k * dx) ** 2
-        rows = rows[best[rows].max(axis=1, initial=-np.inf) > step]
-        if not len(rows):
-            break
-        held, found = height[rows] + step, best[rows]
-        np.minimum(found[:, k:], held[:, :-k], out=found[:, k:])
-        np.minimum(found[:, :-k], held[:, k:], out=found[:, :-k])
-        best[rows] = found
+    n, width = height.shape
+    top = np.full(n, -1)  # the last parabola of each row's envelope, the column of each, and where it begins
+    column, begin = np.zeros((n, width), np.int64), np.full((n, width), -np.inf)
+    held = np.isfinite(height)
+    scaled = height / dx**2
+    for q in np.flatnonzero(held.any(axis=0)).tolist():
+        new = np.flatnonzero(held[:, q])
+        begins, open_rows = np.full(n, -np.inf), new
+        while len(open_rows := open_rows[top[open_rows] >= 0]):
+            last = top[open_rows]
+            p = column[open_rows, last]
+            cross = (scaled[open_rows, q] - scaled[open_rows, p] + (q - p) * (q + p)) / (2 * (q - p))
+            below = cross <= begin[open_rows, last]
+            begins[open_rows] = np.where(below, -np.inf, cross)
+            open_rows = open_rows[below]
+            top[open_rows] -= 1
+        top[new] += 1
+        column[new, top[new]], begin[new, top[new]] = q, begins[new]
+    best, x = np.full((n, width), np.inf), np.arange(width)
+    for row in np.flatnonzero(top >= 0).tolist():
+        p = column[row, np.searchsorted(begin[row, : top[row] + 1], x, side="right") - 1]
+        best[row] = (dx * (x - p)) ** 2 + height[row, p]
     return best
 
 
