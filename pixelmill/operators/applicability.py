@@ -70,6 +70,69 @@ def squared_distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.maximum((a * a).sum(axis=1)[:, None] + (b * b).sum(axis=1)[None] - 2 * a @ b.T, 0)
 
 
+@dataclass
+class BallIndex:
+    """Points in balls around some of them, for exact nearest distances by the triangle inequality.
+
+    Centres are chosen one by one, each the point farthest from those before; every point belongs to its nearest
+    centre, and a ball keeps its points in the order of their distance to the centre.
+    """
+
+    points: np.ndarray
+    centres: np.ndarray
+    radii: np.ndarray
+    first: np.ndarray  # where the points of each ball begin, and the end
+    depth: np.ndarray  # distance of each point to its centre
+
+    @classmethod
+    def of(cls, points: np.ndarray, balls: int | None = None) -> BallIndex:
+        balls = min(len(points), balls or 2 * int(np.ceil(np.sqrt(len(points)))))
+        chosen, near = [], np.full(len(points), np.inf)
+        owner = np.zeros(len(points), int)
+        for k in range(balls):
+            chosen.append(int(near.argmax()) if k else int(((points - points.mean(axis=0)) ** 2).sum(axis=1).argmin()))
+            gap = ((points - points[chosen[-1]]) ** 2).sum(axis=1)
+            owner[gap < near] = k
+            near = np.minimum(near, gap)
+            if not near.any():
+                break
+        order = np.lexsort((near, owner))
+        first = np.searchsorted(owner[order], np.arange(len(chosen) + 1))
+        depth = np.sqrt(near[order])
+        radii = np.array([depth[a:b].max(initial=0.0) for a, b in zip(first, first[1:], strict=False)])
+        return cls(points[order], points[chosen], radii, first, depth)
+
+    def nearest(self, queries: np.ndarray) -> tuple[np.ndarray, int]:
+        """The distance of each query to its nearest point, and how many distances were computed for all of them.
+
+        Balls are taken in the order of how near they may come, so most are never opened; of an opened ball only the
+        points are compared whose distance to the centre differs from the query's by less than the best so far.
+        """
+        if not len(self.points):
+            return np.full(len(queries), np.nan), 0
+        to_centre = np.sqrt(squared_distances(queries, self.centres))
+        bound = to_centre - self.radii
+        slack = 1e-9 * (1 + np.abs(self.points).max())  # against rounding: never passes over a nearer point
+        best, used = to_centre.min(axis=1), to_centre.size
+        order = np.argsort(bound, axis=1)
+        waiting = np.arange(len(queries))
+        for step in range(order.shape[1]):
+            waiting = waiting[bound[waiting, order[waiting, step]] <= best[waiting] + slack]
+            if not len(waiting):
+                break
+            ball = order[waiting, step]
+            for b in np.unique(ball).tolist():
+                some = waiting[ball == b]
+                begin, end = self.first[b], self.first[b + 1]
+                depth, away = self.depth[begin:end], to_centre[some, b]
+                low = begin + int(np.searchsorted(depth, (away - best[some]).min() - slack))
+                high = begin + int(np.searchsorted(depth, (away + best[some]).max() + slack, side="right"))
+                if low < high:
+                    best[some] = np.minimum(best[some], np.sqrt(squared_distances(queries[some], self.points[low:high]).min(axis=1)))
+                    used += len(some) * (high - low)
+        return best, used
+
+
 def training_distances(df: DataFrame, space: Space) -> DataFrame:
     """Per training pixel: the distance to its nearest other, and the sum of its distances to all."""
     spark = df.sparkSession
@@ -110,22 +173,22 @@ def fit_space(df: DataFrame, space: Space, threshold: str = "whisker") -> Space:
 def dissimilarity(df: DataFrame, space: Space) -> DataFrame:
     """Adds di and aoa (1 where di <= threshold); both null for incomplete rows.
 
-    The training sample is broadcast, bounded by its own cap; pixels are compared in small blocks.
+    The training sample is broadcast as an index of balls, bounded by the sample's own cap; a pixel is compared with the
+    points of the balls that may hold its nearest one.
     """
     ship_package(df.sparkSession)
-    shared = df.sparkSession.sparkContext.broadcast(space)
+    shared = df.sparkSession.sparkContext.broadcast((space, BallIndex.of(space.train)))
     whole = df.withColumn("di_whole", complete(space.predictors))
     names = list(space.predictors)
     schema = StructType([*df.schema.fields, StructField("di", DoubleType())])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        s = shared.value
+        s, index = shared.value
         for batch in batches:
             di = np.full(len(batch), np.nan)
             at = np.flatnonzero(batch["di_whole"].to_numpy(bool))
             x = (batch[names].to_numpy(float)[at] - s.mean) * s.scale
-            for first in range(0, len(at), BLOCK):
-                di[at[first : first + BLOCK]] = np.sqrt(squared_distances(x[first : first + BLOCK], s.train).min(axis=1)) / s.mean_distance
+            di[at] = index.nearest(x)[0] / s.mean_distance
             yield batch.drop(columns="di_whole").assign(di=di)
 
     judged = whole.mapInPandas(run, schema).withColumn("di", F.nanvl("di", F.lit(None)))
