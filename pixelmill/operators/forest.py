@@ -47,12 +47,18 @@ def mtry_grid(p: int) -> list[int]:
     return sorted({max(1, min(p, MTRY_MOST, m)) for m in raw})
 
 
+def rare_classes(df: DataFrame, target: str, k: int) -> DataFrame:
+    """class, n and verdict of every class: stop (fewer rows than folds), warn (fewer than two a fold) or fine."""
+    sizes = df.groupBy(F.col(target).alias("class")).agg(F.count(F.lit(1)).alias("n"))
+    return sizes.withColumn("verdict", F.when(F.col("n") < k, "stop").when(F.col("n") < 2 * k, "warn").otherwise("fine"))
+
+
 def check_rare(df: DataFrame, target: str, k: int) -> list[int]:
     """Stops if a class has fewer rows than folds; returns the classes with fewer than two a fold."""
-    sizes = {r[target]: r["count"] for r in df.groupBy(target).count().collect()}
-    if few := [c for c, n in sizes.items() if n < k]:
+    judged = {r["class"]: r.verdict for r in rare_classes(df, target, k).where("verdict <> 'fine'").collect()}  # classes are few
+    if few := [c for c, verdict in judged.items() if verdict == "stop"]:
         raise ValueError(f"classes {few} have fewer than {k} rows")
-    return sorted(c for c, n in sizes.items() if n < 2 * k)
+    return sorted(judged)
 
 
 def tune(df: DataFrame, target: str, predictors: Sequence[str], id_col: str, share: float = 0.03, nodes: Sequence[int] = (5, 10), trees: int = 50, seed: int = 50) -> DataFrame:

@@ -166,6 +166,11 @@ def nearest(df: DataFrame, source: GridSpec, target: GridSpec) -> DataFrame:
     return cells.join(df, ["row", "col"], "left").select("row_col.row", "row_col.col", *values)
 
 
+def aligned(df: DataFrame, value: str, source: GridSpec, target: GridSpec) -> DataFrame:
+    """The layer on the target grid: as it is if both grids are equal, else resampled."""
+    return df.select("row", "col", value) if source == target else bilinear(df, value, source, target)
+
+
 def bilinear(df: DataFrame, value: str, source: GridSpec, target: GridSpec) -> DataFrame:
     """Weighted mean of the four source cells around each target centre, brought to the source's reference system;
     nulls lend their weight (G3, G1, G5)."""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -163,3 +163,23 @@ def class_summary(df: DataFrame, keys: list[str], area: str) -> DataFrame:
 def description_variants(df: DataFrame, key: str, description: str) -> DataFrame:
     """Distinct descriptions of each class."""
     return df.groupBy(key).agg(F.count_distinct(description).alias("n_variants"))
+
+
+def codes(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Text or factor labels as whole-number codes, in place; what is no number becomes null.
+
+    A label may hold its code before a description, as in "12 - Shrubs".
+    """
+    return df.withColumns({c: F.regexp_extract(F.col(c).cast("string"), r"^\s*(-?[0-9]+)", 1).try_cast("int") for c in columns})
+
+
+def by_code(df: DataFrame, code: str) -> DataFrame:
+    """Rows in the order of their class code (O1)."""
+    return df.orderBy(F.col(code).cast("int"))
+
+
+def layer_name(path: Column, season: Column | str) -> Column:
+    """The name of a layer from the path of its file: folders, ending and version gone, in capitals, with the season
+    (F21), as in NDVI_MAM from /x/ndvi_v3.tif."""
+    base = F.regexp_replace(F.substring_index(path, "/", -1), r"(?i)(_v[0-9]+)?\.[a-z0-9]+$", "")
+    return F.concat_ws("_", F.upper(base), season if isinstance(season, Column) else F.lit(season))

@@ -1045,4 +1045,4 @@ def g12_texture_names(spark, sf_dir):
     return neighbourhood.name_textures(textures, "MAM")
 
 
-from pixelmill.plans import rasters  # noqa: E402, F401  registers the queries on files and cubes
+from pixelmill.plans import models, rasters  # noqa: E402, F401  register further queries
