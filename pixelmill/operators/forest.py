@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
-from math import floor, sqrt
+from math import exp, factorial, floor, sqrt
 
-from pyspark.ml import PipelineModel
-from pyspark.ml import Pipeline
+import numpy as np
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pixelmill.functions.indices import complete
@@ -61,18 +62,54 @@ def check_rare(df: DataFrame, target: str, k: int) -> list[int]:
     return sorted(judged)
 
 
-def tune(df: DataFrame, target: str, predictors: Sequence[str], id_col: str, share: float = 0.03, nodes: Sequence[int] = (5, 10), trees: int = 50, seed: int = 50) -> DataFrame:
-    """mtry, min_node_size, error of every setting on a stratified fraction, a fifth of it held out.
+def drawn(id_col: str, tree: int, seed: int = 50) -> Column:
+    """How often a row is drawn into a tree's bootstrap sample: a Poisson number of mean one from a hash of tree and id,
+    so the same on every run and machine."""
+    u = F.pmod(F.xxhash64(F.lit(seed), F.lit(tree), F.col(id_col)), F.lit(1 << 52)) / (1 << 52)
+    shares = np.cumsum([exp(-1) / factorial(k) for k in range(12)]).tolist()
+    return sum((F.when(u >= s, 1).otherwise(0) for s in shares), F.lit(0))
+
+
+def bagged_trees(df: DataFrame, target: str, predictors: Sequence[str], id_col: str, mtry: int, node: int, trees: int = 50, seed: int = 50) -> list[PipelineModel]:
+    """A forest as single trees, each grown on the rows that it has ``drawn``, weighted by how often; a few are grown
+    at a time."""
+    assembler, grower = forest(predictors, target, mtry, node, trees, seed).getStages()
+
+    def grown(tree: int) -> PipelineModel:
+        sample = df.withColumn("bag_weight", drawn(id_col, tree, seed).cast("double")).where("bag_weight > 0")
+        one = grower.copy({grower.numTrees: 1, grower.bootstrap: False, grower.seed: seed + tree, grower.weightCol: "bag_weight"})
+        return Pipeline(stages=[assembler, one]).fit(sample)
+
+    with ThreadPoolExecutor(8) as pool:
+        return list(pool.map(grown, range(trees)))
 
-    Spark's forests have no out-of-bag error; fold 1 of five stands in for it.
+
+def out_of_bag(df: DataFrame, models: Sequence[PipelineModel], target: str, id_col: str, seed: int = 50) -> DataFrame:
+    """id, true, predicted, n_votes of the rows that some tree has not drawn: the class that most of those trees vote
+    for, the smallest of equals (M10).
+
+    All trees judge a row in one pass; votes are counted per row and class.
     """
-    sample = work_table(folds(stratified_fraction(df, target, id_col, share, seed), target, id_col, 5, seed), "tuning")
-    grown, held = sample.where("fold <> 1"), sample.where("fold = 1")
+    judged = models[0].stages[0].transform(df)
+    votes = []
+    for tree, model in enumerate(models):
+        one = model.stages[1].copy({model.stages[1].predictionCol: f"vote_{tree}", model.stages[1].rawPredictionCol: "", model.stages[1].probabilityCol: ""})
+        judged = one.transform(judged)
+        votes.append(F.when(drawn(id_col, tree, seed) == 0, F.col(f"vote_{tree}")))
+    cast = judged.select(id_col, F.col(target).cast("int").alias("true"), F.explode(F.array_compact(F.array(*votes))).alias("class")).withColumn("class", F.col("class").cast("int"))
+    counted = cast.groupBy(id_col, "true", "class").agg(F.count(F.lit(1)).alias("n"))
+    best = F.max_by("class", F.struct("n", -F.col("class")))
+    return counted.groupBy(id_col, "true").agg(best.alias("predicted"), F.sum("n").alias("n_votes"))
+
+
+def tune(df: DataFrame, target: str, predictors: Sequence[str], id_col: str, share: float = 0.03, nodes: Sequence[int] = (5, 10), trees: int = 50, seed: int = 50) -> DataFrame:
+    """mtry, min_node_size, error of every setting: the out-of-bag error on a stratified fraction."""
+    sample = work_table(stratified_fraction(df, target, id_col, share, seed), "tuning")
     rows = []
     for mtry in mtry_grid(len(predictors)):
         for node in nodes:
-            judged = forest(predictors, target, mtry, node, trees, seed).fit(grown).transform(held)
-            rows.append((mtry, node, judged.agg(F.avg((F.col("predicted") != F.col(target)).cast("double"))).first()[0]))
+            judged = out_of_bag(sample, bagged_trees(sample, target, predictors, id_col, mtry, node, trees, seed), target, id_col, seed)
+            rows.append((mtry, node, judged.agg(F.avg((F.col("predicted") != F.col("true")).cast("double"))).first()[0]))
     return df.sparkSession.createDataFrame(rows, "mtry int, min_node_size int, error double")
 
 
