@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from pixelmill.functions import projection
-from pixelmill.operators import cube, grid
+from pixelmill.functions.rings import uncrossed_rings
+from pixelmill.operators import cube, grid, spatial
 from pixelmill.plans import fixtures as fx
 from pixelmill.plans.registry import _series, query
 from pixelmill.sources import files, geotiff, scenes
@@ -55,6 +56,22 @@ def s7_merged_bands(spark, sf_dir):
     return merged.select("row", "col", *[F.col(b).cast("double").alias(b) for b in "abc"])
 
 
+# polygons
+
+
+@query(f"WITH {fx.GRID}, {fx.RECTS} SELECT id, CAST(round(CASE WHEN id % 2 = 0 THEN w * h / 2 ELSE 1.5 * w * h END, 6) AS DOUBLE) AS area, 2 AS n_rings FROM rects")
+def g19_uncrossed(spark, sf_dir):
+    """Bow-ties become two triangles; two rings that overlap by a quarter become what only one of them covers."""
+    shapes = fx.rects(spark, sf_dir, fx.spec_of(fx.grid(spark, sf_dir)).n_rows)
+    ring = F.col("rings")[0]
+    bow = F.array(F.array(ring[0], ring[2], ring[1], ring[3], ring[0]))
+    dx, dy = (ring[2]["x"] - ring[0]["x"]) / 2, (ring[2]["y"] - ring[0]["y"]) / 2
+    moved = F.transform(ring, lambda p: F.struct((p["x"] + dx).alias("x"), (p["y"] + dy).alias("y")))
+    crossed = shapes.withColumn("rings", F.when(F.col("id") % 2 == 0, bow).otherwise(F.array(ring, moved)))
+    mended = uncrossed_rings(crossed)
+    return mended.select("id", F.round(spatial.ring_area(F.col("rings")), 6).alias("area"), F.size("rings").alias("n_rings"))
+
+
 # cubes
 
 _TILE_32, _TILE_33 = fx.CUBE_TILES.values()
