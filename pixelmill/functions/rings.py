@@ -1,13 +1,14 @@
-"""Polygons whose rings cross themselves or each other, rebuilt as simple rings of the same even-odd area."""
+"""Overlay of polygons: crossing rings rebuilt as simple ones of the same area (G19), unions, and buffers."""
 
 from __future__ import annotations
 
 from collections import Counter, defaultdict
+from collections.abc import Callable
 from math import atan2, pi
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pixelmill.session import ship_package
@@ -49,13 +50,16 @@ def cuts(segments: np.ndarray, slack: float) -> list[list[float]]:
     return found
 
 
-def uncrossed(rings: list[list[tuple[float, float]]]) -> list[list[tuple[float, float]]]:
-    """Closed simple rings with the even-odd area of the given ones: outer rings counter-clockwise, holes clockwise.
+def uncrossed(rings: list[list[tuple[float, float]]], rule: str = "even-odd") -> list[list[tuple[float, float]]]:
+    """Closed simple rings with the even-odd area of the given ones, or with all that they wind around ("nonzero"):
+    outer rings counter-clockwise, holes clockwise.
 
-    All segments are cut where they meet. A piece that lies there an even number of times separates nothing and goes;
-    every other one has the inside on one of its sides and is turned so that it is on the left. Rings are walked by
-    turning left as far as the pieces allow, so that they touch but never cross.
+    All segments are cut where they meet. A piece with the inside on both of its sides or on none separates nothing and
+    goes; every other one is turned so that the inside is on its left. Rings are walked by turning left as far as the
+    pieces allow, so that they touch but never cross.
     """
+    winding = {"even-odd": False, "nonzero": True}[rule]
+    inside = (lambda n: n != 0) if winding else (lambda n: n % 2 != 0)
     segments = np.array([(*a, *b) for ring in rings for a, b in zip(ring, ring[1:], strict=False) if a != b], float).reshape(-1, 4)
     if not len(segments):
         return []
@@ -65,32 +69,33 @@ def uncrossed(rings: list[list[tuple[float, float]]]) -> list[list[tuple[float,
     def point(x: float, y: float) -> tuple[float, float]:
         return round(x, digits) + 0.0, round(y, digits) + 0.0
 
-    pieces: Counter = Counter()
+    pieces: Counter = Counter()  # each from its western, or lower, end: how often it lies there, or its turns
     for (x1, y1, x2, y2), shares in zip(segments.tolist(), cuts(segments, 10.0**-digits), strict=True):
         ends = [point(x1, y1), *[point(x1 + t * (x2 - x1), y1 + t * (y2 - y1)) for t in sorted({min(max(t, 0.0), 1.0) for t in shares})], point(x2, y2)]
         for a, b in zip(ends, ends[1:], strict=False):
             if a != b:
-                pieces[min(a, b), max(a, b)] += 1
-    edges = np.array([(*a, *b) for (a, b), n in pieces.items() if n % 2], float).reshape(-1, 4)
-    if not len(edges):
-        return []
-    # whether the inside is above the middle of a piece (left of it, for a vertical one): by the pieces that lie below
+                pieces[min(a, b), max(a, b)] += -1 if winding and a > b else 1
+    edges = np.array([(*a, *b) for (a, b), n in pieces.items() if inside(n)], float).reshape(-1, 4)
+    weight = np.array([n for n in pieces.values() if inside(n)])
     onward = defaultdict(list)
-    for x1, y1, x2, y2 in edges.tolist():  # x1 <= x2
+    for (x1, y1, x2, y2), own in zip(edges.tolist(), weight.tolist(), strict=True):
         mx, my = (x1 + x2) / 2, (y1 + y2) / 2
-        if x1 == x2:  # count those left of it along the level of its middle
+        if x1 == x2:  # what lies west of its middle
             over = (edges[:, 1] > my) != (edges[:, 3] > my)
             with np.errstate(divide="ignore", invalid="ignore"):
                 at = edges[:, 0] + (my - edges[:, 1]) * (edges[:, 2] - edges[:, 0]) / (edges[:, 3] - edges[:, 1])
-            inside_left = bool(np.count_nonzero(over & (at < mx)) % 2)  # pieces run upwards here, so left is west
-        else:
+            west = over & (at < mx)
+            left = -int((weight[west] * np.sign(edges[west, 3] - edges[west, 1])).sum())
+            right = left - own
+        else:  # what lies below its middle
             over = (edges[:, 0] > mx) != (edges[:, 2] > mx)
             with np.errstate(divide="ignore", invalid="ignore"):
                 at = edges[:, 1] + (mx - edges[:, 0]) * (edges[:, 3] - edges[:, 1]) / (edges[:, 2] - edges[:, 0])
-            own = np.isclose(at, my, rtol=0, atol=10.0**-digits)
-            inside_left = not bool(np.count_nonzero(over & ~own & (at < my)) % 2)  # pieces run eastwards, so left is above
-        a, b = (x1, y1), (x2, y2)
-        onward[a if inside_left else b].append(b if inside_left else a)
+            right = int(weight[over & ~np.isclose(at, my, rtol=0, atol=10.0**-digits) & (at < my)].sum())
+            left = right + own
+        if inside(left) != inside(right):
+            a, b = (x1, y1), (x2, y2)
+            onward[a if inside(left) else b].append(b if inside(left) else a)
     found = []
     for start in list(onward):
         while onward[start]:
@@ -112,19 +117,49 @@ def uncrossed(rings: list[list[tuple[float, float]]]) -> list[list[tuple[float,
     return found
 
 
-def uncrossed_rings(df: DataFrame, rings: str = "rings") -> DataFrame:
-    """``df`` with simple rings in place of ``rings``; null stays null, rings without area leave nothing.
+def widened(rings: list[list[tuple[float, float]]], radius: float, corner: int = 32) -> list[list[tuple[float, float]]]:
+    """The polygon and all within ``radius`` of it; circles are polygons of ``corner`` points on them.
 
-    Each polygon is mended by itself, in Arrow batches.
+    The polygon, a rectangle along each side and a circle around each point are united.
     """
+    turns = np.linspace(0, 2 * pi, corner + 1)[:-1]
+    simple = uncrossed(rings)
+    parts = list(simple)
+    for ring in simple:
+        for (x1, y1), (x2, y2) in zip(ring, ring[1:], strict=False):
+            length = float(np.hypot(x2 - x1, y2 - y1))
+            nx, ny = (y2 - y1) / length * radius, (x1 - x2) / length * radius
+            parts.append([(x1 + nx, y1 + ny), (x2 + nx, y2 + ny), (x2 - nx, y2 - ny), (x1 - nx, y1 - ny), (x1 + nx, y1 + ny)])
+            circle = [(x1 + radius * float(np.cos(t)), y1 + radius * float(np.sin(t))) for t in turns]
+            parts.append([*circle, circle[0]])
+    return uncrossed(parts, "nonzero")
+
+
+def _mended(df: DataFrame, rings: str, work: Callable[[list], list]) -> DataFrame:
     ship_package(df.sparkSession)
 
     @F.pandas_udf(RINGS)
     def mended(polygons: pd.Series) -> pd.Series:
         def one(polygon):
             plain = [[(float(p["x"]), float(p["y"])) for p in ring] for ring in polygon]
-            return [[{"x": x, "y": y} for x, y in ring] for ring in uncrossed(plain)]
+            return [[{"x": x, "y": y} for x, y in ring] for ring in work(plain)]
 
         return polygons.map(lambda polygon: None if polygon is None else one(polygon))
 
     return df.withColumn(rings, mended(F.col(rings)))
+
+
+def buffered(df: DataFrame, radius: float, rings: str = "rings", corner: int = 32) -> DataFrame:
+    """``df`` with the polygons widened by ``radius`` in all directions (G18); null stays null, and without area there is
+    nothing to widen. Each polygon is widened by itself, in Arrow batches."""
+    if radius <= 0:
+        raise ValueError("the radius must be positive")
+    return _mended(df, rings, lambda plain: widened(plain, radius, corner))
+
+
+def uncrossed_rings(df: DataFrame, rings: str = "rings") -> DataFrame:
+    """``df`` with simple rings in place of ``rings``; null stays null, rings without area leave nothing.
+
+    Each polygon is mended by itself, in Arrow batches.
+    """
+    return _mended(df, rings, uncrossed)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from pixelmill.functions import projection
-from pixelmill.functions.rings import uncrossed_rings
+from pixelmill.functions.rings import buffered, uncrossed_rings
 from pixelmill.operators import cube, grid, spatial
 from pixelmill.plans import fixtures as fx
 from pixelmill.plans.registry import _series, query
@@ -72,6 +72,13 @@ def g19_uncrossed(spark, sf_dir):
     return mended.select("id", F.round(spatial.ring_area(F.col("rings")), 6).alias("area"), F.size("rings").alias("n_rings"))
 
 
+@query(f"WITH {fx.GRID}, {fx.RECTS} SELECT id, CAST(round(w * h + 5 * (w + h) + 16 * 6.25 * sin(pi() / 16), 6) AS DOUBLE) AS area, 1 AS n_rings FROM rects")
+def g18_polygon_buffer(spark, sf_dir):
+    """Rectangles widened by 2.5 with round corners of 32 points a circle, against the closed form."""
+    shapes = buffered(fx.rects(spark, sf_dir, fx.spec_of(fx.grid(spark, sf_dir)).n_rows), 2.5)
+    return shapes.select("id", F.round(spatial.ring_area(F.col("rings")), 6).alias("area"), F.size("rings").alias("n_rings"))
+
+
 # cubes
 
 _TILE_32, _TILE_33 = fx.CUBE_TILES.values()

@@ -7,7 +7,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from pixelmill.functions.rings import RINGS, uncrossed, uncrossed_rings
+from pixelmill.functions.rings import RINGS, buffered, uncrossed, uncrossed_rings, widened
 from pixelmill.operators import spatial
 
 
@@ -82,3 +82,39 @@ def test_polygons_of_a_table(spark):
     rows = [(1, [[(0.0, 0.0), (4.0, 4.0), (4.0, 0.0), (0.0, 4.0), (0.0, 0.0)]]), (2, None), (3, []), (4, [[(0.0, 0.0), (1.0, 0.0), (0.0, 0.0)]])]
     got = {r.id: r for r in uncrossed_rings(spark.createDataFrame(rows, f"id int, rings {RINGS}")).withColumn("area", spatial.ring_area("rings")).collect()}
     assert got[1].area == 8 and got[2].rings is None and got[3].rings == [] and got[4].rings == []
+
+
+def box(x, y, w, h):
+    return [(x, y), (x + w, y), (x + w, y + h), (x, y + h), (x, y)]
+
+
+def test_union_by_winding():
+    assert sum(map(signed, uncrossed([box(0, 0, 4, 4), box(2, 2, 4, 4)], "nonzero"))) == 28
+    assert sum(map(signed, uncrossed([box(0, 0, 4, 4), box(0, 0, 4, 4)], "nonzero"))) == 16
+    assert sum(map(signed, uncrossed([box(0, 0, 4, 4), box(1, 1, 2, 2)], "nonzero"))) == 16
+    assert sum(map(signed, uncrossed([box(0, 0, 4, 4), box(1, 1, 2, 2)[::-1]], "nonzero"))) == 12  # a hole, as it turns back
+    assert len(uncrossed([box(0, 0, 1, 1), box(5, 5, 1, 1)], "nonzero")) == 2
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.integers(1, 30), st.integers(1, 30), st.integers(1, 9), st.sampled_from([8, 32, 64]))
+def test_buffer_of_a_rectangle_has_its_closed_form(w, h, r, corner):
+    circle = corner / 2 * r * r * np.sin(2 * np.pi / corner)
+    found = widened([box(100, 50, w, h)], r, corner)
+    assert len(found) == 1 and signed(found[0]) == pytest.approx(w * h + 2 * r * (w + h) + circle)
+
+
+def test_buffers_close_holes_and_bays():
+    ring, hole = box(0, 0, 20, 20), box(8, 8, 4, 4)
+    assert len(widened([ring, hole], 1.0)) == 2 and len(widened([ring, hole], 2.5)) == 1
+    bay = [(0, 0), (10, 0), (10, 10), (6, 10), (6, 2), (4, 2), (4, 10), (0, 10), (0, 0)]
+    assert sorted(signed(r) > 0 for r in widened([bay], 1.5)) == [True]
+    assert widened([[(0, 0), (1, 1), (0, 0)]], 2.0) == [] and widened([], 2.0) == []
+
+
+def test_buffers_of_a_table(spark):
+    rows = [(1, [[(0.0, 0.0), (4.0, 0.0), (4.0, 3.0), (0.0, 3.0), (0.0, 0.0)]]), (2, None)]
+    got = {r.id: r for r in buffered(spark.createDataFrame(rows, f"id int, rings {RINGS}"), 2.0).withColumn("area", spatial.ring_area("rings")).collect()}
+    assert got[1].area == pytest.approx(12 + 28 + 16 * 4 * np.sin(np.pi / 16)) and got[2].rings is None
+    with pytest.raises(ValueError, match="positive"):
+        buffered(spark.createDataFrame(rows, f"id int, rings {RINGS}"), 0.0)
