@@ -226,86 +226,139 @@ class Tree:
         return found
 
 
+class Side:
+    """The nodes from ``low`` to ``high`` of a tree by their labels from the root down, with the children of all nodes of
+    the same labels in one row, those of a node from the last to the first."""
+
+    def __init__(self, tree: Tree, low: int, high: int):
+        paths, parents = tree.paths[low:high], tree.parents[low:high] - low
+        order = np.argsort(paths, kind="stable")
+        cuts = np.flatnonzero(np.diff(paths[order])) + 1
+        self.nodes = {int(paths[g[0]]): g for g in np.split(order, cuts)}
+        self.place = np.empty(len(paths), np.int64)
+        for g in self.nodes.values():
+            self.place[g] = np.arange(len(g))
+        self.paths, self.parents, self.marks = paths, parents, tree.marks[low:high]
+        self.rows: dict[int, Row | None] = {}
+
+    def row(self, path: int) -> Row | None:
+        if path not in self.rows:
+            held = self.nodes[path]
+            child = np.flatnonzero(np.isin(self.parents, held)) if len(held) < 8 else np.flatnonzero((self.parents >= 0) & (self.paths[np.maximum(self.parents, 0)] == path))
+            self.rows[path] = Row(self, child, len(held)) if len(child) else None
+        return self.rows[path]
+
+
+class Row:
+    def __init__(self, side: Side, child: np.ndarray, owners: int):
+        owner = side.place[side.parents[child]]
+        order = np.lexsort((-child, owner))
+        child, owner = child[order], owner[order]
+        self.first = np.flatnonzero(np.diff(owner, prepend=-1))
+        self.last = np.full(owners, -1)
+        self.last[owner] = np.arange(len(child))
+        self.base = owner * (1 << 32)
+        paths = side.paths[child]
+        self.of = {int(p): (at := np.flatnonzero(paths == p), side.place[child[at]]) for p in np.unique(paths)}
+        self.size = len(child)
+
+
 def simple_tree_matching(page: Tree, ref: Tree) -> dict[int, int]:
     """The largest order-preserving match of two trees by labels, as page node -> reference node.
 
     A pair of nodes counts one, or two if both have the same text, so that constant nodes find each other
-    among equal labels. Only nodes with the same labels from the root down can match, so pairs are scored from the
-    deepest level up; equal subtrees at both ends of two lists of children are matched at once, and what is
-    between is aligned row by row, with two bits kept a cell.
+    among equal labels. Only nodes with the same labels from the root down can match. Equal subtrees at both ends of two
+    lists of children are matched at once; what is between is aligned. A page node is scored against all reference
+    nodes of its labels together, in arrays, from the last node to the first, and its scores go into the alignment of its
+    parent as soon as they are there: so the work is one row of numbers a node, and only open rows are kept.
     """
     if not len(page.paths) or not len(ref.paths) or page.paths[0] != ref.paths[0]:
         return {}
     below_a, below_b = page.children(), ref.children()
     tree_a, tree_b = page.subtrees(below_a), ref.subtrees(below_b)
-    size_a = [1 + int(m != 0) for m in page.marks]
-    for node in range(len(size_a) - 1, 0, -1):
-        size_a[page.parents[node]] += size_a[node]
-    scores: dict[tuple[int, int], int] = {}
-
-    def own(a: int, b: int) -> int:
-        return 2 if page.marks[a] and page.marks[a] == ref.marks[b] else 1
+    ends = [np.arange(1, len(t.paths) + 1) for t in (page, ref)]
+    for end, t in zip(ends, (page, ref), strict=True):
+        for node in range(len(end) - 1, 0, -1):
+            end[t.parents[node]] = max(end[t.parents[node]], end[node])
+
+    def aligned(xs: list[int], ys: list[int]) -> list[tuple[int, int]]:
+        """The pairs of the best alignment of two runs of siblings."""
+        low, high = xs[0], int(ends[0][xs[-1]])
+        start = ys[0]
+        side = Side(ref, start, int(ends[1][ys[-1]]))
+        top: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        back = np.array(ys[::-1]) - start
+        for p in np.unique(side.paths[back]):
+            at = np.flatnonzero(side.paths[back] == p)
+            top[int(p)] = at, side.place[back[at]]
+        best, steps = np.zeros(len(ys), np.int64), []
+        open_rows: dict[int, np.ndarray] = {}
+        for x in range(high - 1, low - 1, -1):
+            path, parent = int(page.paths[x]), int(page.parents[x])
+            outer = parent < low
+            row = None if outer else side.row(up) if (up := int(page.paths[parent])) in side.nodes else None
+            targets = top.get(path) if outer else row and row.of.get(path)
+            held = open_rows.pop(x, None)
+            if targets is None:
+                if outer:
+                    steps.append(None)
+                continue
+            nodes = side.nodes[path]
+            score = np.ones(len(nodes), np.int64)
+            if page.marks[x]:
+                score += side.marks[nodes] == page.marks[x]
+            if held is not None:
+                last = side.row(path).last
+                score += np.where(last >= 0, held[np.maximum(last, 0)], 0)
+            at, place = targets
+            before = best if outer else open_rows.get(parent)
+            if before is None:
+                before = np.zeros(row.size, np.int64)
+            moved = np.empty_like(before)
+            moved[1:], moved[0] = before[:-1], 0
+            if not outer:
+                moved[row.first] = 0
+            taken = np.full(len(before), -1, np.int64)
+            taken[at] = moved[at] + score[place]
+            if outer:
+                after = np.maximum.accumulate(np.maximum(before, taken))
+                steps.append((np.packbits(taken == after), np.packbits(before == after)))
+                best = after
+            else:
+                open_rows[parent] = np.maximum.accumulate(np.maximum(before, taken) + row.base) - row.base
+        pairs, i, j = [], len(steps) - 1, len(ys) - 1
+        while i >= 0 and j >= 0:
+            if steps[i] is None:
+                i -= 1
+                continue
+            diagonal, up = (bits[j >> 3] >> (7 - (j & 7)) & 1 for bits in steps[i])
+            if up:
+                i -= 1
+            elif diagonal:
+                pairs.append((xs[len(xs) - 1 - i], ys[len(ys) - 1 - j]))
+                i, j = i - 1, j - 1
+            else:
+                j -= 1
+        return pairs
 
-    def aligned(a: int, b: int, traced: bool) -> tuple[int, list[tuple[int, int]]]:
-        xs, ys, pairs, total = below_a[a], below_b[b], [], 0
+    match: dict[int, int] = {}
+    todo = [(0, 0)]
+    while todo:
+        a, b = todo.pop()
+        match[a] = b
+        xs, ys = below_a[a], below_b[b]
         first, last_x, last_y = 0, len(xs), len(ys)
         while first < min(last_x, last_y) and tree_a[xs[first]] == tree_b[ys[first]]:
-            total += size_a[xs[first]]
-            pairs.append((xs[first], ys[first]))
+            todo.append((xs[first], ys[first]))
             first += 1
         while last_x > first and last_y > first and tree_a[xs[last_x - 1]] == tree_b[ys[last_y - 1]]:
             last_x, last_y = last_x - 1, last_y - 1
-            total += size_a[xs[last_x]]
-            pairs.append((xs[last_x], ys[last_y]))
+            todo.append((xs[last_x], ys[last_y]))
         xs, ys = xs[first:last_x], ys[first:last_y]
-        if xs and ys:
-            paths, marks = ref.paths[ys], ref.marks[ys]
-            inner = [j for j, y in enumerate(ys) if below_b[y]]
-            row = np.zeros(len(ys) + 1, np.int64)
-            steps = []
-            for x in xs:
-                worth = (paths == page.paths[x]) * (1 + ((marks == page.marks[x]) & (marks != 0)))
-                if below_a[x]:
-                    for j in inner:
-                        if worth[j]:
-                            worth[j] = scores[x, ys[j]]
-                taken = np.where(worth > 0, row[:-1] + worth, -1)
-                best = np.maximum(row[1:], taken)
-                after = np.maximum.accumulate(best)
-                if traced:
-                    steps.append((np.packbits(taken == after), np.packbits(row[1:] == after)))
-                row = np.concatenate([[0], np.maximum(after, 0)])
-            total += int(row[-1])
-            i, j = len(xs) - 1, len(ys) - 1
-            while traced and i >= 0 and j >= 0:
-                diagonal, up = (bits[j >> 3] >> (7 - (j & 7)) & 1 for bits in steps[i])
-                if up:
-                    i -= 1
-                elif diagonal:
-                    pairs.append((xs[i], ys[j]))
-                    i, j = i - 1, j - 1
-                else:
-                    j -= 1
-        return total, pairs
-
-    depth_a = [0] * len(below_a)
-    for node in range(1, len(depth_a)):
-        depth_a[node] = depth_a[page.parents[node]] + 1
-    same_path = defaultdict(list)
-    for node, path in enumerate(ref.paths.tolist()):
-        if below_b[node]:
-            same_path[path].append(node)
-    for a in sorted(range(1, len(below_a)), key=lambda x: -depth_a[x]):
-        if below_a[a]:
-            for b in same_path.get(int(page.paths[a]), ()):
-                scores[a, b] = own(a, b) + aligned(a, b, False)[0]
-    match: dict[int, int] = {}
-    todo = [(0, 0)]
-    while todo:
-        a, b = todo.pop()
-        match[a] = b
-        if below_a[a] and below_b[b]:
-            todo += aligned(a, b, True)[1]
+        if len(xs) == len(ys) == 1:
+            todo += [(xs[0], ys[0])] if page.paths[xs[0]] == ref.paths[ys[0]] else []
+        elif xs and ys:
+            todo += aligned(xs, ys)
     return match
 
 

@@ -6,7 +6,7 @@ import tracemalloc
 from functools import lru_cache
 from html.parser import HTMLParser
 
-from pixelmill.llm.wrapper_induction import Page, constant_nodes, extract, parsed, simple_tree_matching
+from pixelmill.llm.wrapper_induction import Page, Tree, constant_nodes, extract, parsed, simple_tree_matching
 
 
 def page(*body: str, head: str = "") -> str:
@@ -123,6 +123,37 @@ def test_pages_of_many_blocks():
     assert peak < 400 << 20 and time.perf_counter() - began < 120
 
 
+def test_long_tables_and_lists_align_in_seconds():
+    """Rows of their own beside cells that many rows share, shifted or in another order; 10,000 items."""
+
+    def table(order) -> Tree:
+        return parsed(page("<div><table>", *[f"<tr><td>name {i}</td><td>{'yes' if i % 3 else 'no'}</td></tr>" for i in order], "</table></div>"))[2]
+
+    def items(order) -> Tree:
+        return parsed(page("<ul>", *[f"<li><p>item {i}</p></li>" for i in order], "</ul>"))[2]
+
+    began, n = time.perf_counter(), 5_000
+    assert len(constant_nodes(table(range(n)), table(range(n + 1)))) == 2 * n
+    assert len(constant_nodes(table(range(n)), table(range(1, n + 1)))) == 2 * n - 2
+    assert len(constant_nodes(table(range(n)), table(range(n, -1, -1)))) >= n // 2
+    assert len(constant_nodes(items(range(2 * n)), items(range(7, 2 * n + 7)))) == 2 * n - 7
+    assert time.perf_counter() - began < 60
+
+
+def test_only_alignment_finds_the_text(spark):
+    """No article and no telling name: three layouts of a host, whose boxes stand before, between and after the text."""
+    rows, number = [], 0
+    for layout in range(3):
+        for i in range(8):
+            text = "".join(f"<p>Page {number} says {k}.</p>" for k in range(1 + i % 3))
+            box, ends = f"<div><p>Box of layout {layout}</p></div>", "<div><p>All rights</p></div>"
+            body = (f"{box}<section><div>{text}</div></section>{ends}", f"<div><div>{text}</div>{box}</div>{ends}", f"<section>{text}</section><section>{box}{ends}</section>")[layout]
+            rows.append((number, f"https://plain.example.org/{layout}/{i}", page(body)))
+            number += 1
+    found = {r.page_id: r.text for r in extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert found == {n: " ".join(f"Page {n} says {k}." for k in range(1 + n % 8 % 3)) for n in range(24)}
+
+
 def test_constant_nodes_of_a_host_are_template(spark):
     def one(i: int, box: str = "Read all about it") -> str:
         return page(f"<div><p>{box}</p></div><div><h2>Head {i}</h2><p>Text of page {i}.</p><p>Shared by two.</p></div>" if i < 2 else f"<div><p>{box}</p></div><div><h2>Head {i}</h2><p>Text of page {i}.</p></div>")
