@@ -1,4 +1,4 @@
-"""Vector layers: GeoPackage files read inside tasks, geometries as WKB and as rings."""
+"""Vector layers: GeoPackage files and shapefiles read inside tasks, geometries as WKB and as rings."""
 
 from __future__ import annotations
 
@@ -211,17 +211,23 @@ def inside(point: tuple[float, float], ring: list[tuple[float, float]]) -> bool:
 
 
 def dbase(content: bytes, encoding: str) -> Iterator[dict[str, object]]:
-    """Attributes of every record that is not deleted; what is empty or no number is null."""
-    n, first, size = struct.unpack_from("<IHH", content, 4)
+    """Attributes of every record; what is empty or no number is null."""
+    n, first, _ = struct.unpack_from("<IHH", content, 4)
+    return dbase_rows(content[:first], content[first:], n, encoding)
+
+
+def dbase_rows(head: bytes, rows: bytes, n: int, encoding: str) -> Iterator[dict[str, object]]:
+    """Attributes of ``n`` consecutive records, given the head of their file."""
+    first, size = struct.unpack_from("<HH", head, 8)
     fields, at = [], 1
     for place in range(32, first - 1, 32):
-        if content[place] == 0x0D:
+        if head[place] == 0x0D:
             break
-        name, kind, length = content[place : place + 11].split(b"\0")[0].decode(encoding), chr(content[place + 11]), content[place + 16]
-        fields.append((name, kind, at, at + length, content[place + 17]))
+        name, kind, length = head[place : place + 11].split(b"\0")[0].decode(encoding), chr(head[place + 11]), head[place + 16]
+        fields.append((name, kind, at, at + length, head[place + 17]))
         at += length
     for k in range(n):
-        row = content[first + k * size : first + (k + 1) * size]
+        row = rows[k * size : (k + 1) * size]
         yield {name: dbase_value(row[a:b].decode(encoding, "replace").strip(), kind, digits) for name, kind, a, b, digits in fields}
 
 
@@ -239,7 +245,15 @@ def dbase_value(text: str, kind: str, digits: int) -> object:
 
 
 def read_shapefile(spark: SparkSession, path: str) -> DataFrame:
-    """file, layer, fid, geom (WKB), attributes (JSON) of all shapefiles in a folder, one task per file.
+    """All shapefiles of a folder by ranges of records, see ``sources.shapefile``."""
+    from pixelmill.sources import shapefile
+
+    return shapefile.read_shapefile(spark, path)
+
+
+def read_small_shapefiles(spark: SparkSession, path: str) -> DataFrame:
+    """file, layer, fid, geom (WKB), attributes (JSON) of all shapefiles in a folder, one task per file (S9): for stores
+    that only Spark reads, and files that fit a task.
 
     The attribute table and its encoding are joined to the main file by name; without a table attributes are {}.
     """
