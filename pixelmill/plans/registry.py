@@ -166,18 +166,25 @@ def a3_frequency(spark, sf_dir):
     return legend.frequency(legend.attach(fx.legend_raw(spark, sf_dir), legend.legend(spark), "classe"), "cod_l2")
 
 
-@query(f"WITH {fx.LEGEND} SELECT classe, desc_clean, cod_l1, desc_l1, cod_l2, desc_l2, tipo FROM legend")
+@query(f"WITH {fx.LEGEND} SELECT legend.classe, desc_clean, cod_l1, desc_l1, cod_l2, desc_l2, tipo, count(polygon_id) AS n FROM legend LEFT JOIN raw ON raw.classe = legend.classe GROUP BY ALL")
 def s17_legend(spark, sf_dir):
-    return legend.legend(spark)
+    """The legend with the polygons of each class, classes without any included."""
+    counts = legend.frequency(fx.legend_raw(spark, sf_dir), "classe")
+    return legend.attach(legend.legend(spark), counts, "classe").withColumn("n", F.coalesce("n", F.lit(0)))
+
+
+PALETTE = "palette(level, value, colour, label) AS (VALUES " + ", ".join(f"({n}, {v}, '{c}', '{v} - {t}')" for n, b in ((1, legend.LEVEL_1), (2, legend.LEVEL_2)) for v, c, t in legend.table_rows(b)) + ")"
 
 
 @query(
-    "SELECT * FROM (VALUES "
-    + ", ".join(f"({n}, {v}, '{c}', '{v} - {t}')" for n, b in ((1, legend.LEVEL_1), (2, legend.LEVEL_2)) for v, c, t in legend.table_rows(b))
-    + ") AS t(level, value, colour, label)"
+    f"WITH {fx.LEGEND}, {PALETTE}, seen AS (SELECT 1 AS level, cod_l1 AS value FROM raw JOIN legend ON legend.classe = raw.classe UNION ALL SELECT 2, cod_l2 FROM raw JOIN legend ON legend.classe = raw.classe) "
+    "SELECT palette.level, palette.value, colour, label, count(*) AS n FROM palette JOIN seen ON seen.level = palette.level AND seen.value = palette.value GROUP BY ALL"
 )
 def s19_palette(spark, sf_dir):
-    return legend.palette(spark)
+    """Colours and labels of the classes that the polygons show, at both levels."""
+    codes = fx.labelled(spark, sf_dir).select(F.explode(F.array(*[F.struct(F.lit(n).alias("level"), F.col(c).alias("value")) for n, c in ((1, "cod_l1"), (2, "cod_l2"))])).alias("s")).select("s.*")
+    counts = codes.groupBy("level", "value").agg(F.count(F.lit(1)).alias("n"))
+    return legend.palette(spark).join(F.broadcast(counts), ["level", "value"])  # one row per class
 
 
 @query(f"WITH {fx.LEGEND} SELECT polygon_id, classe FROM raw WHERE polygon_id % 3 = 0 UNION ALL SELECT polygon_id, classe FROM raw WHERE polygon_id % 3 = 1")
@@ -197,12 +204,15 @@ def u4_set_intersection(spark, sf_dir):
 
 
 @query(
-    f"WITH p AS (SELECT {len(fx.FEATURES)} AS p), m AS (SELECT unnest([floor(sqrt(p) / 2), floor(sqrt(p)), round_even(p / 5, 0), round_even(p / 3, 0)]) AS m, p FROM p) "
+    f"WITH {fx.PIXELS}, p AS (SELECT " + " + ".join(f"CAST(count({f}) = count(*) AS INT)" for f in fx.FEATURES) + " AS p FROM pixels), "
+    f"m AS (SELECT unnest([floor(sqrt(p) / 2), floor(sqrt(p)), round_even(p / 5, 0), round_even(p / 3, 0)]) AS m, p FROM p) "
     f"SELECT DISTINCT CAST(greatest(1, least(p, {forest.MTRY_MOST}, m)) AS INT) AS mtry, node FROM m, (VALUES (5), (10)) AS n(node)"
 )
 def u6_settings_grid(spark, sf_dir):
-    mtry = spark.createDataFrame([(m,) for m in forest.mtry_grid(8)], "mtry int")
-    return mtry.crossJoin(F.broadcast(spark.createDataFrame([(5,), (10,)], "node int")))
+    """Settings to try, by the number of predictors that have no nulls."""
+    whole = grid.null_free(fx.pixels(spark, sf_dir), fx.FEATURES)
+    mtry = spark.createDataFrame([(m,) for m in forest.mtry_grid(len(whole))], "mtry int")
+    return mtry.select("mtry", F.explode(F.array(F.lit(5), F.lit(10))).alias("node"))
 
 
 @query(f"WITH {fx.LEGEND} SELECT polygon_id, area FROM raw ORDER BY area DESC, polygon_id LIMIT 10")
@@ -210,14 +220,14 @@ def o4_top_areas(spark, sf_dir):
     return fx.legend_raw(spark, sf_dir).select("polygon_id", "area").orderBy(F.col("area").desc(), "polygon_id").limit(10)
 
 
-@query(f"WITH {fx.LEGEND} SELECT DISTINCT cod_l1, cod_l2 FROM legend")
+@query(f"WITH {fx.LEGEND} SELECT DISTINCT cod_l1, cod_l2 FROM raw JOIN legend ON legend.classe = raw.classe")
 def p16_distinct_codes(spark, sf_dir):
-    return legend.legend(spark).select("cod_l1", "cod_l2").distinct()
+    return fx.labelled(spark, sf_dir).select("cod_l1", "cod_l2").distinct()
 
 
-@query(f"WITH {fx.LEGEND} SELECT cod_l2 FROM legend WHERE cod_l1 < 5 UNION SELECT cod_l2 FROM legend WHERE cod_l1 > 3")
+@query(f"WITH {fx.LEGEND}, k AS (SELECT cod_l1, cod_l2 FROM raw JOIN legend ON legend.classe = raw.classe) SELECT cod_l2 FROM k WHERE cod_l1 < 5 UNION SELECT cod_l2 FROM k WHERE cod_l1 > 3")
 def u5_set_union(spark, sf_dir):
-    codes = legend.legend(spark)
+    codes = fx.labelled(spark, sf_dir)
     return codes.where("cod_l1 < 5").select("cod_l2").union(codes.where("cod_l1 > 3").select("cod_l2")).distinct()
 
 
@@ -989,9 +999,9 @@ def p25_polygon_filter(spark, sf_dir):
     return coded.where("cod_l2 IS NOT NULL AND cod_l2 = 41").select("polygon_id", "classe")
 
 
-@query(f"WITH {fx.LEGEND} SELECT string_agg(k, ',' ORDER BY c) AS codes FROM (SELECT DISTINCT cod_l2 AS c, CAST(cod_l2 AS VARCHAR) AS k FROM legend)")
+@query(f"WITH {fx.LEGEND} SELECT string_agg(k, ',' ORDER BY c) AS codes FROM (SELECT DISTINCT cod_l2 AS c, CAST(cod_l2 AS VARCHAR) AS k FROM raw JOIN legend ON legend.classe = raw.classe)")
 def o6_sorted_codes(spark, sf_dir):
-    return legend.legend(spark).agg(F.array_join(F.array_sort(F.collect_set("cod_l2")), ",").alias("codes"))
+    return fx.labelled(spark, sf_dir).agg(F.array_join(F.array_sort(F.collect_set("cod_l2")), ",").alias("codes"))
 
 
 @query(f"WITH {fx.LEGEND} SELECT polygon_id, classe FROM raw ORDER BY classe, polygon_id LIMIT 5")

@@ -6,6 +6,7 @@ import codecs
 import json
 import sqlite3
 import struct
+import uuid
 from collections.abc import Iterator, Mapping
 
 import pandas as pd
@@ -160,8 +161,10 @@ def write_geopackage(df: DataFrame, path: str, layer: str, geom: str = "geom", s
             rows = pd.concat(parts)
             store, folder = FileSystem.from_uri(path if "://" in path or path.startswith("file:") else f"file://{path}")
             store.create_dir(folder, recursive=True)
-            with store.open_output_stream(f"{folder}/part-{TaskContext.get().partitionId():05d}.gpkg") as out:
+            attempt = f"{folder}/_attempt-{uuid.uuid4().hex}"  # a failed or speculative attempt leaves no half file
+            with store.open_output_stream(attempt) as out:
                 out.write(geopackage(rows, types, layer, geom, srid))
+            store.move(attempt, f"{folder}/part-{TaskContext.get().partitionId():05d}.gpkg")
             yield pd.DataFrame({"n": [len(rows)]})
 
     return df.mapInPandas(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
