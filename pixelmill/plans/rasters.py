@@ -79,6 +79,22 @@ def g18_polygon_buffer(spark, sf_dir):
     return shapes.select("id", F.round(spatial.ring_area(F.col("rings")), 6).alias("area"), F.size("rings").alias("n_rings"))
 
 
+@query(
+    f"""WITH {fx.GRID}, {fx.RECTS}, spots AS MATERIALIZED (SELECT r, c, c + 0.5 AS px, n_rows - r - 0.5 - 0.013 AS py FROM cells, n)
+SELECT id, r AS "row", c AS col FROM rects JOIN spots ON px >= x AND py >= y AND ((id % 2 = 0 AND (px - x) / w + (py - y) / h < 1)
+  OR (id % 2 = 1 AND px < x + w AND py < y + h AND NOT (px >= x + w / 4 AND px < x + w * 3 / 4 AND py >= y + h / 4 AND py < y + h * 3 / 4)))"""
+)
+def j11_zonal_shapes(spark, sf_dir):
+    """Cells of triangles, and of rectangles with a hole."""
+    spec = fx.spec_of(fx.grid(spark, sf_dir))
+    ring = F.transform(F.col("rings")[0], lambda p: F.struct(p["x"].alias("x"), (p["y"] + 0.013).alias("y")))
+    w, h = ring[2]["x"] - ring[0]["x"], ring[2]["y"] - ring[0]["y"]
+    hole = F.transform(ring, lambda p: F.struct((ring[0]["x"] + w / 4 + (p["x"] - ring[0]["x"]) / 2).alias("x"), (ring[0]["y"] + h / 4 + (p["y"] - ring[0]["y"]) / 2).alias("y")))
+    triangle = F.array(F.array(ring[0], ring[1], ring[3], ring[0]))
+    shapes = fx.rects(spark, sf_dir, spec.n_rows).withColumn("rings", F.when(F.col("id") % 2 == 0, triangle).otherwise(F.array(ring, F.reverse(hole))))
+    return spatial.zonal_cells(shapes, spec).select("id", "row", "col")
+
+
 # cubes
 
 _TILE_32, _TILE_33 = fx.CUBE_TILES.values()
