@@ -103,6 +103,32 @@ def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie.select("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256")
 
 
+def sharding_properties(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What any sharding by bytes has (op1): all rows and bytes, slots without gaps, equal texts in one shard, and no two
+    shards further apart than the largest group of equal texts."""
+    placed = work_table(op1_sharding(spark, sf_dir), "shards")
+    shards = placed.groupBy("shard").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes"), F.count_distinct("slot").alias("n_slots"), F.min("slot").alias("first"), F.max("slot").alias("last"))
+    groups = placed.groupBy("text_crc32", "size").agg(F.count_distinct("shard").alias("n_shards"), F.sum("size").alias("bytes"))
+    whole = groups.agg(F.max("n_shards").alias("shards_of_a_text"), F.max("bytes").alias("largest"))
+    gapless = (F.col("n_slots") == F.col("n")) & (F.col("first") == 0) & (F.col("last") == F.col("n") - 1)
+    found = shards.agg(F.count(F.lit(1)).alias("n_shards"), F.sum("n").alias("n_rows"), F.sum("bytes").alias("bytes"), F.every(gapless).alias("gapless"), (F.max("bytes") - F.min("bytes")).alias("spread"))
+    both = found.withColumn("one", F.lit(1)).join(whole.withColumn("one", F.lit(1)), "one")  # one row each
+    return both.select("n_shards", "n_rows", "bytes", "gapless", "shards_of_a_text", (F.col("spread") <= F.col("largest")).alias("even"))
+
+
+def packing_properties(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What any packing has (op12): all documents, each token of one in one piece, sequences without gaps, padded tokens."""
+    pieces = work_table(op12_packing(spark, sf_dir), "packed")
+    documents = pieces.groupBy("doc_id").agg(F.sum("length").alias("held"), F.max("doc_tokens").alias("doc_tokens"), F.max(F.col("start") + F.col("length")).alias("end"), F.count_distinct("start").alias("starts"), F.count(F.lit(1)).alias("n"))
+    whole = (F.col("held") == F.col("doc_tokens")) & (F.col("end") == F.col("doc_tokens")) & (F.col("starts") == F.col("n"))
+    filled = pieces.groupBy("sequence_id").agg(F.sum("length").alias("fill"), F.max(F.col("offset") + F.col("length")).alias("end"), F.count_distinct("offset").alias("offsets"), F.count(F.lit(1)).alias("n"))
+    gapless = (F.col("fill") == F.col("end")) & (F.col("offsets") == F.col("n")) & (F.col("fill") <= 2048)
+    padded = F.when(F.bit_count("fill") == 1, 0).otherwise(2048 - F.col("fill"))
+    per_document = documents.agg(F.count(F.lit(1)).alias("n_docs"), F.count_if(~whole).alias("n_torn")).withColumn("one", F.lit(1))
+    per_sequence = filled.agg(F.count_if(~gapless).alias("n_gaps"), F.sum(padded).cast("long").alias("padding")).withColumn("one", F.lit(1))
+    return per_document.join(per_sequence, "one").drop("one")
+
+
 #: Words, lines and three-word windows by regular expressions and lists; the mask is the sum of the bits.
 LEDGER_SQL = r"""
 WITH d AS (
@@ -165,6 +191,24 @@ kept AS (
 SELECT doc_id, n_lines, n_dropped_lines, sha256(cleaned) AS text_sha256 FROM kept
 """
 
+#: All pairs that share a shingle, counted; components by the closure of the links.
+SQL_OP5 = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i : i + 4], ' ') AS shingle FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM w WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM pairs JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 85 * (x.n + y.n - k)),
+sides AS MATERIALIZED (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach(doc, met) AS (SELECT DISTINCT a, a FROM sides UNION SELECT reach.doc, sides.b FROM reach JOIN sides ON sides.a = reach.met),
+smallest AS (SELECT doc, min(met) AS component FROM reach GROUP BY doc)
+SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(component, w.doc_id) AS component_id, coalesce(component, w.doc_id) = w.doc_id AS kept
+FROM w LEFT JOIN n ON n.doc_id = w.doc_id LEFT JOIN smallest ON smallest.doc = w.doc_id
+"""
+SQL_SHARDING = """SELECT 40::BIGINT AS n_shards, count(*) AS n_rows, CAST(sum(coalesce(strlen(text), 0) + 16) AS BIGINT) AS bytes, true AS gapless, 1::BIGINT AS shards_of_a_text, true AS even FROM documents"""
+SQL_PACKING = "SELECT count(DISTINCT doc_id) AS n_docs, 0::BIGINT AS n_torn, 0::BIGINT AS n_gaps, 0::BIGINT AS padding FROM documents"
+
 #: CRC-32 of the decimal digits of a column, bit by bit.
 CRC32_SQL = """xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, [ord(c)::BIGINT FOR c IN string_split(COLUMN::VARCHAR, '')]),
   lambda a, b: list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda s, _: CASE WHEN s % 2 = 1 THEN xor(s // 2, 3988292384) ELSE s // 2 END)))"""
@@ -273,6 +317,8 @@ QUERIES = (
     op12_packing,
     op13_prefix_trie,
     rule_ablations,
+    sharding_properties,
+    packing_properties,
 )
 
 
@@ -281,4 +327,14 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_quality_rules": SQL_OP3, "rule_ablations": SQL_ABLATIONS, "op6_exact_dedup": SQL_OP6, "op10_line_dedup": SQL_OP10, "op11_merkle_manifest": SQL_OP11, "op13_prefix_trie": SQL_OP13}
+    return {
+        "op5_near_dedup": SQL_OP5,
+        "sharding_properties": SQL_SHARDING,
+        "packing_properties": SQL_PACKING,
+        "op3_quality_rules": SQL_OP3,
+        "rule_ablations": SQL_ABLATIONS,
+        "op6_exact_dedup": SQL_OP6,
+        "op10_line_dedup": SQL_OP10,
+        "op11_merkle_manifest": SQL_OP11,
+        "op13_prefix_trie": SQL_OP13,
+    }
