@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 SHIPPED: set[str] = set()
 #: Paths of the intermediate tables of the query that runs in this context.
-WRITTEN: ContextVar[list[str]] = ContextVar("written", default=[])
+WRITTEN: ContextVar[list[str] | None] = ContextVar("written", default=None)
 
 
 def ship_package(spark: SparkSession) -> None:
@@ -47,10 +47,18 @@ def shared_folder(spark: SparkSession) -> str:
     return sc._jsc.sc().getCheckpointDir().get().rstrip("/")
 
 
+def written() -> list[str]:
+    """The paths of this context; each thread has its own outside a scope."""
+    paths = WRITTEN.get()
+    if paths is None:
+        WRITTEN.set(paths := [])
+    return paths
+
+
 def work_table(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts lineage and survives lost executors."""
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    WRITTEN.get().append(path)
+    written().append(path)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -61,7 +69,7 @@ def work_scope(spark: SparkSession) -> Iterator[list[str]]:
     before it ends. Queries outside, also those of other threads, keep theirs."""
     token = WRITTEN.set([])
     try:
-        yield WRITTEN.get()
+        yield written()
     finally:
         clear_work_tables(spark)
         WRITTEN.reset(token)
@@ -69,7 +77,7 @@ def work_scope(spark: SparkSession) -> Iterator[list[str]]:
 
 def clear_work_tables(spark: SparkSession) -> int:
     """Delete the intermediate tables of the present scope, once the results that read them are stored."""
-    conf, paths = spark._jsc.hadoopConfiguration(), WRITTEN.get()
+    conf, paths = spark._jsc.hadoopConfiguration(), written()
     for path in paths:
         hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
         hadoop.getFileSystem(conf).delete(hadoop, True)
