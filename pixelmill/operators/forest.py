@@ -62,40 +62,42 @@ def check_rare(df: DataFrame, target: str, k: int) -> list[int]:
     return sorted(judged)
 
 
-def drawn(id_col: str, tree: int, seed: int = 50) -> Column:
-    """How often a row is drawn into a tree's bootstrap sample: a Poisson number of mean one from a hash of tree and id,
-    so the same on every run and machine."""
-    u = F.pmod(F.xxhash64(F.lit(seed), F.lit(tree), F.col(id_col)), F.lit(1 << 52)) / (1 << 52)
+def drawn(id_col: str, bag: int, seed: int = 50) -> Column:
+    """How often a row is drawn into a bootstrap sample: a Poisson number of mean one from a hash of sample and id, so the
+    same on every run and machine."""
+    u = F.pmod(F.xxhash64(F.lit(seed), F.lit(bag), F.col(id_col)), F.lit(1 << 52)) / (1 << 52)
     shares = np.cumsum([exp(-1) / factorial(k) for k in range(12)]).tolist()
     return sum((F.when(u >= s, 1).otherwise(0) for s in shares), F.lit(0))
 
 
-def bagged_trees(df: DataFrame, target: str, predictors: Sequence[str], id_col: str, mtry: int, node: int, trees: int = 50, seed: int = 50) -> list[PipelineModel]:
-    """A forest as single trees, each grown on the rows that it has ``drawn``, weighted by how often; a few are grown
-    at a time."""
+def bagged_forests(df: DataFrame, target: str, predictors: Sequence[str], id_col: str, mtry: int, node: int, trees: int = 50, per_bag: int = 5, seed: int = 50) -> list[PipelineModel]:
+    """A forest in parts of ``per_bag`` trees, each part grown on the rows that it has ``drawn``, weighted by how often; a
+    few parts are grown at a time. Trees of a part share their rows and differ by the predictors they try."""
     assembler, grower = forest(predictors, target, mtry, node, trees, seed).getStages()
 
-    def grown(tree: int) -> PipelineModel:
-        sample = df.withColumn("bag_weight", drawn(id_col, tree, seed).cast("double")).where("bag_weight > 0")
-        one = grower.copy({grower.numTrees: 1, grower.bootstrap: False, grower.seed: seed + tree, grower.weightCol: "bag_weight"})
-        return Pipeline(stages=[assembler, one]).fit(sample)
+    def grown(bag: int) -> PipelineModel:
+        sample = df.withColumn("bag_weight", drawn(id_col, bag, seed).cast("double")).where("bag_weight > 0")
+        held = min(per_bag, trees - bag * per_bag)
+        part = grower.copy({grower.numTrees: held, grower.bootstrap: False, grower.seed: seed + bag, grower.weightCol: "bag_weight"})
+        return Pipeline(stages=[assembler, part]).fit(sample)
 
     with ThreadPoolExecutor(8) as pool:
-        return list(pool.map(grown, range(trees)))
+        return list(pool.map(grown, range(-(-trees // per_bag))))
 
 
 def out_of_bag(df: DataFrame, models: Sequence[PipelineModel], target: str, id_col: str, seed: int = 50) -> DataFrame:
-    """id, true, predicted, n_votes of the rows that some tree has not drawn: the class that most of those trees vote
+    """id, true, predicted, n_votes of the rows that some part has not drawn: the class that most trees of those parts vote
     for, the smallest of equals (M10).
 
     All trees judge a row in one pass; votes are counted per row and class.
     """
     judged = models[0].stages[0].transform(df)
     votes = []
-    for tree, model in enumerate(models):
-        one = model.stages[1].copy({model.stages[1].predictionCol: f"vote_{tree}", model.stages[1].rawPredictionCol: "", model.stages[1].probabilityCol: ""})
-        judged = one.transform(judged)
-        votes.append(F.when(drawn(id_col, tree, seed) == 0, F.col(f"vote_{tree}")))
+    for bag, model in enumerate(models):
+        for i, tree in enumerate(model.stages[1].trees):
+            name = f"vote_{bag}_{i}"
+            judged = tree.copy({tree.predictionCol: name, tree.rawPredictionCol: "", tree.probabilityCol: ""}).transform(judged)
+            votes.append(F.when(drawn(id_col, bag, seed) == 0, F.col(name)))
     cast = judged.select(id_col, F.col(target).cast("int").alias("true"), F.explode(F.array_compact(F.array(*votes))).alias("class")).withColumn("class", F.col("class").cast("int"))
     counted = cast.groupBy(id_col, "true", "class").agg(F.count(F.lit(1)).alias("n"))
     best = F.max_by("class", F.struct("n", -F.col("class")))
@@ -108,7 +110,7 @@ def tune(df: DataFrame, target: str, predictors: Sequence[str], id_col: str, sha
     rows = []
     for mtry in mtry_grid(len(predictors)):
         for node in nodes:
-            judged = out_of_bag(sample, bagged_trees(sample, target, predictors, id_col, mtry, node, trees, seed), target, id_col, seed)
+            judged = out_of_bag(sample, bagged_forests(sample, target, predictors, id_col, mtry, node, trees, seed=seed), target, id_col, seed)
             rows.append((mtry, node, judged.agg(F.avg((F.col("predicted") != F.col("true")).cast("double"))).first()[0]))
     return df.sparkSession.createDataFrame(rows, "mtry int, min_node_size int, error double")
 

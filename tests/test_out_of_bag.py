@@ -25,24 +25,25 @@ def test_draws_are_poisson(spark):
     assert abs(both.corr().iloc[0, 1]) < 0.05
 
 
-def test_votes_equal_a_plain_count(table):
-    models = forest.bagged_trees(table, "k", ["a", "b"], "id", mtry=1, node=2, trees=6)
+@pytest.mark.parametrize(("trees", "per_bag"), [(6, 1), (7, 3)])
+def test_votes_equal_a_plain_count(table, trees, per_bag):
+    models = forest.bagged_forests(table, "k", ["a", "b"], "id", mtry=1, node=2, trees=trees, per_bag=per_bag)
+    assert sum(m.stages[1].getNumTrees for m in models) == trees
     got = {r.id: (r.true, r.predicted, r.n_votes) for r in forest.out_of_bag(table, models, "k", "id").collect()}
     votes = {}
-    for tree, model in enumerate(models):
-        never = table.where(forest.drawn("id", tree) == 0)
-        for r in model.transform(never).collect():
-            votes.setdefault((r.id, r.k), []).append(int(r.predicted))
+    for bag, model in enumerate(models):
+        never = model.stages[0].transform(table.where(forest.drawn("id", bag) == 0)).collect()
+        for tree in model.stages[1].trees:
+            for r in never:
+                votes.setdefault((r.id, r.k), []).append(int(tree.predict(r.features)))
     expected = {}
     for (i, k), cast in votes.items():
         counts = Counter(cast)
         expected[i] = (k, min(counts, key=lambda c: (-counts[c], c)), len(cast))
-    assert got == expected and 80 < len(got) < 120
-    seen = {r.id for r in table.where(forest.drawn("id", 0) > 0).select("id").collect()}
-    assert models[0].stages[1].getNumTrees == 1 and len(seen) > 50
+    assert got == expected and 60 < len(got) < 120
 
 
 def test_error_of_a_setting(table):
-    tuned = forest.tune(table, "k", ["a", "b"], "id", share=1.0, nodes=(2,), trees=8).collect()
+    tuned = forest.tune(table, "k", ["a", "b"], "id", share=1.0, nodes=(2,), trees=40).collect()
     assert [(r.mtry, r.min_node_size) for r in tuned] == [(1, 2)]
     assert 0 < tuned[0].error < 0.5  # chance would be two thirds
