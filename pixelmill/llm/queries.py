@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pixelmill.llm.bpe_automaton import round_trip
 from pixelmill.llm.exact_dedup import content_sort
 from pixelmill.llm.harmonic_packing import pack
-from pixelmill.llm.line_dedup import drop_repeated_lines
+from pixelmill.llm.line_dedup import drop_repeated_lines, repeated_runs
 from pixelmill.llm.merkle import folded, manifest, proof_text
 from pixelmill.llm.mixing import mixture
 from pixelmill.llm.near_dedup import near_duplicates
@@ -83,6 +83,11 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cleaned.select("doc_id", "n_lines", "n_dropped_lines", F.sha2(F.col("text"), 256).alias("text_sha256"))
 
 
+def line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The maximal runs of lines that stood before, as ``op10_line_dedup`` deletes them."""
+    return repeated_runs(table(spark, sf_dir, "documents")).select("doc_id", "start", "lines", "words")
+
+
 def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Proofs of all documents, of which half are presented without their line breaks."""
     chosen = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0
@@ -167,20 +172,25 @@ FROM d WINDOW w AS (PARTITION BY norm)
 
 
 #: A run is three lines, or one line of 300 bytes or more; all but its first occurrence go.
-SQL_OP10 = """
+#: Later stretches of three lines, of fifty words, or of one line of 300 bytes, and the lines that stand in them.
+SQL_LATER_LINES = r"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+starts AS (SELECT doc_id, text, lines, unnest(range(0, len(lines))) AS start FROM d),
+stretches AS (
+  SELECT doc_id, text, start, size, lines[start + 1 : start + size] AS part
+  FROM (SELECT *, unnest([1, 2, 3]) AS size FROM starts) WHERE start + size <= len(lines)
+),
 runs AS (
-  SELECT doc_id, text, start, 3 AS size, array_to_string(lines[start + 1 : start + 3], chr(10)) AS gram
-  FROM (SELECT *, unnest(range(0, len(lines) - 2)) AS start FROM d)
-  UNION ALL
-  SELECT doc_id, text, start, 1, lines[start + 1] FROM (SELECT *, unnest(range(0, len(lines))) AS start FROM d)
-  WHERE strlen(lines[start + 1]) >= 300
+  SELECT doc_id, text, start, size, array_to_string(part, chr(10)) AS gram FROM stretches
+  WHERE size = 3 OR (size = 1 AND strlen(part[1]) >= 300) OR len(regexp_extract_all(array_to_string(part, ' '), '[^\x20\x09-\x0D]+')) >= 50
 ),
 later AS (
   SELECT doc_id, text, start, size FROM runs
   QUALIFY row_number() OVER (PARTITION BY size, gram ORDER BY doc_id, start) > 1
 ),
 gone AS (SELECT DISTINCT doc_id, text, unnest(range(start, start + size)) AS pos FROM later),
+"""
+SQL_OP10 = SQL_LATER_LINES + """
 kept AS (
   SELECT l.doc_id, l.text, count(*) AS n_lines, count(g.pos) AS n_dropped_lines,
          coalesce(string_agg(l.line, chr(10) ORDER BY l.pos) FILTER (WHERE g.pos IS NULL), '') AS cleaned
@@ -190,6 +200,15 @@ kept AS (
 )
 SELECT doc_id, n_lines, n_dropped_lines, sha256(cleaned) AS text_sha256 FROM kept
 """
+SQL_LINE_RUNS = SQL_LATER_LINES + r"""
+islands AS (
+  SELECT g.doc_id, g.pos, g.pos - row_number() OVER (PARTITION BY g.doc_id, g.text ORDER BY g.pos) AS island, g.text,
+         len(regexp_extract_all(d.lines[g.pos + 1], '[^\x20\x09-\x0D]+')) AS words
+  FROM gone g JOIN d ON d.doc_id = g.doc_id AND d.text = g.text
+)
+SELECT doc_id, CAST(min(pos) AS INTEGER) AS start, CAST(count(*) AS INTEGER) AS lines, CAST(sum(words) AS BIGINT) AS words
+FROM islands GROUP BY doc_id, text, island
+"""
 
 #: All pairs that share a shingle, counted; components by the closure of the links.
 SQL_OP5 = r"""
@@ -313,6 +332,7 @@ QUERIES = (
     op8_token_counts,
     op9_bpe,
     op10_line_dedup,
+    line_runs,
     op11_merkle_manifest,
     op12_packing,
     op13_prefix_trie,
@@ -335,6 +355,7 @@ def oracle_sql() -> dict[str, str]:
         "rule_ablations": SQL_ABLATIONS,
         "op6_exact_dedup": SQL_OP6,
         "op10_line_dedup": SQL_OP10,
+        "line_runs": SQL_LINE_RUNS,
         "op11_merkle_manifest": SQL_OP11,
         "op13_prefix_trie": SQL_OP13,
     }

@@ -8,7 +8,7 @@ import pytest
 
 from pixelmill.llm import near_dedup
 from pixelmill.llm.exact_dedup import content_sort, drop_copies
-from pixelmill.llm.line_dedup import drop_repeated_lines
+from pixelmill.llm.line_dedup import drop_repeated_lines, repeated_runs
 from pixelmill.session import work_table
 from tests.llm.fixtures import awkward, documents
 
@@ -140,19 +140,36 @@ def test_near_copies_keep_columns_and_empty_input(spark):
     assert set(ids) == set(brute_components(awkward()).values())
 
 
-def brute_lines(rows, run=3, long_line=300):
-    docs = sorted({(i, t or "") for i, t in rows}, key=lambda x: (x[0] is not None, x[0] or 0))
+def brute_lines(rows, run=3, run_words=50, long_line=300):
+    """Which lines of each (id, text) stand in a stretch that stood before, every stretch of up to ``run`` lines tried."""
+    docs = {(i, t or "") for i, t in rows}
     order = sorted({(i, hashlib.md5(t.encode()).hexdigest(), t) for i, t in docs}, key=lambda x: (x[0] is not None, x[0] or 0))
-    seen, gone = {}, defaultdict(set)
+    seen, gone = set(), defaultdict(set)
     for i, _, t in order:
         lines = t.split("\n")
-        spans = [(s, run) for s in range(len(lines) - run + 1)] + [(s, 1) for s, x in enumerate(lines) if len(x.encode()) >= long_line]
-        for s, size in sorted(spans):
-            key = (size, tuple(lines[s : s + size]))
-            if key in seen:
-                gone[i, t] |= set(range(s, s + size))
-            seen.setdefault(key, (i, t, s))
-    return {(i, t): "\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone[i, t]) for i, t in docs}
+        for s in range(len(lines)):
+            for size in range(1, min(run, len(lines) - s) + 1):
+                part = lines[s : s + size]
+                if size == run or sum(len(WORD.findall(x)) for x in part) >= run_words or (size == 1 and len(part[0].encode()) >= long_line):
+                    if tuple(part) in seen:
+                        gone[i, t] |= set(range(s, s + size))
+                    seen.add(tuple(part))
+    return {(i, t): gone[i, t] for i, t in docs}
+
+
+def left_lines(t, gone):
+    return "\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone)
+
+
+def brute_runs(t, gone):
+    """(start, lines, words) of the unbroken rows of ``gone`` lines."""
+    lines, runs = t.split("\n"), []
+    for k in sorted(gone):
+        if not runs or sum(runs[-1][:2]) != k:
+            runs.append([k, 0, 0])
+        runs[-1][1] += 1
+        runs[-1][2] += len(WORD.findall(lines[k]))
+    return runs
 
 
 def test_line_runs_match_brute_force(spark):
@@ -162,9 +179,45 @@ def test_line_runs_match_brute_force(spark):
     assert cleaned.columns == [*docs.columns, "n_lines", "n_dropped_lines"]
     got = sorted((str(r.doc_id), r.text or "") for r in cleaned.collect())
     expected = brute_lines(rows)
-    assert got == sorted((str(i), expected[i, t or ""]) for i, t in rows)
+    assert got == sorted((str(i), left_lines(t or "", expected[i, t or ""])) for i, t in rows)
     assert cleaned.where("text is null").count() == sum(t is None for _, t in rows)
     assert drop_repeated_lines(docs.limit(0)).count() == 0
+    assert repeated_runs(docs.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize(("run", "run_words"), [(3, 50), (3, 8), (4, 6), (2, 5)])
+def test_maximal_runs_match_brute_force(spark, run, run_words):
+    """Texts cut from few lines, so that matches begin, end, overlap and tie everywhere."""
+    import random
+
+    rng = random.Random(run * 100 + run_words)
+    pool = [" ".join(rng.choices("abcdefghij", k=rng.choice([0, 1, 2, 4, 7, 30]))) for _ in range(25)] + ["x" * 300, "y" * 299]
+    rows = [(None, "\n".join(pool[:6]))]
+    for i in range(60):
+        text = rng.choices(pool, k=rng.randrange(12))
+        at = rng.randrange(len(pool) - 6)
+        text[len(text) // 2 : len(text) // 2] = pool[at : at + rng.randrange(7)]
+        rows.append((i, "\n".join(text)))
+    docs = documents(spark, rows)
+    expected = brute_lines(rows, run, run_words)
+    got = [(str(r.doc_id), r.start, r.lines, r.words) for r in repeated_runs(docs, run=run, run_words=run_words).collect()]
+    assert sorted(got) == sorted((str(i), *r) for (i, t), gone in expected.items() for r in brute_runs(t, gone))
+    assert len(got) > 20
+    cleaned = drop_repeated_lines(docs, run=run, run_words=run_words).collect()
+    assert sorted((str(r.doc_id), r.text) for r in cleaned) == sorted((str(i), left_lines(t, expected[i, t])) for i, t in rows)
+
+
+def test_passages_of_fifty_words_go_at_any_number_of_lines(spark):
+    import random
+
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choices("abcdefgh", k=3))
+    passage = [word() for _ in range(51)]
+    one, two = " ".join(passage), " ".join(passage[:20]) + "\n" + " ".join(passage[20:])
+    rows = [(i, f"{word()} own {i}\n{one if i % 2 else two}\nend {i} {word()}") for i in range(8)]
+    rows += [(20 + i, f"own {i}\n{' '.join(passage[:40])}\nend {i}") for i in range(4)]  # a line of 40 words is no run
+    got = {r.doc_id: r.n_dropped_lines for r in drop_repeated_lines(documents(spark, rows)).collect()}
+    assert got == {0: 0, 1: 0, 2: 2, 3: 1, 4: 2, 5: 1, 6: 2, 7: 1, 20: 0, 21: 0, 22: 0, 23: 0}
 
 
 def test_documents_of_many_lines(spark):
