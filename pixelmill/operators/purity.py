@@ -9,18 +9,20 @@ from operator import add
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pixelmill.session import sized
+
 LEAST_ROWS = 50
 
 
 def z_distance(df: DataFrame, class_col: str, predictors: Sequence[str]) -> DataFrame:
     """Adds z = sqrt(sum(((x - mean_c) / sd_c)^2)); a constant or null predictor adds nothing.
 
-    Class moments are one small aggregate joined back, so a class of any size is never one task's sort.
+    Class moments are one aggregate joined back, broadcast while it is small; a class of any size is never one task's sort.
     """
     moments = df.groupBy(class_col).agg(
         *[F.avg(p).alias(f"mean_{p}") for p in predictors], *[F.stddev_samp(p).alias(f"sd_{p}") for p in predictors]
     )
-    joined = df.join(F.broadcast(moments.withColumnRenamed(class_col, "moment_class")), F.col(class_col).eqNullSafe(F.col("moment_class")))
+    joined = df.join(sized(moments.withColumnRenamed(class_col, "moment_class"), "class-moments"), F.col(class_col).eqNullSafe(F.col("moment_class")))
     parts = [F.coalesce(F.pow(F.try_divide(F.col(p) - F.col(f"mean_{p}"), F.col(f"sd_{p}")), 2), F.lit(0.0)) for p in predictors]
     return joined.select(*[joined[c] for c in df.columns], F.sqrt(reduce(add, parts)).alias("z"))
 
@@ -36,7 +38,7 @@ def purity(df: DataFrame, class_col: str, predictors: Sequence[str], least_rows:
     spread = spread.select(
         F.col(class_col).alias("spread_class"), (F.col("mu_z") - F.col("sigma_z")).alias("t1"), (F.col("mu_z") + F.col("sigma_z")).alias("t2"), "n_pre"
     )
-    joined = with_z.join(F.broadcast(spread), F.col(class_col).eqNullSafe(F.col("spread_class")))
+    joined = with_z.join(sized(spread, "class-spread"), F.col(class_col).eqNullSafe(F.col("spread_class")))
     inside = (F.col("z") > F.col("t1")) & (F.col("z") < F.col("t2"))
     return joined.select(*[with_z[c] for c in with_z.columns], "t1", "t2", F.when(F.col("n_pre") < least_rows, True).otherwise(F.coalesce(inside, F.lit(False))).alias("pure"))
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pixelmill.session import work_table
+from pixelmill.session import sized, work_table
 
 
 def digest(id_col: str, seed: int) -> Column:
@@ -41,8 +41,9 @@ def ranked(df: DataFrame, class_col: str, id_col: str, seed: int) -> DataFrame:
         F.sum("slice_n").over(of_class).alias("class_n"),
     )
     marked = df.withColumns({"mark": mark, "slice": F.substring(mark, 1, 3)})
-    # at most 4,096 rows per class
-    joined = marked.join(F.broadcast(starts.withColumnRenamed("slice", "start_slice")), F.col(class_col).eqNullSafe(F.col("slice_class")) & (F.col("slice") == F.col("start_slice")))
+    # at most 4,096 rows per class, however many classes
+    starts = sized(starts.withColumnRenamed("slice", "start_slice"), "class-slices")
+    joined = marked.join(starts, F.col(class_col).eqNullSafe(F.col("slice_class")) & (F.col("slice") == F.col("start_slice")))
     inside = F.row_number().over(Window.partitionBy(class_col, "slice").orderBy("mark", id_col))
     return joined.withColumn("rn", F.col("slice_start") + inside).select(*df.columns, "rn", "class_n")
 
@@ -78,7 +79,7 @@ def proportional_quota(df: DataFrame, class_col: str, id_col: str, most: int = 1
         F.col(class_col).alias("quota_class"),
         F.when(F.col("total") <= most, F.col("held").cast("double")).otherwise(F.greatest(F.lit(1.0), F.rint(F.lit(float(most)) * F.col("held") / F.col("total")))).alias("quota"),
     )
-    joined = ranked(df, class_col, id_col, seed).join(F.broadcast(quota), F.col(class_col).eqNullSafe(F.col("quota_class")))
+    joined = ranked(df, class_col, id_col, seed).join(sized(quota, "class-quota"), F.col(class_col).eqNullSafe(F.col("quota_class")))
     return joined.where(F.col("rn") <= F.col("quota")).drop("rn", "class_n", "quota", "quota_class")
 
 
@@ -93,4 +94,4 @@ def case_weights(df: DataFrame, class_col: str) -> DataFrame:
     all_classes = Window.partitionBy(F.lit(0))  # one row per class
     weight = F.sum("held").over(all_classes) / (F.count(F.lit(1)).over(all_classes) * F.col("held"))
     weights = sizes.select(F.col(class_col), weight.alias("case_weight"))
-    return df.join(F.broadcast(weights), class_col)
+    return df.join(sized(weights, "class-weights"), class_col)

@@ -63,6 +63,12 @@ def work_table(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def sized(df: DataFrame, name: str) -> DataFrame:
+    """An aggregate to join back, written once and read again: Spark then knows its bytes and broadcasts it only
+    under ``spark.sql.autoBroadcastJoinThreshold``, else both sides are shuffled; it is computed once besides."""
+    return work_table(df, name)
+
+
 @contextmanager
 def work_scope(spark: SparkSession) -> Iterator[list[str]]:
     """Intermediate tables written inside belong to this scope and are deleted at its end, so store the results

@@ -8,7 +8,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from pixelmill.operators import forest, selection
+from pixelmill.operators import forest, purity, sampling, selection
 from pixelmill.plans import fixtures as fx
 from pixelmill.plans import registry
 
@@ -110,3 +110,29 @@ def test_all_predictors_against_brute_force(spark):
     m = s.T @ s
     tau = {(r.a, r.b): r.tau for r in registry.queries()["m6_kendall_whole"](spark, "/root/testdata/sf0.001").collect()}
     assert len(tau) == 64 and all(tau[a, b] == pytest.approx(m[i, j] / np.sqrt(m[i, i] * m[j, j])) for i, a in enumerate(fx.FEATURES) for j, b in enumerate(fx.FEATURES))
+
+
+def test_aggregates_of_classes_are_broadcast_only_under_the_threshold(spark):
+    """Many classes: with the session's threshold at 0 nothing is broadcast, and no value changes."""
+    df = spark.range(2000).selectExpr("id", "if(id % 40 = 7, null, id % 400) AS code", "CAST(id * 7919 % 1013 AS double) AS x")
+    steps = {
+        "purity": lambda: purity.purity(df, "code", ["x"], least_rows=3),
+        "split": lambda: sampling.train_split(df, "code", "id"),
+        "quota": lambda: sampling.proportional_quota(df, "code", "id", most=900),
+        "weights": lambda: sampling.case_weights(df, "code"),
+        "auc": lambda: selection.class_auc(df, "code", ["x"]),
+    }
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+
+    def values(rows):  # sums of doubles differ in the last digits
+        return sorted(repr([round(v, 9) if isinstance(v, float) else v for v in r]) for r in rows)
+
+    for name, step in steps.items():
+        small = values(step().collect())
+        try:
+            spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+            large = step()
+            assert values(large.collect()) == small and small, name
+            assert "Broadcast" not in large._jdf.queryExecution().executedPlan().toString(), name
+        finally:
+            spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
