@@ -120,7 +120,8 @@ def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     posted = lines.where("chosen > 0").select(*DOCUMENT, "pos", "print")
     places = occurring_again(posted, ["print"], F.lit(1).cast("long"), F.col("print"))
     place = F.struct(*DOCUMENT, "start")
-    met = occurring_again(extended(lines.drop("print"), places, run), ["lines", "gram"], F.lit(1).cast("long"), place)
+    found = work_table(extended(lines.drop("print"), places, run), "stretches")
+    met = occurring_again(found, ["lines", "gram"], F.lit(1).cast("long"), place)
     later = met.where(place != F.col("first")).withColumn("end", F.col("start") + F.col("lines"))
     order = Window.partitionBy(*DOCUMENT).orderBy("start", "end")
     reached = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
