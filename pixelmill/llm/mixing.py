@@ -12,14 +12,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
 
-from pixelmill.llm.batches import bound_batches, smallest_hashes
+from pixelmill.llm.batches import bound_batches
 from pixelmill.session import work_table
 
 OTHER = "(other)"
 MOST_CELLS = 1_000_000
-#: Rows from which forms are learned, and how many forms.
-FORM_SAMPLE = 4000
+#: How many forms of text are learned.
 FORMS = 4
+#: Logarithms of shares are summed in whole steps of this size: sums over all rows are exact in any order.
+STEP = 2.0**-20
 #: Classes of bytes that tell the form of a text in any language; the last class is all other bytes.
 CLASSES = (b"\n", b" \t", b"0123456789", b".,;:!?", b"'\"()-", b"|#*=<>{}[]/\\_`~^", b"@&$%+", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ")
 CLASS_OF = np.full(256, len(CLASSES), np.uint8)
@@ -126,50 +127,76 @@ class Forms:
 
     def column(self, classes: Column) -> Column:
         """The name of the nearest centre, the first of equals."""
-        n = F.aggregate(classes, F.lit(0), lambda s, x: s + x)
-        logs = F.transform(classes, lambda c: F.ln((c + F.lit(0.5)) / (n + F.lit(0.5 * N_CLASSES))))
 
-        def nearest(x: Column) -> Column:
-            distances = [F.struct(sum_of(x, c).alias("d"), F.lit(k).alias("k")) for k, c in enumerate(self.centres)]
-            return F.concat(F.lit("form"), F.array_min(F.array(*distances))["k"].cast("string"))
+        def nearest(logs: Column) -> Column:
+            x = self.scaled([F.get(logs, F.lit(i)) for i in range(N_CLASSES)])
+            return F.concat(F.lit("form"), first_least(distances(x, self.centres)).cast("string"))
 
-        def sum_of(x: Column, centre: np.ndarray) -> Column:
-            terms = [F.pow((F.get(x, F.lit(i)) - float(m)) / float(s) - float(c), F.lit(2.0)) for i, (m, s, c) in enumerate(zip(self.mean, self.scale, centre, strict=True))]
-            return sum(terms[1:], terms[0])
+        return F.get(F.transform(F.array(share_logs(classes)), nearest), F.lit(0))  # the logarithms are taken once a row
 
-        return F.get(F.transform(F.array(logs), nearest), F.lit(0))  # the logarithms are taken once a row
+    def scaled(self, logs: list[Column]) -> list[Column]:
+        return [(x - float(m)) / float(s) for x, m, s in zip(logs, self.mean, self.scale, strict=True)]
 
 
-def form_logs(counts: np.ndarray) -> np.ndarray:
-    return np.log((counts + 0.5) / (counts.sum(axis=1, keepdims=True) + 0.5 * N_CLASSES))
+def share_logs(classes: Column) -> Column:
+    """Per class the logarithm of its share of the bytes; half a byte is added to each class."""
+    n = F.aggregate(classes, F.lit(0), lambda s, x: s + x)
+    return F.transform(classes, lambda c: F.ln((c + F.lit(0.5)) / (n + F.lit(0.5 * N_CLASSES))))
 
 
-def learned_forms(rows: DataFrame, id_col: str = "doc_id", sample: int = FORM_SAMPLE, k: int = FORMS, rounds: int = 30) -> Forms:
-    """k-means over the byte classes of at most ``sample`` rows, those with the smallest hash of their id.
+def distances(x: list[Column], centres: np.ndarray) -> list[Column]:
+    """The squared distances from all centres."""
+    squares = [[F.pow(v - float(c), F.lit(2.0)) for v, c in zip(x, centre, strict=True)] for centre in centres]
+    return [sum(s[1:], s[0]) for s in squares]
 
-    The first centre is the row nearest the mean, each further one the row farthest from those before it.
+
+def first_least(values: list[Column]) -> Column:
+    return F.array_min(F.array(*[F.struct(v.alias("d"), F.lit(k).alias("k")) for k, v in enumerate(values)]))["k"]
+
+
+def learned_forms(rows: DataFrame, k: int = FORMS, rounds: int = 1000) -> Forms:
+    """k-means over the byte classes of all rows, one aggregate over the table a step, until the centres stand still.
+
+    The first centre is the row nearest the mean, each further one the row farthest from those before it; of equals
+    the row whose logarithms are least or greatest. Only sums per centre reach the driver.
     """
-    placed = rows.select(F.xxhash64(F.col("row").getField(id_col)).alias("place"), "classes")
-    picked = placed.where(F.col("place") <= smallest_hashes(rows.count(), sample)).orderBy("place", "classes").limit(sample)
-    found = [r["classes"] for r in picked.collect()]
-    logs = form_logs(np.array(found, float).reshape(-1, N_CLASSES))
-    if not len(logs):
+    steps, axes = [f"s{i}" for i in range(N_CLASSES)], [f"x{i}" for i in range(N_CLASSES)]
+    shares = rows.select(share_logs(F.col("classes")).alias("logs"))
+    logs = work_table(shares.select(*[F.round(F.get("logs", F.lit(i)) / STEP).cast("long").alias(s) for i, s in enumerate(steps)]), "mix-logs")
+    sums = [F.sum(s).alias(s) for s in steps]
+    squares = [F.sum((F.col(s) * F.col(s)).cast("decimal(20,0)")).alias(f"q{i}") for i, s in enumerate(steps)]
+    (all_rows,) = logs.agg(F.count(F.lit(1)).alias("n"), *sums, *squares).collect()
+    n = all_rows["n"]
+    if not n:
         return Forms(np.zeros(N_CLASSES), np.ones(N_CLASSES), np.zeros((1, N_CLASSES)))
-    mean, scale = logs.mean(axis=0), np.maximum(logs.std(axis=0), 1e-6)
-    x = (logs - mean) / scale
-    centres = x[[np.argmin((x**2).sum(axis=1))]]
+    mean = np.array([all_rows[s] / n * STEP for s in steps])
+    spread = [n * int(all_rows[f"q{i}"]) - all_rows[s] ** 2 for i, s in enumerate(steps)]
+    forms = Forms(mean, np.maximum(np.sqrt([v / n**2 for v in spread]) * STEP, 1e-6), np.zeros((1, N_CLASSES)))
+    scaled = logs.select(*steps, *[x.alias(a) for x, a in zip(forms.scaled([F.col(s) * STEP for s in steps]), axes, strict=True)])
+
+    def away(centres: np.ndarray) -> DataFrame:
+        return scaled.select(*steps, *axes, F.array(*distances([F.col(a) for a in axes], centres)).alias("d"))
+
+    def picked(centres: np.ndarray, most: Callable[[Column], Column]) -> tuple[float, list[float]]:
+        (found,) = away(centres).agg(most(F.struct(F.array_min("d").alias("d"), *steps, *axes)).alias("row")).collect()
+        return found["row"]["d"], [found["row"][a] for a in axes]
+
+    centres = np.array([picked(forms.centres, F.min)[1]])
     while len(centres) < k:
-        gap = ((x[:, None] - centres[None]) ** 2).sum(axis=2).min(axis=1)
-        if gap.max() <= 0:
+        gap, farthest = picked(centres, F.max)
+        if gap <= 0:
             break
-        centres = np.vstack([centres, x[gap.argmax()]])
+        centres = np.vstack([centres, farthest])
     for _ in range(rounds):
-        nearest = ((x[:, None] - centres[None]) ** 2).sum(axis=2).argmin(axis=1)
-        moved = np.array([x[nearest == i].mean(axis=0) if (nearest == i).any() else c for i, c in enumerate(centres)])
+        moved = centres.copy()
+        for r in away(centres).groupBy((F.array_position("d", F.array_min("d")) - 1).alias("centre")).agg(F.count(F.lit(1)).alias("n"), *sums).collect():
+            moved[r["centre"]] = (np.array([r[s] / r["n"] * STEP for s in steps]) - forms.mean) / forms.scale
         if np.allclose(moved, centres):
             break
         centres = moved
-    return Forms(mean, scale, centres)
+    else:
+        warnings.warn(f"the centres of forms still moved after {rounds} rounds", stacklevel=2)
+    return Forms(forms.mean, forms.scale, centres)
 
 
 def flattened(power: float) -> Callable[[np.ndarray], np.ndarray]:
@@ -209,7 +236,7 @@ def planned(
     carry: list[str] | None = None,
 ) -> Mixture:
     """Calibrate a mixture. ``targets`` names each dimension with the column that holds its value and the wanted
-    shares of tokens; ``topics`` is a column of topics, without it forms of text are learned from the documents.
+    shares of tokens; ``topics`` is a column of topics, without it forms of text are learned from all documents.
 
     Values without a target (null among them) are one class and keep their present share; the listed ones share
     the rest. Cells are at most the product of the listed values (MOST_CELLS), so the driver rakes them whatever
@@ -224,7 +251,7 @@ def planned(
     wanted: dict[str, Shares] = {d: s for d, (_, s) in targets.items()}
     classes: dict[str, list[str]] = {d: [*dict.fromkeys(s)] for d, s in wanted.items()}
     if topics is None:
-        forms = learned_forms(rows, id_col)
+        forms = learned_forms(rows)
         columns["topic"], classes["topic"] = forms.column(F.col("classes")), forms.names
     else:
         columns["topic"] = F.col("row").getField(topics).cast("string")

@@ -182,6 +182,54 @@ def test_forms_are_the_nearest_centres(spark):
         assert away[int(r.form[4:])] == pytest.approx(away.min())
 
 
+def many_texts(spark):
+    """More short texts than any sample held: words, and a few of digits, of signs and of blanks alone."""
+    rng = random.Random(5)
+    rows = []
+    for i in range(6000):
+        kind = i % 300
+        letters = "0123456789.," if kind in (7, 8, 9) else "|#*=<>{}[]@" if kind == 17 else "ABCDE\n" if kind == 27 else "abcdefghij,-"
+        text = " " * (i % 5) if kind == 37 else " ".join("".join(rng.choices(letters, k=rng.randint(1, 8))) for _ in range(rng.randint(3, 12)))
+        rows.append((i, text, f"src{i % 3}", ("en", "en", "de", "fr", "es")[i % 5]))
+    return spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+
+
+def brute_forms(docs, k=mixing.FORMS):
+    """Mean, scale, centres and the nearest centre of every row, by k-means over all rows in numpy."""
+    texts = {r.doc_id: r.text.encode() for r in docs.collect()}
+    listed = b"".join(mixing.CLASSES)
+    counts = np.array([[sum(b in c for b in t) for c in mixing.CLASSES] + [sum(b not in listed for b in t)] for t in texts.values()], float)
+    logs = np.log((counts + 0.5) / (counts.sum(axis=1, keepdims=True) + 0.5 * mixing.N_CLASSES))
+    mean, scale = logs.mean(axis=0), logs.std(axis=0)
+    x = (logs - mean) / scale
+    centres = x[[np.argmin((x**2).sum(axis=1))]]
+    while len(centres) < k:
+        centres = np.vstack([centres, x[((x[:, None] - centres) ** 2).sum(axis=2).min(axis=1).argmax()]])
+    while True:
+        nearest = ((x[:, None] - centres) ** 2).sum(axis=2).argmin(axis=1)
+        moved = np.array([x[nearest == i].mean(axis=0) if (nearest == i).any() else c for i, c in enumerate(centres)])
+        if np.allclose(moved, centres):
+            return mean, scale, centres, {i: f"form{f}" for i, f in zip(texts, nearest, strict=True)}
+        centres = moved
+
+
+def test_forms_are_learned_from_all_rows(spark, tmp_path):
+    """Centres and the forms of op2_mixing against k-means over every row, whatever the ids and the parts are."""
+    docs = many_texts(spark)
+    mean, scale, centres, named = brute_forms(docs)
+    rows = mixing.work_table(mixing.measured(docs, "text", ["doc_id"]), "measured")
+    forms = mixing.learned_forms(rows)
+    assert forms.mean == pytest.approx(mean, abs=1e-6) and forms.scale == pytest.approx(scale, abs=1e-6)
+    assert forms.centres == pytest.approx(centres, abs=1e-4)
+    dealt = mixing.learned_forms(mixing.measured(docs.withColumn("doc_id", -F.col("doc_id")).orderBy("text").repartition(7), "text", ["doc_id"]))
+    assert (dealt.centres == forms.centres).all() and (dealt.scale == forms.scale).all()
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    got = registered.queries()["op2_mixing"](spark, str(tmp_path)).collect()
+    assert {r.doc_id: r.mix_topic for r in got} == named
+    with pytest.warns(UserWarning, match="still moved"):
+        mixing.learned_forms(rows, rounds=1)
+
+
 def test_mixture_by_a_given_topic(spark):
     docs = spark.createDataFrame([(i, "w " * (1 + i % 5), f"src{i % 2}", "en", f"t{i % 3}") for i in range(120)], "doc_id long, text string, source string, lang string, theme string")
     plan = mixing.planned(docs, topics="theme")
