@@ -5,6 +5,7 @@ from pixelmill.llm import mixing, quality_cnn
 from pixelmill.session import work_table
 from tests.llm.fixtures import awkward, documents
 from tests.llm.test_dedup import LOWER, brute_components
+from tests.llm.test_filters import brute_forms, many_texts
 from tests.llm.test_tokens import LIBRARY
 
 SF = "/root/testdata/sf0.001"
@@ -36,6 +37,16 @@ def test_stages_match_brute_force(spark):
     assert sorted(map(str, corpus_pipeline.run(spark, SF).collect())) == sorted(map(str, docs.collect()))
 
 
+def test_mixing_stage_learns_from_all_rows(spark):
+    """The stage draws what a mixture by the forms of k-means over every row draws."""
+    docs = many_texts(spark)
+    named = brute_forms(docs)[-1]
+    forms = spark.createDataFrame([*named.items()], "doc_id long, form string")
+    wanted = mixing.mixture(docs.join(forms, "doc_id"), topics="form").where("sampled")
+    drawn = [r.doc_id for r in corpus_pipeline.mixing(spark, docs, SF).collect()]
+    assert sorted(drawn) == sorted(r.row.doc_id for r in wanted.collect()) and 0 < len(drawn) < docs.count()
+
+
 def test_stages_of_awkward_rows(spark):
     docs = documents(spark, awkward())
     for _, stage in corpus_pipeline.STAGES:
