@@ -167,9 +167,10 @@ def distance(grid: DataFrame, source: str, dx: float, dy: float, block_rows: int
     """
     ship_package(grid.sparkSession)
     up = Window.partitionBy("col").orderBy("row").rowsBetween(Window.unboundedPreceding, 0)
-    down = Window.partitionBy("col").orderBy("row").rowsBetween(0, Window.unboundedFollowing)
+    # upwards by the turned order: a frame up to unboundedFollowing is walked anew for every row
+    down = Window.partitionBy("col").orderBy(F.col("row").desc()).rowsBetween(Window.unboundedPreceding, 0)
     here = F.when(F.col(source).isNotNull(), F.col("row"))
-    above, below = F.last(here, ignorenulls=True).over(up), F.first(here, ignorenulls=True).over(down)
+    above, below = F.last(here, ignorenulls=True).over(up), F.last(here, ignorenulls=True).over(down)
     vertical = grid.select("row", "col", F.least(F.col("row") - above, below - F.col("row")).alias("g"))
 
     def of_block(cells: pd.DataFrame) -> pd.DataFrame:

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 
 from pixelmill.operators import neighbourhood
-from pixelmill.operators.spatial import row_minima
+from pixelmill.operators.spatial import distance, row_minima
 from pixelmill.session import work_scope
 
 
@@ -60,3 +60,13 @@ def test_distance_of_wide_rows_is_linear():
     for row in range(8):
         assert np.allclose(got[row, x], (100.0 * (x[:, None] - np.arange(11_500)) ** 2 + dense[row]).min(axis=1))
     assert time.perf_counter() - began < 30
+
+
+def test_distance_of_tall_columns_is_linear(spark):
+    """60,000 rows: no frame reaches to the end of the column, as such a frame is walked anew for every row."""
+    df = spark.range(60_000).selectExpr("CAST(id AS INT) AS row", "0 AS col", "IF(id IN (7, 50000), 1, NULL) AS v")
+    found = distance(df, "v", 10.0, 5.0)
+    assert "unboundedfollowing" not in found._jdf.queryExecution().toString().lower()
+    got = found.toPandas().sort_values("row")
+    rows = np.arange(60_000)
+    assert np.array_equal(got["row"], rows) and np.allclose(got["distance"], 5.0 * np.minimum(abs(rows - 7), abs(rows - 50_000)))
