@@ -1,7 +1,8 @@
-"""Connected components of a link table, by neighbour minima and pointer jumping."""
+"""Connected components of a link table, by contraction in random order; of cells in an array, by hooking."""
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,19 +12,48 @@ from pixelmill.session import work_table
 def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     """vertex and component (the smallest vertex reachable) of every vertex of ``links(a, b)``.
 
-    Each round takes the smallest label among the neighbours and then the label of the label, so long
-    chains shrink geometrically. Rounds are written tables; a lost executor costs one round at most.
+    Each round orders the vertices by a hash of its own and moves every vertex to the first of its neighbours and
+    itself, twice; links follow, and those within one vertex go. A vertex with a neighbour stays first among them with
+    a chance of one half at most, so whatever the shape of the graph the links left shrink geometrically, and no label has
+    to travel along a chain. Rounds are written tables; a lost executor costs one round at most.
     An empty table has no vertices; loops and repeated links do no harm.
     """
     both = work_table(links.select("a", "b").union(links.select("b", "a")).where("a <> b").distinct(), "links")
-    labels = work_table(both.groupBy(F.col("a").alias("vertex")).agg(F.least(F.min("b"), F.first("a")).alias("component")), "labels")
-    for _ in range(max_rounds):
-        near = both.join(labels.withColumnRenamed("vertex", "b"), "b").groupBy(F.col("a").alias("vertex")).agg(F.min("component").alias("near"))
-        lowered = labels.join(near, "vertex").select("vertex", F.col("component").alias("was"), F.least("component", "near").alias("component"))
-        parent = labels.select(F.col("vertex").alias("component"), F.col("component").alias("above"))
-        jumped = lowered.join(parent, "component").select("vertex", F.least("component", "above").alias("component"), "was")
-        round_labels = work_table(jumped, "labels")
-        labels = round_labels.drop("was")
-        if round_labels.where("component <> was").isEmpty():
-            return labels
-    raise RuntimeError(f"components did not settle within {max_rounds} rounds")
+    moves: list[DataFrame] = []  # of the vertices with links in each round
+    while not both.isEmpty():
+        if len(moves) == max_rounds:
+            raise RuntimeError(f"components did not settle within {max_rounds} rounds")
+        mark = lambda c, n=len(moves): F.xxhash64(F.lit(n), F.col(c))
+        near = both.groupBy(F.col("a").alias("vertex")).agg(F.min_by("b", mark("b")).alias("near"))
+        ahead = F.struct(mark("near"), "near") < F.struct(mark("vertex"), "vertex")
+        once = work_table(near.select("vertex", F.when(ahead, F.col("near")).otherwise(F.col("vertex")).alias("moved")), "moved")
+        twice = work_table(once.join(once.toDF("moved", "above"), "moved").select("vertex", F.col("above").alias("moved")), "moved")
+        moves.append(twice)
+        both = both.join(twice.toDF("a", "to_a"), "a").join(twice.toDF("b", "to_b"), "b").where("to_a <> to_b")
+        both = work_table(both.select(F.col("to_a").alias("a"), F.col("to_b").alias("b")).distinct(), "links")
+    if not moves:
+        return both.select(F.col("a").alias("vertex"), F.col("b").alias("component"))
+    roots = moves.pop()
+    while moves:  # where a vertex moved to, and where that went in later rounds
+        roots = work_table(moves.pop().join(roots.toDF("moved", "root"), "moved", "left").select("vertex", F.coalesce("root", "moved").alias("moved")), "roots")
+    least = roots.groupBy("moved").agg(F.min("vertex").alias("component"))
+    return work_table(roots.join(least, "moved").select("vertex", "component"), "labels")
+
+
+def cell_components(row: np.ndarray, col: np.ndarray) -> np.ndarray:
+    """For each of some cells, in the order of their places, the position of the first cell of its component.
+
+    Every root that is beside a smaller one hooks to the smallest; roots halve in two rounds at least.
+    """
+    place = np.full((row.max() - row.min() + 2, col.max() - col.min() + 2), -1)
+    place[row - row.min(), col - col.min()] = np.arange(len(row))
+    a, b = (np.concatenate(x) for x in zip((place[:, :-1].ravel(), place[:, 1:].ravel()), (place[:-1].ravel(), place[1:].ravel()), strict=True))
+    linked = (a >= 0) & (b >= 0)
+    a, b, root = a[linked], b[linked], np.arange(len(row))
+    while len(a):
+        np.minimum.at(root, np.maximum(root[a], root[b]), np.minimum(root[a], root[b]))
+        while not np.array_equal(above := root[root], root):
+            root = above
+        apart = root[a] != root[b]
+        a, b = a[apart], b[apart]
+    return root

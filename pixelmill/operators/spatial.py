@@ -9,9 +9,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pixelmill.operators.components import components
+from pixelmill.operators.components import cell_components, components
 from pixelmill.operators.grid import GridSpec
-from pixelmill.session import ship_package
+from pixelmill.session import ship_package, work_table
 
 #: A polygon is a list of closed rings; a ring is a list of points.
 RINGS = "array<array<struct<x:double,y:double>>>"
@@ -210,14 +210,30 @@ def isolated_parts(polygons: DataFrame, spec: GridSpec, radius: float, least_are
     return labelled.join(large_components(labelled, spec.dx * spec.dy, least_area), "component").select("row", "col", "component", "area")
 
 
-def raster_components(cells: DataFrame, n_cols: int) -> DataFrame:
-    """component of each cell: the smallest row * n_cols + col among the cells joined by an edge."""
-    ids = cells.select("row", "col").distinct().withColumn("id", F.col("row").cast("long") * n_cols + F.col("col"))
-    right = ids.select(F.col("row"), (F.col("col") - 1).alias("col"), F.col("id").alias("b"))
-    down = ids.select((F.col("row") - 1).alias("row"), F.col("col"), F.col("id").alias("b"))
-    links = ids.join(right.union(down), ["row", "col"]).select(F.col("id").alias("a"), "b")
-    labels = components(links).withColumnRenamed("vertex", "id")
-    return ids.join(labels, "id", "left").select("row", "col", F.coalesce("component", "id").alias("component"))
+def raster_components(cells: DataFrame, n_cols: int, block: int = 256) -> DataFrame:
+    """component of each cell: the smallest row * n_cols + col among the cells joined by an edge.
+
+    Cells are labelled inside blocks of ``block`` x ``block``, one block in a task at a time; the labels that meet at the
+    edges of blocks are the links of a small graph, whose components join them. Cells without a place have none.
+    """
+    ship_package(cells.sparkSession)
+
+    def of_block(held: pd.DataFrame) -> pd.DataFrame:
+        if held[["row", "col"]].isna().any(axis=None):
+            return held.assign(root=pd.array([None] * len(held), "Int64"))
+        held = held.sort_values(["row", "col"])
+        row, col = held["row"].to_numpy(np.int64), held["col"].to_numpy(np.int64)
+        return held.assign(root=(row * n_cols + col)[cell_components(row, col)])
+
+    blocks = cells.select("row", "col").distinct().groupBy(F.expr(f"row DIV {block}"), F.expr(f"col DIV {block}"))
+    inside = work_table(blocks.applyInPandas(of_block, "row int, col int, root long"), "block-components")
+    met = []
+    for axis in ("row", "col"):
+        edge = inside.where(f"{axis} DIV {block} <> ({axis} + 1) DIV {block}").withColumn(axis, F.col(axis) + 1)
+        first = inside.where(f"{axis} DIV {block} <> ({axis} - 1) DIV {block}").withColumnRenamed("root", "b")
+        met.append(edge.join(first, ["row", "col"]).select(F.col("root").alias("a"), "b"))
+    labels = components(met[0].union(met[1])).withColumnRenamed("vertex", "root")
+    return inside.join(labels, "root", "left").select("row", "col", F.coalesce("component", "root").alias("component"))
 
 
 def large_components(labelled: DataFrame, cell_area: float, least_area: float) -> DataFrame:

@@ -8,7 +8,8 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from pixelmill.operators import forest, purity, sampling, selection
+from pixelmill.operators import forest, purity, sampling, selection, spatial
+from pixelmill.operators.components import components
 from pixelmill.plans import fixtures as fx
 from pixelmill.plans import registry
 
@@ -42,6 +43,35 @@ def test_components_of_the_whole_raster(spark):
     assert got == {k: (n, 100.0 * n) for k, n in sizes.items() if n >= 5}
 
 
+def comb(rows: int) -> set:
+    """Teeth of three columns that lean on each other by turns: one path up and down, with tongues aside."""
+    cells = {(r, c) for c in range(0, 40, 4) for r in range(rows)}
+    cells |= {(0 if c % 8 else rows - 1, c + i) for c in range(0, 36, 4) for i in (1, 2, 3)}
+    return cells | {(r, c + 1) for c in range(0, 40, 4) for r in range(2, rows - 2, 3)}
+
+
+@pytest.mark.parametrize("block", [7, 256])
+def test_components_of_long_paths_and_of_blocks(spark, block):
+    rng = np.random.default_rng(block)
+    spotted = {(r, c) for r in range(-9, 120) for c in range(fx.N_COLS) if rng.random() < 0.6}
+    for cells in (comb(300), spotted):
+        table = spark.createDataFrame([*cells, *list(cells)[:5]], "row int, col int")
+        got = {(r.row, r.col): r.component for r in spatial.raster_components(table, fx.N_COLS, block).collect()}
+        assert got == brute_components(cells)
+    lost = spatial.raster_components(spark.createDataFrame([(3, None), (None, None), (3, 4)], "row int, col int"), fx.N_COLS, block)
+    assert {(r.row, r.col, r.component) for r in lost.collect()} == {(3, None, None), (None, None, None), (3, 4, 304)}
+    assert spatial.raster_components(spark.createDataFrame([], "row int, col int"), fx.N_COLS, block).count() == 0
+
+
+def test_components_settle_where_labels_would_travel(spark):
+    """A tree of stars whose centres are linked from one to the next in an order that falls by turns."""
+    n = 400
+    ids = np.random.default_rng(1).permutation(n * 4).reshape(n, 4).tolist()
+    links = [(x[0], y) for x in ids for y in x[1:]] + [(x[3], y[2]) for x, y in zip(ids, ids[1:], strict=False)] + [(9000, 9001), (9002, 9001), (9003, 9003)]
+    got = {r.vertex: r.component for r in components(spark.createDataFrame(links, "a long, b long"), max_rounds=12).collect()}
+    assert got == dict.fromkeys(range(n * 4), 0) | {9000: 9000, 9001: 9000, 9002: 9000}
+
+
 def test_filling_inside_a_mask_of_the_whole_raster(spark):
     grid = {(r.row, r.col): r.v for r in fx.grid(spark, SF).collect()}
     now = {(r, c): v for (r, c), v in grid.items() if r % 40 < 10 and c < 40}
