@@ -70,3 +70,21 @@ def test_distance_of_tall_columns_is_linear(spark):
     got = found.toPandas().sort_values("row")
     rows = np.arange(60_000)
     assert np.array_equal(got["row"], rows) and np.allclose(got["distance"], 5.0 * np.minimum(abs(rows - 7), abs(rows - 50_000)))
+
+
+def test_more_nulls_than_few_are_never_broadcast(spark, monkeypatch):
+    """Nulls in a compressed file look small to Spark, whatever their number; 2,000 rows stand for it, with 100 as few."""
+    monkeypatch.setattr(neighbourhood, "FEW", 100)
+    df = spark.range(40_000).selectExpr("CAST(id DIV 200 AS INT) AS row", "CAST(id % 200 AS INT) AS col", "IF(id % 200 BETWEEN 90 AND 99, NULL, id * 1.0D) AS v")
+    held, plans = neighbourhood.work_table, []
+
+    def watched(table, name):
+        plans.append(table._jdf.queryExecution().executedPlan().toString())
+        return held(table, name)
+
+    monkeypatch.setattr(neighbourhood, "work_table", watched)
+    filled, left = neighbourhood.fill(df, "v")
+    assert left == [2_000, 1_600, 1_200, 800, 400, 0]
+    plans.append(filled._jdf.queryExecution().executedPlan().toString())
+    assert not any("Broadcast" in plan for plan in plans) and "SortMergeJoin" in plans[-1]
+    assert filled.where("v IS NULL").count() == 0
