@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import time
 from fractions import Fraction
 
 import numpy as np
@@ -7,6 +8,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from pixelmill.functions import rings as functions_rings
 from pixelmill.functions.rings import RINGS, buffered, uncrossed, uncrossed_rings, widened
 from pixelmill.operators import spatial
 
@@ -118,3 +120,60 @@ def test_buffers_of_a_table(spark):
     assert got[1].area == pytest.approx(12 + 28 + 16 * 4 * np.sin(np.pi / 16)) and got[2].rings is None
     with pytest.raises(ValueError, match="positive"):
         buffered(spark.createDataFrame(rows, f"id int, rings {RINGS}"), 0.0)
+
+
+def widened_by_circles(rings, radius, corner):
+    simple = uncrossed(rings)
+    parts = list(simple)
+    for ring in simple:
+        for (x1, y1), (x2, y2) in zip(ring, ring[1:], strict=False):
+            length = float(np.hypot(x2 - x1, y2 - y1))
+            nx, ny = (y2 - y1) / length * radius, (x1 - x2) / length * radius
+            parts.append([(x1 + nx, y1 + ny), (x2 + nx, y2 + ny), (x2 - nx, y2 - ny), (x1 - nx, y1 - ny), (x1 + nx, y1 + ny)])
+            circle = [(x1 + radius * float(np.cos(t)), y1 + radius * float(np.sin(t))) for t in np.linspace(0, 2 * np.pi, corner + 1)[:-1]]
+            parts.append([*circle, circle[0]])
+    return uncrossed(parts, "nonzero")
+
+
+SHAPES = {
+    "box": [box(0, 0, 7, 4)],
+    "triangle": [[(0, 0), (9, 1), (2, 8), (0, 0)]],
+    "bay": [[(0, 0), (10, 0), (10, 10), (6, 10), (6, 2), (4, 2), (4, 10), (0, 10), (0, 0)]],
+    "hole": [box(0, 0, 20, 20), box(8, 8, 4, 4)],
+    "bow": [[(0, 0), (8, 8), (8, 0), (0, 8), (0, 0)]],
+    "turned": [[(0, 0), (0, 5), (3, 9), (8, 3), (4, 4), (5, 0), (0, 0)]],
+}
+
+
+@pytest.mark.parametrize("rings", SHAPES.values(), ids=SHAPES)
+def test_sectors_widen_as_circles_do(rings):
+    for radius, corner in ((0.3, 32), (0.9, 7), (2.5, 32), (6.0, 12)):
+        got, expected = widened(rings, radius, corner), widened_by_circles(rings, radius, corner)
+        assert sum(map(signed, got)) == pytest.approx(sum(map(signed, expected)), abs=1e-6) and len(got) == len(expected)
+
+
+def test_buffers_far_from_the_origin_keep_their_digits():
+    exact = Fraction(0)
+    ring = widened([box(81.25, 89_991.75, 3.5, 2.0)], 2.5)[0]
+    for (x1, y1), (x2, y2) in zip(ring, ring[1:], strict=False):
+        exact += (Fraction(x1) * Fraction(y2) - Fraction(x2) * Fraction(y1)) / 2
+    assert float(exact) == pytest.approx(7 + 5 * 5.5 + 100 * np.sin(np.pi / 16), abs=1e-7)
+
+
+def test_pairs_in_parts_change_nothing(monkeypatch):
+    turns = np.linspace(0, 2 * np.pi, 41)[:-1]
+    star = [(50 * np.cos(7 * a), 50 * np.sin(3 * a)) for a in turns]
+    rings = [[*star, star[0]], box(-20, -20, 40, 40)]
+    whole = widened(rings, 2.0)
+    monkeypatch.setattr(functions_rings, "PAIRS", 50)
+    assert widened(rings, 2.0) == whole
+
+
+def test_polygons_of_one_partition_are_dealt_to_tasks_and_take_milliseconds(spark):
+    rows = [(i, [[(float(x), float(y)) for x, y in box(i, 2 * i, 3 + i % 4, 4)]]) for i in range(1_200)]
+    df = spark.createDataFrame(rows, f"id int, rings {RINGS}").coalesce(1)
+    assert buffered(df, 2.5).rdd.getNumPartitions() > 1
+    began = time.process_time()
+    for _, rings in rows[:200]:
+        assert len(widened(rings, 2.5)) == 1
+    assert time.process_time() - began < 3
